@@ -59,7 +59,7 @@ logs0 AS (
   SELECT *, CASE event_type WHEN 'purchase' THEN 'api_request' WHEN 'signup' THEN 'user_prompt'
                  WHEN 'click' THEN 'tool_result' WHEN 'view' THEN 'tool_result'
                  ELSE CASE WHEN k % 2 = 0 THEN 'tool_result' ELSE 'tool_decision' END END AS en,
-         CASE event_type WHEN 'click' THEN 'Edit' WHEN 'error' THEN 'Bash'
+         CASE event_type WHEN 'click' THEN 'Edit' WHEN 'error' THEN CASE k % 8 WHEN 4 THEN 'Edit' WHEN 6 THEN 'Read' ELSE 'Bash' END
               WHEN 'view' THEN CASE k % 5 WHEN 0 THEN 'Agent' WHEN 1 THEN 'mcp_tool' ELSE 'Read' END END AS tn
   FROM ev),
 logs AS MATERIALIZED (
@@ -126,6 +126,9 @@ points AS MATERIALIZED (
 moving AS (SELECT * FROM points WHERE d <> 0)"""
 
 SPANS = r"""
+spans0 AS (
+  SELECT *, CASE event_type WHEN 'click' THEN 'Edit' WHEN 'error' THEN CASE k % 8 WHEN 4 THEN 'Edit' WHEN 6 THEN 'Read' ELSE 'Bash' END
+         WHEN 'view' THEN CASE k % 5 WHEN 0 THEN 'Agent' WHEN 1 THEN 'mcp_tool' ELSE 'Read' END END AS tn FROM ev),
 spans AS MATERIALIZED (
   SELECT id, tr, sp, sid, repo, k, event_type, v, id % 20 AS j,
     CASE WHEN id % 20 > 0 THEN 'e' || ((id - id % 20) + (id % 20 - 1) // 2) END AS parent,
@@ -134,16 +137,15 @@ spans AS MATERIALIZED (
     ts AS st, ts + to_microseconds(CAST(round(v * 1000000) AS BIGINT)) AS et,
     CAST(round(v * 1000000) AS BIGINT) * 1000 AS nanos,
     CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status,
-    CASE event_type WHEN 'click' THEN 'Edit' WHEN 'error' THEN 'Bash'
-         WHEN 'view' THEN CASE k % 5 WHEN 0 THEN 'Agent' WHEN 1 THEN 'mcp_tool' ELSE 'Read' END END AS tn,
+    tn,
     CASE WHEN event_type IN ('click', 'error', 'view') THEN 'c' || id END AS tuid,
     CASE WHEN event_type = 'purchase' THEN 'r' || id END AS rid,
     CASE WHEN event_type = 'purchase' THEN 'm' || (k % 3) END AS model,
     CASE WHEN event_type = 'purchase' THEN k ELSE 0 END AS ti, CASE WHEN event_type = 'purchase' THEN 2 * k ELSE 0 END AS tou,
     CASE WHEN event_type = 'purchase' THEN 3 * k ELSE 0 END AS tcc, CASE WHEN event_type = 'purchase' THEN 10 * k ELSE 0 END AS tcr,
-    CASE WHEN event_type = 'click' OR (event_type = 'view' AND k % 5 NOT IN (0, 1)) THEN '/f/' || (k % 7) || '.py' END AS file_path,
-    CASE WHEN event_type = 'error' THEN 'cd /w && grep x' || (k % 4) END AS command
-  FROM ev)"""
+    CASE WHEN tn IN ('Edit', 'Read') THEN '/f/' || (k % 7) || '.py' END AS file_path,
+    CASE WHEN tn = 'Bash' THEN 'cd /w && grep x' || (k % 4) END AS command
+  FROM spans0)"""
 
 
 def with_tables(sql: str) -> str:

@@ -40,7 +40,7 @@ def event_logs(events: DataFrame) -> DataFrame:
              WHEN 'click' THEN 'tool_result' WHEN 'view' THEN 'tool_result'
              ELSE CASE WHEN k % 2 = 0 THEN 'tool_result' ELSE 'tool_decision' END END""")
     ).withColumn("tn", F.expr("""
-        CASE event_type WHEN 'click' THEN 'Edit' WHEN 'error' THEN 'Bash'
+        CASE event_type WHEN 'click' THEN 'Edit' WHEN 'error' THEN CASE k % 8 WHEN 4 THEN 'Edit' WHEN 6 THEN 'Read' ELSE 'Bash' END
              WHEN 'view' THEN CASE k % 5 WHEN 0 THEN 'Agent' WHEN 1 THEN 'mcp_tool' ELSE 'Read' END END"""))
     request, result, decision = "ev = 'api_request'", "ev = 'tool_result'", "ev = 'tool_decision'"
     attributes = _attributes({
@@ -125,7 +125,7 @@ def event_points(events: DataFrame) -> DataFrame:
 
 def event_spans(events: DataFrame) -> DataFrame:
     shaped = events.withColumn("j", F.col("id") % 20).withColumn("tn", F.expr("""
-        CASE event_type WHEN 'click' THEN 'Edit' WHEN 'error' THEN 'Bash'
+        CASE event_type WHEN 'click' THEN 'Edit' WHEN 'error' THEN CASE k % 8 WHEN 4 THEN 'Edit' WHEN 6 THEN 'Read' ELSE 'Bash' END
              WHEN 'view' THEN CASE k % 5 WHEN 0 THEN 'Agent' WHEN 1 THEN 'mcp_tool' ELSE 'Read' END END"""))
     buy = "event_type = 'purchase'"
     attributes = _attributes({

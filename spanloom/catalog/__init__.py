@@ -1,7 +1,7 @@
 """All checkable queries by name."""
 
 from spanloom.catalog.base import ORACLES, QUERIES
-from spanloom.catalog import costs, explore  # noqa: F401
+from spanloom.catalog import costs, explore, session_queries  # noqa: F401
 
 
 def queries():

@@ -143,7 +143,7 @@ class CostBreakdown:
     sessions: DataFrame
 
 
-def cost_breakdown(logs: DataFrame, spans: DataFrame, w: TimeRange, repo: str | None = None, bins: int = 24,
+def cost_breakdown(logs: DataFrame, spans: DataFrame, w: TimeRange, repo: str | None = None, bins: int = 14,
                    cfg: TelemetryConfig = CFG) -> CostBreakdown:
     seconds = max(60, int(w.seconds) // bins)
     grid = cost_by_model_effort(logs, w, repo)
@@ -194,7 +194,7 @@ def cost_summary(points: DataFrame, w: TimeRange, repo: str | None = None, cfg:
                         .otherwise(0.0)))
 
 
-def cost_summary_trend(points: DataFrame, w: TimeRange, bins: int = 24, repo: str | None = None) -> DataFrame:
+def cost_summary_trend(points: DataFrame, w: TimeRange, bins: int = 14, repo: str | None = None) -> DataFrame:
     seconds = max(1, int(w.seconds) // bins)
     sums = (cost_points(points, w, repo).groupBy(bin_ts("timestamp", w.start, seconds).alias("bucket"))
             .agg(F.sum("value_delta").alias("cost_usd")))

@@ -1,7 +1,7 @@
 """All checkable queries by name."""
 
 from spanloom.catalog.base import ORACLES, QUERIES
-from spanloom.catalog import costs, explore, metric_queries, session_queries, trace_queries  # noqa: F401
+from spanloom.catalog import costs, explore, ingest_queries, metric_queries, session_queries, trace_queries  # noqa: F401
 
 
 def queries():

@@ -43,47 +43,56 @@ _SPANS = (f"resourceSpans array<struct<{_HEAD}, scopeSpans: array<struct<{_SCOPE
           f"status: struct<code: string, message: string>, events: array<struct<name: string, timeUnixNano: string, attributes: {_ATTRS}>>>>>>>>")
 
 
-def _quoted(text: Column) -> Column:
-    return F.when(text.isNotNull(), F.regexp_replace(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", "$1"))
+# The expressions below are SQL text: nested lambdas are long, and the parser reads them at once.
 
+def _quoted(x: str) -> str:
+    return f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)"
 
-def _nested_json(value: Column, depth: int) -> list[Column]:
+
+def _nested_json(v: str, depth: int) -> list[str]:
     if depth == 0:
         return []
-    items = F.transform(F.coalesce(value["arrayValue"]["values"], F.array()), lambda e: F.coalesce(_json(e, depth - 1), F.lit("null")))
-    pairs = F.transform(F.coalesce(value["kvlistValue"]["values"], F.array()),
-                        lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.coalesce(_json(e["value"], depth - 1), F.lit("null"))))
-    return [F.when(value["arrayValue"].isNotNull(), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))),
-            F.when(value["kvlistValue"].isNotNull(), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")))]
+    e = f"e{depth}"
+    items = f"transform({v}.arrayValue.values, {e} -> coalesce({_json(e, depth - 1)}, 'null'))"
+    pairs = f"transform({v}.kvlistValue.values, {e} -> concat({_quoted(e + '.key')}, ':', coalesce({_json(e + '.value', depth - 1)}, 'null')))"
+    return [f"CASE WHEN {v}.arrayValue IS NOT NULL THEN concat('[', coalesce(array_join({items}, ','), ''), ']') END",
+            f"CASE WHEN {v}.kvlistValue IS NOT NULL THEN concat('{{', coalesce(array_join({pairs}, ','), ''), '}}') END"]
+
 
+def _json(v: str, depth: int) -> str:
+    quoted = [f"CASE WHEN {v}.{k} IS NOT NULL THEN {_quoted(f'{v}.{k}')} END" for k in ("stringValue", "bytesValue")]
+    return f"coalesce({', '.join([*quoted, f'{v}.boolValue', f'{v}.intValue', f'{v}.doubleValue', *_nested_json(v, depth)])})"
 
-def _json(value: Column, depth: int) -> Column:
-    return F.coalesce(_quoted(value["stringValue"]), value["boolValue"], value["intValue"], value["doubleValue"],
-                      _quoted(value["bytesValue"]), *_nested_json(value, depth))
 
+def _text(v: str, depth: int = NESTING) -> str:
+    parts = [f"{v}.{k}" for k in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue")]
+    return f"coalesce({', '.join([*parts, *_nested_json(v, depth)])})"
 
-def any_text(value: Column, depth: int = NESTING) -> Column:
+
+def any_text(v: str) -> Column:
     """Scalars as plain text, lists and maps as JSON text, an empty value as NULL."""
-    return F.coalesce(value["stringValue"], value["boolValue"], value["intValue"], value["doubleValue"], value["bytesValue"],
-                      *_nested_json(value, depth))
+    return F.expr(_text(v))
+
 
+def _map(pairs: str) -> str:
+    named = f"filter({pairs}, p -> p.key IS NOT NULL)"
+    return f"coalesce(map_from_entries(transform({named}, p -> struct(p.key, {_text('p.value')}))), CAST(map() AS MAP<STRING, STRING>))"
 
-def attribute_map(pairs: Column) -> Column:
+
+def attribute_map(pairs: str) -> Column:
     """Attributes as a map; of equal keys the last one counts."""
-    pairs = F.filter(F.coalesce(pairs, F.array()), lambda e: e["key"].isNotNull())
-    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"].alias("key"), any_text(e["value"]).alias("value"))))
+    return F.expr(_map(pairs))
 
 
-def nested_keys(pairs: Column) -> Column:
-    nested = F.filter(F.coalesce(pairs, F.array()), lambda e: e["value"]["arrayValue"].isNotNull() | e["value"]["kvlistValue"].isNotNull())
-    return F.transform(nested, lambda e: e["key"])
+def nested_keys(pairs: str) -> Column:
+    nested = f"filter({pairs}, p -> p.value.arrayValue IS NOT NULL OR p.value.kvlistValue IS NOT NULL)"
+    return F.expr(f"coalesce(transform({nested}, p -> p.key), CAST(array() AS ARRAY<STRING>))")
 
 
 def _nanos_time(nanos: Column) -> Column:
     """Nanoseconds to a timestamp by whole division; zero and absent are NULL."""
-    value = number(nanos, "decimal(20,0)")
-    return F.when(value > 0, F.timestamp_micros(F.floor(value / F.lit(1000).cast("decimal(4,0)")).cast("long")))
+    value = number(nanos, "long")
+    return F.when(value > 0, F.timestamp_micros(F.call_function("div", value, F.lit(1000))))
 
 
 def _hex(text: Column) -> Column:
@@ -99,21 +108,19 @@ def _labelled(code: Column, labels: dict[int, str], prefix: str) -> Column:
     return chain
 
 
-def _received() -> Column:
-    return F.current_timestamp()
-
-
 def _exploded(df: DataFrame, schema: str, outer: str, scopes: str, items: str) -> DataFrame:
+    # Repeated keys are legal in an export; without this Spark would fail the row.
+    df.sparkSession.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     parsed = df.select(F.from_json("value", schema).alias("doc"), *[c for c in ("received_at",) if c in df.columns])
     resources = parsed.select("*", F.explode(f"doc.{outer}").alias("r")).drop("doc")
     scoped = resources.select("*", F.explode(f"r.{scopes}").alias("s"))
     out = scoped.select("*", F.explode(f"s.{items}").alias("x"))
-    return out if "received_at" in out.columns else out.withColumn("received_at", _received())
+    return out if "received_at" in out.columns else out.withColumn("received_at", F.current_timestamp())
 
 
 def _common() -> list[Column]:
-    return [F.col("s.scope.name").alias("scope_name"), attribute_map(F.col("r.resource.attributes")).alias("resource_attributes"),
-            attribute_map(F.col("s.scope.attributes")).alias("scope_attributes"), F.col("received_at")]
+    return [F.col("s.scope.name").alias("scope_name"), attribute_map("r.resource.attributes").alias("resource_attributes"),
+            attribute_map("s.scope.attributes").alias("scope_attributes"), F.col("received_at")]
 
 
 def _identified(df: DataFrame, *columns: str) -> DataFrame:
@@ -128,8 +135,8 @@ def flatten_otlp_logs(df: DataFrame) -> DataFrame:
     rows = _exploded(df, _LOGS, "resourceLogs", "scopeLogs", "logRecords").select(
         F.coalesce(_nanos_time(x["timeUnixNano"]), observed).alias("timestamp"), observed.alias("observed_timestamp"),
         F.nullif(number(x["severityNumber"], "int"), F.lit(0)).alias("severity_number"), blank_to_null(x["severityText"]).alias("severity_text"),
-        any_text(x["body"]).alias("body"), _hex(x["traceId"]).alias("trace_id"), _hex(x["spanId"]).alias("span_id"),
-        attribute_map(x["attributes"]).alias("attributes"), nested_keys(x["attributes"]).alias("nested_attribute_keys"), *_common())
+        any_text("x.body").alias("body"), _hex(x["traceId"]).alias("trace_id"), _hex(x["spanId"]).alias("span_id"),
+        attribute_map("x.attributes").alias("attributes"), nested_keys("x.attributes").alias("nested_attribute_keys"), *_common())
     return _identified(rows, "timestamp", "trace_id", "span_id", "body", "attributes")
 
 
@@ -144,20 +151,20 @@ def flatten_otlp_metrics(df: DataFrame) -> DataFrame:
         _nanos_time(p["timeUnixNano"]).alias("timestamp"), _nanos_time(p["startTimeUnixNano"]).alias("start_timestamp"),
         double.alias("value_double"), F.when(double.isNull(), whole).alias("value_long"),
         F.when(double.isNotNull(), "double").when(whole.isNotNull(), "long").otherwise("unknown").alias("value_kind"),
-        attribute_map(p["attributes"]).alias("attributes"), *_common())
+        attribute_map("p.attributes").alias("attributes"), *_common())
     return _identified(rows, "metric_name", "timestamp", "start_timestamp", "value_double", "value_long", "attributes")
 
 
 def flatten_otlp_spans(df: DataFrame) -> DataFrame:
     x = F.col("x")
     start, end = number(x["startTimeUnixNano"], "long"), number(x["endTimeUnixNano"], "long")
-    events = F.transform(x["events"], lambda e: F.struct(e["name"].alias("name"), _nanos_time(e["timeUnixNano"]).alias("timestamp"),
-                                                         attribute_map(e["attributes"]).alias("attributes")))
+    at = "CASE WHEN try_cast(v.timeUnixNano AS BIGINT) > 0 THEN timestamp_micros(try_cast(v.timeUnixNano AS BIGINT) DIV 1000) END"
+    events = F.expr(f"transform(x.events, v -> struct(v.name AS name, {at} AS timestamp, {_map('v.attributes')} AS attributes))")
     rows = _exploded(df, _SPANS, "resourceSpans", "scopeSpans", "spans").select(
         _hex(x["traceId"]).alias("trace_id"), _hex(x["spanId"]).alias("span_id"), _hex(x["parentSpanId"]).alias("parent_span_id"),
         x["name"].alias("name"), _labelled(x["kind"], SPAN_KINDS, "SPAN_KIND_").alias("kind"),
         _nanos_time(x["startTimeUnixNano"]).alias("start_timestamp"), _nanos_time(x["endTimeUnixNano"]).alias("end_timestamp"),
         (end - start).alias("duration_nanos"), _labelled(x["status"]["code"], STATUS_CODES, "STATUS_CODE_").alias("status_code"),
-        blank_to_null(x["status"]["message"]).alias("status_message"), attribute_map(x["attributes"]).alias("attributes"),
+        blank_to_null(x["status"]["message"]).alias("status_message"), attribute_map("x.attributes").alias("attributes"),
         F.when(F.size(x["events"]) > 0, events).alias("events"), *_common())
     return _identified(rows, "trace_id", "span_id", "start_timestamp")

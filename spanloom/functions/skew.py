@@ -85,9 +85,19 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], into:
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: Sequence[str], into: str,
          chunk: Column | None = None) -> DataFrame:
     """Number consecutive rows of equal ``label`` within a key; one number per run."""
-    df = previous_row(df, keys, order, F.struct(*label), "__prev", chunk=chunk)
-    starts = F.when(F.col("__prev").eqNullSafe(F.struct(*label)), 0).otherwise(1).cast("long")
-    return running_total(df, keys, order, starts, into, chunk=chunk).drop("__prev")
+    df, inside, across = _chunk_orders(df, keys, order, chunk)
+    here, at = F.struct(*label), F.struct(*order)
+    marked = df.withColumn("__prev", F.lag(here).over(inside)).withColumn(
+        "__s", F.when(F.col("__prev").isNull() | F.col("__prev").eqNullSafe(here), 0).otherwise(1).cast("long"))
+    local = marked.withColumn("__local", F.sum("__s").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    summary = marked.groupBy(*keys, _CHUNK).agg(
+        F.sum("__s").alias("__t"), F.min_by(here, at).alias("__f"), F.max_by(here, at).alias("__l"))
+    # A chunk opens a run of its own unless it begins as the chunk before it ended.
+    opened = summary.withColumn("__o", F.when(F.lag("__l").over(across).eqNullSafe(F.col("__f")), 0).otherwise(1).cast("long"))
+    based = opened.select(*keys, _CHUNK, (F.sum(F.col("__t") + F.col("__o")).over(
+        across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")).alias("__base"))
+    joined = join_nullsafe(local, based, [*keys, _CHUNK])
+    return joined.withColumn(into, F.col("__base") + F.col("__local")).drop("__prev", "__s", "__local", "__base", _CHUNK)
 
 
 def _value_bucket(value: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.config import CFG, TelemetryConfig, TimeRange
+from spanloom.config import TimeRange
 from spanloom.functions import expr as E
 from spanloom.functions.skew import previous_row
 from spanloom.operators.tools import failed, sized_results, tool_results, tunable, with_percentiles
@@ -165,10 +165,9 @@ def suggestion_rows(coverage: DataFrame, hotspots: DataFrame, oversized: DataFra
     return out
 
 
-def suggestions(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
-    from spanloom.operators import tools
+def suggestions(logs: DataFrame, w: TimeRange, repo: str | None = None) -> DataFrame:
+    # Imported here: the report needs both modules.
+    from spanloom.plans.report import report_tables
 
-    return suggestion_rows(
-        bash_coverage(logs, w), bash_hotspots(logs, w), oversized_results(logs, w), tools.tunable_context_footprint(logs, w),
-        tools.mcp_server_rollup(tools.mcp_usage(logs, w, repo)), redundant_reads(logs, w), edit_failure_loops(logs, w),
-        slow_and_large(logs, w))
+    t = report_tables(logs, w, repo)
+    return suggestion_rows(*[t[k] for k in ("coverage", "hotspots", "oversized", "footprint", "servers", "reads", "loops", "slow")])

@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange
-from spanloom.functions.skew import cut_lineage
 from spanloom.operators import tools, tuning
 
 ID_LENGTH = 8
 
 
 def report_frames(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> dict[str, DataFrame]:
-    """The aggregates of the eleven sections; each is a top-k list or one row per tool or server."""
-    usage = cut_lineage(tools.mcp_usage(logs, w, repo))
+    """The aggregates behind the sections; each is a top-k list or one row per tool or MCP tool."""
     return {
         "failures": tools.failures_by_signature(logs, w), "near_misses": tuning.path_near_misses(logs, w),
         "reads": tuning.redundant_reads(logs, w), "loops": tuning.edit_failure_loops(logs, w),
         "hotspots": tuning.bash_hotspots(logs, w), "coverage": tuning.bash_coverage(logs, w),
-        "performance": tools.tool_performance(logs, w), "mix": tools.with_share(cut_lineage(tools.tool_calls(logs, w, repo))),
-        "footprint": tools.tunable_context_footprint(logs, w), "servers": tools.mcp_server_rollup(usage),
+        "performance": tools.tool_performance(logs, w), "mix": tools.tool_calls(logs, w, repo),
+        "footprint": tools.tunable_context_footprint(logs, w), "mcp": tools.mcp_usage(logs, w, repo),
         "oversized": tuning.oversized_results(logs, w), "slow": tuning.slow_and_large(logs, w),
     }
 
 
-def report_tables(logs: DataFrame, w: TimeRange, repo: str | None = None) -> dict[str, DataFrame]:
-    """The same aggregates, each computed once."""
-    return {name: cut_lineage(df) for name, df in report_frames(logs, w, repo).items()}
+def report_tables(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> dict[str, DataFrame]:
+    """The aggregates as small local tables, each computed once.
+
+    All of them read the tool results of the window, so that projection is kept
+    while the jobs run side by side.
+    """
+    results = logs.where((F.col("event_name") == cfg.tool_result) & w.contains()).select(
+        "id", "timestamp", "event_name", "session_id", "tool_name", "tool", "scope", "file_path", "command", "success", "duration_ms",
+        "result_bytes", "repository_url", F.map_filter("attributes", lambda k, v: k.isin("error", "error_type", "tool_parameters")).alias("attributes"))
+    results = results.persist()
+    try:
+        frames = report_frames(results, w, repo, cfg)
+        with ThreadPoolExecutor(4) as pool:
+            rows = dict(zip(frames, pool.map(lambda df: df.collect(), frames.values())))
+    finally:
+        results.unpersist()
+    out = {name: logs.sparkSession.createDataFrame(rows[name], df.schema) for name, df in frames.items()}
+    out["mix"] = tools.with_share(out["mix"])
+    out["servers"] = tools.mcp_server_rollup(out.pop("mcp"))
+    return out
 
 
 def _whole(value) -> int:

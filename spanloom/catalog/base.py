@@ -29,7 +29,7 @@ def comparable(df: DataFrame) -> DataFrame:
             c = F.round(c.cast("double"), 6)
         elif isinstance(f.dataType, T.TimestampType):
             c = F.unix_micros(c)
-        elif isinstance(f.dataType, (T.IntegerType, T.ShortType)):
+        elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, T.DateType):
             c = c.cast("string")

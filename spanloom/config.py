@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,6 +62,10 @@ def micros(when: datetime) -> int:
     return (when - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
 
 
+def _utc_day(when: datetime) -> date:
+    return (when.astimezone(timezone.utc) if when.tzinfo else when).date()
+
+
 def ts_lit(when: datetime) -> Column:
     """A foldable timestamp literal that does not depend on the session time zone."""
     return F.timestamp_micros(F.lit(micros(when)))
@@ -91,6 +95,15 @@ class TimeRange:
             test = test & ((F.col(column) < upper) if half_open else (F.col(column) <= upper))
         return test
 
+    def scan(self, column: str = "timestamp", half_open: bool = False) -> Column:
+        """``contains``, with the implied bounds on the day partition so that scans skip other days."""
+        test = self.contains(column, half_open)
+        if self.start is not None:
+            test = test & (F.col("event_date") >= F.lit(_utc_day(self.start)))
+        if self.end is not None:
+            test = test & (F.col("event_date") <= F.lit(_utc_day(self.end)))
+        return test
+
     def prior(self, column: str = "timestamp") -> Column:
         """The half-open range of equal length that ends where this one starts."""
         return (F.col(column) >= ts_lit(self.prior_start)) & (F.col(column) < ts_lit(self.start))

@@ -154,6 +154,18 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, wanted:
     return found.select(*out)
 
 
+def percentiles_of(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[Column, float]],
+                   kind: str = "cont") -> DataFrame:
+    """Percentiles of several columns in one pass: ``name -> (column, p)``, one row per key."""
+    columns = {str(c): c for c, _ in wanted.values()}
+    place = {text: i for i, text in enumerate(columns)}
+    shares = {p: f"__p{j}" for j, p in enumerate(sorted({p for _, p in wanted.values()}))}
+    entries = F.array(*[F.struct(F.lit(i).alias("__m"), columns[t].cast("double").alias("__x")) for t, i in place.items()])
+    found = exact_percentiles(df.select(*keys, F.inline(entries)), [*keys, "__m"], F.col("__x"), {n: p for p, n in shares.items()}, kind)
+    return found.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("__m") == place[str(c)], F.col(shares[p]))).alias(name) for name, (c, p) in wanted.items()])
+
+
 def top_value(df: DataFrame, keys: Sequence[str], value: str, into: str) -> DataFrame:
     """Most frequent value per key; the smallest value wins a tie."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))

@@ -19,7 +19,7 @@ _TOKENS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read
 
 
 def requests(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
-    return logs.where((F.col("event_name") == cfg.api_request) & w.contains() & E.in_repository(repo))
+    return logs.where((F.col("event_name") == cfg.api_request) & w.scan() & E.in_repository(repo))
 
 
 def usd(column: str = "cost_usd") -> Column:
@@ -44,7 +44,8 @@ def cost_by_category(logs: DataFrame, w: TimeRange, bucket_seconds: int, repo: s
 
 
 def prior_cost(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
-    rows = logs.where((F.col("event_name") == cfg.api_request) & w.prior() & E.in_repository(repo))
+    before = TimeRange(w.prior_start, w.start)
+    rows = logs.where((F.col("event_name") == cfg.api_request) & before.scan(half_open=True) & E.in_repository(repo))
     return rows.agg(usd().alias("prior_total"))
 
 
@@ -75,7 +76,7 @@ def change_percent(current: Column, prior: Column, empty: float | None = 0.0) ->
 def cost_headline(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     """Both windows in one scan: totals, change, hourly burn and 30-day projection."""
     now = w.contains()
-    rows = logs.where((F.col("event_name") == cfg.api_request) & w.with_prior().contains() & E.in_repository(repo))
+    rows = logs.where((F.col("event_name") == cfg.api_request) & w.with_prior().scan() & E.in_repository(repo))
     hours = max(1.0, float(int(w.seconds))) / 3600.0
     sums = rows.agg(
         F.coalesce(F.sum(F.when(now, F.col("cost_usd"))).cast("double"), F.lit(0.0)).alias("current_usd"),
@@ -157,7 +158,7 @@ def cost_breakdown(logs: DataFrame, spans: DataFrame, w: TimeRange, repo: str |
 
 def cost_points(points: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     return points.where((F.col("metric_name") == cfg.cost_metric) & F.col("session_id").isNotNull()
-                        & F.col("value_double").isNotNull() & E.moving() & w.contains() & E.in_repository(repo))
+                        & F.col("value_double").isNotNull() & E.moving() & w.scan() & E.in_repository(repo))
 
 
 def sum_when(test: Column, value: str = "value_delta") -> Column:
@@ -184,7 +185,7 @@ def cost_summary(points: DataFrame, w: TimeRange, repo: str | None = None, cfg:
     is_cost = ((F.col("metric_name") == cfg.cost_metric) & F.col("session_id").isNotNull() & F.col("value_double").isNotNull())
     is_token = F.col("metric_name") == cfg.token_metric
     rows = points.where(F.col("metric_name").isin(cfg.cost_metric, cfg.token_metric) & E.moving()
-                        & w.with_prior().contains() & E.in_repository(repo))
+                        & w.with_prior().scan() & E.in_repository(repo))
     sums = rows.agg(sum_when(is_cost & w.contains()).alias("spend_usd"), sum_when(is_cost & w.prior()).alias("prior_usd"),
                     E.rounded_long(sum_when(is_token & w.contains())).alias("total_tokens"))
     return (sums.withColumn("delta_percent", change_percent(F.col("spend_usd"), F.col("prior_usd")))

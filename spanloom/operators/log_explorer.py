@@ -29,7 +29,7 @@ class LogFilter:
     repository: str | None = None
 
     def test(self, *ignoring: str) -> Column:
-        test = self.w.contains() & E.in_repository(self.repository)
+        test = self.w.scan() & E.in_repository(self.repository)
         for name, column, wanted in (("severity", "derived_severity", self.severities),
                                      ("event", "event_name", self.events), ("tool", "tool_name", self.tools)):
             if wanted and name not in ignoring:

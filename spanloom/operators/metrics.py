@@ -29,7 +29,7 @@ CURATED = {
 
 def moving_points(points: DataFrame, names: Sequence[str] | None, w: TimeRange, repo: str | None = None,
                   wanted: Mapping[str, str | None] | None = None) -> DataFrame:
-    test = E.moving() & w.contains() & E.in_repository(repo)
+    test = E.moving() & w.scan() & E.in_repository(repo)
     if names is not None:
         test = test & F.col("metric_name").isin(*names)
     if wanted:
@@ -90,12 +90,12 @@ def tokens_current_prior(points: DataFrame, w: TimeRange, cfg: TelemetryConfig =
 
 
 def token_type_current_prior(points: DataFrame, w: TimeRange, cfg: TelemetryConfig = CFG) -> DataFrame:
-    rows = points.where((F.col("metric_name") == cfg.token_metric) & w.with_prior().contains())
+    rows = points.where((F.col("metric_name") == cfg.token_metric) & w.with_prior().scan())
     return rows.groupBy("token_type").agg(*_both(w))
 
 
 def metric_catalog(points: DataFrame, w: TimeRange) -> DataFrame:
-    rows = points.where(w.contains()).select("metric_name", "unit", "stream_id")
+    rows = points.where(w.scan()).select("metric_name", "unit", "stream_id")
     # Within one metric, equal attribute sets and equal stream ids are the same thing.
     return (rows.groupBy("metric_name").agg(F.coalesce(F.max("unit"), F.lit("")).alias("unit"),
                                             F.countDistinct("stream_id").alias("cardinality"))
@@ -104,7 +104,7 @@ def metric_catalog(points: DataFrame, w: TimeRange) -> DataFrame:
 
 def catalog_sparklines(points: DataFrame, w: TimeRange, bins: int = SPARK_BINS) -> DataFrame:
     seconds = max(1, int(w.seconds) // bins)
-    return (points.where(w.contains()).groupBy("metric_name", bin_index("timestamp", w.start, seconds).alias("bucket_index"))
+    return (points.where(w.scan()).groupBy("metric_name", bin_index("timestamp", w.start, seconds).alias("bucket_index"))
             .agg(E.row_count().alias("row_count")).orderBy("metric_name", "bucket_index"))
 
 
@@ -212,18 +212,18 @@ def metric_series_trend(points: DataFrame, w: TimeRange, names: Sequence[str] |
 
 
 def metric_points_page(points: DataFrame, w: TimeRange, pairs: Sequence[str], page: int, size: int) -> DataFrame:
-    rows = points.where(w.contains() & E.attrs_match("attributes", pairs))
+    rows = points.where(w.scan() & E.attrs_match("attributes", pairs))
     return rows.orderBy(F.desc("timestamp"), F.desc("id")).offset(page * size).limit(size)
 
 
 def metric_points_count(points: DataFrame, w: TimeRange, pairs: Sequence[str]) -> DataFrame:
-    return points.where(w.contains() & E.attrs_match("attributes", pairs)).agg(E.row_count().alias("row_count"))
+    return points.where(w.scan() & E.attrs_match("attributes", pairs)).agg(E.row_count().alias("row_count"))
 
 
 # Distribution of single requests.
 
 def _request_points(logs: DataFrame, w: TimeRange, value: Column, repo: str | None, limit: int, cfg: TelemetryConfig) -> DataFrame:
-    rows = logs.where((F.col("event_name") == cfg.api_request) & value.isNotNull() & w.contains() & E.in_repository(repo))
+    rows = logs.where((F.col("event_name") == cfg.api_request) & value.isNotNull() & w.scan() & E.in_repository(repo))
     return (rows.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
             .select("id", F.col("timestamp").alias("request_timestamp"), value.cast("double").alias("request_value"),
                     E.real_trace_id("trace_id").alias("trace_id"), "request_id",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import ts_lit
 from spanloom.functions import expr as E
+from spanloom.functions.skew import cut_lineage
 from spanloom.sources.deltas import newest_per_stream
 from spanloom.sources.tables import read_telemetry, write_telemetry
 
@@ -37,7 +38,8 @@ def dormant_sessions(logs: DataFrame, points: DataFrame, spans: DataFrame, cutof
 
 def _marked(logs: DataFrame, points: DataFrame, spans: DataFrame, cutoff: datetime) -> dict[str, DataFrame]:
     """The tables with a ``__gone`` flag on rows a purge deletes."""
-    dormant = dormant_sessions(logs, points, spans, cutoff).withColumn("__dormant", F.lit(True))
+    # Found once from all three tables, then met by each of them.
+    dormant = cut_lineage(dormant_sessions(logs, points, spans, cutoff)).withColumn("__dormant", F.lit(True))
     out = {}
     for name, df in _tables(logs, points, spans).items():
         old = F.col(_TIME[name]) < ts_lit(cutoff)

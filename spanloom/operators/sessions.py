@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange, ts_lit
 from spanloom.functions import expr as E
-from spanloom.functions.skew import exact_percentiles
+from spanloom.functions.skew import percentiles_of
 from spanloom.functions.timebins import bin_index, index_axis
 
 ROOT_PREFIX = "claude_code.interaction"
@@ -109,17 +109,14 @@ def first_prompts(logs: DataFrame, ids: DataFrame | None = None, cfg: TelemetryC
 
 def session_kpis(points: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     with_value = F.col("value_double").isNotNull()
-    per = (points.where(_seen(cfg) & F.col("session_id").isNotNull() & E.moving() & w.contains() & E.in_repository(repo))
+    per = (points.where(_seen(cfg) & F.col("session_id").isNotNull() & E.moving() & w.scan() & E.in_repository(repo))
            .groupBy("session_id").agg(
                F.coalesce(_delta(_is(cfg.cost_metric) & with_value), F.lit(0.0)).alias("cost"),
                F.coalesce(_delta(_is(cfg.active_metric) & with_value), F.lit(0.0)).alias("active")))
-    cost = exact_percentiles(per, [], F.col("cost"), {"median": 0.5, "p95": 0.95})
-    rate = exact_percentiles(per.where("active > 0"), [], F.col("cost") / F.col("active") * 60, {"median": 0.5})
-    zero = F.lit(0.0)
-    return per.agg(E.row_count().alias("total_sessions")).select(
-        "total_sessions", F.coalesce(cost.select("median").scalar(), zero).alias("median_cost_usd"),
-        F.coalesce(cost.select("p95").scalar(), zero).alias("p95_cost_usd"),
-        F.coalesce(rate.select("median").scalar(), zero).alias("median_cost_per_active_minute_usd"))
+    cost, rate = F.col("cost"), F.when(F.col("active") > 0, F.col("cost") / F.col("active") * 60)
+    found = percentiles_of(per, [], {"median_cost_usd": (cost, 0.5), "p95_cost_usd": (cost, 0.95),
+                                     "median_cost_per_active_minute_usd": (rate, 0.5)})
+    return found.na.fill(0.0).withColumn("total_sessions", per.agg(E.row_count()).scalar())
 
 
 def new_sessions_trend(points: DataFrame, w: TimeRange, bins: int = NEW_SESSION_BINS, repo: str | None = None,

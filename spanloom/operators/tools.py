@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange
 from spanloom.functions import expr as E
-from spanloom.functions.skew import carry_last, exact_percentiles, join_nullsafe, runs
+from spanloom.functions.skew import carry_last, cut_lineage, exact_percentiles, join_nullsafe, percentiles_of, runs
 from spanloom.functions.timebins import bin_ts
 
 BYTES_PER_TOKEN = 4
@@ -16,7 +16,7 @@ NO_SCOPE = "(no scope)"
 
 
 def tool_results(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
-    return logs.where((F.col("event_name") == cfg.tool_result) & w.contains() & E.in_repository(repo))
+    return logs.where((F.col("event_name") == cfg.tool_result) & w.scan() & E.in_repository(repo))
 
 
 def with_percentiles(grouped: DataFrame, rows: DataFrame, keys: list[str], value: str,
@@ -55,7 +55,7 @@ def tool_latency(spans: DataFrame, w: TimeRange, repo: str | None = None, cfg: T
     raw = F.col("tool_name")
     label = F.when(raw.startswith(cfg.mcp_prefix), F.concat(F.lit("mcp:"), F.split_part(raw, F.lit("__"), F.lit(2)))).otherwise(raw)
     rows = (spans.where((F.col("scope_name") == cfg.span_scope) & (F.col("name") == cfg.tool_span)
-                        & w.contains("start_timestamp") & F.col("duration_nanos").isNotNull()
+                        & w.scan("start_timestamp") & F.col("duration_nanos").isNotNull()
                         & F.map_contains_key("attributes", F.lit("tool_name")) & E.in_repository(repo))
             .select(label.alias("tool"), "duration_nanos"))
     base = rows.groupBy("tool").agg(E.row_count().alias("calls"))
@@ -111,7 +111,7 @@ def failures_by_signature(logs: DataFrame, w: TimeRange) -> DataFrame:
 
 def denials(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     rows = logs.where((F.col("event_name") == cfg.tool_decision) & (F.col("decision") == "reject")
-                      & w.contains() & E.in_repository(repo))
+                      & w.scan() & E.in_repository(repo))
     return (rows.groupBy("tool", F.coalesce(F.col("attributes")["source"], F.lit("unknown")).alias("source"))
             .agg(E.row_count().alias("denials")).orderBy(F.desc("denials"), "tool", "source"))
 
@@ -122,7 +122,7 @@ def hook_executions(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg:
     def total(key: str) -> Column:
         return F.sum(F.coalesce(E.number(a[key], "long"), F.lit(0)))
 
-    rows = logs.where((F.col("event_name") == cfg.hook_complete) & w.contains() & E.in_repository(repo))
+    rows = logs.where((F.col("event_name") == cfg.hook_complete) & w.scan() & E.in_repository(repo))
     return (rows.groupBy(F.coalesce(a["hook_event"], F.lit("unknown")).alias("hook_event"),
                          F.coalesce(a["hook_name"], F.lit("unknown")).alias("hook_name"))
             .agg(E.row_count().alias("total"), total("num_success").alias("successes"), total("num_blocking").alias("blocking_errors"),
@@ -151,6 +151,8 @@ def tool_repeats(logs: DataFrame, w: TimeRange, repo: str | None = None, limit:
                .agg(F.max(F.struct("run_length", "run_bytes")).alias("best"))
                .select("tool", "scope", F.col("best.run_length").alias("longest_run"), F.col("best.run_bytes").alias("bytes"))
                .where("longest_run >= 2"))
+    # Read three times below; finding the runs is the dear part.
+    longest = cut_lineage(longest)
     base = longest.groupBy("tool", "scope").agg(
         F.max("longest_run").alias("max_run"), E.row_count().alias("sessions"),
         E.rounded_long(F.sum("bytes") / BYTES_PER_TOKEN).alias("estimated_tokens_burned"))
@@ -177,9 +179,9 @@ def mcp_usage(logs: DataFrame, w: TimeRange, repo: str | None = None) -> DataFra
     base = rows.groupBy(*keys).agg(
         E.row_count().alias("calls"), F.count_if("failed").alias("failures"), F.round(F.avg("duration_ms")).alias("avg_ms"),
         E.rounded_long(F.sum("result_bytes")).alias("total_bytes"))
-    out = with_percentiles(base, rows, keys, "duration_ms", {"p95_ms": 0.95})
-    out = with_percentiles(out, rows, keys, "result_bytes", {"p95_bytes": 0.95})
-    out = out.withColumn("p95_bytes", F.col("p95_bytes").cast("long"))
+    tails = percentiles_of(rows, keys, {"p95_ms": (F.col("duration_ms"), 0.95), "p95_bytes": (F.col("result_bytes"), 0.95)})
+    out = (base.join(tails, keys, "left").withColumn("p95_ms", F.bround("p95_ms"))
+           .withColumn("p95_bytes", F.bround("p95_bytes").cast("long")))
     totals = base.groupBy("server").agg(F.sum("calls").alias("server_calls"))
     return out.join(totals, "server").orderBy(F.desc("server_calls"), "server", F.desc("calls"), "mcp_tool")
 
@@ -207,9 +209,9 @@ def subagent_usage(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg:
     Only the dispatches are bound to the range and repository; the request may lie outside.
     """
     is_dispatch = ((F.col("event_name") == cfg.tool_result) & (F.col("tool_name") == cfg.subagent_tool)
-                   & w.contains() & E.in_repository(repo))
+                   & w.scan() & E.in_repository(repo))
     is_turn = (F.col("event_name") == cfg.api_request) & ~F.col("has_agent")
-    upper = TimeRange(None, w.end).contains()
+    upper = TimeRange(None, w.end).scan()
     timeline = (logs.where(upper & (is_dispatch | is_turn))
                 .select("session_id", "timestamp", "id", F.coalesce(is_dispatch, F.lit(False)).alias("dispatch"),
                         _subagent_type(cfg).alias("identifier"), "model")
@@ -227,7 +229,7 @@ def subagent_cost(logs: DataFrame, spans: DataFrame, w: TimeRange, repo: str | N
                   cfg: TelemetryConfig = CFG) -> DataFrame:
     """Dispatch log, its execution span, the model calls under it, their priced requests."""
     dispatches = (logs.where((F.col("event_name") == cfg.tool_result) & (F.col("tool_name") == cfg.subagent_tool)
-                             & w.contains() & E.in_repository(repo) & F.col("tool_use_id").isNotNull())
+                             & w.scan() & E.in_repository(repo) & F.col("tool_use_id").isNotNull())
                   .select("tool_use_id", _subagent_type(cfg).alias("identifier")))
     executions = (spans.where((F.col("name") == cfg.tool_execution_span) & F.col("tool_use_id").isNotNull()
                               & E.in_repository(repo))
@@ -246,7 +248,7 @@ def skill_invocations(logs: DataFrame, w: TimeRange, repo: str | None = None, ha
                       cfg: TelemetryConfig = CFG) -> DataFrame:
     """One row per (skill, prompt), dated and modelled by its earliest turn."""
     rows = logs.where((F.col("event_name") == cfg.api_request) & F.col("has_skill") & ~F.col("has_agent")
-                      & w.contains(half_open=half_open) & E.in_repository(repo))
+                      & w.scan(half_open=half_open) & E.in_repository(repo))
     return (rows.groupBy(F.coalesce(E.blank_to_null("skill_name"), F.lit("unknown")).alias("identifier"),
                          F.coalesce(E.blank_to_null("prompt_id"), F.col("id").cast("string")).alias("prompt_id"))
             .agg(F.min(F.struct("timestamp", "id", F.coalesce(E.blank_to_null("model"), F.lit("unknown")).alias("model"))).alias("m"))
@@ -259,7 +261,7 @@ def skill_usage(logs: DataFrame, w: TimeRange, repo: str | None = None) -> DataF
 
 
 def skill_cost(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
-    rows = logs.where((F.col("event_name") == cfg.api_request) & F.col("has_skill") & w.contains() & E.in_repository(repo))
+    rows = logs.where((F.col("event_name") == cfg.api_request) & F.col("has_skill") & w.scan() & E.in_repository(repo))
     return (rows.groupBy(F.coalesce(E.blank_to_null("skill_name"), F.lit("unknown")).alias("identifier"),
                          F.coalesce(E.blank_to_null("model"), F.lit("unknown")).alias("model"))
             .agg(F.coalesce(F.sum("cost_usd").cast("double"), F.lit(0.0)).alias("cost_usd"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig
 from spanloom.functions import expr as E
-from spanloom.functions.skew import carry_last, exact_percentiles, running_total, runs
+from spanloom.functions.skew import carry_last, percentiles_of, running_total, runs
 from spanloom.operators.span_tree import attributed_calls, call_numbers, priced_calls
 from spanloom.operators.traces import first_prompt_by_trace
 from spanloom.operators.tuning import SHELL_REPLACEMENTS
@@ -117,11 +117,11 @@ def model_call_outlier(spans: DataFrame, cfg: TelemetryConfig = CFG) -> DataFram
     slowest = F.max_by(F.struct("call_no", "model", "ms", "out"), F.struct("ms", -F.col("call_no")))
     per = calls.groupBy("trace_id").agg(E.row_count().alias("model_calls"), slowest.alias("s"))
     per = per.where((F.col("model_calls") >= OUTLIER_CALLS) & (F.col("s.ms") >= OUTLIER_MS))
-    medians = exact_percentiles(calls, ["trace_id"], F.col("ms"), {"median_ms": 0.5}, kind="disc")
-    rates = exact_percentiles(calls.where("out > 0"), ["trace_id"], F.col("ms") / F.col("out"), {"median_rate": 0.5}, kind="disc")
+    rate = F.when(F.col("out") > 0, F.col("ms") / F.col("out"))
+    medians = percentiles_of(calls, ["trace_id"], {"median_ms": (F.col("ms"), 0.5), "median_rate": (rate, 0.5)}, kind="disc")
     writing = F.coalesce((F.col("s.out") > 0) & (F.col("median_rate") > 0)
                          & (F.col("s.ms") / F.col("s.out") < F.col("median_rate") * OUTLIER_RATE), F.lit(False))
-    return (per.join(medians, "trace_id").join(rates, "trace_id", "left")
+    return (per.join(medians, "trace_id")
             .where((F.col("median_ms") > 0) & (F.col("s.ms") >= F.col("median_ms") * OUTLIER_MULTIPLE) & ~writing)
             .select("trace_id", F.col("s.call_no").alias("call_no"), F.col("s.model").alias("model"), F.col("s.ms").alias("duration_ms"),
                     F.col("s.out").alias("output_tokens"), F.col("median_ms").cast("long").alias("median_ms"), "model_calls"))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange, ts_lit
@@ -71,14 +71,14 @@ def trace_summaries(spans: DataFrame, logs: DataFrame | None, w: TimeRange = Tim
     Sums cover the spans in the range. The root is looked for among all spans, or,
     to spare the scan on large tables, from ``root_lookback`` before the range on.
     """
-    inside = w.contains("start_timestamp") & E.in_repository(repo)
+    inside = w.scan("start_timestamp") & E.in_repository(repo)
     sums = spans.where(inside).groupBy("trace_id").agg(
         F.min("start_timestamp").alias("min_start"), F.max("end_timestamp").alias("max_end"), E.row_count().alias("span_count"),
         F.count_if(F.col("status_code") == "error").alias("error_count"),
         F.coalesce(F.sum("total_tokens"), F.lit(0.0)).cast("long").alias("total_tokens"))
     candidates = spans
     if root_lookback is not None and w.start is not None:
-        candidates = spans.where(F.col("start_timestamp") >= ts_lit(w.start - root_lookback))
+        candidates = spans.where(TimeRange(w.start - root_lookback).scan("start_timestamp"))
     roots = (candidates.join(sums.select("trace_id"), "trace_id", "left_semi").groupBy("trace_id").agg(_root().alias("r"))
              .select("trace_id", F.col("r.span_id").alias("root_span_id"), F.coalesce("r.name", F.lit("")).alias("root_span_name"),
                      F.coalesce("r.session_id", F.lit("")).alias("session_id")))
@@ -166,13 +166,11 @@ def trace_facets(spans: DataFrame, f: TraceFilter, limit: int = FACET_LIMIT, ses
                       for kind, (column, _) in f.facets().items()])
     counts = (rows.select(F.explode(kinds).alias("k")).where("k IS NOT NULL").groupBy("k.facet_kind", "k.facet_key")
               .agg(E.row_count().alias("row_count")))
-    tops = None
-    # One top-k list per kind: a facet with many values is never ranked in one task.
-    for kind in f.facets():
-        top = (counts.where(F.col("facet_kind") == kind).orderBy(F.desc("row_count"), "facet_key")
-               .limit(session_limit if kind == "session" else limit))
-        tops = top if tops is None else tops.unionByName(top)
-    return tops
+    # Spark keeps only the first rows of each kind before the shuffle of this rank.
+    rank = F.row_number().over(Window.partitionBy("facet_kind").orderBy(F.desc("row_count"), "facet_key"))
+    top = counts.withColumn("rank", rank).where(F.col("rank") <= max(limit, session_limit))
+    kept = F.when(F.col("facet_kind") == "session", F.col("rank") <= session_limit).otherwise(F.col("rank") <= limit)
+    return top.where(kept).drop("rank")
 
 
 def trace_summary(spans: DataFrame, logs: DataFrame, trace_id: str) -> DataFrame:

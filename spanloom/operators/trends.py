@@ -49,7 +49,7 @@ def _is_cost(cfg: TelemetryConfig) -> Column:
 
 
 def _moving(points: DataFrame, w: TimeRange, names: tuple[str, ...], repo: str | None) -> DataFrame:
-    return points.where(F.col("metric_name").isin(*names) & E.moving() & w.contains() & E.in_repository(repo))
+    return points.where(F.col("metric_name").isin(*names) & E.moving() & w.scan() & E.in_repository(repo))
 
 
 def totals_current_prior(points: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
@@ -110,14 +110,14 @@ def token_type_sparklines(points: DataFrame, w: TimeRange, seconds: int, repo: s
 
 
 def cost_token_trend(points: DataFrame, w: TimeRange, seconds: int, cfg: TelemetryConfig = CFG) -> DataFrame:
-    rows = points.where(F.col("metric_name").isin(cfg.cost_metric, cfg.token_metric) & w.contains())
+    rows = points.where(F.col("metric_name").isin(cfg.cost_metric, cfg.token_metric) & w.scan())
     return (rows.groupBy(bin_index("timestamp", w.start, seconds).alias("bucket_index"))
             .agg(sum_when(F.col("metric_name") == cfg.cost_metric).alias("cost_total"),
                  E.rounded_long(sum_when(F.col("metric_name") == cfg.token_metric)).alias("token_total")).orderBy("bucket_index"))
 
 
 def token_type_trend(points: DataFrame, w: TimeRange, seconds: int, cfg: TelemetryConfig = CFG) -> DataFrame:
-    rows = points.where((F.col("metric_name") == cfg.token_metric) & w.contains())
+    rows = points.where((F.col("metric_name") == cfg.token_metric) & w.scan())
     return (rows.groupBy(bin_index("timestamp", w.start, seconds).alias("bucket_index"), "token_type")
             .agg(E.rounded_long(F.coalesce(F.sum("value_delta"), F.lit(0.0))).alias("total")))
 
@@ -128,7 +128,7 @@ def session_trend(points: DataFrame, w: TimeRange, seconds: int, repo: str | Non
 
 
 def _tool_rows(logs: DataFrame, w: TimeRange, repo: str | None, cfg: TelemetryConfig) -> DataFrame:
-    return logs.where((F.col("event_name") == cfg.tool_result) & w.contains() & E.in_repository(repo))
+    return logs.where((F.col("event_name") == cfg.tool_result) & w.scan() & E.in_repository(repo))
 
 
 def tool_failure_current_prior(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:

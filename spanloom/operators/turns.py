@@ -150,14 +150,18 @@ def prompt_timeline(logs: DataFrame, points: DataFrame, spans: DataFrame, sessio
     requests by prompt id, or else the counters of its interval.
     """
     keys = ["session_id", "turn_no"]
-    t = turns(logs, session)
-    costs = assign_turn(cost_points_of(points, session, cfg), t).groupBy(*keys).agg(F.sum("value_delta").alias("interval_cost"))
-    timed = assign_turn(token_points_of(points, session, cfg), t)
-    tokens = timed.groupBy(*keys).agg(*[
-        F.coalesce(E.rounded_long(F.sum(F.when(F.col("token_type") == kind, F.col("value_delta")))), F.lit(0)).alias(f"interval_{name}")
-        for name, kind in _KINDS.items()])
-    models = (timed.groupBy(*keys, "model").agg(F.sum("value_delta").alias("n")).groupBy(*keys)
-              .agg(F.max_by("model", F.struct("n", "model")).alias("interval_model")))
+    # One row per prompt, read by every part below.
+    t = cut_lineage(turns(logs, session))
+    c = F.col
+    both = cost_points_of(points, session, cfg).unionByName(token_points_of(points, session, cfg), allowMissingColumns=True)
+    # Only token points carry a model here, so it tells the two kinds apart.
+    timed = assign_turn(both, t).withColumn("is_token", c("model").isNotNull())
+    per_model = timed.groupBy(*keys, "model").agg(
+        F.sum(F.when(~c("is_token"), c("value_delta"))).alias("usd"), F.sum(F.when(c("is_token"), c("value_delta"))).alias("n"),
+        *[E.rounded_long(F.coalesce(F.sum(F.when(c("token_type") == kind, c("value_delta"))), F.lit(0))).alias(name) for name, kind in _KINDS.items()])
+    counted = per_model.groupBy(*keys).agg(
+        F.sum("usd").alias("interval_cost"), F.max_by("model", F.when(c("model").isNotNull(), F.struct("n", "model"))).alias("interval_model"),
+        *[F.sum(F.when(c("model").isNotNull(), c(name))).alias(f"interval_{name}") for name in _KINDS])
     rollup = request_turns(logs, session, cfg)
     rollup = rollup.select("session_id", "prompt_id", "request_count", *[F.col(c).alias(f"request_{c}") for c in _TOKENS],
                            F.col("cost_usd").alias("request_cost"), F.col("model").alias("request_model"))
@@ -169,10 +173,9 @@ def prompt_timeline(logs: DataFrame, points: DataFrame, spans: DataFrame, sessio
               .withColumn("is_first", F.lit(True)).drop("trace_id"))
     billed = split.select("trace_id", F.lit(True).alias("billed"))
     out = t.join(billed, "trace_id", "left")
-    for side in (costs, tokens, models, traced, dispatched_turns(t, logs, cfg)):
+    for side in (counted, traced, dispatched_turns(t, logs, cfg)):
         out = out.join(side, keys, "left")
     out = out.join(rollup, ["session_id", "prompt_id"], "left")
-    c = F.col
     by_request = c("request_count").isNotNull()
     first = F.coalesce(c("is_first"), F.lit(False))
     # A later turn of a trace already billed keeps no interval cost of its own.

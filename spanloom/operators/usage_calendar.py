@@ -26,7 +26,7 @@ def _hour(zone: str, ts: str = "timestamp") -> Column:
 
 
 def _counters(points: DataFrame, w: TimeRange, names: tuple[str, ...], repo: str | None) -> DataFrame:
-    return points.where(F.col("metric_name").isin(*names) & E.moving() & w.contains(half_open=True) & E.in_repository(repo))
+    return points.where(F.col("metric_name").isin(*names) & E.moving() & w.scan(half_open=True) & E.in_repository(repo))
 
 
 def _of(metric: str) -> Column:
@@ -77,7 +77,7 @@ def hourly_skill_invocations(logs: DataFrame, w: TimeRange, zone: str, repo: str
 
 def daily_subagent_dispatches(logs: DataFrame, w: TimeRange, zone: str, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     rows = logs.where((F.col("event_name") == cfg.tool_result) & (F.col("tool_name") == cfg.subagent_tool)
-                      & w.contains(half_open=True) & E.in_repository(repo))
+                      & w.scan(half_open=True) & E.in_repository(repo))
     return rows.groupBy(_day(zone)).agg(E.row_count().alias("dispatches"))
 
 

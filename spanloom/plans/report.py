@@ -31,8 +31,8 @@ def report_tables(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: T
     All of them read the tool results of the window, so that projection is kept
     while the jobs run side by side.
     """
-    results = logs.where((F.col("event_name") == cfg.tool_result) & w.contains()).select(
-        "id", "timestamp", "event_name", "session_id", "tool_name", "tool", "scope", "file_path", "command", "success", "duration_ms",
+    results = logs.where((F.col("event_name") == cfg.tool_result) & w.scan()).select(
+        "id", "timestamp", "event_date", "event_name", "session_id", "tool_name", "tool", "scope", "file_path", "command", "success", "duration_ms",
         "result_bytes", "repository_url", F.map_filter("attributes", lambda k, v: k.isin("error", "error_type", "tool_parameters")).alias("attributes"))
     results = results.persist()
     try:

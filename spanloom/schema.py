@@ -40,6 +40,11 @@ def _repository(cfg: TelemetryConfig):
     return F.coalesce(F.col("attributes")[cfg.repository_key], F.col("resource_attributes")[cfg.repository_key])
 
 
+def _utc_date(ts: str):
+    """The UTC day, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
 def enrich_logs(logs: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
     """Promote the keys queries filter, group and sum on, so scans skip the wide map."""
     a = F.col("attributes")
@@ -49,7 +54,7 @@ def enrich_logs(logs: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
         "tool_name": a["tool_name"],
         "session_id": a["session.id"],
         "repository_url": _repository(cfg),
-        "event_date": F.to_date("timestamp"),
+        "event_date": _utc_date("timestamp"),
         "prompt_id": a["prompt.id"],
         "request_id": a["request_id"],
         "tool_use_id": a["tool_use_id"],
@@ -85,7 +90,7 @@ def enrich_points(points: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
         "stream_id": F.md5(F.concat("metric_name", F.lit("|"), F.coalesce(E.canonical_attributes(a), F.lit("")))),
         "session_id": a["session.id"],
         "repository_url": _repository(cfg),
-        "event_date": F.to_date("timestamp"),
+        "event_date": _utc_date("timestamp"),
         "model": a["model"],
         "token_type": a["type"],
         "decision": a["decision"],
@@ -98,7 +103,7 @@ def enrich_spans(spans: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
     promoted = {
         "session_id": a["session.id"],
         "repository_url": _repository(cfg),
-        "event_date": F.to_date("start_timestamp"),
+        "event_date": _utc_date("start_timestamp"),
         "tool_name": a["tool_name"],
         "tool_use_id": a["tool_use_id"],
         "request_id": a["request_id"],

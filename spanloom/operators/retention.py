@@ -12,7 +12,7 @@ from spanloom.config import ts_lit
 from spanloom.functions import expr as E
 from spanloom.functions.skew import cut_lineage
 from spanloom.sources.deltas import newest_per_stream
-from spanloom.sources.tables import read_telemetry, write_telemetry
+from spanloom.sources.tables import read_points, read_telemetry, write_telemetry
 
 _TIME = {"log_records": "timestamp", "metric_points": "timestamp", "spans": "start_timestamp"}
 
@@ -77,7 +77,7 @@ def purge(logs: DataFrame, points: DataFrame, spans: DataFrame, cutoff: datetime
 
 def purge_tables(spark: SparkSession, root: str, new_root: str, cutoff: datetime) -> None:
     """Write the kept rows as a new version of the tables; readers switch to it once all are written."""
-    tables = [read_telemetry(spark, root, t) for t in ("logs", "points", "spans")]
+    tables = [read_telemetry(spark, root, "logs"), read_points(spark, root), read_telemetry(spark, root, "spans")]
     for df, table in zip(purge(*tables, cutoff).values(), ("logs", "points", "spans")):
         write_telemetry(df, new_root, table, "purged")
 

@@ -8,6 +8,7 @@ import hashlib
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanloom.sources import adapter
 
@@ -31,6 +32,25 @@ def read_telemetry(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{table}").drop("batch")
 
 
+_FIXES = "id bigint, value_delta double, batch int, event_date date"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_points(spark: SparkSession, root: str) -> DataFrame:
+    """Stored points with the newest correction of each increment."""
+    points = read_telemetry(spark, root, "points")
+    if not path_exists(spark, f"{root}/point_fixes"):
+        return points
+    fixes = (spark.read.schema(_FIXES).parquet(f"{root}/point_fixes").groupBy("id", "event_date")
+             .agg(F.max_by("value_delta", "batch").alias("fixed")))
+    return (points.join(fixes, ["id", "event_date"], "left")
+            .withColumn("value_delta", F.coalesce("fixed", "value_delta")).select(*points.columns))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for intermediate tables; a local one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,40 +6,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanloom.functions.skew import cut_lineage
+from spanloom.functions.skew import cut_lineage, previous_row
 from spanloom.schema import enrich_logs, enrich_points, enrich_spans
-from spanloom.sources.deltas import apply_repairs, counter_deltas, repair_deltas
+from spanloom.sources.deltas import current_value, increment
 from spanloom.sources.otlp import flatten_otlp_logs, flatten_otlp_metrics, flatten_otlp_spans
-from spanloom.sources.tables import CLUSTERING, write_telemetry
+from spanloom.sources.tables import path_exists, write_telemetry
 
 _SHAPES = {"logs": (flatten_otlp_logs, enrich_logs), "spans": (flatten_otlp_spans, enrich_spans), "points": (flatten_otlp_metrics, enrich_points)}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+_HEADS = "stream_id string, first struct<timestamp: timestamp, id: bigint, value: double>, last struct<timestamp: timestamp, id: bigint, value: double>, batch int, event_date date"
 
 
-def merge_points(batch: DataFrame, path: str) -> None:
-    """Add enriched points to the stored table; late ones repair the increment of their successor.
+def _write(df: DataFrame, root: str, name: str, batch_id: int) -> None:
+    df.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{name}/batch={batch_id}")
 
-    Only days that hold a new or changed row are rewritten. Merging the same batch
-    twice changes nothing, because rows are known by id.
+
+def merge_points(batch: DataFrame, root: str, batch_id: int) -> None:
+    """Append enriched points with their increments; late ones correct their successor.
+
+    Stored files are never rewritten. The predecessor and successor of a new point lie
+    either on its own day, whose rows are read for the streams at hand, or at the edge
+    of another day, which the small ``point_heads`` table holds per stream and day. A
+    successor's new increment goes to ``point_fixes``, which ``read_points`` applies.
+    Writing the same batch again replaces what it wrote before.
     """
     spark = batch.sparkSession
-    batch = batch.dropDuplicates(["id"])
-    if not _exists(spark, path):
-        result = counter_deltas(batch)
-    else:
-        existing = spark.read.parquet(path)
-        known = existing.join(batch.select("id"), "id", "left_anti")
-        repairs = cut_lineage(repair_deltas(known, batch))
-        days = repairs.select("event_date").distinct()
-        result = apply_repairs(known.join(days, "event_date", "left_semi"), repairs)
-    # Cut before writing: the overwrite must not read the files it replaces.
-    (cut_lineage(result).hint("rebalance", "event_date").sortWithinPartitions(*CLUSTERING["points"])
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path))
+    batch = batch.drop("value_delta").dropDuplicates(["id"])
+    days = [r.event_date for r in batch.select("event_date").distinct().collect()]
+    if not days:
+        return
+    columns = ["stream_id", "event_date", "timestamp", "id", "value", "fresh"]
+    others = F.col("batch") != batch_id
+    stored = None
+    if path_exists(spark, f"{root}/points"):
+        stored = spark.read.parquet(f"{root}/points").where(others & F.col("event_date").isin(days))
+        batch = batch.join(stored.select("id"), "id", "left_anti")
+    fresh = batch.withColumn("value", current_value()).withColumn("fresh", F.lit(True))
+    line = fresh.select(*columns)
+    if stored is not None:
+        streams = batch.select("stream_id").distinct()
+        same_day = stored.join(streams, "stream_id", "left_semi").withColumn("value", current_value()).withColumn("fresh", F.lit(False))
+        heads = spark.read.schema(_HEADS).parquet(f"{root}/point_heads").where(others & ~F.col("event_date").isin(days))
+        edges = (heads.join(streams, "stream_id", "left_semi").groupBy("stream_id", "event_date")
+                 .agg(F.min("first").alias("first"), F.max("last").alias("last")))
+        ends = (edges.select("stream_id", "event_date", F.explode(F.array("first", "last")).alias("e"))
+                .select("stream_id", "event_date", "e.*", F.lit(False).alias("fresh")).distinct())
+        line = line.unionByName(same_day.select(*columns)).unionByName(ends.select(*columns))
+    seen = previous_row(line, ["stream_id"], ["timestamp", "id"], F.struct("value", "fresh"), "before")
+    done = cut_lineage(seen.where(F.col("fresh") | F.col("before.fresh"))
+                       .withColumn("value_delta", increment(F.col("value"), F.col("before.value"))))
+    added = done.where("fresh")
+    write_telemetry(batch.join(added.select("id", "value_delta"), "id"), root, "points", batch_id)
+    _write(done.where("NOT fresh").select("id", "event_date", "value_delta"), root, "point_fixes", batch_id)
+    edge = F.struct("timestamp", "id", "value")
+    _write(added.groupBy("stream_id", "event_date").agg(F.min(edge).alias("first"), F.max(edge).alias("last")), root, "point_heads", batch_id)
 
 
 def ingest_exports(spark: SparkSession, source: str, root: str, table: str, checkpoint: str) -> StreamingQuery:
@@ -48,7 +69,7 @@ def ingest_exports(spark: SparkSession, source: str, root: str, table: str, chec
 
     def store(batch: DataFrame, batch_id: int) -> None:
         if table == "points":
-            merge_points(batch, f"{root}/points")
+            merge_points(batch, root, batch_id)
         else:
             write_telemetry(batch, root, table, batch_id)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.sources.deltas import apply_repairs, counter_deltas, newest_per_stream, repair_deltas
 from spanloom.streaming import stateful
+from spanloom.sources.tables import read_points
 from spanloom.streaming.ingest import merge_points
 
 
@@ -59,11 +60,12 @@ def test_merging_batches_in_any_order_equals_one_batch(spark, raw_points, tmp_pa
     rnd = random.Random(3)
     rows = [{"v": rnd.randrange(100), "t": rnd.randrange(0, 400_000), "id": i, "a": {"session.id": rnd.choice("ab")}} for i in range(60)]
     want = deltas(counter_deltas(raw_points(*rows)))
-    path = str(tmp_path / "points")
+    root = str(tmp_path)
     rnd.shuffle(rows)
-    for part in (rows[:25], rows[25:40], rows[40:], rows[40:]):
-        merge_points(raw_points(*part), path)
-    assert deltas(spark.read.parquet(path)) == want
+    # The last batch comes twice: once again under its number, and once as a new export.
+    for n, part in ((0, rows[:25]), (1, rows[25:40]), (2, rows[40:]), (2, rows[40:]), (3, rows[40:])):
+        merge_points(raw_points(*part), root, n)
+    assert deltas(read_points(spark, root)) == want
 
 
 @pytest.fixture

@@ -7,7 +7,7 @@ from spanloom.operators.log_explorer import LogFilter, attribute_pairs, log_hist
 from spanloom.plans.report import report_markdown
 from spanloom.schema import LOG_SCHEMA, enrich_logs, enrich_points, enrich_spans
 from spanloom.sources import otlp
-from spanloom.sources.tables import read_telemetry
+from spanloom.sources.tables import read_points, read_telemetry
 from spanloom.streaming import ingest, live
 
 NS = int(T0.timestamp()) * 10**9
@@ -98,7 +98,7 @@ def test_late_metric_files_repair_stored_increments(spark, tmp_path):
     day = 86_400
     drain(spark, tmp_path / "in", root, "points", cp, metric_export((0, 100.0), (3 * day, 400.0)), name="a.json")
     drain(spark, tmp_path / "in", root, "points", cp, metric_export((day, 250.0)), name="b.json")
-    stored = spark.read.parquet(f"{root}/points").orderBy("timestamp")
+    stored = read_points(spark, root).orderBy("timestamp")
     assert [r.value_delta for r in stored.collect()] == [100.0, 150.0, 150.0]
 
 

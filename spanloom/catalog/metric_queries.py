@@ -208,7 +208,7 @@ def _calendar(t):
 
 _CAL = f"""axis AS (SELECT strftime(DATE '2024-01-01' + CAST(i AS INTEGER), '%Y-%m-%d') AS day FROM range(30) r(i)), cnt AS ({_DAYS}),
     inv AS ({_INV}), sk AS (SELECT strftime({_LOCAL}, '%Y-%m-%d') AS day, count(*) AS n FROM inv GROUP BY 1), sub AS ({_DISP}),
-    cal AS (SELECT day, coalesce(cost_usd, 0) AS cost_usd, CAST(round(coalesce(tokens, 0)) AS BIGINT) AS tokens, CAST(round(coalesce(active_seconds, 0)) AS BIGINT) AS active_seconds,
+    cal AS (SELECT day, coalesce(cost_usd, 0) AS cost_usd, CAST(round(round(coalesce(tokens, 0), 6)) AS BIGINT) AS tokens, CAST(round(round(coalesce(active_seconds, 0), 6)) AS BIGINT) AS active_seconds,
       coalesce(sessions, 0) AS sessions, coalesce(sk.n, 0) AS skill_calls, coalesce(sub.n, 0) AS subagent_calls
       FROM axis LEFT JOIN cnt USING (day) LEFT JOIN sk USING (day) LEFT JOIN sub USING (day))"""
 query("usage_calendar", _calendar, f"""
@@ -217,8 +217,8 @@ query("usage_calendar", _calendar, f"""
 query("usage_calendar_hours", lambda t: D.usage_calendar_hours(t.points, t.logs, NYW, FIRST, LAST, NY), f"""
     WITH axis AS (SELECT strftime(DATE '2024-01-01' + CAST(i AS INTEGER), '%Y-%m-%d') AS day, h AS hour FROM range(30) r(i), range(24) q(h)), x AS ({_HOURS}), inv AS ({_INV}),
     sk AS (SELECT strftime({_LOCAL}, '%Y-%m-%d') AS day, CAST(hour({_LOCAL}) AS BIGINT) AS hour, count(*) AS n FROM inv GROUP BY 1, 2)
-    SELECT day, hour, round(coalesce(cost_usd, 0), 6) AS cost_usd, CAST(round(coalesce(tokens, 0)) AS BIGINT) AS tokens,
-      CAST(round(coalesce(active_seconds, 0)) AS BIGINT) AS active_seconds, coalesce(n, 0) AS skill_calls FROM axis LEFT JOIN x USING (day, hour) LEFT JOIN sk USING (day, hour)""")
+    SELECT day, hour, round(coalesce(cost_usd, 0), 6) AS cost_usd, CAST(round(round(coalesce(tokens, 0), 6)) AS BIGINT) AS tokens,
+      CAST(round(round(coalesce(active_seconds, 0), 6)) AS BIGINT) AS active_seconds, coalesce(n, 0) AS skill_calls FROM axis LEFT JOIN x USING (day, hour) LEFT JOIN sk USING (day, hour)""")
 query("calendar_heat", lambda t: D.calendar_heat(_calendar(t), "2024-01-25"), f"""
     WITH {_CAL} SELECT day, round(6 + (cost_usd - min(cost_usd) OVER ()) / (max(cost_usd) OVER () - min(cost_usd) OVER ()) * 16, 6) AS heat_percent FROM cal WHERE day <= '2024-01-25'""")
 query("period_totals", lambda t: D.period_totals(_calendar(t), "2024-01-25"), f"""

@@ -25,6 +25,11 @@ def _hour(zone: str, ts: str = "timestamp") -> Column:
     return F.hour(local_time(ts, zone)).cast("long").alias("hour")
 
 
+def _whole(column: str) -> Column:
+    """A sum as a whole number; the sum's own rounding noise is taken off first."""
+    return E.rounded_long(F.round(column, 6))
+
+
 def _counters(points: DataFrame, w: TimeRange, names: tuple[str, ...], repo: str | None) -> DataFrame:
     return points.where(F.col("metric_name").isin(*names) & E.moving() & w.scan(half_open=True) & E.in_repository(repo))
 
@@ -95,7 +100,7 @@ def usage_calendar(points: DataFrame, logs: DataFrame, w: TimeRange, first: date
                  daily_subagent_dispatches(logs, w, zone, repo).withColumnRenamed("dispatches", "subagent_calls")):
         out = out.join(part, "day", "left")
     whole = ("tokens", "active_seconds", "commits", "pull_requests", "lines_added", "lines_removed", "decisions_accepted", "decisions_rejected")
-    return out.na.fill(0).withColumns({c: E.rounded_long(c) for c in whole}).orderBy("day")
+    return out.na.fill(0).withColumns({c: _whole(c) for c in whole}).orderBy("day")
 
 
 def usage_calendar_hours(points: DataFrame, logs: DataFrame, w: TimeRange, first: date, last: date, zone: str,
@@ -103,7 +108,7 @@ def usage_calendar_hours(points: DataFrame, logs: DataFrame, w: TimeRange, first
     out = _axis(points, first, last).select("day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("hour"))
     out = out.join(hourly_counters(points, w, zone, repo), ["day", "hour"], "left")
     out = out.join(hourly_skill_invocations(logs, w, zone, repo).withColumnRenamed("invocations", "skill_calls"), ["day", "hour"], "left")
-    return out.na.fill(0).withColumns({c: E.rounded_long(c) for c in ("tokens", "active_seconds")}).orderBy("day", "hour")
+    return out.na.fill(0).withColumns({c: _whole(c) for c in ("tokens", "active_seconds")}).orderBy("day", "hour")
 
 
 def is_active_day() -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 import hashlib
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.functions.skew import shared_folder
 from spanloom.sources import adapter
 
 # Rows of one kind lie together in a file, so row-group statistics can skip the rest.
@@ -51,15 +51,6 @@ def read_points(spark: SparkSession, root: str) -> DataFrame:
             .withColumn("value_delta", F.coalesce("fixed", "value_delta")).select(*points.columns))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a local one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spanloom-tables-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 @dataclass(frozen=True)
 class StoredTelemetry:
     """Tables ingested once per application from a source folder, then only read."""

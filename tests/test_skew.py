@@ -71,7 +71,19 @@ def test_top_value_breaks_ties_low(spark):
     assert listed(skew.top_value(df, ["k"], "v", "m"), "k", "m") == [("a", "x"), ("b", "z")]
 
 
-def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+class _Session:
+    """Just what the folder choice reads of a session."""
+
+    def __init__(self, folder):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("C", (), {"applicationId": "app"})()
+
+
+def test_intermediate_folder_is_the_one_the_session_names():
+    assert skew.shared_folder(_Session("hdfs:///shared")) == "hdfs:///shared"
+    own = skew.shared_folder(_Session(None))
+    assert own and own == skew.shared_folder(_Session(None))
+
+
+def test_cut_lineage_keeps_the_rows(spark):
     assert skew.cut_lineage(spark.range(5)).count() == 5

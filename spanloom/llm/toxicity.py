@@ -16,7 +16,8 @@ from spanloom.llm.common import alnum_words, labelled_sample, read_table, remain
 WINDOW, STEP, UNITS, WIDTH, SLOTS = 24, 16, 6, 8, 1 << 16
 #: Labelled rows fitted on at most, windows a pass takes of each clean text besides its worst, and passes.
 SAMPLE, WINDOWS_A_TEXT, PASSES = 6000, 3, 6
-FOLDS = 5
+#: One labelled row in so many is set apart to place the boundary; folds of the query.
+CALIBRATION, FOLDS = 5, 5
 #: Windows scored in one go, and words whose inputs a task keeps.
 BLOCK, HELD_WORDS = 1024, 200_000
 PAD = 0
@@ -166,9 +167,9 @@ class Trainer:
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items()}
         self.steps = 0
 
-    def fit(self, passes: int = PASSES, rate: float = 0.01) -> Network:
-        toxic = [w for w, y in zip(self.windows, self.labels) if y]
-        clean = [w for w, y in zip(self.windows, self.labels) if not y]
+    def fit(self, passes: int = PASSES, rate: float = 0.02) -> Network:
+        kept = np.arange(len(self.labels)) % CALIBRATION == 0
+        toxic, clean = ([w for w, y, k in zip(self.windows, self.labels, kept) if y == label and not k] for label in (1, 0))
         if not toxic or not clean:
             self.net.constant = 0.5 if not toxic and not clean else 0.99 if toxic else 0.01
             return self.net
@@ -186,7 +187,8 @@ class Trainer:
             for at in range(0, len(order), 256):
                 part = order[at:at + 256]
                 self._step(ids[part].T, target[part], weights[part] / len(part), rate / (1 + number))
-        self.net.shift = -self._boundary(self._worst(toxic)[0], self._worst(clean)[0])
+        apart = [[w for w, y, k in zip(self.windows, self.labels, kept) if y == label and k] for label in (1, 0)]
+        self.net.shift = -self._boundary(*(self._worst(a or b)[0] for a, b in zip(apart, (toxic, clean))))
         return self.net
 
     def _unlike(self, toxic: list[np.ndarray], clean: list[np.ndarray]) -> np.ndarray:

@@ -18,6 +18,8 @@ WINDOW, STEP, UNITS, WIDTH, SLOTS = 24, 16, 6, 8, 1 << 16
 SAMPLE, WINDOWS_A_TEXT, PASSES = 6000, 3, 6
 #: One labelled row in so many is set apart to place the boundary; folds of the query.
 CALIBRATION, FOLDS = 5, 5
+#: Steps a pass has at least, where there are rows enough for that.
+STEPS = 50
 #: Windows scored in one go, and words whose inputs a task keeps.
 BLOCK, HELD_WORDS = 1024, 200_000
 PAD = 0
@@ -184,8 +186,9 @@ class Trainer:
             target = np.concatenate([np.ones(len(picks)), np.zeros(len(others))]).astype(np.float32)
             weights = np.where(target == 1, 0.5 / len(picks), 0.5 / len(others)) * len(ids)
             order = self.rng.permutation(len(ids))
-            for at in range(0, len(order), 256):
-                part = order[at:at + 256]
+            batch = min(max(len(order) // STEPS, 16), 256)
+            for at in range(0, len(order), batch):
+                part = order[at:at + batch]
                 self._step(ids[part].T, target[part], weights[part] / len(part), rate / (1 + number))
         apart = [[w for w, y, k in zip(self.windows, self.labels, kept) if y == label and k] for label in (1, 0)]
         self.net.shift = -self._boundary(*(self._worst(a or b)[0] for a, b in zip(apart, (toxic, clean))))

@@ -138,8 +138,8 @@ class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for each piece of text that recurs.
 
     The vocabulary's own rule lets no token cross from a letter, digit or sign to the blank after it. So a text in
-    which blanks stand alone falls into pieces that begin with their blank, and new pieces are encoded in one string:
-    a token that begins with a blank begins a piece. Any other text is encoded whole.
+    which blanks stand alone falls into words that begin with their blank, and new words are encoded in one string:
+    a token that begins with a blank begins a word. Any other text is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -156,33 +156,32 @@ class Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def encode(self, texts_: list[str]) -> list[bytes]:
-        split = [self.pieces(t) for t in texts_]
-        new = sorted({p for s in split for p in s}.difference(self.held))
+        split = [t.split(" ") for t in texts_]
+        wanted = {w for words in split for w in words[1:]}
+        new = list(wanted.difference(self.held))
         if len(self.held) + len(new) > HELD_PIECES:
-            self.held = {}
-            new = sorted({p for s in split for p in s})
-        blank = [p for p in new if p[0] == " " and " " not in p[1:]]
-        for piece in new:
-            if piece[0] != " " or " " in piece[1:]:
-                self.held[piece] = self.ids(piece).tobytes()
-        for at in range(0, len(blank), 2048):
-            part = blank[at:at + 2048]
-            found = self.ids("".join(part))
-            self.held.update(zip(part, (x.tobytes() for x in np.split(found, np.flatnonzero(self.begins[found])[1:]))))
-        return [b"".join(map(self.held.__getitem__, s)) for s in split]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Pieces that begin with their blank; the whole text where blanks don't stand alone."""
-        if not text or "  " in text or text[0] == " " or text[-1] == " " or any(mark in text for mark in _BESIDE):
-            return [text] if text else []
-        first, *rest = text.split(" ")
-        return [first, *[f" {p}" for p in rest]]
-
-
-#: White space beside a blank would change how the blank is split off.
-_BESIDE = tuple(f"{a}{b}" for w in "\t\n\r\v\f\x1c\x1d\x1e\x1f\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))
-                for a, b in ((w, " "), (" ", w)))
+            self.held, new = {}, list(wanted)
+        for at in range(0, len(new), 2048):
+            self._learn(new[at:at + 2048])
+        return [self._joined(t, words) for t, words in zip(texts_, split)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words after a blank; None for those that may not be taken by themselves."""
+        good = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
+        self.held.update(dict.fromkeys(words))
+        if good:
+            found = self.ids(" " + " ".join(good))
+            self.held.update(zip(good, (x.tobytes() for x in np.split(found, np.flatnonzero(self.begins[found])[1:]))))
+
+    def _joined(self, text: str, words: list[str]) -> bytes:
+        if len(words) == 1 or not words[0] or words[0][-1].isspace():
+            return self.ids(text).tobytes()
+        try:
+            return b"".join([self.ids(words[0]).tobytes(), *map(self.held.__getitem__, words[1:])])
+        except TypeError:
+            return self.ids(text).tobytes()
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -77,7 +77,7 @@ query("metric_points_page", lambda t: M.metric_points_page(t.points, W, ["model=
 query("metric_points_count", lambda t: M.metric_points_count(t.points, W, ["model=m1"]), "SELECT count(*) AS row_count FROM points WHERE model = 'm1'")
 
 _RP = """SELECT id, epoch_us(ts) AS request_timestamp, {v} AS request_value, tr AS trace_id, rid AS request_id, FALSE AS request_failed
-    FROM logs WHERE en = 'api_request' ORDER BY ts DESC, id DESC LIMIT 2000"""
+    FROM logs WHERE en = 'api_request' """
 _RPT, _RPC = _RP.format(v="CAST(ti + tou + tcc + tcr AS DOUBLE)"), _RP.format(v="CAST(cost AS DOUBLE)")
 query("request_points_tokens", lambda t: M.request_points_tokens(t.logs, W), _RPT)
 query("request_points_cost", lambda t: M.request_points_cost(t.logs, W), _RPC)

@@ -176,10 +176,20 @@ _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate data; one of our own only where it names none."""
+    """The folder the cluster names for intermediate data.
+
+    Where it names none, a local session makes one of its own, and a cluster uses the warehouse, which must not be a
+    machine-local path then.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir: executors do not share the local folder " + warehouse)
+        return f"{warehouse.rstrip('/')}/intermediate"
     application = spark.sparkContext.applicationId
     if application not in _OWN_FOLDERS:
         _OWN_FOLDERS[application] = tempfile.mkdtemp(prefix="spanloom-")

@@ -16,7 +16,6 @@ from spanloom.operators.cost import change_percent, integer_share, sum_when
 TREND_BINS = 24
 SPARK_BINS = 8
 FACET_VALUES = 25
-REQUEST_POINTS = 2000
 _TYPES = {"input_tokens": "input", "output_tokens": "output", "cache_creation_tokens": "cacheCreation", "cache_read_tokens": "cacheRead"}
 
 # The curated counters, each with the attribute its total is split by.
@@ -222,21 +221,22 @@ def metric_points_count(points: DataFrame, w: TimeRange, pairs: Sequence[str]) -
 
 # Distribution of single requests.
 
-def _request_points(logs: DataFrame, w: TimeRange, value: Column, repo: str | None, limit: int, cfg: TelemetryConfig) -> DataFrame:
+def _request_points(logs: DataFrame, w: TimeRange, value: Column, repo: str | None, limit: int | None, cfg: TelemetryConfig) -> DataFrame:
+    """All requests with a value; ``limit`` keeps the newest, for a chart that shows no more."""
     rows = logs.where((F.col("event_name") == cfg.api_request) & value.isNotNull() & w.scan() & E.in_repository(repo))
-    return (rows.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
-            .select("id", F.col("timestamp").alias("request_timestamp"), value.cast("double").alias("request_value"),
+    rows = rows if limit is None else rows.orderBy(F.desc("timestamp"), F.desc("id")).limit(limit)
+    return (rows.select("id", F.col("timestamp").alias("request_timestamp"), value.cast("double").alias("request_value"),
                     E.real_trace_id("trace_id").alias("trace_id"), "request_id",
                     F.coalesce(F.col("derived_severity") == "ERROR", F.lit(False)).alias("request_failed")))
 
 
-def request_points_tokens(logs: DataFrame, w: TimeRange, limit: int = REQUEST_POINTS, repo: str | None = None,
+def request_points_tokens(logs: DataFrame, w: TimeRange, limit: int | None = None, repo: str | None = None,
                           cfg: TelemetryConfig = CFG) -> DataFrame:
     parts = [F.coalesce(c, F.lit(0.0)) for c in _TYPES]
     return _request_points(logs, w, parts[0] + parts[1] + parts[2] + parts[3], repo, limit, cfg)
 
 
-def request_points_cost(logs: DataFrame, w: TimeRange, limit: int = REQUEST_POINTS, repo: str | None = None,
+def request_points_cost(logs: DataFrame, w: TimeRange, limit: int | None = None, repo: str | None = None,
                         cfg: TelemetryConfig = CFG) -> DataFrame:
     return _request_points(logs, w, F.col("cost_usd"), repo, limit, cfg)
 

@@ -12,6 +12,7 @@ from spanloom.config import ts_lit
 from spanloom.functions import expr as E
 from spanloom.functions.skew import cut_lineage
 from spanloom.sources.deltas import newest_per_stream
+from spanloom.sources.deltas import current_value, point_heads
 from spanloom.sources.tables import read_points, read_telemetry, write_telemetry
 
 _TIME = {"log_records": "timestamp", "metric_points": "timestamp", "spans": "start_timestamp"}
@@ -79,7 +80,9 @@ def purge_tables(spark: SparkSession, root: str, new_root: str, cutoff: datetime
     """Write the kept rows as a new version of the tables; readers switch to it once all are written."""
     tables = [read_telemetry(spark, root, "logs"), read_points(spark, root), read_telemetry(spark, root, "spans")]
     for df, table in zip(purge(*tables, cutoff).values(), ("logs", "points", "spans")):
-        write_telemetry(df, new_root, table, "purged")
+        write_telemetry(df, new_root, table, 0, "purge")
+    kept = read_telemetry(spark, new_root, "points").withColumn("value", current_value())
+    point_heads(kept).write.mode("overwrite").partitionBy("event_date").parquet(f"{new_root}/point_heads/writer=purge/batch=0")
 
 
 def row_statistics(logs: DataFrame, points: DataFrame, spans: DataFrame, since: datetime) -> DataFrame:

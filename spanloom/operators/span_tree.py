@@ -22,11 +22,15 @@ def span_paths(spans: DataFrame, carry: Mapping[str, Column] | None = None, keep
     Every span starts with a pointer to its parent; each round joins the pointers
     to themselves, which doubles their reach, so depth d takes about log2(d) rounds.
     A span whose parent is missing is a root. Spans on a parent cycle hang from no
-    root and are left out. ``carry`` adds columns to each path element.
+    root and are left out. A span delivered again counts once, as it came last.
+    ``carry`` adds columns to each path element.
     """
     step = F.struct(F.col("start_timestamp").alias("start"), F.col("span_id"), *[c.alias(n) for n, c in (carry or {}).items()])
-    nodes = spans.select("trace_id", "span_id", "parent_span_id", *keep, F.array(step).alias("path"))
-    known = spans.select("trace_id", F.col("span_id").alias("jump"), F.lit(True).alias("known"))
+    columns = ["parent_span_id", *keep, "path"]
+    nodes = (spans.select("trace_id", "span_id", "parent_span_id", *keep, F.array(step).alias("path"), F.struct("received_at", "id").alias("__newest"))
+             .groupBy("trace_id", "span_id", F.when(F.col("span_id").isNull(), F.col("__newest")["id"]).alias("__nameless"))
+             .agg(F.max_by(F.struct(*columns), "__newest").alias("__row")).select("trace_id", "span_id", *[F.col("__row")[c].alias(c) for c in columns]))
+    known = nodes.where("span_id IS NOT NULL").select("trace_id", F.col("span_id").alias("jump"), F.lit(True).alias("known"))
     start = nodes.withColumn("jump", F.col("parent_span_id")).join(known, ["trace_id", "jump"], "left")
     state = start.withColumn("jump", F.when(F.col("known"), F.col("jump"))).drop("known")
     state = cut_lineage(state)

@@ -21,7 +21,7 @@ OUTLIER_CALLS, OUTLIER_MS, OUTLIER_MULTIPLE, OUTLIER_RATE = 3, 15_000, 2.5, 2.0
 CACHE_CALLS, CACHE_SHARE = 3, 0.70
 START_TOKENS, PEAK_TOKENS, GROWTH = 200_000, 300_000, 2.0
 SUBAGENT_SHARE, CALL_SHARE, CALL_MIN = 0.4, 0.25, 4
-MESSAGE_LENGTH, NAME_LENGTH = 300, 5
+NAME_LENGTH = 5
 
 _ORDER = ["start_timestamp", "call_no"]
 
@@ -70,7 +70,7 @@ def _results(logs: DataFrame, cfg: TelemetryConfig) -> DataFrame:
 
 def failed_tool_calls(spans: DataFrame, logs: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
     calls = _tool_calls(call_numbers(spans, cfg), cfg)
-    message = F.substring(F.trim(F.regexp_replace("error", r"\s+", " ")), 1, MESSAGE_LENGTH)
+    message = F.trim(F.regexp_replace("error", r"\s+", " "))
     return (calls.join(_results(logs, cfg).where("failed"), ["trace_id", "tool_use_id"])
             .select("trace_id", "span_id", "call_no", _tool().alias("tool"), message.alias("message")))
 
@@ -85,7 +85,7 @@ def failed_model_calls(spans: DataFrame, cfg: TelemetryConfig = CFG) -> DataFram
     calls = call_numbers(spans, cfg).where((F.col("name") == cfg.llm_span) & _model_failure())
     code = E.number(F.trim(a["status_code"]), "int")
     rows = calls.select("trace_id", "call_no", code.alias("http_status"),
-                        F.substring(F.coalesce(a["error"], F.col("status_message"), F.lit("unknown")), 1, MESSAGE_LENGTH).alias("message"))
+                        F.coalesce(a["error"], F.col("status_message"), F.lit("unknown")).alias("message"))
     environment = F.coalesce(F.col("http_status").isin(408, 429) | (F.col("http_status") >= 500), F.lit(False))
     return (rows.groupBy("trace_id", "http_status", "message").agg(E.row_count().alias("calls"), F.min("call_no").alias("first_call"))
             .withColumn("environmental", environment))
@@ -230,15 +230,12 @@ def skill_activations(logs: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
 
 def error_lines(spans: DataFrame, logs: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
     """Equal error messages of a trace with their counts, from spans and tool results."""
-    def cut(c) -> Column:
-        return F.substring(c, 1, MESSAGE_LENGTH)
-
     failed = spans.where((F.col("status_code") == "error") & F.col("status_message").isNotNull() & (F.col("name") != cfg.tool_execution_span))
     a = F.col("attributes")
     told = logs.where((F.col("event_name") == cfg.tool_result) & a["error"].isNotNull())
     source = F.when(F.col("name") == cfg.llm_span, "llm_request").otherwise(F.coalesce("tool_name", "name"))
-    both = failed.select("trace_id", source.alias("source"), cut("status_message").alias("message")).unionByName(
-        told.select("trace_id", _tool().alias("source"), cut(a["error"]).alias("message")))
+    both = failed.select("trace_id", source.alias("source"), F.col("status_message").alias("message")).unionByName(
+        told.select("trace_id", _tool().alias("source"), a["error"].alias("message")))
     return both.groupBy("trace_id", "source", "message").agg(E.row_count().alias("occurrences"))
 
 

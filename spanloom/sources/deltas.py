@@ -57,3 +57,9 @@ def newest_per_stream(points: DataFrame) -> DataFrame:
 
 
 __all__ = ["counter_deltas", "repair_deltas", "apply_repairs", "points_moving", "newest_per_stream"]
+
+
+def point_heads(points: DataFrame) -> DataFrame:
+    """First and last point of each stream and day; rows need ``value``."""
+    edge = F.struct("timestamp", "id", "value")
+    return points.groupBy("stream_id", "event_date").agg(F.min(edge).alias("first"), F.max(edge).alias("last"))

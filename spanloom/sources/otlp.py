@@ -124,9 +124,10 @@ def _common() -> list[Column]:
 
 
 def _identified(df: DataFrame, *columns: str) -> DataFrame:
-    """A stable id from the content, so a replayed export gives the same ids."""
-    parts = [F.to_json(c) if c == "attributes" else F.col(c).cast("string") for c in columns]
-    return df.withColumn("id", F.xxhash64(*parts)).select("id", *df.columns)
+    """A stable id from content and origin, so a replayed export gives the same ids and another host's rows do not."""
+    origin = ("scope_name", "scope_attributes", "resource_attributes")
+    parts = [F.to_json(F.array_sort(F.map_entries(c))) if c.endswith("attributes") else F.col(c).cast("string") for c in (*columns, *origin)]
+    return df.withColumn("id", F.xxhash64(*[F.coalesce(p, F.lit("\0")) for p in parts])).select("id", *df.columns)
 
 
 def flatten_otlp_logs(df: DataFrame) -> DataFrame:

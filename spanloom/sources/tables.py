@@ -20,19 +20,19 @@ CLUSTERING = {
 }
 
 
-def write_telemetry(df: DataFrame, root: str, table: str, batch_id: int | str) -> str:
-    """Write one export batch. Writing the same batch again replaces it."""
-    path = f"{root}/{table}/batch={batch_id}"
+def write_telemetry(df: DataFrame, root: str, table: str, batch_id: int, writer: str = "direct") -> str:
+    """Write one export batch of a writer. Writing it again replaces it; other writers' batches stay."""
+    path = f"{root}/{table}/writer={writer}/batch={batch_id}"
     (df.hint("rebalance", "event_date").sortWithinPartitions(*CLUSTERING[table])
      .write.mode("overwrite").partitionBy("event_date").parquet(path))
     return path
 
 
 def read_telemetry(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{table}").drop("batch")
+    return spark.read.parquet(f"{root}/{table}").drop("writer", "batch")
 
 
-_FIXES = "id bigint, value_delta double, batch int, event_date date"
+_FIXES = "id bigint, value_delta double, fixed_at timestamp, writer string, batch int, event_date date"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -46,7 +46,7 @@ def read_points(spark: SparkSession, root: str) -> DataFrame:
     if not path_exists(spark, f"{root}/point_fixes"):
         return points
     fixes = (spark.read.schema(_FIXES).parquet(f"{root}/point_fixes").groupBy("id", "event_date")
-             .agg(F.max_by("value_delta", "batch").alias("fixed")))
+             .agg(F.max_by("value_delta", F.struct("fixed_at", "batch")).alias("fixed")))
     return (points.join(fixes, ["id", "event_date"], "left")
             .withColumn("value_delta", F.coalesce("fixed", "value_delta")).select(*points.columns))
 

@@ -8,28 +8,28 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.functions.skew import cut_lineage, previous_row
 from spanloom.schema import enrich_logs, enrich_points, enrich_spans
-from spanloom.sources.deltas import current_value, increment
+from spanloom.sources.deltas import current_value, increment, point_heads
 from spanloom.sources.otlp import flatten_otlp_logs, flatten_otlp_metrics, flatten_otlp_spans
 from spanloom.sources.tables import path_exists, write_telemetry
 
 _SHAPES = {"logs": (flatten_otlp_logs, enrich_logs), "spans": (flatten_otlp_spans, enrich_spans), "points": (flatten_otlp_metrics, enrich_points)}
 
 
-_HEADS = "stream_id string, first struct<timestamp: timestamp, id: bigint, value: double>, last struct<timestamp: timestamp, id: bigint, value: double>, batch int, event_date date"
+_HEADS = "stream_id string, first struct<timestamp: timestamp, id: bigint, value: double>, last struct<timestamp: timestamp, id: bigint, value: double>, writer string, batch int, event_date date"
 
 
-def _write(df: DataFrame, root: str, name: str, batch_id: int) -> None:
-    df.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{name}/batch={batch_id}")
+def _write(df: DataFrame, root: str, name: str, batch_id: int, writer: str) -> None:
+    df.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{name}/writer={writer}/batch={batch_id}")
 
 
-def merge_points(batch: DataFrame, root: str, batch_id: int) -> None:
+def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "direct") -> None:
     """Append enriched points with their increments; late ones correct their successor.
 
     Stored files are never rewritten. The predecessor and successor of a new point lie
     either on its own day, whose rows are read for the streams at hand, or at the edge
     of another day, which the small ``point_heads`` table holds per stream and day. A
     successor's new increment goes to ``point_fixes``, which ``read_points`` applies.
-    Writing the same batch again replaces what it wrote before.
+    Writing the same batch of a writer again replaces what it wrote before.
     """
     spark = batch.sparkSession
     batch = batch.drop("value_delta").dropDuplicates(["id"])
@@ -37,7 +37,7 @@ def merge_points(batch: DataFrame, root: str, batch_id: int) -> None:
     if not days:
         return
     columns = ["stream_id", "event_date", "timestamp", "id", "value", "fresh"]
-    others = F.col("batch") != batch_id
+    others = (F.col("batch") != batch_id) | (F.col("writer") != writer)
     stored = None
     if path_exists(spark, f"{root}/points"):
         stored = spark.read.parquet(f"{root}/points").where(others & F.col("event_date").isin(days))
@@ -57,10 +57,10 @@ def merge_points(batch: DataFrame, root: str, batch_id: int) -> None:
     done = cut_lineage(seen.where(F.col("fresh") | F.col("before.fresh"))
                        .withColumn("value_delta", increment(F.col("value"), F.col("before.value"))))
     added = done.where("fresh")
-    write_telemetry(batch.join(added.select("id", "value_delta"), "id"), root, "points", batch_id)
-    _write(done.where("NOT fresh").select("id", "event_date", "value_delta"), root, "point_fixes", batch_id)
-    edge = F.struct("timestamp", "id", "value")
-    _write(added.groupBy("stream_id", "event_date").agg(F.min(edge).alias("first"), F.max(edge).alias("last")), root, "point_heads", batch_id)
+    write_telemetry(batch.join(added.select("id", "value_delta"), "id"), root, "points", batch_id, writer)
+    fixes = done.where("NOT fresh").select("id", "event_date", "value_delta", F.current_timestamp().alias("fixed_at"))
+    _write(fixes, root, "point_fixes", batch_id, writer)
+    _write(point_heads(added), root, "point_heads", batch_id, writer)
 
 
 def ingest_exports(spark: SparkSession, source: str, root: str, table: str, checkpoint: str) -> StreamingQuery:
@@ -68,10 +68,13 @@ def ingest_exports(spark: SparkSession, source: str, root: str, table: str, chec
     flatten, enrich = _SHAPES[table]
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        # Batch numbers begin anew with each checkpoint, so folders carry the id that the checkpoint was given.
+        writer = F.get_json_object("value", "$.id")
+        writer = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(writer).first()[0]
         if table == "points":
-            merge_points(batch, root, batch_id)
+            merge_points(batch, root, batch_id, writer)
         else:
-            write_telemetry(batch, root, table, batch_id)
+            write_telemetry(batch, root, table, batch_id, writer)
 
     lines = spark.readStream.text(source).withColumn("received_at", F.current_timestamp())
     return (enrich(flatten(lines)).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -13,8 +13,8 @@ from spanloom.operators.log_explorer import SEVERITIES, LogFilter, _beside
 
 def live_histogram(logs: DataFrame, f: LogFilter, bucket_seconds: int, delay: str = "1 hour") -> DataFrame:
     """Counts by severity per bin of a log stream, bins aligned to the range's start."""
-    offset = micros(f.w.start) // 1_000_000 % bucket_seconds
-    bins = F.window("timestamp", f"{bucket_seconds} seconds", startTime=f"{offset} seconds")
+    offset = micros(f.w.start) % (bucket_seconds * 1_000_000)
+    bins = F.window("timestamp", f"{bucket_seconds} seconds", startTime=f"{offset} microseconds")
     return (logs.where(f.test("severity")).withWatermark("timestamp", delay).groupBy(bins.alias("w"))
             .agg(*[F.count_if(F.col("derived_severity") == s).alias(f"{s.lower()}_count") for s in SEVERITIES])
             .select(F.col("w.start").alias("bucket"), *[f"{s.lower()}_count" for s in SEVERITIES]))

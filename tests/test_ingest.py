@@ -1,7 +1,9 @@
+from datetime import datetime, timezone
 import json
 
 from conftest import T0, HOUR, at, listed
 
+from spanloom.operators.retention import purge_tables
 from spanloom.config import CFG
 from spanloom.operators.log_explorer import LogFilter, attribute_pairs, log_histogram
 from spanloom.plans.report import report_markdown
@@ -102,6 +104,34 @@ def test_late_metric_files_repair_stored_increments(spark, tmp_path):
     assert [r.value_delta for r in stored.collect()] == [100.0, 150.0, 150.0]
 
 
+def test_writers_do_not_replace_each_other(spark, tmp_path):
+    root = str(tmp_path / "root")
+    drain(spark, tmp_path / "in1", root, "points", str(tmp_path / "cp1"), metric_export((0, 100.0)), name="a.json")
+    drain(spark, tmp_path / "in2", root, "points", str(tmp_path / "cp2"), metric_export((60, 130.0)), name="a.json")
+    assert [r.value_delta for r in read_points(spark, root).orderBy("timestamp").collect()] == [100.0, 30.0]
+
+
+def test_equal_points_of_two_hosts_are_two(spark):
+    docs = []
+    for host in "ab":
+        doc = metric_export((0, 1.5))
+        doc["resourceMetrics"][0]["resource"] = {"attributes": kv(host=s(host))}
+        docs.append(doc)
+    rows = otlp.flatten_otlp_metrics(lines(spark, *docs, docs[0])).select("id").collect()
+    assert len(rows) == 3 and len({r.id for r in rows}) == 2
+
+
+def test_purged_tables_take_points_again(spark, tmp_path):
+    old, new = str(tmp_path / "v1"), str(tmp_path / "v2")
+    drain(spark, tmp_path / "in", old, "points", str(tmp_path / "cp"), metric_export((0, 100.0)), name="a.json")
+    for name, doc in (("logs", log_export({"timeUnixNano": NS, "body": s("x")})), ("spans", {"resourceSpans": [{"scopeSpans": [{"spans": [
+            {"traceId": "0a", "spanId": "1", "name": "n", "startTimeUnixNano": str(NS), "endTimeUnixNano": str(NS)}]}]}]})):
+        drain(spark, tmp_path / f"in-{name}", old, name, str(tmp_path / f"cp-{name}"), doc, name="a.json")
+    purge_tables(spark, old, new, datetime.fromtimestamp(NS / 1e9 - 86_400, timezone.utc))
+    drain(spark, tmp_path / "in", new, "points", str(tmp_path / "cp-new"), metric_export((0, 100.0), (60, 150.0)), name="b.json")
+    assert [r.value_delta for r in read_points(spark, new).orderBy("timestamp").collect()] == [100.0, 50.0]
+
+
 def test_live_histogram_equals_the_batch_one(spark, logs, tmp_path):
     rows = logs(*[{"ev": e, "t": t} for e, t in (("api_error", 0), ("x", 59), ("x", 60), ("compaction", 500), ("x", 900), ("x", 3600))])
     rows.write.parquet(str(tmp_path / "in"))

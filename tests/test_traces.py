@@ -187,3 +187,8 @@ def test_skill_activation_keeps_the_first(logs):
 
 def test_config_is_replaceable():
     assert replace(CFG, tool_span="x").tool_span == "x"
+
+
+def test_spans_delivered_again_count_once(spans):
+    chain = [{"s": f"s{i}", "p": f"s{i - 1}" if i else None, "t": i} for i in range(8)]
+    assert listed(span_tree.span_tree(spans(*chain, *chain)), "span_id", "depth") == [(f"s{i}", i) for i in range(8)]

@@ -210,7 +210,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 def cut(text: str, spans: list[list[int]]) -> str:
     """The text without the words of the passages and what stands between them."""
     raw, pieces, end = text.encode(), [], 0
-    places = [m.span() for m in _WORD.finditer(raw)]
+    places = [m.span() for m in _WORD.finditer(raw.lower())]
     for first, after in spans:
         pieces.append(raw[end:places[first][0]])
         end = places[after - 1][1]

@@ -313,3 +313,9 @@ def test_shingles_are_words_between_white_space():
     hashes = WordHashes()
     assert len(near_duplicates.shingle_set("a b c\td".encode(), hashes)) == 1
     assert (near_duplicates.shingle_set(b"A b C d E f", hashes) == near_duplicates.shingle_set(b"a B c D e F", hashes)).all()
+
+
+def test_cut_counts_words_of_any_case():
+    assert decontamination.cut("ONE Two, three É Four. FIVE", [[1, 3]]) == "ONE  É Four. FIVE"
+    text = "The QUICK (brown) Fox-jumps über Ärger"
+    assert len(decontamination.alnum_words(text.encode())) == len(list(decontamination._WORD.finditer(text.encode().lower())))

@@ -147,7 +147,7 @@ class Network:
 def windows_of(ids: np.ndarray) -> np.ndarray:
     """All windows of a text as rows: they overlap, together hold every word, and the last is padded."""
     count = max(-(-(len(ids) - (WINDOW - STEP)) // STEP), 1)
-    padded = np.zeros((count - 1) * STEP + WINDOW, dtype=np.int64)
+    padded = np.zeros((count - 1) * STEP + WINDOW, dtype=ids.dtype)
     padded[:len(ids)] = ids
     return np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STEP]
 
@@ -158,11 +158,13 @@ class Trainer:
     A toxic text teaches by the window that looks most toxic so far, a clean one by its worst and by some others.
     """
 
-    def __init__(self, rows: Sequence[tuple[list[bytes], int]], seed: int = 11):
+    def __init__(self, rows: Iterable[tuple[list[bytes], int]], seed: int = 11):
         self.net, self.rng = Network(seed), np.random.default_rng(seed)
         vocabulary: dict[bytes, int] = {b"": PAD}
-        self.windows = [windows_of(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64)) for words, _ in rows]
-        self.labels = np.array([y for _, y in rows], dtype=np.int64)
+        self.windows, self.labels = [], []
+        for words, label in rows:  # of the texts, word numbers alone are kept
+            self.windows.append(windows_of(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))))
+            self.labels.append(label)
         self.words = word_slots(list(vocabulary))
         self.slots, self.begins = char_slots(list(vocabulary))
         self.ends = np.concatenate([self.begins[1:], [len(self.slots)]])
@@ -198,7 +200,9 @@ class Trainer:
         """First picks: the window with the word whose character slots are most of all those of toxic texts."""
         odds = []
         for group in (toxic, clean):
-            uses = sum(np.bincount(np.unique(w), minlength=len(self.begins)) for w in group)
+            uses = np.zeros(len(self.begins), dtype=np.int64)
+            for w in group:
+                uses[np.unique(w)] += 1
             uses[PAD] = 0
             odds.append((np.bincount(self.slots, np.repeat(uses, self.ends - self.begins), minlength=SLOTS) + 0.5) / len(group))
         slot = np.where(odds[0] * len(toxic) > 3, np.log(odds[0] / odds[1]), -99.0)
@@ -208,11 +212,20 @@ class Trainer:
 
     def _worst(self, texts_: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
         """Per text, its largest logit and the window it is from."""
-        seen = self.net.project(self.net.word_inputs(self.words, self.slots, self.begins))
-        rows, ends = np.concatenate(texts_), np.cumsum([0, *map(len, texts_)])
-        logits = np.concatenate([self.net.forward(seen, part.T) for part in np.array_split(rows, -(-len(rows) // BLOCK))])
-        best = [a + int(np.argmax(logits[a:b])) for a, b in zip(ends, ends[1:])]
-        return logits[best], [b - a for a, b in zip(ends, best)]
+        seen = np.empty((2, len(self.begins), 3 * UNITS), np.float32)
+        for at in range(0, len(self.begins), 20_000):
+            begins, ends = self.begins[at:at + 20_000], self.ends[at:at + 20_000]
+            seen[:, at:at + len(begins)] = self.net.project(
+                self.net.word_inputs(self.words[at:at + len(begins)], self.slots[begins[0]:ends[-1]], begins - begins[0]))
+        most, places = [], []
+        for at in range(0, len(texts_), 32):
+            group = texts_[at:at + 32]
+            rows, ends = np.concatenate(group), np.cumsum([0, *map(len, group)])
+            logits = np.concatenate([self.net.forward(seen, part.T) for part in np.array_split(rows, -(-len(rows) // BLOCK))])
+            for a, b in zip(ends, ends[1:]):
+                places.append(int(np.argmax(logits[a:b])))
+                most.append(logits[a + places[-1]])
+        return np.array(most), places
 
     def _step(self, ids: np.ndarray, target: np.ndarray, weights: np.ndarray, rate: float) -> None:
         used, local = np.unique(np.concatenate([[PAD], ids.ravel()]), return_inverse=True)
@@ -301,7 +314,7 @@ def _group_logits(net: Network, group: list[bytes], inputs: Inputs) -> list[floa
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Fit on documents (doc_id, text) with labels (doc_id, label), on ``sample`` of them at most."""
     chosen = texts(labelled_sample(docs, labels, sample, "toxicity"), "doc_id", "label").orderBy("doc_id")
-    return Trainer([(alnum_words(bytes(r["text"])), int(r["label"])) for r in chosen.toLocalIterator()]).fit()
+    return Trainer((alnum_words(bytes(r["text"])), int(r["label"])) for r in chosen.toLocalIterator()).fit()
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

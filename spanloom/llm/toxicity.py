@@ -253,7 +253,7 @@ class Trainer:
         """The logit that parts the classes best; in the middle where many do."""
         ranked = np.concatenate([toxic, clean])
         order = np.argsort(ranked)
-        share = np.concatenate([np.full(len(toxic), 1 / len(toxic)), np.full(len(clean), -1 / len(clean))])[order]
+        share = np.concatenate([np.ones(len(toxic)), -np.ones(len(clean))])[order]
         wrong = np.concatenate([[0], np.cumsum(share)])
         places = np.flatnonzero(wrong <= wrong.min() + 1e-9)
         at, ranked = places[len(places) // 2], ranked[order]

@@ -13,24 +13,21 @@ query("bash_hotspots", lambda t: R.bash_hotspots(t.logs, W), f"""
            round_even(quantile_cont(ms, 0.95), 0) AS p95_ms {_T} AND tn = 'Bash' GROUP BY 1""")
 query("bash_coverage", lambda t: R.bash_coverage(t.logs, W), f"""
     SELECT count(command) AS with_command, count(*) AS total, count(*) FILTER (command LIKE 'cd %') AS cd_prefixed {_T} AND tn = 'Bash'""")
-_OVER = f"""SELECT tool, scope, bytes, count(*) AS occurrences {_T} AND bytes IS NOT NULL AND tn <> 'Agent'
-    GROUP BY 1, 2, 3 ORDER BY bytes DESC, tool, scope LIMIT 10"""
-query("oversized_results", lambda t: R.oversized_results(t.logs, W), _OVER)
+_OVER = f"""SELECT tool, scope, bytes, count(*) AS occurrences {_T} AND bytes IS NOT NULL AND tn <> 'Agent' GROUP BY 1, 2, 3"""
+query("oversized_results", lambda t: R.oversized_results(t.logs, W), _OVER + " ORDER BY bytes DESC, tool, scope LIMIT 10")
 _READS = f"""SELECT sid AS session_id, file_path, count(*) AS reads, round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 / 60.0) AS span_minutes,
       round(coalesce(max(gap), 0) / 1e6 / 60.0) AS max_gap_minutes
     FROM (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY sid, file_path ORDER BY ts, id) AS gap {_T} AND tn = 'Read')
-    GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY reads DESC, 1, 2 LIMIT 10"""
+    GROUP BY 1, 2 HAVING count(*) > 1"""
 query("redundant_reads", lambda t: R.redundant_reads(t.logs, W), f"""
-    WITH r AS ({_READS}) SELECT *, CASE WHEN reads >= 3 AND max_gap_minutes <= 5 THEN 'hunting loop'
+    WITH r AS ({_READS} ORDER BY reads DESC, 1, 2 LIMIT 10) SELECT *, CASE WHEN reads >= 3 AND max_gap_minutes <= 5 THEN 'hunting loop'
       WHEN max_gap_minutes >= 30 THEN 'spread across session' ELSE 'tight cluster' END AS pattern FROM r""")
 _LOOPS = f"""SELECT sid AS session_id, file_path, count(*) AS failures {_T} AND tn = 'Edit' AND success = 'false'
-    GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY failures DESC, 1, 2 LIMIT 10"""
-query("edit_failure_loops", lambda t: R.edit_failure_loops(t.logs, W), _LOOPS)
-_SLOW = f"""SELECT id, tool, scope, CAST(ms AS BIGINT) AS duration_ms, bytes {_T} AND ms >= 1000 AND bytes >= 4000 AND tn <> 'Agent'
-    ORDER BY ms * bytes DESC, id LIMIT 10"""
-query("slow_and_large", lambda t: R.slow_and_large(t.logs, W), _SLOW)
-_FAILED = f"""SELECT sid AS session_id, file_path, count(*) AS failures {_T} AND tn = 'Read' AND success = 'false'
-    GROUP BY 1, 2 ORDER BY failures DESC, 1, 2 LIMIT 25"""
+    GROUP BY 1, 2 HAVING count(*) >= 2"""
+query("edit_failure_loops", lambda t: R.edit_failure_loops(t.logs, W), _LOOPS + " ORDER BY failures DESC, 1, 2 LIMIT 10")
+_SLOW = f"""SELECT id, tool, scope, CAST(ms AS BIGINT) AS duration_ms, bytes {_T} AND ms >= 1000 AND bytes >= 4000 AND tn <> 'Agent'"""
+query("slow_and_large", lambda t: R.slow_and_large(t.logs, W), _SLOW + " ORDER BY ms * bytes DESC, id LIMIT 10")
+_FAILED = f"""SELECT sid AS session_id, file_path, count(*) AS failures {_T} AND tn = 'Read' AND success = 'false' GROUP BY 1, 2"""
 query("failed_read_paths", lambda t: R.failed_read_paths(t.logs, W), _FAILED)
 _GOOD = f"SELECT DISTINCT sid AS session_id, file_path {_T} AND tn = 'Read' AND success = 'true'"
 query("successful_read_paths", lambda t: R.successful_read_paths(t.logs, W), _GOOD)
@@ -50,7 +47,7 @@ query("tuning_suggestions", lambda t: R.suggestions(t.logs, W), f"""
     r AS ({_READS}), e AS ({_LOOPS}), s AS ({_SLOW}), cov AS (SELECT count(*) AS n {_T} AND tn = 'Bash'),
     hot AS (SELECT {_PREFIX} AS p, count(*) AS n, round_even(quantile_cont(ms, 0.95), 0) AS p95 {_T} AND tn = 'Bash' GROUP BY 1)
     SELECT 'cd_prefix' AS kind, 'cd' AS subject, CAST(n AS DOUBLE) AS n, CAST(n AS DOUBLE) AS size, CAST(NULL AS VARCHAR) AS extra FROM cov WHERE n >= 10
-    UNION ALL SELECT 'bash', p, n, p95, NULL FROM hot WHERE p95 >= 5000
+    UNION ALL (SELECT 'bash', p, n, p95, NULL FROM hot WHERE p95 >= 5000 ORDER BY n DESC, p LIMIT 10)
     UNION ALL (SELECT 'oversized', scope, m.n, m.bytes, m.tool FROM big ORDER BY m.bytes DESC, m.tool, scope LIMIT 3)
     UNION ALL (SELECT 'tail', tool, calls, p95, CAST(total // calls AS VARCHAR) FROM foot
                WHERE calls >= 10 AND p95 >= 20000 AND p95 >= (total // calls) * 3 ORDER BY total DESC, tool LIMIT 2)

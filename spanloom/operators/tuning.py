@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from spanloom.config import TimeRange
 from spanloom.functions import expr as E
 from spanloom.functions.skew import previous_row
-from spanloom.operators.tools import failed, sized_results, tool_results, tunable, with_percentiles
+from spanloom.operators.tools import (failed, mcp_server_rollup, mcp_usage, sized_results, tool_results, tunable,
+                                      tunable_context_footprint, with_percentiles)
 
 TOP = 10
-FAILED_READ_LIMIT = 25
 NEAR_MISS_DISTANCE = 3
 SLOW_MS, LARGE_BYTES = 1000, 4000
 
@@ -22,6 +22,11 @@ SHELL_REPLACEMENTS = {
 }
 
 
+def first_rows(ordered: DataFrame, limit: int | None) -> DataFrame:
+    """The head of a list for a screen; all of it without a limit."""
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def _bash(logs: DataFrame, w: TimeRange) -> DataFrame:
     return tool_results(logs, w).where(F.col("tool_name") == "Bash")
 
@@ -30,11 +35,11 @@ def first_token(text: Column) -> Column:
     return F.coalesce(E.blank_to_null(F.split_part(text, F.lit(" "), F.lit(1))), F.lit("unknown"))
 
 
-def bash_hotspots(logs: DataFrame, w: TimeRange, limit: int = TOP) -> DataFrame:
+def bash_hotspots(logs: DataFrame, w: TimeRange, limit: int | None = TOP) -> DataFrame:
     rows = _bash(logs, w).select(first_token(E.strip_cd("command")).alias("command_prefix"), "duration_ms", "result_bytes")
     base = rows.groupBy("command_prefix").agg(
         E.row_count().alias("calls"), F.round(F.avg("duration_ms")).alias("avg_ms"), F.round(F.avg("result_bytes")).alias("avg_out"))
-    top = base.orderBy(F.desc("calls"), "command_prefix").limit(limit)
+    top = first_rows(base.orderBy(F.desc("calls"), "command_prefix"), limit)
     return with_percentiles(top, rows, ["command_prefix"], "duration_ms", {"p95_ms": 0.95}).orderBy(F.desc("calls"), "command_prefix")
 
 
@@ -44,17 +49,17 @@ def bash_coverage(logs: DataFrame, w: TimeRange) -> DataFrame:
         F.count_if(F.col("command").rlike(r"^\s*cd\s")).alias("cd_prefixed"))
 
 
-def oversized_results(logs: DataFrame, w: TimeRange, limit: int = TOP) -> DataFrame:
+def oversized_results(logs: DataFrame, w: TimeRange, limit: int | None = TOP) -> DataFrame:
     rows = sized_results(logs, w).where(tunable())
-    return (rows.groupBy("tool", "scope", E.rounded_long("result_bytes").alias("bytes")).agg(E.row_count().alias("occurrences"))
-            .orderBy(F.desc("bytes"), "tool", "scope").limit(limit))
+    found = rows.groupBy("tool", "scope", E.rounded_long("result_bytes").alias("bytes")).agg(E.row_count().alias("occurrences"))
+    return first_rows(found.orderBy(F.desc("bytes"), "tool", "scope"), limit)
 
 
 def _minutes(seconds: Column) -> Column:
     return F.round(seconds / 60.0)
 
 
-def redundant_reads(logs: DataFrame, w: TimeRange, limit: int = TOP) -> DataFrame:
+def redundant_reads(logs: DataFrame, w: TimeRange, limit: int | None = TOP) -> DataFrame:
     rows = (tool_results(logs, w).where((F.col("tool_name") == "Read") & F.col("file_path").isNotNull())
             .select(F.coalesce("session_id", F.lit("unknown")).alias("session_id"), "file_path", "timestamp", "id"))
     at = F.unix_micros("timestamp")
@@ -62,8 +67,8 @@ def redundant_reads(logs: DataFrame, w: TimeRange, limit: int = TOP) -> DataFram
     out = (gaps.groupBy("session_id", "file_path").agg(
         E.row_count().alias("reads"), _minutes((F.max(at) - F.min(at)) / 1e6).alias("span_minutes"),
         _minutes(F.coalesce(F.max(at - F.col("before")), F.lit(0)) / 1e6).alias("max_gap_minutes")).where("reads > 1"))
-    return (out.withColumn("pattern", read_pattern("reads", "max_gap_minutes"))
-            .orderBy(F.desc("reads"), "session_id", "file_path").limit(limit))
+    out = out.withColumn("pattern", read_pattern("reads", "max_gap_minutes"))
+    return first_rows(out.orderBy(F.desc("reads"), "session_id", "file_path"), limit)
 
 
 def read_pattern(reads: str, gap: str) -> Column:
@@ -77,21 +82,21 @@ def _failed_paths(logs: DataFrame, w: TimeRange, tool: str) -> DataFrame:
             .agg(E.row_count().alias("failures")))
 
 
-def edit_failure_loops(logs: DataFrame, w: TimeRange, limit: int = TOP) -> DataFrame:
-    return (_failed_paths(logs, w, "Edit").where("failures >= 2")
-            .orderBy(F.desc("failures"), "session_id", "file_path").limit(limit))
+def edit_failure_loops(logs: DataFrame, w: TimeRange, limit: int | None = TOP) -> DataFrame:
+    loops = _failed_paths(logs, w, "Edit").where("failures >= 2")
+    return first_rows(loops.orderBy(F.desc("failures"), "session_id", "file_path"), limit)
 
 
 def slow_and_large(logs: DataFrame, w: TimeRange, min_ms: int = SLOW_MS, min_bytes: int = LARGE_BYTES,
-                   limit: int = TOP) -> DataFrame:
+                   limit: int | None = TOP) -> DataFrame:
     rows = sized_results(logs, w).where(tunable() & (F.col("duration_ms") >= min_ms) & (F.col("result_bytes") >= min_bytes))
-    return (rows.orderBy(F.desc(F.col("duration_ms") * F.col("result_bytes")), "id").limit(limit)
+    return (first_rows(rows.orderBy(F.desc(F.col("duration_ms") * F.col("result_bytes")), "id"), limit)
             .select("id", "tool", "scope", E.rounded_long("duration_ms").alias("duration_ms"),
                     E.rounded_long("result_bytes").alias("bytes")))
 
 
-def failed_read_paths(logs: DataFrame, w: TimeRange, limit: int = FAILED_READ_LIMIT) -> DataFrame:
-    return _failed_paths(logs, w, "Read").orderBy(F.desc("failures"), "session_id", "file_path").limit(limit)
+def failed_read_paths(logs: DataFrame, w: TimeRange, limit: int | None = None) -> DataFrame:
+    return first_rows(_failed_paths(logs, w, "Read").orderBy(F.desc("failures"), "session_id", "file_path"), limit)
 
 
 def successful_read_paths(logs: DataFrame, w: TimeRange) -> DataFrame:
@@ -100,21 +105,52 @@ def successful_read_paths(logs: DataFrame, w: TimeRange) -> DataFrame:
     return rows.select(F.coalesce("session_id", F.lit("unknown")).alias("session_id"), "file_path").distinct()
 
 
-def path_near_misses(logs: DataFrame, w: TimeRange, limit: int = FAILED_READ_LIMIT) -> DataFrame:
-    """The most failed paths, each with the nearest path its session did read.
+def _piece(path: str, start: Column, length: Column, size: Column, i: int) -> Column:
+    """(size, i, text): a piece, with the length of the failed path it belongs to and its number there."""
+    return F.struct(size.cast("int").alias("size"), F.lit(i).alias("i"), F.substring(F.col(path), (start + 1).cast("int"), length.cast("int")).alias("text"))
+
+
+def _piece_bounds(size: Column, i: int) -> tuple[Column, Column]:
+    pieces = NEAR_MISS_DISTANCE + 1
+    begin, end = F.floor(size * i / pieces), F.floor(size * (i + 1) / pieces)
+    return begin, end - begin
+
+
+def _pieces_of_failed(path: str) -> Column:
+    """One piece more than edits allowed, so one of them at least stands unchanged in any near path."""
+    size = F.length(path)
+    return F.array(*[_piece(path, *_piece_bounds(size, i), size, i) for i in range(NEAR_MISS_DISTANCE + 1)])
 
-    The failed side is the top-k list, so the join costs one comparison per
-    successful path and listed failure, whatever the size of a session.
+
+def _pieces_of_read(path: str) -> Column:
+    """What each piece of a near path would be here, for every length and shift that the edits left over permit."""
+    most, out = NEAR_MISS_DISTANCE, []
+    for longer in range(-most, most + 1):
+        size = F.length(path) - longer
+        for i in range(most + 1):
+            begin, length = _piece_bounds(size, i)
+            # i edits at most lie before piece i, and the rest after it.
+            for shift in range(max(-i, longer - (most - i)), min(i, longer + (most - i)) + 1):
+                fits = (size > 0) & (begin + shift >= 0) & (begin + shift + length <= F.length(path))
+                out.append(F.when(fits, _piece(path, begin + shift, length, size, i)))
+    return F.array_compact(F.array(*out))
+
+
+def path_near_misses(logs: DataFrame, w: TimeRange, limit: int | None = None) -> DataFrame:
+    """Every failed path with the nearest path its session did read, at most NEAR_MISS_DISTANCE edits away.
+
+    Only paths that share a piece at a fitting place are compared, so a session's paths do not all meet.
     """
-    wrong = failed_read_paths(logs, w, limit).withColumnRenamed("file_path", "failed_path")
-    near = F.abs(F.length("failed_path") - F.length("file_path")) <= NEAR_MISS_DISTANCE
+    keys = ["session_id", "size", "i", "text"]
+    wrong = failed_read_paths(logs, w).withColumnRenamed("file_path", "failed_path")
+    wrong = wrong.select("*", F.inline(_pieces_of_failed("failed_path")))
+    good = successful_read_paths(logs, w).select("*", F.inline(_pieces_of_read("file_path")))
     distance = F.levenshtein("failed_path", "file_path", NEAR_MISS_DISTANCE)
-    pairs = (successful_read_paths(logs, w).join(wrong, "session_id").where(near)
-             .withColumn("edit_distance", distance).where("edit_distance > 0"))
-    return (pairs.groupBy("session_id", "failed_path", "failures")
+    pairs = good.join(wrong, keys).withColumn("edit_distance", distance).where("edit_distance > 0")
+    near = (pairs.groupBy("session_id", "failed_path", "failures")
             .agg(F.min(F.struct("edit_distance", "file_path")).alias("m"))
-            .select("session_id", "failed_path", F.col("m.file_path").alias("nearest_path"), "m.edit_distance", "failures")
-            .orderBy(F.desc("failures"), "session_id", "failed_path"))
+            .select("session_id", "failed_path", F.col("m.file_path").alias("nearest_path"), "m.edit_distance", "failures"))
+    return first_rows(near.orderBy(F.desc("failures"), "session_id", "failed_path"), limit)
 
 
 # Thresholds of the suggestion rules.
@@ -148,7 +184,7 @@ def suggestion_rows(coverage: DataFrame, hotspots: DataFrame, oversized: DataFra
                            | ((c("total_bytes") >= OVERSIZED_BYTES) & (byte_share >= call_share * MCP_SHARE_RATIO))))
     parts = [
         shaped(coverage.where(c("cd_prefixed") >= CD_PREFIX_MIN), "cd_prefix", F.lit("cd"), c("cd_prefixed"), c("total"), F.lit(None)),
-        shaped(slow_bash, "bash", c("command_prefix"), c("calls"), c("p95_ms"), replacement),
+        shaped(slow_bash.orderBy(F.desc("calls"), "command_prefix").limit(TOP), "bash", c("command_prefix"), c("calls"), c("p95_ms"), replacement),
         shaped(big.orderBy(F.desc("bytes"), "tool", "scope").limit(OVERSIZED_LIMIT), "oversized", c("scope"), c("occurrences"), c("bytes"), c("tool")),
         shaped(tail.orderBy(F.desc("total_bytes"), "tool").limit(TAIL_LIMIT), "tail", c("tool"), c("calls"), c("p95_bytes"), mean),
         shaped(costly.orderBy(F.desc("calls"), "server").limit(MCP_LIMIT), "mcp", c("server"), c("calls"), c("total_bytes"), c("failures")),
@@ -166,8 +202,8 @@ def suggestion_rows(coverage: DataFrame, hotspots: DataFrame, oversized: DataFra
 
 
 def suggestions(logs: DataFrame, w: TimeRange, repo: str | None = None) -> DataFrame:
-    # Imported here: the report needs both modules.
-    from spanloom.plans.report import report_tables
-
-    t = report_tables(logs, w, repo)
-    return suggestion_rows(*[t[k] for k in ("coverage", "hotspots", "oversized", "footprint", "servers", "reads", "loops", "slow")])
+    """The rules applied to whole aggregates; only each rule's own list is cut."""
+    return suggestion_rows(
+        bash_coverage(logs, w), bash_hotspots(logs, w, None), oversized_results(logs, w, None), tunable_context_footprint(logs, w),
+        mcp_server_rollup(mcp_usage(logs, w, repo)), redundant_reads(logs, w, None), edit_failure_loops(logs, w, None),
+        slow_and_large(logs, w, limit=None))

@@ -11,12 +11,13 @@ from spanloom.config import CFG, TelemetryConfig, TimeRange
 from spanloom.operators import tools, tuning
 
 ID_LENGTH = 8
+NEAR_MISSES = 25
 
 
 def report_frames(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> dict[str, DataFrame]:
     """The aggregates behind the sections; each is a top-k list or one row per tool or MCP tool."""
     return {
-        "failures": tools.failures_by_signature(logs, w), "near_misses": tuning.path_near_misses(logs, w),
+        "failures": tools.failures_by_signature(logs, w), "near_misses": tuning.path_near_misses(logs, w, NEAR_MISSES),
         "reads": tuning.redundant_reads(logs, w), "loops": tuning.edit_failure_loops(logs, w),
         "hotspots": tuning.bash_hotspots(logs, w), "coverage": tuning.bash_coverage(logs, w),
         "performance": tools.tool_performance(logs, w), "mix": tools.tool_calls(logs, w, repo),
@@ -110,7 +111,7 @@ def report_markdown(logs: DataFrame, w: TimeRange, repo: str | None = None) -> s
     order = F.when(F.col("kind") == "cd_prefix", 0)
     for i, kind in enumerate(("bash", "oversized", "tail", "mcp", "hunting", "edit_loop", "slow_large"), 1):
         order = order.when(F.col("kind") == kind, i)
-    rows = tuning.suggestion_rows(*[frames[k] for k in ("coverage", "hotspots", "oversized", "footprint", "servers", "reads", "loops", "slow")])
+    rows = tuning.suggestions(logs, w, repo)
     suggestions = word_suggestions(rows.orderBy(order, F.desc("n"), "subject").collect())
     got = {name: df.collect() for name, df in frames.items()}
     minutes = max(1, int(w.seconds // 60))

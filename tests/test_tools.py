@@ -105,6 +105,45 @@ def test_near_misses_stay_in_the_session(logs):
     assert listed(tuning.path_near_misses(rows, HOUR), "failed_path", "nearest_path", "edit_distance") == [("/src/mian.py", "/src/main.py", 2)]
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_near_misses_of_all_paths_equal_brute_force(logs):
+    import random
+
+    draw = random.Random(5)
+    base = ["/s/ab", "a", "xy", "/src/main/app.py", "/src/test/abba.py"]
+
+    def bent():
+        text = list(draw.choice(base))
+        for _ in range(draw.randrange(5)):
+            at = draw.randrange(len(text) + 1)
+            text[at:at + draw.randrange(2)] = draw.choice(["", "a", "b", "/"])
+        return "".join(text) or "q"
+
+    good, bad = sorted({bent() for _ in range(60)}), sorted({bent() for _ in range(60)})
+    rows = logs(*[call(t=i, path=p) for i, p in enumerate(good)], *[call(t=100 + i, path=p, success="false") for i, p in enumerate(bad)])
+    wanted = []
+    for p in bad:
+        near = min(((d, g) for g in good if 0 < (d := _edits(p, g)) <= 3), default=None)
+        wanted += [(p, near[1], near[0])] if near else []
+    assert len(wanted) > 25
+    assert sorted(listed(tuning.path_near_misses(rows, HOUR), "failed_path", "nearest_path", "edit_distance")) == wanted
+
+
+def test_suggestions_see_more_than_the_listed_rows(logs):
+    tight = [call(t=60 * i + k, path=f"/tight{k}") for k in range(12) for i in (0, 20, 40, 50)]
+    hunted = [call(t=60 * i, path="/hunt") for i in range(3)]
+    found = listed(tuning.suggestions(logs(*tight, *hunted), HOUR), "kind", "subject")
+    assert ("hunting", "/hunt") in found
+
+
 def test_tunable_leaves_out_images_and_agents(logs):
     rows = logs(call(path="/a.PNG", size=9), call("Agent", size=9), call(path="/a.py", size=9))
     assert listed(tools.tunable_context_footprint(rows, HOUR), "tool", "total_bytes") == [("Read", 9)]

@@ -58,7 +58,7 @@ query("metric_attribute_facets", lambda t: M.metric_attribute_facets(t.points, C
     p AS (SELECT 'session.id' AS k, sid AS v FROM s UNION ALL SELECT 'model', model FROM s UNION ALL SELECT 'type', tt FROM s
           UNION ALL SELECT 'vcs.repository.url.full', repo FROM s WHERE repo IS NOT NULL),
     c AS (SELECT k, v, count(*) AS n FROM p GROUP BY 1, 2)
-    SELECT k AS attribute_key, v AS attribute_value, n AS stream_count FROM c QUALIFY count(*) OVER (PARTITION BY k) <= 25""")
+    SELECT k AS attribute_key, v AS attribute_value, n AS stream_count FROM c""")
 query("metric_series", lambda t: M.metric_series(t.points, CP), f"""
     WITH known AS (SELECT metric, min(unit) AS unit FROM points GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('claude_code.lines_of_code.count', ''),
         ('claude_code.code_edit_tool.decision', ''), ('claude_code.commit.count', ''), ('claude_code.pull_request.count', ''))),

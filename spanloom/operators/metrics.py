@@ -15,7 +15,6 @@ from spanloom.operators.cost import change_percent, integer_share, sum_when
 
 TREND_BINS = 24
 SPARK_BINS = 8
-FACET_VALUES = 25
 _TYPES = {"input_tokens": "input", "output_tokens": "output", "cache_creation_tokens": "cacheCreation", "cache_read_tokens": "cacheRead"}
 
 # The curated counters, each with the attribute its total is split by.
@@ -159,14 +158,15 @@ def metric_splits(points: DataFrame, names: Sequence[str], w: TimeRange, repo: s
 
 
 def metric_attribute_facets(points: DataFrame, name: str, w: TimeRange, repo: str | None = None,
-                            max_values: int = FACET_VALUES) -> DataFrame:
-    """Streams per attribute value; keys with too many values are left out."""
+                            max_values: int | None = None) -> DataFrame:
+    """Streams per attribute value; ``max_values`` leaves out keys with more values."""
     streams = (moving_points(points, [name], w, repo).groupBy("stream_id").agg(F.any_value("attributes").alias("attributes")))
     pairs = (streams.select(F.explode("attributes").alias("attribute_key", "attribute_value")).where("attribute_value <> ''")
              .groupBy("attribute_key", "attribute_value").agg(E.row_count().alias("stream_count")))
-    bounded = pairs.groupBy("attribute_key").agg(E.row_count().alias("values")).where(F.col("values") <= max_values)
-    return (pairs.join(bounded.select("attribute_key"), "attribute_key", "left_semi")
-            .orderBy("attribute_key", F.desc("stream_count"), "attribute_value"))
+    if max_values is not None:
+        bounded = pairs.groupBy("attribute_key").agg(E.row_count().alias("values")).where(F.col("values") <= max_values)
+        pairs = pairs.join(bounded.select("attribute_key"), "attribute_key", "left_semi")
+    return pairs.orderBy("attribute_key", F.desc("stream_count"), "attribute_value")
 
 
 def metric_series(points: DataFrame, w: TimeRange, names: Sequence[str] | None = None, repo: str | None = None,

@@ -1,7 +1,7 @@
 """OTLP/JSON export requests (one per line) as table rows.
 
 Input is a DataFrame, batch or streaming, with a string column ``value``. Text
-that does not parse yields no rows.
+that does not parse yields no rows; ``rejected_exports`` gives it with the reason.
 """
 
 from __future__ import annotations
@@ -169,3 +169,17 @@ def flatten_otlp_spans(df: DataFrame) -> DataFrame:
         blank_to_null(x["status"]["message"]).alias("status_message"), attribute_map("x.attributes").alias("attributes"),
         F.when(F.size(x["events"]) > 0, events).alias("events"), *_common())
     return _identified(rows, "trace_id", "span_id", "start_timestamp")
+
+
+_REQUESTS = {"logs": (_LOGS, "resourceLogs"), "points": (_METRICS, "resourceMetrics"), "spans": (_SPANS, "resourceSpans")}
+
+
+def rejected_exports(df: DataFrame, table: str) -> DataFrame:
+    """(value, reason) of the requests that are no such export as a whole; blank lines are none."""
+    schema, outer = _REQUESTS[table]
+    doc = F.from_json("value", f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = df.where(F.trim("value") != "").select("value", doc.alias("doc"))
+    unread = F.get_json_object("value", "$").isNull()
+    reason = (F.when(unread, "not JSON").when(F.col("doc._corrupt_record").isNotNull(), "partly unreadable")
+              .when(F.col(f"doc.{outer}").isNull(), f"no {outer}"))
+    return parsed.select("value", reason.alias("reason")).where("reason IS NOT NULL")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanloom.functions.skew import cut_lineage, previous_row
 from spanloom.schema import enrich_logs, enrich_points, enrich_spans
 from spanloom.sources.deltas import current_value, increment, point_heads
-from spanloom.sources.otlp import flatten_otlp_logs, flatten_otlp_metrics, flatten_otlp_spans
+from spanloom.sources.otlp import flatten_otlp_logs, flatten_otlp_metrics, flatten_otlp_spans, rejected_exports
 from spanloom.sources.tables import path_exists, write_telemetry
 
 _SHAPES = {"logs": (flatten_otlp_logs, enrich_logs), "spans": (flatten_otlp_spans, enrich_spans), "points": (flatten_otlp_metrics, enrich_points)}
@@ -64,18 +64,20 @@ def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "dire
 
 
 def ingest_exports(spark: SparkSession, source: str, root: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Read new export files as they come and add them to one table."""
+    """Read new export files as they come and add them to one table; what cannot be read goes to ``rejected``."""
     flatten, enrich = _SHAPES[table]
 
-    def store(batch: DataFrame, batch_id: int) -> None:
+    def store(requests: DataFrame, batch_id: int) -> None:
+        batch = enrich(flatten(requests))
         # Batch numbers begin anew with each checkpoint, so folders carry the id that the checkpoint was given.
         writer = F.get_json_object("value", "$.id")
         writer = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(writer).first()[0]
+        rejected_exports(requests, table).write.mode("overwrite").parquet(f"{root}/rejected/kind={table}/writer={writer}/batch={batch_id}")
         if table == "points":
             merge_points(batch, root, batch_id, writer)
         else:
             write_telemetry(batch, root, table, batch_id, writer)
 
     lines = spark.readStream.text(source).withColumn("received_at", F.current_timestamp())
-    return (enrich(flatten(lines)).writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -95,6 +95,20 @@ def test_export_files_become_tables(spark, tmp_path):
     assert listed(read_telemetry(spark, root, "logs"), "body", "event_name") == [("x", "e"), ("y", None)]
 
 
+def test_unreadable_requests_are_kept_with_the_reason(spark, tmp_path):
+    good = log_export({"timeUnixNano": str(NS), "body": s("x")})
+    docs = [good, "not json", "{}", '{"resourceLogs": "text"}', " "]
+    found = otlp.rejected_exports(lines(spark, *docs), "logs")
+    wanted = [("not json", "not JSON"), ('{"resourceLogs": "text"}', "partly unreadable"), ("{}", "no resourceLogs")]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("\n".join(d if isinstance(d, str) else json.dumps(d) for d in docs))
+    ingest.ingest_exports(spark, str(source), str(tmp_path / "t"), "logs", str(tmp_path / "c")).awaitTermination()
+    assert read_telemetry(spark, str(tmp_path / "t"), "logs").count() == 1
+    assert sorted(listed(spark.read.parquet(str(tmp_path / "t/rejected")), "value", "reason")) == sorted(wanted)
+
+
 def test_late_metric_files_repair_stored_increments(spark, tmp_path):
     root, cp = str(tmp_path / "root"), str(tmp_path / "cp")
     day = 86_400

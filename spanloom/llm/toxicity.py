@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain, islice
 import zlib
 
 import numpy as np
@@ -20,20 +21,35 @@ SAMPLE, WINDOWS_A_TEXT, PASSES = 6000, 3, 6
 CALIBRATION, FOLDS = 5, 5
 #: Steps a pass has at least, where there are rows enough for that.
 STEPS = 50
-#: Windows scored in one go, and words whose inputs a task keeps.
-BLOCK, HELD_WORDS = 1024, 200_000
+#: A run of more bytes than this (of a script without blanks, say) is read as overlapping pieces of so many bytes. How far
+#: on the next one begins: in scoring, where a piece should meet a word about whole, and in fitting, where all are held.
+LONG_RUN, PIECE, PIECE_STEP, FIT_PIECE_STEP = 64, 10, 2, 5
+#: Windows scored in one go, words whose inputs a task keeps, and units of a long text taken in one go.
+BLOCK, HELD_WORDS, SPAN = 1024, 200_000, STEP << 12
 PAD = 0
 _PRIMES = np.array([2654435761, 2246822519], dtype=np.uint64)
 
 
+def pieces(word: bytes, step: int) -> Iterable[bytes]:
+    """The word; a run of over ``LONG_RUN`` bytes as pieces that overlap and together hold every byte."""
+    return [word] if len(word) <= LONG_RUN else (word[at:at + PIECE] for at in range(0, len(word) - PIECE + step, step))
+
+
+def units(text: bytes, step: int = PIECE_STEP) -> Iterator[bytes]:
+    """Words of a text in order, long runs in pieces."""
+    words = alnum_words(text)
+    long = len(max(words, key=len, default=b"")) > LONG_RUN
+    return chain.from_iterable(pieces(w, step) for w in words) if long else iter(words)
+
+
 def char_slots(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the 4- and 5-byte character grams of many words, ends marked, and where each word's slots begin."""
-    raw = np.frombuffer(b"".join([b"<%b>\x00\x00\x00" % w[:64] for w in words]), dtype=np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b"".join([b"<%b>\x00\x00\x00" % w for w in words]), dtype=np.uint8).astype(np.uint64)
     padded = np.concatenate([raw, np.zeros(5, np.uint64)])
     size = len(raw)
     four = padded[:size] | padded[1:size + 1] << np.uint64(8) | padded[2:size + 2] << np.uint64(16) | padded[3:size + 3] << np.uint64(24)
     five = four ^ (padded[4:size + 4] << np.uint64(32))
-    ends = np.cumsum([len(w[:64]) + 5 for w in words])
+    ends = np.cumsum([len(w) + 5 for w in words])
     begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     first = np.zeros(size, dtype=bool)
     first[begins] = True
@@ -289,21 +305,34 @@ class Inputs(dict):
 
 
 def worst_logits(net: Network, contents: Iterable[bytes], inputs: Inputs, group_bytes: int = 1 << 20) -> Iterator[float]:
-    """Per text the largest logit of all its windows. Texts are taken in groups of some size, a long one by itself."""
+    """Per text the largest logit of all its windows. Texts are taken in groups of some size, a long one in parts."""
     group: list[bytes] = []
     size = 0
     for text in contents:
-        group.append(text)
-        size += len(text)
-        if size >= group_bytes:
-            yield from _group_logits(net, group, inputs)
+        if group and size + len(text) >= group_bytes:
+            yield from _unit_logits(net, [list(units(t)) for t in group], inputs)
             group, size = [], 0
+        if len(text) >= group_bytes:
+            yield max(_unit_logits(net, [part], inputs)[0] for part in _parts(units(text)))
+        else:
+            group.append(text)
+            size += len(text)
     if group:
-        yield from _group_logits(net, group, inputs)
+        yield from _unit_logits(net, [list(units(t)) for t in group], inputs)
+
+
+def _parts(stream: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """The units of a text, ``SPAN`` at a time and those that the next windows share: the windows are those of the whole."""
+    shared = WINDOW - STEP
+    part = list(islice(stream, SPAN + shared))
+    yield part
+    while len(part) == SPAN + shared:
+        part = part[SPAN:] + list(islice(stream, SPAN))
+        if len(part) > shared:
+            yield part
 
 
-def _group_logits(net: Network, group: list[bytes], inputs: Inputs) -> list[float]:
-    words = [alnum_words(t) for t in group]
+def _unit_logits(net: Network, words: list[list[bytes]], inputs: Inputs) -> list[float]:
     inputs.learn([w for ws in words for w in ws])
     windows = [windows_of(np.fromiter(map(inputs.__getitem__, ws), dtype=np.int64, count=len(ws))) for ws in words]
     rows = np.concatenate(windows)
@@ -314,7 +343,7 @@ def _group_logits(net: Network, group: list[bytes], inputs: Inputs) -> list[floa
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     """Fit on documents (doc_id, text) with labels (doc_id, label), on ``sample`` of them at most."""
     chosen = texts(labelled_sample(docs, labels, sample, "toxicity"), "doc_id", "label").orderBy("doc_id")
-    return Trainer((alnum_words(bytes(r["text"])), int(r["label"])) for r in chosen.toLocalIterator()).fit()
+    return Trainer((list(units(bytes(r["text"]), FIT_PIECE_STEP)), int(r["label"])) for r in chosen.toLocalIterator()).fit()
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

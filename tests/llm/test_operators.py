@@ -297,6 +297,41 @@ def test_toxicity_learns_and_scores_all_windows(spark, docs):
     assert {r.toxic_score for r in toxicity.score(docs, toxicity.Trainer([]).fit()).collect()} == {0.5}
 
 
+def test_toxicity_reads_every_byte_of_long_runs():
+    for n in (1, 63, 64, 65, 66, 67, 1000):
+        for step in (toxicity.PIECE_STEP, toxicity.FIT_PIECE_STEP):
+            text = bytes(i % 23 + 97 for i in range(n))
+            found, at = list(toxicity.units(b"ab " + text, step)), 0
+            assert found[0] == b"ab" and (n > toxicity.LONG_RUN or found[1:] == [text])
+            for i, piece in enumerate(found[1:]):
+                assert i * step <= at and text[i * step:][:len(piece)] == piece
+                at = i * step + len(piece)
+            assert at == n
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        words = [f"n{int(x)}" for x in rng.integers(0, 60, 80)]
+        if i % 4 == 0:
+            words[int(rng.integers(80))] = f"nasty{'abc'[i % 3]}"
+        rows.append(([w.encode() for w in words], int(i % 4 == 0)))
+    net = toxicity.Trainer(rows).fit()
+    clean = "".join(f"n{i % 60}" for i in range(1000))
+    runs = [clean, *(clean[:at] + "nastya" + clean[at:] for at in (70, 1000, 1005, 1800))]
+    logits = np.array(list(toxicity.worst_logits(net, [r.encode() for r in runs], toxicity.Inputs(net)))) + net.shift
+    assert logits[0] < 0 and (logits[1:] > 0).all()
+
+
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    net = toxicity.Network(3)
+    texts_ = [b"one two", b" ".join(b"w%d" % i for i in range(1000)), b"", b"z" * 5000]
+    inputs = toxicity.Inputs(net)
+    inputs.learn([u for t in texts_ for u in toxicity.units(t)])
+    whole = list(toxicity.worst_logits(net, texts_, inputs))
+    for span in (1, 3, 50):
+        monkeypatch.setattr(toxicity, "SPAN", toxicity.STEP * span)
+        assert list(toxicity.worst_logits(net, texts_, inputs, 1)) == pytest.approx(whole)
+
+
 def test_quotation(spark):
     rows = [(1, 0, "user", "Hello there friend\nHow are you?\n\nSecond para line."), (1, 1, "assistant", "Bob wrote:\n> Hello there friend\n> How are you?\n\nI am fine."),
             (1, 2, "user", "> > Hello there friend\n> I am  FINE.\nGreat to hear"), (2, 0, "user", ">> I am fine.\n> Great to hear\nother conv"), (2, 1, "user", None),

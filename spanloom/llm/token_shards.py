@@ -139,7 +139,8 @@ class Encoder:
 
     The vocabulary's own rule lets no token cross from a letter, digit or sign to the blank after it. So a text in
     which blanks stand alone falls into words that begin with their blank, and new words are encoded in one string:
-    a token that begins with a blank begins a word. Any other text is encoded whole.
+    a token that begins with a blank begins a word. Any other text is encoded whole. The added token neither strips
+    blanks nor begins with one, so it stands where the library puts it: in the text, as its own id.
     """
 
     def __init__(self, path: str):
@@ -147,7 +148,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.held: dict[str, bytes] = {}
         self.begins = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == BLANK]] = True

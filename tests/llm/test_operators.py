@@ -209,6 +209,24 @@ def test_encoder_pieces(text):
     assert tool.encode([text, f"plain words {text}"]) == [np.array(tool.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (text, f"plain words {text}")]
 
 
+def test_token_ids_are_those_of_the_plain_library(spark):
+    from tokenizers import Tokenizer
+
+    plain, mark = Tokenizer.from_file(token_shards.vocabulary_path()), "<|endoftext|>"
+    texts_ = [f"one {mark} two", mark, f"{mark}a b", f"a {mark}{mark} b", f"x{mark}y z{mark} w", f"a  {mark} b", f"{mark} {mark}  c", f" {mark} ", f"a\n{mark}\n b", "one two"]
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts_]
+    assert expected[0] == [505, 220, 50256, 734]
+    tool = token_shards.Encoder(token_shards.vocabulary_path())
+    assert [np.frombuffer(b, "<u4").tolist() for b in tool.encode(texts_)] == expected
+    assert [np.frombuffer(b, "<u4").tolist() for t in texts_ for b in tool.encode([t])] == expected
+    rows, start = [], 0
+    for i, ids in enumerate(expected):
+        rows.append((i, start, len(ids) + 1, zlib.crc32(np.array([*ids, token_shards.END_ID], "<u4").tobytes())))
+        start += len(ids) + 1
+    shards = token_shards.token_shards(spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string"))
+    assert collected(shards, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(rows, key=repr)
+
+
 def test_language(spark, docs):
     english, german = "the cat sat on the mat with the hat", "der hund und die katze sind nicht hier"
     labelled = spark.createDataFrame([("en", english)] * 3 + [("de", german)] * 3 + [(None, "zzz"), ("en", None)], "lang string, text string")

@@ -72,7 +72,8 @@ class NoticeSearch:
                     at = line.find(piece, at + 1)
             done = -1
             for low, high in sorted(looked):
-                if low < done:
+                low = max(low, done)  # the next notice may begin within the window's margin after the last match
+                if high - low < len(notice) - edits:
                     continue
                 m = pattern.search(line[low:high].decode("latin-1"))
                 if m and m.end() > m.start():

@@ -259,6 +259,20 @@ def test_licenses(spark, docs):
     assert (found[4].n_words, found[4].first_word, found[4].labels) == (0, None, "") and found[8].n_words == 30_000
 
 
+def test_adjacent_repeats_of_notices_are_all_found():
+    search = license_scan.NoticeSearch()
+    assert [s[:3] for s in search.scan(b"all rights reservd all rights reserved")[2] if s[3] == "proprietary"] == [(0, 3, 1), (3, 6, 0)]
+    for notice, (edits, label) in license_scan.NOTICES.items():
+        n, middle = len(notice.split()), len(notice) // 2
+        for first, errors in ((notice, 0), (notice[:middle] + notice[middle + 1:], 1), (notice[:middle] + "q" + notice[middle + 1:], 1)):
+            if len(first.split()) != n:
+                continue
+            found = search.scan(f"{first} {notice} {notice}".encode())[2]
+            spans = [s for s in found if s[3] == label and s[1] - s[0] >= n]
+            assert [s[2] for s in spans] == [errors, 0, 0], notice
+            assert [s[:2] for s in spans] == [(0, n), (n, 2 * n), (2 * n, 3 * n)], notice
+
+
 def test_factorisation_machine(spark, docs):
     machine = quality.FactorisationMachine(20, 3)
     machine.weights[:] = np.arange(20) / 10

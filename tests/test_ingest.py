@@ -1,15 +1,19 @@
 from datetime import datetime, timezone
 import json
+import os
 
 from conftest import T0, HOUR, at, listed
+from pyspark.sql import functions as F
+import pytest
 
+from spanloom import catalog
 from spanloom.operators.retention import purge_tables
 from spanloom.config import CFG
 from spanloom.operators.log_explorer import LogFilter, attribute_pairs, log_histogram
 from spanloom.plans.report import report_markdown
 from spanloom.schema import LOG_SCHEMA, enrich_logs, enrich_points, enrich_spans
 from spanloom.sources import otlp
-from spanloom.sources.tables import read_points, read_telemetry
+from spanloom.sources.tables import read_points, read_telemetry, stored
 from spanloom.streaming import ingest, live
 
 NS = int(T0.timestamp()) * 10**9
@@ -157,6 +161,16 @@ def test_live_histogram_equals_the_batch_one(spark, logs, tmp_path):
     assert listed(spark.table("live_counts"), *batch.columns) == listed(batch, *batch.columns)
 
 
+def test_registered_live_histogram_has_every_row(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    bins = catalog.queries()["stream_log_histogram_all"](spark, folder).collect()
+    days = {r[0]: r[1] for r in stored(spark, folder).logs.groupBy(F.unix_micros(F.date_trunc("day", "timestamp"))).count().collect()}
+    assert {r.bucket: r.error_count + r.warn_count + r.info_count + r.debug_count for r in bins} == days
+    assert max(days) >= datetime(2024, 1, 30, tzinfo=timezone.utc).timestamp() * 1e6
+
+
 def test_live_tail(spark, logs, tmp_path):
     rows = logs(*[{"ev": "x", "t": t} for t in (0, 5, 5, 9)])
     rows.write.parquet(str(tmp_path / "in"))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import alnum_words, labelled_sample, read_table, remainder, texts, without
 
-#: Words of a window, and how far on the next one begins. Units a direction, input width, hashed slots.
-WINDOW, STEP, UNITS, WIDTH, SLOTS = 24, 16, 6, 8, 1 << 16
+#: Words of a window, and how far on the next one begins: passages of up to WINDOW - STEP + 1 words stand whole in one.
+#: Units a direction, input width, hashed slots.
+WINDOW, STEP, UNITS, WIDTH, SLOTS = 24, 6, 6, 8, 1 << 16
 #: Labelled rows fitted on at most, windows a pass takes of each clean text besides its worst, and passes.
 SAMPLE, WINDOWS_A_TEXT, PASSES = 6000, 3, 6
 #: One labelled row in so many is set apart to place the boundary; folds of the query.
@@ -25,7 +26,7 @@ STEPS = 50
 #: on the next one begins: in scoring, where a piece should meet a word about whole, and in fitting, where all are held.
 LONG_RUN, PIECE, PIECE_STEP, FIT_PIECE_STEP = 64, 10, 2, 5
 #: Windows scored in one go, words whose inputs a task keeps, and units of a long text taken in one go.
-BLOCK, HELD_WORDS, SPAN = 1024, 200_000, STEP << 12
+BLOCK, HELD_WORDS, SPAN = 1024, 200_000, STEP << 13
 PAD = 0
 _PRIMES = np.array([2654435761, 2246822519], dtype=np.uint64)
 

@@ -353,6 +353,14 @@ def test_toxicity_reads_every_byte_of_long_runs():
     assert logits[0] < 0 and (logits[1:] > 0).all()
 
 
+def test_phrases_of_many_words_stand_whole_in_a_window():
+    for n in (24, 25, 60, 100):
+        held = {tuple(w) for w in toxicity.windows_of(np.arange(1, n + 1)).tolist()}
+        for size in (10, 11, 12, 19):
+            for at in range(1, n - size + 2):
+                assert any(set(range(at, at + size)) <= set(w) for w in held), (n, size, at)
+
+
 def test_long_texts_are_scored_in_parts(monkeypatch):
     net = toxicity.Network(3)
     texts_ = [b"one two", b" ".join(b"w%d" % i for i in range(1000)), b"", b"z" * 5000]

@@ -74,6 +74,8 @@ query("trace_facets", lambda t: T.trace_facets(t.spans, T.TraceFilter(W, statuse
     UNION ALL SELECT 'duration_bucket', duration_bucket, count(*) FROM e GROUP BY 2
     UNION ALL (SELECT 'session', session_id, count(*) FROM e GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 8)""")
 query("trace_summary", lambda t: T.trace_summary(t.spans, t.logs, "t7"), f"WITH {_ALL} SELECT {_COLS} FROM traces WHERE trace_id = 't7'")
+query("first_prompt_by_trace_whole", lambda t: T.first_prompt_by_trace(t.logs), """
+    SELECT tr AS trace_id, regexp_replace(first(prompt ORDER BY ts, id), '\\s+', ' ', 'g') AS first_user_prompt FROM logs WHERE en = 'user_prompt' GROUP BY tr""")
 query("first_prompt_by_trace", lambda t: T.first_prompt_by_trace(t.logs, 12), """
     SELECT tr AS trace_id, left(regexp_replace(first(prompt ORDER BY ts, id), '\\s+', ' ', 'g'), 12) AS first_user_prompt FROM logs WHERE en = 'user_prompt' GROUP BY tr""")
 

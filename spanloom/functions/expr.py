@@ -200,8 +200,10 @@ def full_text(body: Column | str, attrs: Column | str, query: str) -> Column:
             | F.coalesce(canonical_attributes(attrs).ilike(pattern), F.lit(False)))
 
 
-def clean_prompt(text: Column | str, length: int = 200) -> Column:
-    return F.substring(F.regexp_replace(_col(text), r"\s+", " "), 1, length)
+def clean_prompt(text: Column | str, length: int | None = None) -> Column:
+    """Runs of white space as one blank; the whole text, or its first ``length`` characters."""
+    clean = F.regexp_replace(_col(text), r"\s+", " ")
+    return clean if length is None else F.substring(clean, 1, length)
 
 
 def real_trace_id(trace_id: Column | str) -> Column:

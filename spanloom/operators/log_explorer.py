@@ -15,7 +15,8 @@ from spanloom.functions.timebins import bin_axis, bin_ts
 
 SEVERITIES = ("ERROR", "WARN", "INFO", "DEBUG")
 FACET_LIMIT = 50
-MAX_PAGE = 500
+#: Rows of a page at most; None for as many as are asked for.
+MAX_PAGE: int | None = None
 
 
 @dataclass(frozen=True)
@@ -99,7 +100,7 @@ def log_page_after(logs: DataFrame, f: LogFilter, cursor: tuple[datetime, int],
 
 
 def log_page_offset(logs: DataFrame, f: LogFilter, page: int, size: int) -> DataFrame:
-    size = min(size, MAX_PAGE)
+    size = size if MAX_PAGE is None else min(size, MAX_PAGE)
     return _newest_first(logs.where(f.test())).offset(page * size).limit(size)
 
 

@@ -177,7 +177,7 @@ def trace_summary(spans: DataFrame, logs: DataFrame, trace_id: str) -> DataFrame
     return trace_summaries(spans.where(F.col("trace_id") == trace_id), logs.where(F.col("trace_id") == trace_id))
 
 
-def first_prompt_by_trace(logs: DataFrame, length: int = 200, traces: DataFrame | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
+def first_prompt_by_trace(logs: DataFrame, length: int | None = None, traces: DataFrame | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     rows = logs.where((F.col("event_name") == cfg.user_prompt) & E.blank_to_null("prompt").isNotNull() & F.col("trace_id").isNotNull())
     if traces is not None:
         rows = rows.join(traces.select("trace_id").distinct(), "trace_id", "left_semi")

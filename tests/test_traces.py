@@ -7,6 +7,7 @@ from conftest import HOUR, at, listed
 
 from spanloom.config import CFG
 from spanloom.operators import correlation, span_tree, trace_findings, traces
+from spanloom.operators.log_explorer import LogFilter, log_page_offset
 
 
 def req(t, rid, usd, **a):
@@ -192,3 +193,11 @@ def test_config_is_replaceable():
 def test_spans_delivered_again_count_once(spans):
     chain = [{"s": f"s{i}", "p": f"s{i - 1}" if i else None, "t": i} for i in range(8)]
     assert listed(span_tree.span_tree(spans(*chain, *chain)), "span_id", "depth") == [(f"s{i}", i) for i in range(8)]
+
+
+def test_prompts_and_pages_are_whole_by_default(logs):
+    rows = logs(*[{"ev": "user_prompt", "t": t, "trace_id": "t", "a": {"prompt": "x  y" * 200, "session.id": "s"}} for t in range(600)])
+    whole = "x y" * 200
+    assert [r.first_user_prompt for r in traces.first_prompt_by_trace(rows).collect()] == [whole]
+    assert [r.first_user_prompt for r in traces.first_prompt_by_trace(rows, 5).collect()] == [whole[:5]]
+    assert log_page_offset(rows, LogFilter(HOUR), 0, 600).count() == 600

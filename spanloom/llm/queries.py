@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontamination, exact_dedup, language_id, license_scan, mixing, near_duplicates, quality, quotation, token_shards, toxicity
+from spanloom.llm import decontamination, exact_dedup, language_id, license_scan, merkle, mixing, near_duplicates, quality, quotation, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_quotation": quotation.op9_quotation,
     "op10_mixing": mixing.op10_mixing,
+    "op13_merkle": merkle.op13_merkle,
 }
 ORACLES: dict[str, str] = {
     "op4_near_duplicates": near_duplicates.OP4_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op8_decontamination": decontamination.OP8_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }

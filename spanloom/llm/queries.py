@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import decontamination, exact_dedup, language_id, license_scan, merkle, mixing, near_duplicates, quality, quotation, secret_scan, token_shards, toxicity
+from spanloom.llm import decontamination, exact_dedup, language_id, license_scan, merkle, mixing, near_duplicates, periodic_runs, quality, quotation, secret_scan, token_shards, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_quotation": quotation.op9_quotation,
     "op10_mixing": mixing.op10_mixing,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_secret_scan": secret_scan.op12_secret_scan,
     "op13_merkle": merkle.op13_merkle,
 }

@@ -115,7 +115,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None, text: Column | Non
     fields = {f: F.col(f"`{f}`") for f in FIELDS}
     leaf = leaf_digest(list(fields.values()))
     other = leaf if tampered is None else F.when(F.coalesce(tampered, F.lit(False)), leaf_digest(list({**fields, "text": text}.values()))).otherwise(leaf)
-    rows = docs.select("doc_id", "lang", leaf.alias("leaf"), other.alias("other"))
+    rows = stored(docs.select("doc_id", "lang", leaf.alias("leaf"), other.alias("other")), "merkle-digests")
     leaves = numbered(rows, "lang", ["doc_id", "leaf"])
     leaves = stored(leaves.select("lang", "pos", "n", F.struct(F.col("leaf").alias("digest"), "doc_id", "other").alias("own")), "merkle-leaves")
     above = levels(leaves, "lang")
@@ -124,9 +124,9 @@ def manifest(docs: DataFrame, tampered: Column | None = None, text: Column | Non
     langs = numbered(subroots.withColumn("all", F.lit(0)), "all", ["lang"])
     langs = stored(langs.select("all", "pos", "n", F.struct("digest", "lang").alias("own")), "merkle-languages")
     over = levels(langs, "all")
-    top = roots(langs, over, "all").select("all", F.lit(None).cast(_PATH).alias("path"), F.col("digest").alias("root"))
-    top = top.withColumn("path", F.array().cast(_PATH))
+    top = roots(langs, over, "all").select("all", F.array().cast(_PATH).alias("path"), F.col("digest").alias("root"))
     tops = proofs(langs, over, "all", top, "root").select(F.col("own.lang").alias("lang"), "path", F.col("own.digest").alias("subroot"), "root")
+    tops = stored(tops, "merkle-tops")
 
     found = proofs(leaves, above, "lang", tops, "subroot", "root")
     fold = F.aggregate("path", F.col("own.other"), lambda digest, level: F.sha2(F.concat(level["left"], digest, level["right"]), 256))

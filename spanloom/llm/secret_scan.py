@@ -7,7 +7,7 @@ hold no trigram has no query and scans all texts. DataFrame operations only.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 import re
 from re import _constants as ops
@@ -101,18 +101,28 @@ def _item(op, arg) -> tuple[frozenset[str] | None, Query]:
         if low == 0:
             return None, EVERYTHING
         one = query if strings is None else _holds(strings)
-        if strings is not None and len(strings) ** low <= WIDEST:
+        if strings is not None and len(strings) ** low <= WIDEST and low == high:
             several = frozenset([""])
             for _ in range(low):
                 several = frozenset(a + b for a in several for b in strings)
-            return (several, EVERYTHING) if low == high else (None, _holds(several))
+            return several, EVERYTHING
         return None, one
     return (frozenset([""]) if op is ops.AT else None), EVERYTHING
 
 
+def _unrolled(items) -> Iterator[tuple]:
+    """Repeats that must occur, apart from those that may follow."""
+    for op, arg in items:
+        if op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and 0 < arg[0] < arg[1]:
+            yield op, (arg[0], arg[0], arg[2])
+            yield op, (0, ops.MAXREPEAT, arg[2])
+        else:
+            yield op, arg
+
+
 def _sequence(items) -> tuple[frozenset[str] | None, Query]:
     strings, query, whole = frozenset([""]), EVERYTHING, True
-    for op, arg in items:
+    for op, arg in _unrolled(items):
         more, needs = _item(op, arg)
         if more is not None and len(strings) * len(more) <= WIDEST:
             strings = frozenset(a + b for a in strings for b in more)
@@ -132,9 +142,12 @@ def trigrams(text: Column, vocabulary: Sequence[str] | None = None) -> Column:
     """The distinct trigrams of a folded text: all, or those of ``vocabulary``."""
     if vocabulary is not None:
         return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in vocabulary]))
-    letters = F.split(text, "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(letters) - 2, F.lit(1)))
-    three = F.transform(starts, lambda i: F.concat(*[F.coalesce(F.get(letters, i + k), F.lit("")) for k in (-1, 0, 1)]))
+    def threes(letters: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(letters) - 2, F.lit(1)))
+        return F.transform(starts, lambda i: F.concat(*[F.coalesce(F.get(letters, i + k), F.lit("")) for k in (-1, 0, 1)]))
+
+    # As the argument of a function the letters are split once, not for each of them.
+    three = F.get(F.transform(F.array(F.split(text, "")), threes), 0)
     return F.filter(F.array_distinct(three), lambda t: F.char_length(t) == 3)
 
 

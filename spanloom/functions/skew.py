@@ -100,49 +100,77 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: Sequen
     return joined.withColumn(into, F.col("__base") + F.col("__local")).drop("__prev", "__s", "__local", "__base", _CHUNK)
 
 
+#: Value buckets to a doubling of the value; parts a bucket is cut into, so many times over.
+OCTAVE, PARTS, REFINEMENTS = 128, 4096, 2
+_LEAST_OCTAVE = 1 << 20  # no double is as small as 2 ** -(_LEAST_OCTAVE / OCTAVE)
+
+
 def _value_bucket(value: Column) -> Column:
-    """A bucket that never decreases as the value grows; each spans about 0.14 % of the value."""
-    size = F.floor(F.log2(F.abs(value) + F.lit(1.0)) * 512).cast("long")
-    return F.when(value < 0, -size).otherwise(size)
+    """A bucket that never decreases as the value grows; each spans about 0.5 % of the value, however small it is."""
+    size = F.floor(F.least(F.log2(F.abs(value)), F.lit(2048.0)) * OCTAVE).cast("long") + F.lit(_LEAST_OCTAVE)
+    return F.when(F.isnan(value), F.lit(2**62)).when(value == 0, F.lit(0)).when(value < 0, -size).otherwise(size)
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, wanted: Mapping[str, float],
-                      kind: str = "cont") -> DataFrame:
-    """Exact percentiles per key without holding a key's values in one task.
+def _part(value: Column, low: Column, high: Column) -> Column:
+    """The part of [low, high] that a value lies in, of equal width each."""
+    share = (value - low) / F.nullif(high - low, F.lit(0.0))
+    return F.coalesce(F.when(F.isnan(share) | (share < 0), F.lit(0.0)).otherwise(F.least(F.floor(share * PARTS), F.lit(PARTS - 1))), F.lit(0.0)).cast("int")
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: Column, **sums: Column) -> DataFrame:
+    """Rows per key and value, (``__k0`` ..., ``__v``, ``__n``), with further sums of the same rows; written once.
 
-    ``cont`` interpolates between neighbours; ``disc`` is the nearest rank.
-    Equal values are counted first. Value buckets give the rank at which each
-    bucket starts, and only buckets that hold a wanted rank are ordered.
+    Aggregates that can be put together from it and percentiles (``percentiles_from``) then need one scan for both.
+    """
+    names = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("__k0")]
+    return cut_lineage(df.groupBy(*names, value.cast("double").alias("__v")).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(name) for name, c in sums.items()]))
+
+
+def rank_buckets(counts: DataFrame, names: Sequence[str], wanted: Mapping[str, float], kind: str = "cont") -> tuple[DataFrame, dict]:
+    """The small value buckets that hold the wanted ranks, and each rank as a column of ``__total``.
+
+    A bucket has ``__start`` (values before it), ``__lo`` and ``__hi`` (its least and greatest value) and ``__size``
+    (distinct values). Buckets of the logarithm come first; those with a wanted rank are cut again into equal parts of
+    their own observed bounds, twice. Doubles have 52 bits, so no bucket left can hold more than some three million
+    values, however they lie, and hardly ever more than some dozens.
     """
-    names = [f"__k{i}" for i in range(len(keys))] or ["__k0"]
-    sources = [F.col(f"`{k}`") for k in keys] or [F.lit(0)]
-    counts = (df.select(*[s.alias(n) for s, n in zip(sources, names)], value.cast("double").alias("__v"))
-              .where(F.col("__v").isNotNull())
-              .withColumn("__b", _value_bucket(F.col("__v")))
-              .groupBy(*names, "__b", "__v").agg(F.count(F.lit(1)).alias("__n")))
-    by_key = Window.partitionBy(*names)
-    ordered = by_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    buckets = (counts.groupBy(*names, "__b").agg(F.sum("__n").alias("__m"))
-               .withColumn("__upto", F.sum("__m").over(ordered))
-               .withColumn("__total", F.sum("__m").over(by_key)))
-    # Ranks are 0-based; a rank lies in a bucket when start <= rank < end.
     ranks = {}
-    for name, p in wanted.items():
+    for name, p in wanted.items():  # 0-based
         if kind == "cont":
             position = F.lit(float(p)) * (F.col("__total") - 1)
             ranks[name] = (F.floor(position).cast("long"), F.ceil(position).cast("long"), position)
         else:
             nearest = F.greatest(F.ceil(F.lit(float(p)) * F.col("__total")).cast("long"), F.lit(1)) - 1
             ranks[name] = (nearest, nearest, nearest.cast("double"))
-    holds = F.lit(False)
-    start = F.col("__upto") - F.col("__m")
-    for low, high, _ in ranks.values():
-        for rank in (low, high):
-            holds = holds | ((rank >= start) & (rank < F.col("__upto")))
-    needed = buckets.where(holds).select(*names, "__b", (F.col("__upto") - F.col("__m")).alias("__start"), "__total")
-    inside = Window.partitionBy(*names, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = join_nullsafe(counts, needed, [*names, "__b"], "inner").withColumn(
-        "__cum", F.col("__start") + F.sum("__n").over(inside))
+    every = {str(rank): rank for low, high, _ in ranks.values() for rank in (low, high)}.values()
+    holds = reduce(lambda a, b: a | b, [(rank >= F.col("__start")) & (rank < F.col("__start") + F.col("__m")) for rank in every])
+    facts = [F.sum("__n").alias("__m"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__size")]
+    before = Window.unboundedPreceding, -1
+    by_key = Window.partitionBy(*names)
+    found = counts.groupBy(*names, "__b").agg(*facts).withColumns({
+        "__start": F.coalesce(F.sum("__m").over(by_key.orderBy("__b").rowsBetween(*before)), F.lit(0)), "__total": F.sum("__m").over(by_key)}).where(holds)
+    for _ in range(REFINEMENTS):
+        inside = within(counts, found, names).withColumn("__part", _part(F.col("__v"), F.col("__lo"), F.col("__hi")))
+        along = Window.partitionBy(*names, "__b", "__first").orderBy("__part").rowsBetween(*before)
+        found = (inside.groupBy(*names, "__b", F.col("__start").alias("__first"), "__total", "__part").agg(*facts)
+                 .withColumn("__start", F.col("__first") + F.coalesce(F.sum("__m").over(along), F.lit(0))).where(holds).drop("__first", "__part"))
+    return found, ranks
+
+
+def within(counts: DataFrame, buckets: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The counted values of some buckets, with what is known of the bucket."""
+    joined = join_nullsafe(counts, buckets.drop("__m", "__size"), [*names, "__b"], "inner")
+    return joined.where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+
+
+def percentiles_from(counts: DataFrame, keys: Sequence[str], wanted: Mapping[str, float], kind: str = "cont") -> DataFrame:
+    """Exact percentiles per key from ``value_counts``; see ``exact_percentiles``."""
+    names = [f"__k{i}" for i in range(len(keys))] or ["__k0"]
+    counts = counts.where(F.col("__v").isNotNull()).select(*names, "__v", "__n", _value_bucket(F.col("__v")).alias("__b"))
+    buckets, ranks = rank_buckets(counts, names, wanted, kind)
+    inside = Window.partitionBy(*names, "__start").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = within(counts, buckets, names).withColumn("__cum", F.col("__start") + F.sum("__n").over(inside))
     aggs = []
     for i, (low, high, _) in enumerate(ranks.values()):
         aggs.append(F.min(F.when(F.col("__cum") > low, F.col("__v"))).alias(f"__lo{i}"))
@@ -150,10 +178,25 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, wanted:
     found = placed.groupBy(*names, "__total").agg(*aggs)
     out = [F.col(n).alias(k) for n, k in zip(names, keys)]
     for i, (name, (low, _, position)) in enumerate(ranks.items()):
-        out.append((F.col(f"__lo{i}") + (F.col(f"__hi{i}") - F.col(f"__lo{i}")) * (position - low)).alias(name))
+        low_value, high_value = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        between = low_value + (high_value - low_value) * (position - low)
+        out.append(F.when(low_value == high_value, low_value).otherwise(between).alias(name))
     return found.select(*out)
 
 
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: Column, wanted: Mapping[str, float],
+                      kind: str = "cont") -> DataFrame:
+    """Exact percentiles per key without holding a key's values in one task.
+
+    ``cont`` interpolates between neighbours; ``disc`` is the nearest rank. Equal values are counted first, then
+    value buckets are narrowed around each wanted rank, and only what is left is ordered. NULL values do not count.
+    """
+    names = [F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)] or [F.lit(0).alias("__k0")]
+    counts = df.select(*names, value.cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    counts = counts.groupBy(*[F.col(f"__k{i}") for i in range(len(names))], "__v").agg(F.count(F.lit(1)).alias("__n"))
+    return percentiles_from(counts, keys, wanted, kind)
+
+
 def percentiles_of(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[Column, float]],
                    kind: str = "cont") -> DataFrame:
     """Percentiles of several columns in one pass: ``name -> (column, p)``, one row per key."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange
 from spanloom.functions import expr as E
-from spanloom.functions.skew import carry_last, cut_lineage, exact_percentiles, join_nullsafe, percentiles_of, runs
+from spanloom.functions.skew import carry_last, join_nullsafe, percentiles_from, percentiles_of, runs, value_counts
 from spanloom.functions.timebins import bin_ts
 
 BYTES_PER_TOKEN = 4
@@ -19,15 +19,37 @@ def tool_results(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: Te
     return logs.where((F.col("event_name") == cfg.tool_result) & w.scan() & E.in_repository(repo))
 
 
-def with_percentiles(grouped: DataFrame, rows: DataFrame, keys: list[str], value: str,
-                     wanted: dict[str, float], round_even: bool = True) -> DataFrame:
-    """Add exact percentile columns to an aggregate of the same rows."""
-    p = exact_percentiles(rows, keys, F.col(value), wanted)
+def aggregated_with_percentiles(rows: DataFrame, keys: list[str], value: str, aggs: dict[str, Column], wanted: dict[str, float],
+                                round_even: bool = True, **sums: Column) -> DataFrame:
+    """Aggregates per key with exact percentiles of ``value``, from one scan of the rows.
+
+    ``aggs`` are over rows per key and value: ``__v`` the value, ``__n`` its rows, and the ``sums`` asked for.
+    """
+    counts = value_counts(rows, keys, F.col(value), **sums)
+    grouped = counts.groupBy(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)]).agg(*[c.alias(name) for name, c in aggs.items()])
+    p = percentiles_from(counts, keys, wanted)
     if round_even:
         p = p.withColumns({c: F.bround(F.col(c)) for c in wanted})
     return join_nullsafe(grouped, p, keys)
 
 
+def counted_calls() -> Column:
+    return F.sum("__n")
+
+
+def counted_mean() -> Column:
+    """The mean of a value that is counted."""
+    return F.round(F.sum(F.col("__v") * F.col("__n")) / F.sum(F.when(F.col("__v").isNotNull(), F.col("__n"))))
+
+
+def duration_and_output(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Calls, mean and 95th percentile of the duration, and mean output per key."""
+    size = F.col("result_bytes")
+    return aggregated_with_percentiles(
+        rows, keys, "duration_ms", {"calls": counted_calls(), "avg_ms": counted_mean(), "avg_out": F.round(F.sum("bytes") / F.sum("sized"))}, {"p95_ms": 0.95},
+        bytes=size, sized=F.when(size.isNotNull(), F.lit(1)))
+
+
 def tool_calls(logs: DataFrame, w: TimeRange, repo: str | None = None) -> DataFrame:
     return tool_results(logs, w, repo).groupBy("tool").agg(E.row_count().alias("calls")).orderBy(F.desc("calls"), "tool")
 
@@ -45,10 +67,7 @@ def tool_calls_timeseries(logs: DataFrame, w: TimeRange, bucket_seconds: int, to
 
 
 def tool_performance(logs: DataFrame, w: TimeRange) -> DataFrame:
-    rows = tool_results(logs, w)
-    base = rows.groupBy("tool").agg(
-        E.row_count().alias("calls"), F.round(F.avg("duration_ms")).alias("avg_ms"), F.round(F.avg("result_bytes")).alias("avg_out"))
-    return with_percentiles(base, rows, ["tool"], "duration_ms", {"p95_ms": 0.95}).orderBy(F.desc("calls"), "tool")
+    return duration_and_output(tool_results(logs, w), ["tool"]).orderBy(F.desc("calls"), "tool")
 
 
 def tool_latency(spans: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
@@ -58,14 +77,13 @@ def tool_latency(spans: DataFrame, w: TimeRange, repo: str | None = None, cfg: T
                         & w.scan("start_timestamp") & F.col("duration_nanos").isNotNull()
                         & F.map_contains_key("attributes", F.lit("tool_name")) & E.in_repository(repo))
             .select(label.alias("tool"), "duration_nanos"))
-    base = rows.groupBy("tool").agg(E.row_count().alias("calls"))
-    return with_percentiles(base, rows, ["tool"], "duration_nanos", {"p50_nanos": 0.5, "p95_nanos": 0.95},
-                            round_even=False).orderBy(F.desc_nulls_last("p95_nanos"), "tool")
+    out = aggregated_with_percentiles(rows, ["tool"], "duration_nanos", {"calls": counted_calls()}, {"p50_nanos": 0.5, "p95_nanos": 0.95}, round_even=False)
+    return out.orderBy(F.desc_nulls_last("p95_nanos"), "tool")
 
 
 def _footprint(rows: DataFrame) -> DataFrame:
-    base = rows.groupBy("tool").agg(E.row_count().alias("calls"), E.rounded_long(F.sum("result_bytes")).alias("total_bytes"))
-    out = with_percentiles(base, rows, ["tool"], "result_bytes", {"p95_bytes": 0.95})
+    out = aggregated_with_percentiles(rows, ["tool"], "result_bytes", {
+        "calls": counted_calls(), "total_bytes": E.rounded_long(F.sum(F.col("__v") * F.col("__n")))}, {"p95_bytes": 0.95})
     return (out.withColumn("p95_bytes", F.col("p95_bytes").cast("long"))
             .withColumn("estimated_tokens", F.floor(F.col("total_bytes") / BYTES_PER_TOKEN).cast("long"))
             .orderBy(F.desc("total_bytes"), "tool"))
@@ -151,12 +169,9 @@ def tool_repeats(logs: DataFrame, w: TimeRange, repo: str | None = None, limit:
                .agg(F.max(F.struct("run_length", "run_bytes")).alias("best"))
                .select("tool", "scope", F.col("best.run_length").alias("longest_run"), F.col("best.run_bytes").alias("bytes"))
                .where("longest_run >= 2"))
-    # Read three times below; finding the runs is the dear part.
-    longest = cut_lineage(longest)
-    base = longest.groupBy("tool", "scope").agg(
-        F.max("longest_run").alias("max_run"), E.row_count().alias("sessions"),
-        E.rounded_long(F.sum("bytes") / BYTES_PER_TOKEN).alias("estimated_tokens_burned"))
-    out = with_percentiles(base, longest, ["tool", "scope"], "longest_run", {"median_run": 0.5})
+    out = aggregated_with_percentiles(longest, ["tool", "scope"], "longest_run", {
+        "max_run": F.max("__v").cast("long"), "sessions": counted_calls(),
+        "estimated_tokens_burned": E.rounded_long(F.sum("burned") / BYTES_PER_TOKEN)}, {"median_run": 0.5}, burned=F.col("bytes"))
     return (out.withColumn("median_run", F.col("median_run").cast("long"))
             .orderBy(F.desc("estimated_tokens_burned"), F.desc("max_run"), F.desc("median_run"), F.desc("sessions"), "tool", "scope")
             .limit(limit))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from spanloom.config import TimeRange
 from spanloom.functions import expr as E
 from spanloom.functions.skew import previous_row
-from spanloom.operators.tools import (failed, mcp_server_rollup, mcp_usage, sized_results, tool_results, tunable,
-                                      tunable_context_footprint, with_percentiles)
+from spanloom.operators.tools import (duration_and_output, failed, mcp_server_rollup, mcp_usage, sized_results, tool_results, tunable,
+                                      tunable_context_footprint)
 
 TOP = 10
 NEAR_MISS_DISTANCE = 3
@@ -37,10 +37,7 @@ def first_token(text: Column) -> Column:
 
 def bash_hotspots(logs: DataFrame, w: TimeRange, limit: int | None = TOP) -> DataFrame:
     rows = _bash(logs, w).select(first_token(E.strip_cd("command")).alias("command_prefix"), "duration_ms", "result_bytes")
-    base = rows.groupBy("command_prefix").agg(
-        E.row_count().alias("calls"), F.round(F.avg("duration_ms")).alias("avg_ms"), F.round(F.avg("result_bytes")).alias("avg_out"))
-    top = first_rows(base.orderBy(F.desc("calls"), "command_prefix"), limit)
-    return with_percentiles(top, rows, ["command_prefix"], "duration_ms", {"p95_ms": 0.95}).orderBy(F.desc("calls"), "command_prefix")
+    return first_rows(duration_and_output(rows, ["command_prefix"]).orderBy(F.desc("calls"), "command_prefix"), limit)
 
 
 def bash_coverage(logs: DataFrame, w: TimeRange) -> DataFrame:

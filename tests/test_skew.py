@@ -66,6 +66,54 @@ def test_exact_percentiles(spark, rows):
             assert disc[key][name] == values[max(0, int(np.ceil(q * len(values))) - 1)]
 
 
+def crowds(spark):
+    """Values that crowd any fixed grid: cents, ratios, a constant, large near-equal ones, tiny and signed ones."""
+    n = F.col("id")
+    kinds = {"cents": n / 20_000_000, "ratio": F.lit(1.0) - F.lit(1.0) / (n + 1), "constant": F.lit(7.25), "close": F.lit(1e15) + n, "closer": F.lit(1e6) + n / 1e9,
+             "tiny": F.pow(F.lit(10.0), -(n % 300)) * (n % 7 - 3), "halves": F.when(n % 2 == 0, n.cast("double")).otherwise(1e300)}
+    return spark.range(30_000).select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), v.cast("double").alias("v")) for k, v in kinds.items()])))
+
+
+def test_percentiles_of_crowded_values(spark):
+    df, p = crowds(spark), {"p5": 0.05, "p50": 0.5, "p95": 0.95}
+    got = {r.k: r for r in skew.exact_percentiles(df, ["k"], F.col("v"), p).collect()}
+    exact = df.groupBy("k").agg(*[F.expr(f"percentile(v, {q})").alias(name) for name, q in p.items()]).collect()
+    assert len(exact) == 7
+    for want in exact:
+        for name in p:
+            assert got[want.k][name] == pytest.approx(want[name], rel=1e-12), (want.k, name)
+
+
+def test_no_crowded_bucket_is_left(spark):
+    counts = skew.value_counts(crowds(spark), ["k"], F.col("v"))
+    counts = counts.select("__k0", "__v", "__n", skew._value_bucket(F.col("__v")).alias("__b"))
+    buckets, _ = skew.rank_buckets(counts, ["__k0"], {"p5": 0.05, "p50": 0.5, "p95": 0.95})
+    first = counts.groupBy("__k0", "__b").count()
+    assert first.agg(F.max("count")).first()[0] > 6_000  # the logarithm alone leaves crowds
+    assert buckets.agg(F.max("__size")).first()[0] < 100
+
+
+def test_percentiles_of_what_is_no_number(spark):
+    rows = [("a", float("nan")), ("a", float("inf")), ("a", -0.0), ("a", 0.0), ("b", None), (None, 5.0), (None, 6.0), ("c", float("-inf"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.m for r in skew.exact_percentiles(df, ["k"], F.col("v"), {"m": 0.5}, kind="disc").collect()}
+    assert got == {"a": 0.0, None: 5.0, "c": float("-inf")}
+    assert skew.exact_percentiles(df.limit(0), ["k"], F.col("v"), {"m": 0.5}).count() == 0
+
+
+def test_counts_feed_aggregates_and_percentiles_from_one_scan(spark, tmp_path):
+    spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v")).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    plan = skew.exact_percentiles(df, ["k"], F.col("v"), {"m": 0.5})
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    final = text[:text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+    counts = skew.value_counts(df, ["k"], F.col("v"), twice=F.col("v") * 2)
+    assert listed(counts.groupBy("__k0").agg(F.sum("__n").alias("n"), F.sum("twice").alias("t")), "__k0", "n", "t") == [
+        (k, len(range(k, 1000, 3)), 2 * sum(range(k, 1000, 3))) for k in range(3)]
+
+
 def test_top_value_breaks_ties_low(spark):
     df = spark.createDataFrame([("a", "y"), ("a", "x"), ("a", None), ("b", "z")], "k string, v string")
     assert listed(skew.top_value(df, ["k"], "v", "m"), "k", "m") == [("a", "x"), ("b", "z")]

@@ -3,34 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+import regex
 
 from spanloom.llm.common import batches, read_table, remainder, texts
 
 #: n-grams of one to so many letters inside blank-padded words; n-grams in a profile.
 LONGEST, PROFILE = 3, 300
 FOLDS, UNKNOWN = 5, "und"
-#: Counts a training task holds before it passes them on.
-HELD_COUNTS = 200_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Counts a training task holds before it passes them on; n-grams that wait to be counted; letters looked at in one go.
+HELD_COUNTS, WAITING, SLICE = 200_000, 1_000_000, 250_000
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _BITS = 21
 
 
-def grams(text: str) -> np.ndarray:
-    """Every n-gram of the text's words as a number: 21 bits a character, padded words, no lone blank."""
-    words = _LETTERS.findall(text.lower())
+def grams(text: str, slice_size: int = SLICE) -> Iterator[np.ndarray]:
+    """Every n-gram of the text's words as a number, slice by slice: 21 bits a character, padded words, no lone blank.
+
+    A word is a letter and the letters and marks after it. A slice holds the n-grams that begin in it.
+    """
+    words = _WORD.findall(text.lower())
     if not words:
-        return np.empty(0, dtype=np.int64)
-    points = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        return
+    line = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), dtype=np.uint32)
+    for begin in range(0, len(line), slice_size):
+        yield _grams(line[begin:begin + slice_size + LONGEST - 1].astype(np.int64), min(slice_size, len(line) - begin))
+
+
+def _grams(points: np.ndarray, begins: int) -> np.ndarray:
+    """The n-grams that begin at one of the first ``begins`` points."""
     blank = points == 0x20
-    found = [points[~blank]]
+    found = [points[:begins][~blank[:begins]]]
     for n in range(2, LONGEST + 1):
-        size = len(points) - n + 1
+        size = max(min(len(points) - n + 1, begins), 0)
         key = points[:size].copy()
         inside = np.ones(size, dtype=bool)
         for k in range(1, n):
@@ -43,9 +52,37 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(found)
 
 
+class Counts:
+    """Occurrences of numbers, added up whenever many wait."""
+
+    def __init__(self, waiting: int = WAITING):
+        self.limit, self.parts, self.size = waiting, [], 0
+        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        self.parts.append(keys)
+        self.size += len(keys)
+        if self.size >= self.limit:
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts:
+            keys, counts = np.unique(np.concatenate(self.parts), return_counts=True)
+            self.parts, self.size = [], 0
+            if len(self.keys):
+                merged, place = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+                counts = np.bincount(place, np.concatenate([self.counts, counts])).astype(np.int64)
+                keys = merged
+            self.keys, self.counts = keys, counts
+        return self.keys, self.counts
+
+
 def ranked(text: str, size: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams of the whole text, by falling count, then by number."""
-    keys, counts = np.unique(grams(text), return_counts=True)
+    seen = Counts()
+    for some in grams(text):
+        seen.add(some)
+    keys, counts = seen.settle()
     if len(keys) > size:
         least = np.partition(counts, len(counts) - size)[len(counts) - size]
         keys, counts = keys[counts >= least], counts[counts >= least]
@@ -57,21 +94,21 @@ def train_profiles(labelled: DataFrame, size: int = PROFILE) -> dict[str, np.nda
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, Counts] = {}
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for lang, seen in held.items():
+                yield from batches(((lang, int(k), int(c)) for k, c in zip(*seen.settle())), schema)
+            held.clear()
+
         for batch in stream:
-            by_lang: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by_lang.setdefault(lang, []).append(grams(text.decode()))
-            for lang, parts in by_lang.items():
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                if lang in held:
-                    keys, place = np.unique(np.concatenate([held[lang][0], keys]), return_inverse=True)
-                    counts = np.bincount(place, np.concatenate([held[lang][1], counts])).astype(np.int64)
-                held[lang] = keys, counts
-            if sum(len(k) for k, _ in held.values()) > HELD_COUNTS:
-                yield from (b for lang, kc in held.items() for b in batches(((lang, int(k), int(c)) for k, c in zip(*kc)), schema))
-                held = {}
-        yield from (b for lang, kc in held.items() for b in batches(((lang, int(k), int(c)) for k, c in zip(*kc)), schema))
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seen = held.setdefault(lang, Counts(WAITING // 4))
+                for some in grams(text.as_py().decode()):
+                    seen.add(some)
+                if sum(len(s.keys) for s in held.values()) > HELD_COUNTS or sum(s.size for s in held.values()) > WAITING:
+                    yield from passed_on()
+        yield from passed_on()
 
     counts = texts(labelled.where(F.col("lang").isNotNull()), "lang").mapInArrow(count, "lang string, gram long, n long")
     totals = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -106,10 +143,11 @@ class Ranks:
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, lang_pred, score, n_letters) of every document; score is 1 less the mean share of places a rank is out.
+    """(doc_id, lang_pred, score) of every document; score is 1 less the mean share of places a rank is out.
 
-    NULL texts, and texts without a letter, are ``und`` with score 0; so is everything where nothing could be
-    learned. Equal distances go to the language that sorts first. Other columns are ignored.
+    NULL texts, and texts without a letter (numerals and marks alone are none), are ``und`` with score 0; so is everything
+    where nothing could be learned. Equal distances go to the language that sorts first. Repeated rows are separate, and a
+    NULL doc_id stays. A long text is counted in slices. Other columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
     ranks = Ranks(profiles)

@@ -1,6 +1,7 @@
 """Operators against brute force, round trips and held-out accuracy, on small fixtures with awkward rows."""
 
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -227,16 +228,44 @@ def test_token_ids_are_those_of_the_plain_library(spark):
     assert collected(shards, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(rows, key=repr)
 
 
+def plain_grams(text):
+    found = []
+    for word in re.findall(r"[^\W\d_][\w\u0900-\u097F]*", "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text.lower())):
+        padded = f" {word} "
+        found += [padded[i:i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1) if padded[i:i + n].strip()]
+    return [sum(ord(c) << (21 * k) for k, c in enumerate(g)) for g in found]
+
+
+def plain_ranking(keys):
+    counts = {}
+    for g in keys:
+        counts[g] = counts.get(g, 0) + 1
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:language_id.PROFILE]
+
+
+def plain_distance(ranking, profile):
+    out = sum(abs(i - profile.index(g)) if g in profile else language_id.PROFILE for i, g in enumerate(ranking))
+    return out / (language_id.PROFILE * max(len(ranking), 1))
+
+
 def test_language(spark, docs):
     english, german = "the cat sat on the mat with the hat", "der hund und die katze sind nicht hier"
     labelled = spark.createDataFrame([("en", english)] * 3 + [("de", german)] * 3 + [(None, "zzz"), ("en", None)], "lang string, text string")
     profiles = language_id.train_profiles(labelled)
     ranks = language_id.Ranks(profiles)
     assert ranks.predict("the hat and the cat")[0] == "en" and ranks.predict("die katze und der hund")[0] == "de" and ranks.predict("12 !") == ("und", 0.0)
-    counts = {}
-    for g in language_id.grams(english):
-        counts[int(g)] = counts.get(int(g), 0) + 1
-    assert language_id.ranked(english).tolist() == [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:language_id.PROFILE]
+    for text in (english, german, "ab " * 40 + "x" * 90, "नमस्ते दुनिया", "½ ① Ⅷ ²³ 12 !", "", "a"):
+        plain = plain_grams(text)
+        for size in (7, 50, 250_000):
+            assert sorted(g for some in language_id.grams(text, size) for g in some.tolist()) == sorted(plain)
+        assert language_id.ranked(text).tolist() == plain_ranking(plain)
+        best = min(sorted(profiles), key=lambda lang: plain_distance(plain_ranking(plain), profiles[lang].tolist()))
+        want = (best, 1 - plain_distance(plain_ranking(plain), profiles[best].tolist())) if plain else ("und", 0.0)
+        got = ranks.predict(text)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1])
+    assert profiles["en"].tolist() == plain_ranking(plain_grams(english) * 3)
+    assert language_id.identify(docs.limit(0), profiles).count() == 0 and language_id.train_profiles(labelled.limit(0)) == {}
+    assert ranks.predict("½ ① Ⅷ ²³")[0] == "und"
     found = {r.doc_id: r for r in language_id.identify(docs, profiles).collect()}
     assert found[4].lang_pred == found[5].lang_pred == found[6].lang_pred == "und" and all(0 <= r.score <= 1 for r in found.values())
     assert {r.lang_pred for r in language_id.identify(docs, {}).collect()} == {"und"}

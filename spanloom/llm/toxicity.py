@@ -182,8 +182,16 @@ class Trainer:
         for words, label in rows:  # of the texts, word numbers alone are kept
             self.windows.append(windows_of(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words), np.int32, len(words))))
             self.labels.append(label)
-        self.words = word_slots(list(vocabulary))
-        self.slots, self.begins = char_slots(list(vocabulary))
+        spelled = list(vocabulary)
+        del vocabulary
+        self.words = word_slots(spelled)
+        # Some words at a time: on the way, a slot takes many times the bytes that are kept of it.
+        pieces = [char_slots(spelled[at:at + 20_000]) for at in range(0, len(spelled), 20_000)]
+        pieces = [(slots.astype(np.int32), begins) for slots, begins in pieces]
+        before = np.cumsum([0, *(len(slots) for slots, _ in pieces)])
+        self.slots = np.concatenate([slots for slots, _ in pieces])
+        self.begins = np.concatenate([begins + n for (_, begins), n in zip(pieces, before)])
+        del spelled, pieces
         self.ends = np.concatenate([self.begins[1:], [len(self.slots)]])
         self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.net.p.items()}
         self.steps = 0

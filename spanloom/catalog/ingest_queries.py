@@ -61,6 +61,33 @@ query("flatten_otlp_spans", lambda t: enrich_spans(otlp.flatten_otlp_spans(expor
     "trace_id", "span_id", "parent_span_id", "name", "kind", "start_timestamp", "duration_nanos", "status_code", "total_tokens"), """
     SELECT tr AS trace_id, sp AS span_id, parent AS parent_span_id, name, 'internal' AS kind, epoch_us(st) AS start_timestamp, nanos AS duration_nanos, status AS status_code,
       CAST(ti + tou + tcc + tcr AS DOUBLE) AS total_tokens FROM spans""")
+
+
+LEVELS = 11
+
+
+def _deep_logs(t):
+    """Every log with one attribute of lists in maps in lists, ``LEVELS`` deep, and quotes and brackets in the string at its bottom."""
+    value = F.struct(F.concat("session_id", F.lit(' "'), F.col("id").cast("string"), F.lit('" ]},{[ \\')).alias("stringValue"))
+    for i in range(LEVELS):
+        if i % 2:
+            value = F.struct(F.struct(F.array(value, value).alias("values")).alias("arrayValue")) if i == 1 else F.struct(F.struct(F.array(value).alias("values")).alias("arrayValue"))
+        else:
+            value = F.struct(F.struct(F.array(F.struct(F.lit(f"k {i}").alias("key"), value.alias("value"))).alias("values")).alias("kvlistValue"))
+    item = F.struct(_nanos("timestamp").alias("timeUnixNano"), F.col("span_id").alias("spanId"), value.alias("body"),
+                    F.array(F.struct(F.lit("deep").alias("key"), value.alias("value"))).alias("attributes"))
+    rows = otlp.flatten_otlp_logs(_export(t.logs, "resourceLogs", "scopeLogs", "logRecords", item))
+    return rows.select("timestamp", "span_id", "body", F.col("attributes")["deep"].alias("deep"), F.array_join("nested_attribute_keys", ",").alias("nested_keys"))
+
+
+def _deep_sql():
+    text = """'"' || sid || ' \\"' || id || '\\" ]},{[ \\\\"'"""
+    for i in range(LEVELS):
+        text = (f"'[' || {text} || ',' || {text} || ']'" if i == 1 else f"'[' || {text} || ']'") if i % 2 else f"""'{{"k {i}":' || {text} || '}}'"""
+    return f"SELECT epoch_us(ts) AS timestamp, sp AS span_id, {text} AS body, {text} AS deep, 'deep' AS nested_keys FROM logs"
+
+
+query("ingest_deep_values", _deep_logs, _deep_sql())
 query("enrich_logs", lambda t: t.live.logs.select(*_LOG_COLUMNS), _LOG_SQL)
 query("stored_logs", lambda t: t.logs.select(*_LOG_COLUMNS), _LOG_SQL)
 query("counter_deltas", lambda t: t.live.points.select("id", "metric_name", "session_id", "timestamp", "value_delta"), """

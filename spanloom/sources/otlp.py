@@ -6,35 +6,28 @@ that does not parse yields no rows; ``rejected_exports`` gives it with the reaso
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.expr import blank_to_null, number
 
-# Nested attribute values are read to this depth; deeper ones are dropped.
-NESTING = 4
-
 # Protocol numbers and names of kinds and codes.
 SPAN_KINDS = {1: "internal", 2: "server", 3: "client", 4: "producer", 5: "consumer"}
 STATUS_CODES = {1: "ok", 2: "error"}
 
 
-def _any_value(depth: int) -> str:
-    scalars = "stringValue: string, boolValue: string, intValue: string, doubleValue: string, bytesValue: string"
-    if depth == 0:
-        return f"struct<{scalars}>"
-    inner = _any_value(depth - 1)
-    return (f"struct<{scalars}, arrayValue: struct<values: array<{inner}>>, "
-            f"kvlistValue: struct<values: array<struct<key: string, value: {inner}>>>>")
-
-
-_ATTRS = f"array<struct<key: string, value: {_any_value(NESTING)}>>"
+# A list or map is read as the JSON text it was sent as, so that no depth is lost.
+_VALUE = "struct<stringValue: string, boolValue: string, intValue: string, doubleValue: string, bytesValue: string, arrayValue: string, kvlistValue: string>"
+_ATTRS = f"array<struct<key: string, value: {_VALUE}>>"
 _HEAD = f"resource: struct<attributes: {_ATTRS}>"
 _SCOPE = f"scope: struct<name: string, attributes: {_ATTRS}>"
 _NUMBER_POINTS = (f"struct<dataPoints: array<struct<timeUnixNano: string, startTimeUnixNano: string, asDouble: string, asInt: string, "
                   f"attributes: {_ATTRS}>>>")
 _LOGS = (f"resourceLogs array<struct<{_HEAD}, scopeLogs: array<struct<{_SCOPE}, logRecords: array<struct<timeUnixNano: string, "
-         f"observedTimeUnixNano: string, severityNumber: string, severityText: string, body: {_any_value(NESTING)}, traceId: string, "
+         f"observedTimeUnixNano: string, severityNumber: string, severityText: string, body: {_VALUE}, traceId: string, "
          f"spanId: string, attributes: {_ATTRS}>>>>>>")
 _METRICS = (f"resourceMetrics array<struct<{_HEAD}, scopeMetrics: array<struct<{_SCOPE}, metrics: array<struct<name: string, unit: string, "
             f"description: string, sum: {_NUMBER_POINTS}, gauge: {_NUMBER_POINTS}>>>>>>")
@@ -43,50 +36,71 @@ _SPANS = (f"resourceSpans array<struct<{_HEAD}, scopeSpans: array<struct<{_SCOPE
           f"status: struct<code: string, message: string>, events: array<struct<name: string, timeUnixNano: string, attributes: {_ATTRS}>>>>>>>>")
 
 
-# The expressions below are SQL text: nested lambdas are long, and the parser reads them at once.
-
-def _quoted(x: str) -> str:
-    return f"substring(to_json(array({x})), 2, length(to_json(array({x}))) - 2)"
-
-
-def _nested_json(v: str, depth: int) -> list[str]:
-    if depth == 0:
-        return []
-    e = f"e{depth}"
-    items = f"transform({v}.arrayValue.values, {e} -> coalesce({_json(e, depth - 1)}, 'null'))"
-    pairs = f"transform({v}.kvlistValue.values, {e} -> concat({_quoted(e + '.key')}, ':', coalesce({_json(e + '.value', depth - 1)}, 'null')))"
-    return [f"CASE WHEN {v}.arrayValue IS NOT NULL THEN concat('[', coalesce(array_join({items}, ','), ''), ']') END",
-            f"CASE WHEN {v}.kvlistValue IS NOT NULL THEN concat('{{', coalesce(array_join({pairs}, ','), ''), '}}') END"]
-
-
-def _json(v: str, depth: int) -> str:
-    quoted = [f"CASE WHEN {v}.{k} IS NOT NULL THEN {_quoted(f'{v}.{k}')} END" for k in ("stringValue", "bytesValue")]
-    return f"coalesce({', '.join([*quoted, f'{v}.boolValue', f'{v}.intValue', f'{v}.doubleValue', *_nested_json(v, depth)])})"
-
-
-def _text(v: str, depth: int = NESTING) -> str:
-    parts = [f"{v}.{k}" for k in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue")]
-    return f"coalesce({', '.join([*parts, *_nested_json(v, depth)])})"
-
-
-def any_text(v: str) -> Column:
+# Stand-ins, none of which can occur in JSON text: for an escaped backslash and quote, for the punctuation inside
+# strings, and for the brackets of values that are done.
+_ESCAPES = (("\\\\", "\x01"), ('\\"', "\x02"))
+_PUNCTUATION, _HIDDEN = "{}[],:", "\x03\x04\x05\x06\x0e\x0f"
+_DONE = {"[": "\x10", "]": "\x11", "{": "\x12", "}": "\x13"}
+_FLAT = r"([^{}\[\]]*)"
+#: One level of protocol wrapping, innermost first, and the plain value it stands for.
+_UNWRAP = (
+    (r'\{"value":' + _FLAT + r',"key":("[^"]*")\}', "$2:$1"),
+    (r'\{"key":("[^"]*"),"value":' + _FLAT + r"\}", "$1:$2"),
+    (r'\{"key":("[^"]*")\}', "$1:null"),
+    (r'\{"arrayValue":\{(?:"values":\[' + _FLAT + r"\])?\}\}", f"{_DONE['[']}$1{_DONE[']']}"),
+    (r'\{"kvlistValue":\{(?:"values":\[' + _FLAT + r"\])?\}\}", f"{_DONE['{']}$1{_DONE['}']}"),
+)
+
+
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, though it is used several times."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def plain_json(wrapped: Column) -> Column:
+    """A list or map of the protocol's JSON form as plain JSON text, however deep it is.
+
+    Strings are shielded first, so that what is left of punctuation is structure. Then scalars lose their wrapping, and
+    each pass unwraps the innermost level that is left; there are as many passes as the text has levels of lists.
+    Whatever is not of the protocol's form stays as it was sent.
+    """
+    for text, code in _ESCAPES:
+        wrapped = F.replace(wrapped, F.lit(text), F.lit(code))
+    parts = F.transform(F.split(wrapped, '"', -1), lambda part, i: F.when(i % 2 == 1, F.translate(part, _PUNCTUATION, _HIDDEN)).otherwise(
+        F.regexp_replace(part, r"\s+", "")))
+    shielded = F.array_join(parts, '"')
+    shielded = F.regexp_replace(shielded, r'\{"(?:stringValue|bytesValue|boolValue)":([^{}\[\],]*)\}', "$1")
+    shielded = F.regexp_replace(shielded, r'\{"(?:intValue|doubleValue)":"?([^"{}\[\],]*)"?\}', "$1")
+    shielded = F.regexp_replace(shielded, r'(?<="value":)\{\}|(?<=[\[,])\{\}(?=[,\]])', "null")
+
+    def unwrapped(text: Column) -> Column:
+        depth = F.aggregate(F.regexp_extract_all(text, F.lit(r"[\[\]]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+                            lambda d, b: F.struct((d["now"] + F.when(b == "[", 1).otherwise(-1)).alias("now"),
+                                                  F.greatest(d["most"], d["now"] + 1).alias("most")), lambda d: d["most"])
+        return F.aggregate(F.sequence(F.lit(0), depth), text, lambda t, _: reduce(lambda x, rule: F.regexp_replace(x, *rule), _UNWRAP, t))
+
+    text = _with(shielded, unwrapped)
+    text = F.translate(text, _HIDDEN + "".join(_DONE.values()), _PUNCTUATION + "".join(_DONE))
+    for plain, code in _ESCAPES:
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
+
+
+def any_text(v: Column) -> Column:
     """Scalars as plain text, lists and maps as JSON text, an empty value as NULL."""
-    return F.expr(_text(v))
-
-
-def _map(pairs: str) -> str:
-    named = f"filter({pairs}, p -> p.key IS NOT NULL)"
-    return f"coalesce(map_from_entries(transform({named}, p -> struct(p.key, {_text('p.value')}))), CAST(map() AS MAP<STRING, STRING>))"
+    nested = [F.when(v[kind].isNotNull(), plain_json(F.concat(F.lit('{"' + kind + '":'), v[kind], F.lit("}")))) for kind in ("arrayValue", "kvlistValue")]
+    return F.coalesce(*[v[kind] for kind in ("stringValue", "boolValue", "intValue", "doubleValue", "bytesValue")], *nested)
 
 
-def attribute_map(pairs: str) -> Column:
+def attribute_map(pairs: Column) -> Column:
     """Attributes as a map; of equal keys the last one counts."""
-    return F.expr(_map(pairs))
+    entries = F.transform(F.filter(pairs, lambda p: p["key"].isNotNull()), lambda p: F.struct(p["key"], any_text(p["value"])))
+    return F.coalesce(F.map_from_entries(entries), F.create_map().cast("map<string, string>"))
 
 
-def nested_keys(pairs: str) -> Column:
-    nested = f"filter({pairs}, p -> p.value.arrayValue IS NOT NULL OR p.value.kvlistValue IS NOT NULL)"
-    return F.expr(f"coalesce(transform({nested}, p -> p.key), CAST(array() AS ARRAY<STRING>))")
+def nested_keys(pairs: Column) -> Column:
+    nested = F.filter(pairs, lambda p: p["value"]["arrayValue"].isNotNull() | p["value"]["kvlistValue"].isNotNull())
+    return F.coalesce(F.transform(nested, lambda p: p["key"]), F.array().cast("array<string>"))
 
 
 def _nanos_time(nanos: Column) -> Column:
@@ -119,8 +133,8 @@ def _exploded(df: DataFrame, schema: str, outer: str, scopes: str, items: str) -
 
 
 def _common() -> list[Column]:
-    return [F.col("s.scope.name").alias("scope_name"), attribute_map("r.resource.attributes").alias("resource_attributes"),
-            attribute_map("s.scope.attributes").alias("scope_attributes"), F.col("received_at")]
+    return [F.col("s.scope.name").alias("scope_name"), attribute_map(F.col("r.resource.attributes")).alias("resource_attributes"),
+            attribute_map(F.col("s.scope.attributes")).alias("scope_attributes"), F.col("received_at")]
 
 
 def _identified(df: DataFrame, *columns: str) -> DataFrame:
@@ -136,8 +150,8 @@ def flatten_otlp_logs(df: DataFrame) -> DataFrame:
     rows = _exploded(df, _LOGS, "resourceLogs", "scopeLogs", "logRecords").select(
         F.coalesce(_nanos_time(x["timeUnixNano"]), observed).alias("timestamp"), observed.alias("observed_timestamp"),
         F.nullif(number(x["severityNumber"], "int"), F.lit(0)).alias("severity_number"), blank_to_null(x["severityText"]).alias("severity_text"),
-        any_text("x.body").alias("body"), _hex(x["traceId"]).alias("trace_id"), _hex(x["spanId"]).alias("span_id"),
-        attribute_map("x.attributes").alias("attributes"), nested_keys("x.attributes").alias("nested_attribute_keys"), *_common())
+        any_text(x["body"]).alias("body"), _hex(x["traceId"]).alias("trace_id"), _hex(x["spanId"]).alias("span_id"),
+        attribute_map(x["attributes"]).alias("attributes"), nested_keys(x["attributes"]).alias("nested_attribute_keys"), *_common())
     return _identified(rows, "timestamp", "trace_id", "span_id", "body", "attributes")
 
 
@@ -152,21 +166,21 @@ def flatten_otlp_metrics(df: DataFrame) -> DataFrame:
         _nanos_time(p["timeUnixNano"]).alias("timestamp"), _nanos_time(p["startTimeUnixNano"]).alias("start_timestamp"),
         double.alias("value_double"), F.when(double.isNull(), whole).alias("value_long"),
         F.when(double.isNotNull(), "double").when(whole.isNotNull(), "long").otherwise("unknown").alias("value_kind"),
-        attribute_map("p.attributes").alias("attributes"), *_common())
+        attribute_map(p["attributes"]).alias("attributes"), *_common())
     return _identified(rows, "metric_name", "timestamp", "start_timestamp", "value_double", "value_long", "attributes")
 
 
 def flatten_otlp_spans(df: DataFrame) -> DataFrame:
     x = F.col("x")
     start, end = number(x["startTimeUnixNano"], "long"), number(x["endTimeUnixNano"], "long")
-    at = "CASE WHEN try_cast(v.timeUnixNano AS BIGINT) > 0 THEN timestamp_micros(try_cast(v.timeUnixNano AS BIGINT) DIV 1000) END"
-    events = F.expr(f"transform(x.events, v -> struct(v.name AS name, {at} AS timestamp, {_map('v.attributes')} AS attributes))")
+    events = F.transform(x["events"], lambda e: F.struct(e["name"].alias("name"), _nanos_time(e["timeUnixNano"]).alias("timestamp"),
+                                                         attribute_map(e["attributes"]).alias("attributes")))
     rows = _exploded(df, _SPANS, "resourceSpans", "scopeSpans", "spans").select(
         _hex(x["traceId"]).alias("trace_id"), _hex(x["spanId"]).alias("span_id"), _hex(x["parentSpanId"]).alias("parent_span_id"),
         x["name"].alias("name"), _labelled(x["kind"], SPAN_KINDS, "SPAN_KIND_").alias("kind"),
         _nanos_time(x["startTimeUnixNano"]).alias("start_timestamp"), _nanos_time(x["endTimeUnixNano"]).alias("end_timestamp"),
         (end - start).alias("duration_nanos"), _labelled(x["status"]["code"], STATUS_CODES, "STATUS_CODE_").alias("status_code"),
-        blank_to_null(x["status"]["message"]).alias("status_message"), attribute_map("x.attributes").alias("attributes"),
+        blank_to_null(x["status"]["message"]).alias("status_message"), attribute_map(x["attributes"]).alias("attributes"),
         F.when(F.size(x["events"]) > 0, events).alias("events"), *_common())
     return _identified(rows, "trace_id", "span_id", "start_timestamp")
 

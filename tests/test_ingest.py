@@ -1,6 +1,7 @@
 from datetime import datetime, timezone
 import json
 import os
+import random
 
 from conftest import T0, HOUR, at, listed
 from pyspark.sql import functions as F
@@ -201,3 +202,46 @@ def test_report_words_its_findings(logs):
 
 def test_shapes_have_no_surprises():
     assert [f.name for f in LOG_SCHEMA.fields][:2] == ["id", "timestamp"]
+
+
+def wrapped(value):
+    """A plain value in the protocol's JSON form."""
+    if value is None:
+        return {}
+    if isinstance(value, bool):
+        return {"boolValue": value}
+    if isinstance(value, int):
+        return {"intValue": str(value)}
+    if isinstance(value, float):
+        return {"doubleValue": value}
+    if isinstance(value, str):
+        return {"stringValue": value}
+    if isinstance(value, list):
+        return {"arrayValue": {"values": [wrapped(v) for v in value]} if value else {}}
+    return {"kvlistValue": {"values": [{"key": k, "value": wrapped(v)} for k, v in value.items()]} if value else {}}
+
+
+def deep(rnd, depth):
+    strings = ["plain", 'q"uote', "back\\slash\\", "{\"stringValue\":\"x\"}", "[1,{2}]", "a: b, c", "line\nbreak\ttab", "é 𝒳 \u2028", "", '\\"', "}]}", "\x7f"]
+    if depth == 0:
+        return rnd.choice([None, True, False, 7, -(2 ** 62), 1.5, *strings])
+    if rnd.random() < 0.5:
+        return [deep(rnd, rnd.randrange(depth)) for _ in range(rnd.randrange(4))] + [deep(rnd, depth - 1)]
+    return {rnd.choice(strings) + str(i): deep(rnd, rnd.randrange(depth)) for i in range(rnd.randrange(3))} | {"last": deep(rnd, depth - 1)}
+
+
+def test_values_of_any_depth(spark):
+    rnd = random.Random(6)
+    values = [deep(rnd, d) for d in [1, 2, 3, 5, 9, 12] * 12] + [[], {}, [[]], [{}], {"a": {}}, {"a": []}, [None], {"a": None}]
+    tall = "bottom"
+    for i in range(60):
+        tall = [tall] if i % 2 else {"k": tall}
+    values += [tall, ["x" * 50_000 + '\\"' * 5_000], list(range(3000))]
+    rows = [(i, json.dumps({"key": "v", "value": wrapped(v)}, ensure_ascii=i % 2 == 0, indent=2 if i % 3 == 0 else None)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "i int, value string")
+    pair = F.from_json("value", f"struct<key: string, value: {otlp._VALUE}>")
+    got = {r.i: r.t for r in df.select("i", otlp.any_text(pair["value"]).alias("t")).collect()}
+    for i, v in enumerate(values):
+        if isinstance(v, (list, dict)):
+            assert json.loads(got[i]) == v, v
+    assert got[len(values) - 1] == "[" + ",".join(map(str, range(3000))) + "]"

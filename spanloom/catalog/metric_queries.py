@@ -36,7 +36,7 @@ query("metric_catalog", lambda t: M.metric_catalog(t.points, W), f"""
     SELECT metric AS metric_name, max(unit) AS unit, count(DISTINCT stream) AS cardinality, {_HEALTH.format(n='count(DISTINCT stream)')} AS health FROM points GROUP BY metric""")
 query("catalog_sparklines", lambda t: M.catalog_sparklines(t.points, W), """
     SELECT metric AS metric_name, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 324000000000 AS bucket_index, count(*) AS row_count FROM points GROUP BY 1, 2""")
-query("metric_names", lambda t: M.metric_names(t.points), "SELECT metric AS metric_name, min(unit) AS unit FROM points GROUP BY metric")
+query("metric_names", lambda t: M.metric_names(t.points, t.kept), "SELECT metric AS metric_name, min(unit) AS unit FROM points GROUP BY metric")
 _DBL = f"round(coalesce(sum(d) FILTER ({_CUR}), 0), 6) AS current_total, round(coalesce(sum(d) FILTER ({_PRI}), 0), 6) AS prior_total"
 query("metric_totals", lambda t: M.metric_totals(t.points, NAMES, CP), f"SELECT metric AS metric_name, {_DBL} FROM moving GROUP BY metric")
 query("metric_totals_filtered", lambda t: M.metric_totals(t.points, [CFG.token_metric], CP, wanted={"model": "m1", "decision": None}),
@@ -59,7 +59,7 @@ query("metric_attribute_facets", lambda t: M.metric_attribute_facets(t.points, C
           UNION ALL SELECT 'vcs.repository.url.full', repo FROM s WHERE repo IS NOT NULL),
     c AS (SELECT k, v, count(*) AS n FROM p GROUP BY 1, 2)
     SELECT k AS attribute_key, v AS attribute_value, n AS stream_count FROM c""")
-query("metric_series", lambda t: M.metric_series(t.points, CP), f"""
+query("metric_series", lambda t: M.metric_series(t.points, CP, kept=t.kept), f"""
     WITH known AS (SELECT metric, min(unit) AS unit FROM points GROUP BY 1 UNION ALL SELECT * FROM (VALUES ('claude_code.lines_of_code.count', ''),
         ('claude_code.code_edit_tool.decision', ''), ('claude_code.commit.count', ''), ('claude_code.pull_request.count', ''))),
     b AS (SELECT metric, least((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-16')) // 54000000000, 23) AS i, sum(d) AS t FROM moving WHERE {_CUR} GROUP BY 1, 2),
@@ -68,7 +68,7 @@ query("metric_series", lambda t: M.metric_series(t.points, CP), f"""
       round(coalesce((SELECT max(t) FROM b WHERE b.metric = k.metric), 0), 6) AS peak, coalesce(n, 0) AS cardinality, round(coalesce(cur, 0) / 360, 6) AS rate_per_hour,
       round(CASE WHEN pri <> 0 THEN (cur - pri) / pri * 100 ELSE 0 END, 6) AS delta_percent, {_HEALTH.format(n='coalesce(n, 0)')} AS health, TRUE AS curated
     FROM known k LEFT JOIN s USING (metric)""")
-query("metric_series_trend", lambda t: M.metric_series_trend(t.points, W), """
+query("metric_series_trend", lambda t: M.metric_series_trend(t.points, W, kept=t.kept), """
     WITH n AS (SELECT DISTINCT metric FROM points), axis AS (SELECT metric, i FROM n, range(24) r(i)),
     b AS (SELECT metric, least((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 108000000000, 23) AS i, sum(d) AS t FROM moving GROUP BY 1, 2)
     SELECT metric AS metric_name, i AS bucket_index, round(coalesce(t, 0), 4) AS total FROM axis LEFT JOIN b USING (metric, i)""")
@@ -102,7 +102,7 @@ _SEEN = "(metric LIKE '%cost%' OR metric LIKE '%active%')"
 query("totals_current_prior", lambda t: P.totals_current_prior(t.points, CP), f"""
     SELECT 'cost' AS row_type, CAST(NULL AS VARCHAR) AS token_type, {_DBL} FROM moving WHERE metric LIKE '%cost%'
     UNION ALL SELECT 'token_total', NULL, {_DBL} {_TOKENS} UNION ALL SELECT 'token_type', tt, {_DBL} {_TOKENS} GROUP BY tt""")
-query("sessions_current_prior", lambda t: P.sessions_current_prior(t.points, CP), f"""
+query("sessions_current_prior", lambda t: P.sessions_current_prior(t.points, CP, kept=t.kept), f"""
     WITH l AS (SELECT sid, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS s FROM moving WHERE {_SEEN} GROUP BY sid),
     w AS (SELECT DISTINCT sid, CASE WHEN {_CUR} THEN 'current' ELSE 'prior' END AS period FROM moving WHERE {_SEEN})
     SELECT period, count(*) AS session_count, round(avg(s), 6) AS avg_duration_seconds FROM w JOIN l USING (sid) GROUP BY period""")
@@ -113,7 +113,7 @@ _SPARK = f"""c AS (SELECT period, i, coalesce(sum(d) FILTER (metric LIKE '%cost%
                  (epoch_us(max(ts) FILTER (d <> 0)) - epoch_us(min(ts))) / 1e6 AS sa FROM points WHERE {_SEEN} GROUP BY sid),
     w AS (SELECT DISTINCT sid, period, i FROM (SELECT *, {_PB} FROM moving WHERE {_SEEN})),
     s AS (SELECT period, i, count(*) AS n, avg(s) AS dur, avg(sa) AS dura FROM w JOIN l USING (sid) GROUP BY 1, 2)"""
-query("sparklines_combined", lambda t: P.sparklines_combined(t.points, CP, _SEC), f"""
+query("sparklines_combined", lambda t: P.sparklines_combined(t.points, CP, _SEC, kept=t.kept), f"""
     WITH {_SPARK} SELECT period, i AS bucket_index, round(coalesce(cost, 0), 6) AS cost_total, coalesce(tok, 0) AS token_total, coalesce(n, 0) AS session_count,
       round(coalesce(dur, 0), 6) AS avg_duration_seconds FROM c FULL JOIN s USING (period, i)""")
 query("token_type_sparklines", lambda t: P.token_type_sparklines(t.points, CP, _SEC), f"""
@@ -124,7 +124,7 @@ query("cost_token_trend", lambda t: P.cost_token_trend(t.points, W, DAY), f"""
     FROM points WHERE metric LIKE '%cost%' OR metric LIKE '%token%' GROUP BY 1""")
 query("token_type_trend", lambda t: P.token_type_trend(t.points, W, DAY), f"""
     SELECT {_DI} AS bucket_index, tt AS token_type, CAST(sum(d) AS BIGINT) AS total FROM points WHERE metric LIKE '%token%' GROUP BY 1, 2""")
-query("session_trend", lambda t: P.session_trend(t.points, W, DAY), f"""
+query("session_trend", lambda t: P.session_trend(t.points, W, DAY, kept=t.kept), f"""
     WITH l AS (SELECT sid, (epoch_us(max(ts) FILTER (d <> 0)) - epoch_us(min(ts))) / 1e6 AS s FROM points WHERE {_SEEN} GROUP BY sid),
     w AS (SELECT DISTINCT sid, {_DI} AS i FROM moving WHERE {_SEEN})
     SELECT i AS bucket_index, count(*) AS session_count, round(avg(s), 6) AS avg_duration_seconds FROM w JOIN l USING (sid) GROUP BY i""")
@@ -147,7 +147,7 @@ _SUMS = f"""{_SPARK}, tot AS (SELECT period, sum(cost) AS cost, sum(tok) AS tok,
       {{'m': 'cache_read_ratio_pct', 'v': tcr / (tin + tcc + tcr) * 100}}, {{'m': 'tokens_total', 'v': CAST(tok AS DOUBLE)}}, {{'m': 'tokens_per_session', 'v': tok / n}},
       {{'m': 'tool_errors', 'v': CAST(bad AS DOUBLE)}}, {{'m': 'error_rate_pct', 'v': bad / calls * 100}}, {{'m': 'session_failures', 'v': CAST(bads AS DOUBLE)}},
       {{'m': 'sessions', 'v': CAST(n AS DOUBLE)}}, {{'m': 'avg_duration_min', 'v': dur / 60}}]) AS e FROM tot JOIN ss USING (period) JOIN tf USING (period))"""
-query("trends", lambda t: P.trends(t.points, t.logs, CP), f"""
+query("trends", lambda t: P.trends(t.points, t.logs, CP, kept=t.kept), f"""
     WITH {_SUMS}, x AS (SELECT e.m AS metric, max(e.v) FILTER (period = 'prior') AS before, max(e.v) FILTER (period = 'current') AS after FROM f GROUP BY 1),
     y AS (SELECT *, CASE WHEN metric IN ('cache_read_ratio_pct', 'sessions') THEN 'up' ELSE 'down' END AS good,
       CASE WHEN metric LIKE '%_pct' THEN after - before WHEN before <> 0 THEN (after - before) / abs(before) * 100 WHEN after = 0 THEN 0 ELSE 100 END AS delta FROM x),
@@ -155,14 +155,14 @@ query("trends", lambda t: P.trends(t.points, t.logs, CP), f"""
     SELECT metric, round(before, 6) AS before, round(after, 6) AS after, good AS good_direction, round(delta, 6) AS delta, direction,
       CASE WHEN direction = 'flat' THEN 'flat' WHEN direction = good THEN 'good' ELSE 'bad' END AS verdict,
       round(abs(before) / (abs(before) + abs(after)) * 100, 6) AS before_share_percent FROM z""")
-query("trend_series", lambda t: P.trend_series(t.points, t.logs, CP, "cost"), f"""
+query("trend_series", lambda t: P.trend_series(t.points, t.logs, CP, "cost", kept=t.kept), f"""
     WITH {_SPARK}, axis AS (SELECT p, i FROM (VALUES ('prior'), ('current')) v(p), range(7) r(i)),
     j AS (SELECT a.p AS period, a.i, coalesce(c.cost, 0) AS cost, coalesce(c.tok, 0) AS tok, coalesce(s.n, 0) AS n FROM axis a
           LEFT JOIN c ON c.period = a.p AND c.i = a.i LEFT JOIN s ON s.period = a.p AND s.i = a.i)
     SELECT 'total_cost' AS metric, period, i AS bucket_index, round(cost, 6) AS value FROM j
     UNION ALL SELECT 'cost_per_session', period, i, round(CASE WHEN n > 0 THEN cost / n ELSE 0 END, 6) FROM j
     UNION ALL SELECT 'blended_rate_per_1m', period, i, round(CASE WHEN tok > 0 THEN cost / tok * 1e6 ELSE 0 END, 6) FROM j""")
-query("trend_series_activity", lambda t: P.trend_series(t.points, t.logs, CP, "activity"), f"""
+query("trend_series_activity", lambda t: P.trend_series(t.points, t.logs, CP, "activity", kept=t.kept), f"""
     WITH {_SPARK}, axis AS (SELECT p, i FROM (VALUES ('prior'), ('current')) v(p), range(7) r(i)),
     j AS (SELECT a.p AS period, a.i, coalesce(s.n, 0) AS n, coalesce(s.dura, 0) AS dur FROM axis a LEFT JOIN s ON s.period = a.p AND s.i = a.i)
     SELECT 'sessions' AS metric, period, i AS bucket_index, CAST(n AS DOUBLE) AS value FROM j

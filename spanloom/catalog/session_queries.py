@@ -37,7 +37,7 @@ for _key, _sql in _ORD.items():
     for _desc in (True, False):
         _dir = "DESC" if _desc else "ASC"
         query(f"session_summaries_{_key.lower()}_{_dir.lower()}",
-              lambda t, k=_key, d=_desc: N.session_summaries(t.points, CP, k, d, page=1, size=40),
+              lambda t, k=_key, d=_desc: N.session_summaries(t.points, CP, k, d, page=1, size=40, kept=t.kept),
               f"{_FACTS} {_sql} {_dir} NULLS LAST, session_id LIMIT 40 OFFSET 40")
 
 _FIRST = "regexp_replace(first(prompt ORDER BY ts, id) FILTER (en = 'user_prompt'), '\\s+', ' ', 'g')"
@@ -51,11 +51,11 @@ query("session_kpis", lambda t: N.session_kpis(t.points, W), """
                FROM moving WHERE metric LIKE '%cost%' OR metric LIKE '%active%' GROUP BY sid)
     SELECT count(*) AS total_sessions, round(quantile_cont(c, 0.5), 6) AS median_cost_usd, round(quantile_cont(c, 0.95), 6) AS p95_cost_usd,
            round(quantile_cont(c / a * 60, 0.5) FILTER (a > 0), 6) AS median_cost_per_active_minute_usd FROM p""")
-query("new_sessions_trend", lambda t: N.new_sessions_trend(t.points, W, bins=30), """
+query("new_sessions_trend", lambda t: N.new_sessions_trend(t.points, W, bins=30, kept=t.kept), """
     WITH f AS (SELECT sid, min(ts) AS t FROM points WHERE metric LIKE '%cost%' OR metric LIKE '%active%' GROUP BY sid HAVING count(*) FILTER (d <> 0) > 0),
     axis AS (SELECT i FROM range(30) r(i))
     SELECT i AS bucket_index, count(f.sid) AS new_sessions FROM axis LEFT JOIN f ON (epoch_us(f.t) - epoch_us(TIMESTAMP '2024-01-01')) // 86400000000 = i GROUP BY i""")
-query("worst_cache_sessions", lambda t: N.worst_cache_sessions(t.points, W, min_tokens=2000), f"""
+query("worst_cache_sessions", lambda t: N.worst_cache_sessions(t.points, W, min_tokens=2000, kept=t.kept), f"""
     WITH p AS (SELECT sid, sum(d) FILTER (metric LIKE '%cost%') AS c, max(ts) FILTER (metric LIKE '%cost%' OR metric LIKE '%active%') AS ls,
         count(*) FILTER (metric LIKE '%token%') AS nt, count(*) FILTER (metric LIKE '%cost%' OR metric LIKE '%active%') AS nc, {_TK.format(w='')} FROM moving GROUP BY sid),
     e AS (SELECT *, input_tokens + cache_creation_tokens + cache_read_tokens AS side FROM p WHERE nt > 0 AND nc > 0)
@@ -79,7 +79,7 @@ query("in_progress_sessions", lambda t: N.in_progress_sessions(t.logs, _open(t.s
     a AS (SELECT tr, max(x) AS x FROM (SELECT tr, et AS x FROM s UNION ALL SELECT tr, ts FROM logs) GROUP BY tr)
     SELECT DISTINCT p.sid AS session_id FROM p JOIN a USING (tr) WHERE a.x > TIMESTAMP '2024-01-10'
       AND NOT EXISTS (SELECT 1 FROM s WHERE s.tr = p.tr AND s.parent IS NULL)""")
-query("background_active", lambda t: N.background_active(t.logs, t.spans, utc("2024-01-02")), """
+query("background_active", lambda t: N.background_active(t.logs, t.spans, utc("2024-01-02"), kept=t.kept), """
     SELECT DISTINCT l.sid AS session_id, l.tr AS trace_id FROM logs l JOIN spans s ON s.tr = l.tr AND s.parent IS NULL
     WHERE l.ts > TIMESTAMP '2024-01-02' AND epoch_us(l.ts) > epoch_us(s.et) + 5000000""")
 query("turn_progress", lambda t: N.turn_progress(_open(t.spans), t.logs), f"""

@@ -26,8 +26,8 @@ _SUM = """sums AS (
 _ALL = _SUM.format(r="")
 _COLS = """trace_id, epoch_us(min_start) AS min_start, epoch_us(max_end) AS max_end, span_count, error_count, total_tokens, root_span_id, root_span_name, session_id,
     round(CAST(total_cost_usd AS DOUBLE), 6) AS total_cost_usd, round(duration_ms, 6) AS duration_ms, status, service, duration_bucket"""
-query("trace_summaries", lambda t: T.trace_summaries(t.spans, t.logs, W), f"WITH {_ALL} SELECT {_COLS} FROM traces")
-query("trace_summaries_repository", lambda t: T.trace_summaries(t.spans, t.logs, W, "repo1"),
+query("trace_summaries", lambda t: T.trace_summaries(t.spans, t.logs, W, kept=t.kept), f"WITH {_ALL} SELECT {_COLS} FROM traces")
+query("trace_summaries_repository", lambda t: T.trace_summaries(t.spans, t.logs, W, "repo1", t.kept),
       f"WITH {_SUM.format(r=chr(87) + 'HERE repo = ' + chr(39) + 'repo1' + chr(39))} SELECT {_COLS} FROM traces")
 
 _FIL = T.TraceFilter(W, statuses=("error",), services=("claude_code.session",), text="T1")
@@ -38,7 +38,7 @@ _CURSOR = "t25"
 def _list(sort, mode):
     def build(t):
         cursor = T.trace_cursor_key(t.spans, t.logs, sort, _CURSOR) if mode in ("before", "after") else None
-        return T.trace_list(t.spans, t.logs, sort, mode, _FIL if mode == "first" else T.TraceFilter(W), cursor, page=1, size=20)
+        return T.trace_list(t.spans, t.logs, sort, mode, _FIL if mode == "first" else T.TraceFilter(W), cursor, page=1, size=20, kept=t.kept)
     return build
 
 
@@ -59,15 +59,15 @@ for _sort, (_columns, _desc) in T.SORTS.items():
             _page = f"SELECT * FROM traces WHERE {_row} {_less} {_key} ORDER BY {_order} LIMIT 21"
         query(f"trace_list_{_sort}_{_mode}", _list(_sort, _mode), f"WITH {_ALL}, page AS ({_page}) SELECT {_COLS} FROM page")
 
-query("trace_count", lambda t: T.trace_count(t.spans, _FIL), f"WITH {_ALL} SELECT count(*) AS row_count FROM traces WHERE {_WHERE}")
-query("trace_histogram", lambda t: T.trace_histogram(t.spans, T.TraceFilter(W), DAY), f"""
+query("trace_count", lambda t: T.trace_count(t.spans, _FIL, t.kept), f"WITH {_ALL} SELECT count(*) AS row_count FROM traces WHERE {_WHERE}")
+query("trace_histogram", lambda t: T.trace_histogram(t.spans, T.TraceFilter(W), DAY, t.kept), f"""
     WITH {_ALL}, axis AS (SELECT TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)) AS b FROM range(31) r(i))
     SELECT epoch_us(b) AS bucket, count(*) FILTER (status = 'ok') AS ok_count, count(*) FILTER (status = 'error') AS error_count,
       round(coalesce(quantile_cont(duration_ms, 0.95), 0), 6) AS p95_ms FROM axis LEFT JOIN traces ON date_trunc('day', min_start) = b GROUP BY b""")
-query("trace_globals", lambda t: T.trace_globals(t.spans, T.TraceFilter(W)), f"""
+query("trace_globals", lambda t: T.trace_globals(t.spans, T.TraceFilter(W), t.kept), f"""
     WITH {_ALL} SELECT count(*) AS total, count(*) FILTER (status = 'error') AS error_count, round(quantile_cont(duration_ms, 0.5), 6) AS p50_ms,
       round(quantile_cont(duration_ms, 0.95), 6) AS p95_ms FROM traces""")
-query("trace_facets", lambda t: T.trace_facets(t.spans, T.TraceFilter(W, statuses=("error",), text="s1")), f"""
+query("trace_facets", lambda t: T.trace_facets(t.spans, T.TraceFilter(W, statuses=("error",), text="s1"), kept=t.kept), f"""
     WITH {_ALL}, f AS (SELECT * FROM traces WHERE trace_id ILIKE '%s1%' OR session_id ILIKE '%s1%' OR root_span_name ILIKE '%s1%'), e AS (SELECT * FROM f WHERE status = 'error')
     SELECT 'status' AS facet_kind, status AS facet_key, count(*) AS row_count FROM f GROUP BY 2
     UNION ALL SELECT 'operation', root_span_name, count(*) FROM e GROUP BY 2 UNION ALL SELECT 'service', service, count(*) FROM e GROUP BY 2

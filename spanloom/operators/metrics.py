@@ -12,6 +12,7 @@ from spanloom.functions import expr as E
 from spanloom.functions.skew import cut_lineage, exact_percentiles
 from spanloom.functions.timebins import bin_index, bin_ts
 from spanloom.operators.cost import change_percent, integer_share, sum_when
+from spanloom.sources.summaries import Summaries
 
 TREND_BINS = 24
 SPARK_BINS = 8
@@ -106,8 +107,9 @@ def catalog_sparklines(points: DataFrame, w: TimeRange, bins: int = SPARK_BINS)
             .agg(E.row_count().alias("row_count")).orderBy("metric_name", "bucket_index"))
 
 
-def metric_names(points: DataFrame) -> DataFrame:
-    return points.groupBy("metric_name").agg(F.coalesce(F.min("unit"), F.lit("")).alias("unit")).orderBy("metric_name")
+def metric_names(points: DataFrame, kept: Summaries | None = None) -> DataFrame:
+    days = (kept or Summaries.of(points=points)).metrics
+    return days.groupBy("metric_name").agg(F.coalesce(F.min("unit"), F.lit("")).alias("unit")).orderBy("metric_name")
 
 
 def metric_totals(points: DataFrame, names: Sequence[str], w: TimeRange, repo: str | None = None,
@@ -170,7 +172,8 @@ def metric_attribute_facets(points: DataFrame, name: str, w: TimeRange, repo: st
 
 
 def metric_series(points: DataFrame, w: TimeRange, names: Sequence[str] | None = None, repo: str | None = None,
-                  filtered: tuple[str, Mapping[str, str | None]] | None = None, bins: int = TREND_BINS) -> DataFrame:
+                  filtered: tuple[str, Mapping[str, str | None]] | None = None, bins: int = TREND_BINS,
+                  kept: Summaries | None = None) -> DataFrame:
     """Headline of every counter: total, prior, change, hourly rate, peak bin, cardinality.
 
     ``filtered`` narrows one metric to points with the given attributes.
@@ -186,7 +189,7 @@ def metric_series(points: DataFrame, w: TimeRange, names: Sequence[str] | None =
         sum_when(now, "t").alias("total"), sum_when(~now, "t").alias("prior"),
         F.greatest(F.coalesce(F.max(F.when(now, F.col("t"))), F.lit(0.0)), F.lit(0.0)).alias("peak"))
     streams = rows.where(w.contains()).groupBy("metric_name").agg(F.countDistinct("stream_id").alias("cardinality"))
-    known = metric_names(points).select("metric_name", "unit")
+    known = metric_names(points, kept).select("metric_name", "unit")
     curated = points.sparkSession.createDataFrame([(n,) for n in CURATED], "metric_name string")
     everything = known.join(curated, "metric_name", "full").select("metric_name", F.coalesce("unit", F.lit("")).alias("unit"))
     if names is not None:
@@ -199,12 +202,12 @@ def metric_series(points: DataFrame, w: TimeRange, names: Sequence[str] | None =
 
 
 def metric_series_trend(points: DataFrame, w: TimeRange, names: Sequence[str] | None = None, repo: str | None = None,
-                        bins: int = TREND_BINS) -> DataFrame:
+                        bins: int = TREND_BINS, kept: Summaries | None = None) -> DataFrame:
     """Dense bins per metric; what lies past the last bin counts in it."""
     seconds = max(1, int(w.seconds) // bins)
     last = F.least(bin_index("timestamp", w.start, seconds), F.lit(bins - 1)).alias("bucket_index")
     sums = moving_points(points, names, w, repo).groupBy("metric_name", last).agg(_total().alias("total"))
-    axis = metric_names(points).select("metric_name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bucket_index"))
+    axis = metric_names(points, kept).select("metric_name", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bucket_index"))
     if names is not None:
         axis = axis.where(F.col("metric_name").isin(*names))
     return axis.join(sums, ["metric_name", "bucket_index"], "left").na.fill(0.0).withColumn("total", F.round("total", 4))

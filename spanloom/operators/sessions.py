@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange, ts_lit
 from spanloom.functions import expr as E
-from spanloom.functions.skew import percentiles_of
+from spanloom.functions.skew import cut_lineage, first_rows, percentiles_of
 from spanloom.functions.timebins import bin_index, index_axis
+from spanloom.sources.summaries import ROOT_PREFIX, Summaries, first_timestamp, lives
 
-ROOT_PREFIX = "claude_code.interaction"
 BACKGROUND_GRACE_SECONDS = 5.0
 NEW_SESSION_BINS = 24
 _TOKEN_COLUMNS = dict(input_tokens="input", output_tokens="output", cache_creation_tokens="cacheCreation", cache_read_tokens="cacheRead")
@@ -22,14 +22,6 @@ def _is(metric: str) -> Column:
     return F.col("metric_name") == metric
 
 
-def _seen(cfg: TelemetryConfig) -> Column:
-    return F.col("metric_name").isin(cfg.cost_metric, cfg.active_metric)
-
-
-def first_timestamp() -> Column:
-    return F.coalesce("start_timestamp", "timestamp")
-
-
 def _delta(test: Column) -> Column:
     return F.sum(F.when(test, F.col("value_delta")))
 
@@ -50,36 +42,33 @@ def _sort_value(key: str) -> Column:
     }[key]
 
 
-def session_facts(points: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
+def session_facts(points: DataFrame, w: TimeRange, repo: str | None = None, kept: Summaries | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     """One row per session whose cost or active time moved in the range.
 
-    Everything comes from one grouped pass: whole-life cost, activity and bounds,
-    windowed tokens, and the earliest windowed session start.
+    The points of the range tell which sessions moved, their windowed tokens and earliest windowed start; whole-life
+    cost, activity and bounds come from the summaries of these sessions.
     """
-    inside, moved = w.contains(), E.moving()
-    life = _seen(cfg) & moved
-    with_value = F.col("value_double").isNotNull()
-    rows = points.where(F.col("session_id").isNotNull() & E.in_repository(repo)
-                        & (((_seen(cfg) | (_is(cfg.token_metric) & inside)) & moved) | (_is(cfg.session_metric) & inside)))
+    moved = E.moving()
+    rows = points.where(F.col("session_id").isNotNull() & w.scan() & E.in_repository(repo)
+                        & (((lives(cfg) | _is(cfg.token_metric)) & moved) | _is(cfg.session_metric)))
     start = F.struct(F.col("attributes")["start_type"].alias("start_type"),
                      F.col("attributes")["terminal.type"].alias("terminal_type"))
-    grouped = rows.groupBy("session_id").agg(
-        F.count_if(life & inside).alias("__moved"),
-        F.coalesce(_delta(life & _is(cfg.cost_metric) & with_value), F.lit(0.0)).alias("cost_usd"),
-        F.coalesce(_delta(life & _is(cfg.active_metric) & with_value), F.lit(0.0)).alias("active_time_seconds"),
-        F.min(F.when(life, first_timestamp())).alias("first_seen"),
-        F.max(F.when(life, F.col("timestamp"))).alias("last_seen"),
-        *_token_columns(_is(cfg.token_metric)),
-        F.min_by(start, F.when(_is(cfg.session_metric), F.struct(first_timestamp().alias("t"), F.col("id")))).alias("__start"))
-    return (grouped.where("__moved > 0")
+    inside = rows.groupBy("session_id").agg(
+        F.count_if(lives(cfg)).alias("__moved"), *_token_columns(_is(cfg.token_metric)),
+        F.min_by(start, F.when(_is(cfg.session_metric), F.struct(first_timestamp().alias("t"), F.col("id")))).alias("__start")).where("__moved > 0")
+    # Read twice below: for its sessions and for its figures.
+    inside = cut_lineage(inside)
+    whole = (kept or Summaries.of(points=points, cfg=cfg)).session_lives(repo, inside)
+    whole = whole.select("session_id", "cost_usd", "active_time_seconds", F.col("first_moved").alias("first_seen"), F.col("last_moved").alias("last_seen"))
+    return (whole.join(inside, "session_id")
             .withColumn("wall_seconds", F.floor((F.unix_micros("last_seen") - F.unix_micros("first_seen")) / 1e6 + 0.5).cast("long"))
             .withColumn("start_type", F.col("__start.start_type")).withColumn("terminal_type", F.col("__start.terminal_type"))
             .drop("__moved", "__start"))
 
 
 def session_summaries(points: DataFrame, w: TimeRange, sort: str = "cost", descending: bool = True, page: int = 0,
-                      size: int = 50, repo: str | None = None) -> DataFrame:
-    facts = session_facts(points, w, repo)
+                      size: int = 50, repo: str | None = None, kept: Summaries | None = None) -> DataFrame:
+    facts = session_facts(points, w, repo, kept)
     key = _sort_value(sort)
     order = F.desc_nulls_last(key) if descending else F.asc_nulls_last(key)
     total = facts.agg(E.row_count()).scalar()
@@ -109,7 +98,7 @@ def first_prompts(logs: DataFrame, ids: DataFrame | None = None, cfg: TelemetryC
 
 def session_kpis(points: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     with_value = F.col("value_double").isNotNull()
-    per = (points.where(_seen(cfg) & F.col("session_id").isNotNull() & E.moving() & w.scan() & E.in_repository(repo))
+    per = (points.where(lives(cfg) & F.col("session_id").isNotNull() & E.moving() & w.scan() & E.in_repository(repo))
            .groupBy("session_id").agg(
                F.coalesce(_delta(_is(cfg.cost_metric) & with_value), F.lit(0.0)).alias("cost"),
                F.coalesce(_delta(_is(cfg.active_metric) & with_value), F.lit(0.0)).alias("active")))
@@ -120,34 +109,32 @@ def session_kpis(points: DataFrame, w: TimeRange, repo: str | None = None, cfg:
 
 
 def new_sessions_trend(points: DataFrame, w: TimeRange, bins: int = NEW_SESSION_BINS, repo: str | None = None,
-                       cfg: TelemetryConfig = CFG) -> DataFrame:
+                       kept: Summaries | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
+    """Sessions by the bin of their very first point, of those that moved in the range."""
     seconds = max(1, int(w.seconds) // bins)
-    first = (points.where(_seen(cfg) & F.col("session_id").isNotNull() & E.in_repository(repo)).groupBy("session_id")
-             .agg(F.min(first_timestamp()).alias("first_ts"), F.count_if(E.moving() & w.contains()).alias("moved"))
-             .where((F.col("moved") > 0) & w.contains("first_ts")))
-    counts = (first.groupBy(F.least(bin_index("first_ts", w.start, seconds), F.lit(bins - 1)).alias("bucket_index"))
+    moved = points.where(lives(cfg) & F.col("session_id").isNotNull() & E.moving() & w.scan() & E.in_repository(repo)).select("session_id")
+    first = (kept or Summaries.of(points=points, cfg=cfg)).session_lives(repo, moved).where(w.contains("first_any"))
+    counts = (first.groupBy(F.least(bin_index("first_any", w.start, seconds), F.lit(bins - 1)).alias("bucket_index"))
               .agg(E.row_count().alias("new_sessions")))
     return index_axis(points.sparkSession, bins).join(counts, "bucket_index", "left").na.fill(0).orderBy("bucket_index")
 
 
-def worst_cache_sessions(points: DataFrame, w: TimeRange, min_tokens: int | None = None, n: int = 8,
-                         repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
+def worst_cache_sessions(points: DataFrame, w: TimeRange, min_tokens: int | None = None, n: int | None = 8,
+                         repo: str | None = None, kept: Summaries | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     min_tokens = cfg.min_cache_input_tokens if min_tokens is None else min_tokens
-    inside, moved = w.contains(), E.moving()
-    life = _seen(cfg) & moved
-    rows = points.where(F.col("session_id").isNotNull() & E.in_repository(repo)
-                        & ((_seen(cfg) & (moved | inside)) | (_is(cfg.token_metric) & moved & inside)))
+    rows = points.where(F.col("session_id").isNotNull() & w.scan() & E.in_repository(repo)
+                        & (lives(cfg) | (_is(cfg.token_metric) & E.moving())))
     per = rows.groupBy("session_id").agg(
-        F.count_if(_seen(cfg) & inside).alias("__seen"), F.count_if(_is(cfg.token_metric)).alias("__tokens"),
-        *_token_columns(_is(cfg.token_metric)),
-        F.coalesce(_delta(life & _is(cfg.cost_metric) & F.col("value_double").isNotNull()), F.lit(0.0)).alias("cost_usd"),
-        F.max(F.when(life, F.col("timestamp"))).alias("last_seen"))
+        F.count_if(lives(cfg)).alias("__seen"), F.count_if(_is(cfg.token_metric)).alias("__tokens"), *_token_columns(_is(cfg.token_metric)))
     side = F.col("input_tokens") + F.col("cache_creation_tokens") + F.col("cache_read_tokens")
-    return (per.where("__seen > 0 AND __tokens > 0").drop("__seen", "__tokens")
-            .withColumn("input_side_tokens", side).where(F.col("input_side_tokens") >= min_tokens)
-            .withColumn("cache_efficiency", E.cache_efficiency("input_tokens", "cache_creation_tokens", "cache_read_tokens"))
-            .withColumn("band", E.cache_band("cache_efficiency"))
-            .orderBy("cache_efficiency", F.desc("input_side_tokens"), "session_id").limit(n))
+    per = cut_lineage(per.where("__seen > 0 AND __tokens > 0").drop("__seen", "__tokens")
+                      .withColumn("input_side_tokens", side).where(F.col("input_side_tokens") >= min_tokens))
+    whole = (kept or Summaries.of(points=points, cfg=cfg)).session_lives(repo, per).select("session_id", "cost_usd", F.col("last_moved").alias("last_seen"))
+    ordered = (per.join(whole, "session_id")
+               .withColumn("cache_efficiency", E.cache_efficiency("input_tokens", "cache_creation_tokens", "cache_read_tokens"))
+               .withColumn("band", E.cache_band("cache_efficiency"))
+               .orderBy("cache_efficiency", F.desc("input_side_tokens"), "session_id"))
+    return first_rows(ordered, n)
 
 
 # Activity.
@@ -163,25 +150,32 @@ def trace_activity(spans: DataFrame, logs: DataFrame, traces: DataFrame | None =
     return ends.unionByName(seen).groupBy("trace_id").agg(F.max("at").alias("last_activity"))
 
 
+def active_traces(kept: Summaries, logs: DataFrame, since: datetime, traces: DataFrame) -> DataFrame:
+    """Which of some traces had a span end or a log after ``since``."""
+    ended = kept.traces.where(F.col("latest_end") > ts_lit(since)).select("trace_id")
+    seen = logs.where((F.col("timestamp") > ts_lit(since)) & TimeRange(since).scan()).select("trace_id")
+    return traces.select("trace_id").distinct().join(ended.unionByName(seen), "trace_id", "left_semi")
+
+
 def in_progress_sessions(logs: DataFrame, spans: DataFrame, since: datetime, ids: DataFrame | None = None,
-                         cfg: TelemetryConfig = CFG) -> DataFrame:
-    prompts = _only(logs.where((F.col("event_name") == cfg.user_prompt) & F.col("session_id").isNotNull()), ids)
-    latest = (prompts.groupBy("session_id")
-              .agg(F.max_by(F.struct(E.real_trace_id("trace_id").alias("trace_id")), F.struct("timestamp", "id")).alias("m"))
-              .select("session_id", F.col("m.trace_id").alias("trace_id")).where("trace_id IS NOT NULL"))
-    open_ = latest.join(root_spans(spans).select("trace_id"), "trace_id", "left_anti")
-    active = trace_activity(spans, logs, open_).where(F.col("last_activity") > ts_lit(since))
-    return open_.join(active, "trace_id").select("session_id").distinct()
+                         kept: Summaries | None = None) -> DataFrame:
+    """Sessions whose latest prompt's trace has no root yet and was active since."""
+    kept = kept or Summaries.of(spans=spans, logs=logs)
+    latest = (_only(kept.prompts, ids).groupBy("session_id").agg(F.max("latest").alias("m"))
+              .select("session_id", E.real_trace_id(F.col("m.trace_id")).alias("trace_id")).where("trace_id IS NOT NULL"))
+    open_ = latest.join(kept.traces.where("has_interaction").select("trace_id"), "trace_id", "left_anti")
+    return open_.join(active_traces(kept, logs, since, open_), "trace_id").select("session_id").distinct()
 
 
 def background_active(logs: DataFrame, spans: DataFrame, since: datetime, ids: DataFrame | None = None,
-                      grace_seconds: float = BACKGROUND_GRACE_SECONDS) -> DataFrame:
+                      grace_seconds: float = BACKGROUND_GRACE_SECONDS, kept: Summaries | None = None) -> DataFrame:
     """Traces still logging well after a root span of theirs closed."""
-    closed = root_spans(spans).groupBy("trace_id").agg(F.min("end_timestamp").alias("closed_at"))
-    late = F.unix_micros("timestamp") > F.unix_micros("closed_at") + F.lit(int(grace_seconds * 1e6))
-    rows = _only(logs.where((F.col("timestamp") > ts_lit(since)) & F.col("session_id").isNotNull()), ids)
+    rows = _only(logs.where((F.col("timestamp") > ts_lit(since)) & TimeRange(since).scan() & F.col("session_id").isNotNull()), ids)
     # One row per (session, trace) is enough: only its latest log can be the late one.
     last = rows.groupBy("session_id", "trace_id").agg(F.max("timestamp").alias("timestamp"))
+    days = (kept or Summaries.of(spans=spans)).traces.where("closed_at IS NOT NULL").join(last.select("trace_id").distinct(), "trace_id", "left_semi")
+    closed = days.groupBy("trace_id").agg(F.min("closed_at").alias("closed_at"))
+    late = F.unix_micros("timestamp") > F.unix_micros("closed_at") + F.lit(int(grace_seconds * 1e6))
     return last.join(closed, "trace_id").where(late).select("session_id", "trace_id")
 
 

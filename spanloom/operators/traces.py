@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange, ts_lit
 from spanloom.functions import expr as E
-from spanloom.functions.skew import exact_percentiles
+from spanloom.functions.skew import cut_lineage, exact_percentiles
 from spanloom.functions.timebins import bin_axis, bin_ts
-from spanloom.operators.cost import trace_costs
-from spanloom.operators.sessions import trace_activity
+from spanloom.operators.sessions import active_traces
+from spanloom.sources.summaries import Summaries
 
 FACET_LIMIT, SESSION_FACET_LIMIT = 50, 8
 
@@ -59,40 +59,35 @@ class TraceFilter:
         return test
 
 
-def _root(order_id: str = "span_id") -> Column:
-    """The parentless span that starts first, else the first span."""
-    return F.min(F.struct(F.col("parent_span_id").isNotNull().alias("has_parent"), "start_timestamp", order_id, "name", "session_id"))
-
-
 def trace_summaries(spans: DataFrame, logs: DataFrame | None, w: TimeRange = TimeRange(), repo: str | None = None,
-                    root_lookback: timedelta | None = None) -> DataFrame:
+                    kept: Summaries | None = None) -> DataFrame:
     """One row per trace with a span in the range.
 
-    Sums cover the spans in the range. The root is looked for among all spans, or,
-    to spare the scan on large tables, from ``root_lookback`` before the range on.
+    Sums cover the spans in the range. Root and cost are of the trace's whole life: they come from the summaries, where
+    only the rows of these traces are grouped. Without ``logs`` there is no cost.
     """
+    kept = kept or Summaries.of(spans=spans, logs=logs)
     inside = w.scan("start_timestamp") & E.in_repository(repo)
     sums = spans.where(inside).groupBy("trace_id").agg(
         F.min("start_timestamp").alias("min_start"), F.max("end_timestamp").alias("max_end"), E.row_count().alias("span_count"),
         F.count_if(F.col("status_code") == "error").alias("error_count"),
         F.coalesce(F.sum("total_tokens"), F.lit(0.0)).cast("long").alias("total_tokens"))
-    candidates = spans
-    if root_lookback is not None and w.start is not None:
-        candidates = spans.where(TimeRange(w.start - root_lookback).scan("start_timestamp"))
-    roots = (candidates.join(sums.select("trace_id"), "trace_id", "left_semi").groupBy("trace_id").agg(_root().alias("r"))
+    wanted = sums.select("trace_id")
+    roots = (kept.traces.join(wanted, "trace_id", "left_semi").groupBy("trace_id").agg(F.min("root").alias("r"))
              .select("trace_id", F.col("r.span_id").alias("root_span_id"), F.coalesce("r.name", F.lit("")).alias("root_span_name"),
                      F.coalesce("r.session_id", F.lit("")).alias("session_id")))
     out = sums.join(roots, "trace_id", "left")
     if logs is not None:
-        out = out.join(trace_costs(logs).withColumnRenamed("cost_usd", "total_cost_usd"), "trace_id", "left")
+        costs = kept.costs.join(wanted, "trace_id", "left_semi").groupBy("trace_id").agg(F.sum("cost_usd").alias("total_cost_usd"))
+        out = out.join(costs, "trace_id", "left")
         out = out.withColumn("total_cost_usd", F.coalesce("total_cost_usd", F.lit(0).cast(E.MONEY)))
     ms = (F.unix_micros("max_end") - F.unix_micros("min_start")) / 1000.0
     return (out.withColumn("duration_ms", ms).withColumn("status", F.when(F.col("error_count") > 0, "error").otherwise("ok"))
             .withColumn("service", E.trace_service("root_span_name")).withColumn("duration_bucket", E.duration_bucket("duration_ms")))
 
 
-def _filtered(spans: DataFrame, logs: DataFrame | None, f: TraceFilter) -> DataFrame:
-    return trace_summaries(spans, logs, f.w, f.repository).where(f.test())
+def _filtered(spans: DataFrame, logs: DataFrame | None, f: TraceFilter, kept: Summaries | None) -> DataFrame:
+    return trace_summaries(spans, logs, f.w, f.repository, kept).where(f.test())
 
 
 def _past(columns: Sequence[str], descending: bool, values: Sequence, after_cursor: bool) -> Column:
@@ -108,7 +103,7 @@ def _past(columns: Sequence[str], descending: bool, values: Sequence, after_curs
 
 
 def trace_list(spans: DataFrame, logs: DataFrame, sort: str = "new", mode: str = "first", f: TraceFilter = TraceFilter(),
-               cursor: Sequence | None = None, page: int = 0, size: int = 50) -> DataFrame:
+               cursor: Sequence | None = None, page: int = 0, size: int = 50, kept: Summaries | None = None) -> DataFrame:
     """A page of the list. ``before`` continues past the cursor, ``after`` returns what came in ahead of it.
 
     ``cursor`` holds the sort keys of a row, as ``trace_cursor_key`` returns them; without
@@ -116,7 +111,7 @@ def trace_list(spans: DataFrame, logs: DataFrame, sort: str = "new", mode: str =
     """
     columns, descending = SORTS[sort]
     order = [F.desc(c) if descending else F.asc(c) for c in columns]
-    rows = _filtered(spans, logs, f)
+    rows = _filtered(spans, logs, f, kept)
     if mode == "offset":
         return rows.orderBy(*order).offset(page * size).limit(size)
     if mode == "first" or cursor is None:
@@ -138,12 +133,14 @@ def trace_cursor_key(spans: DataFrame, logs: DataFrame, sort: str, trace_id: str
                  for n, v in row.asDict().items())
 
 
-def trace_count(spans: DataFrame, f: TraceFilter) -> DataFrame:
-    return _filtered(spans, None, f).agg(E.row_count().alias("row_count"))
+def trace_count(spans: DataFrame, f: TraceFilter, kept: Summaries | None = None) -> DataFrame:
+    return _filtered(spans, None, f, kept).agg(E.row_count().alias("row_count"))
 
 
-def trace_histogram(spans: DataFrame, f: TraceFilter, bucket_seconds: int) -> DataFrame:
-    rows = _filtered(spans, None, f).withColumn("bucket", bin_ts("min_start", f.w.start, bucket_seconds))
+def trace_histogram(spans: DataFrame, f: TraceFilter, bucket_seconds: int, kept: Summaries | None = None) -> DataFrame:
+    # Read for its bins and again for their percentiles.
+    rows = cut_lineage(_filtered(spans, None, f, kept).select("min_start", "status", "duration_ms"))
+    rows = rows.withColumn("bucket", bin_ts("min_start", f.w.start, bucket_seconds))
     counts = rows.groupBy("bucket").agg(F.count_if(F.col("status") == "ok").alias("ok_count"),
                                         F.count_if(F.col("status") == "error").alias("error_count"))
     p95 = exact_percentiles(rows, ["bucket"], F.col("duration_ms"), {"p95_ms": 0.95})
@@ -151,17 +148,18 @@ def trace_histogram(spans: DataFrame, f: TraceFilter, bucket_seconds: int) -> Da
             .na.fill(0).orderBy("bucket"))
 
 
-def trace_globals(spans: DataFrame, f: TraceFilter) -> DataFrame:
-    rows = _filtered(spans, None, f)
-    p = exact_percentiles(rows, [], F.col("duration_ms"), {"p50": 0.5, "p95": 0.95})
-    return (rows.agg(E.row_count().alias("total"), F.count_if(F.col("status") == "error").alias("error_count"))
-            .withColumn("p50_ms", F.coalesce(p.select("p50").scalar(), F.lit(0.0)))
-            .withColumn("p95_ms", F.coalesce(p.select("p95").scalar(), F.lit(0.0))))
+def trace_globals(spans: DataFrame, f: TraceFilter, kept: Summaries | None = None) -> DataFrame:
+    # A row per trace, read for its counts and for the percentiles.
+    rows = cut_lineage(_filtered(spans, None, f, kept).select("status", "duration_ms"))
+    marks = exact_percentiles(rows, [], F.col("duration_ms"), {"p50_ms": 0.5, "p95_ms": 0.95})
+    counts = rows.agg(E.row_count().alias("total"), F.count_if(F.col("status") == "error").alias("error_count"))
+    return counts.withColumns({name: F.coalesce(marks.select(name).scalar(), F.lit(0.0)) for name in ("p50_ms", "p95_ms")})
 
 
-def trace_facets(spans: DataFrame, f: TraceFilter, limit: int = FACET_LIMIT, session_limit: int = SESSION_FACET_LIMIT) -> DataFrame:
+def trace_facets(spans: DataFrame, f: TraceFilter, limit: int = FACET_LIMIT, session_limit: int = SESSION_FACET_LIMIT,
+                 kept: Summaries | None = None) -> DataFrame:
     """Five facets in one pass, each blind to its own filter; the largest values of each."""
-    rows = trace_summaries(spans, None, f.w, f.repository).where(f.matches_text())
+    rows = trace_summaries(spans, None, f.w, f.repository, kept).where(f.matches_text())
     kinds = F.array(*[F.when(f.test(kind) & (F.col(column) != ""), F.struct(F.lit(kind).alias("facet_kind"), F.col(column).alias("facet_key")))
                       for kind, (column, _) in f.facets().items()])
     counts = (rows.select(F.explode(kinds).alias("k")).where("k IS NOT NULL").groupBy("k.facet_kind", "k.facet_key")
@@ -184,11 +182,13 @@ def first_prompt_by_trace(logs: DataFrame, length: int | None = None, traces: Da
     return rows.groupBy("trace_id").agg(F.min_by(E.clean_prompt("prompt", length), F.struct("timestamp", "id")).alias("first_user_prompt"))
 
 
-def in_progress_traces(spans: DataFrame, logs: DataFrame, since: datetime, traces: DataFrame | None = None) -> DataFrame:
-    if traces is not None:
-        spans = spans.join(traces.select("trace_id").distinct(), "trace_id", "left_semi")
-    open_ = (spans.groupBy("trace_id").agg(F.count_if(F.col("parent_span_id").isNull()).alias("roots")).where("roots = 0").select("trace_id"))
-    return trace_activity(spans, logs, open_).where(F.col("last_activity") > ts_lit(since)).join(open_, "trace_id", "left_semi").select("trace_id")
+def in_progress_traces(spans: DataFrame, logs: DataFrame, since: datetime, traces: DataFrame | None = None,
+                       kept: Summaries | None = None) -> DataFrame:
+    """Traces without a root span that were active since."""
+    kept = kept or Summaries.of(spans=spans, logs=logs)
+    days = kept.traces if traces is None else kept.traces.join(traces.select("trace_id").distinct(), "trace_id", "left_semi")
+    open_ = days.groupBy("trace_id").agg(F.max("has_root").alias("closed")).where("NOT closed").select("trace_id")
+    return active_traces(kept, logs, since, open_)
 
 
 def trace_latest_end(spans: DataFrame, trace_id: str | None = None) -> DataFrame:

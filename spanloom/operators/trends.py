@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange
 from spanloom.functions import expr as E
+from spanloom.functions.skew import cut_lineage
 from spanloom.functions.timebins import bin_index
 from spanloom.operators.cost import sum_when
-from spanloom.operators.sessions import first_timestamp
 from spanloom.operators.tools import failed
+from spanloom.sources.summaries import Summaries
 
 POINTS = 7
 FLAT = 2.0
@@ -63,43 +64,39 @@ def totals_current_prior(points: DataFrame, w: TimeRange, repo: str | None = Non
     return cost.unionByName(total).unionByName(by_type)
 
 
-def _session_lives(points: DataFrame, repo: str | None, cfg: TelemetryConfig) -> DataFrame:
-    """Whole-life length of every session, in seconds."""
-    rows = points.where(F.col("metric_name").isin(cfg.cost_metric, cfg.active_metric) & F.col("session_id").isNotNull() & E.in_repository(repo))
-    life = rows.groupBy("session_id").agg(
-        F.min(first_timestamp()).alias("any_first"), F.min(F.when(E.moving(), first_timestamp())).alias("first"),
-        F.max(F.when(E.moving(), F.col("timestamp"))).alias("last"))
-    return life.select("session_id", *[((F.unix_micros("last") - F.unix_micros(c)) / 1e6).alias(n)
-                                       for c, n in (("first", "seconds"), ("any_first", "seconds_any"))])
+def _lengths(kept: Summaries, repo: str | None, sessions: DataFrame) -> DataFrame:
+    """Whole-life length of some sessions, in seconds: from the first point that moved, and from the first of any kind."""
+    life = kept.session_lives(repo, sessions)
+    return life.select("session_id", *[((F.unix_micros("last_moved") - F.unix_micros(c)) / 1e6).alias(n)
+                                       for c, n in (("first_moved", "seconds"), ("first_any", "seconds_any"))])
 
 
-def sessions_current_prior(points: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
-    seen = (F.col("metric_name").isin(cfg.cost_metric, cfg.active_metric) & F.col("session_id").isNotNull() & E.moving() & E.in_repository(repo))
-    per = points.where(seen).groupBy("session_id").agg(
-        F.min(first_timestamp()).alias("first"), F.max("timestamp").alias("last"),
-        F.max(w.contains()).alias("current"), F.max(w.prior()).alias("prior"))
-    length = (F.unix_micros("last") - F.unix_micros("first")) / 1e6
-    periods = F.filter(F.array(F.when(F.col("current"), "current"), F.when(F.col("prior"), "prior")), lambda p: p.isNotNull())
-    return (per.select(F.explode(periods).alias("period"), length.alias("seconds")).groupBy("period")
-            .agg(E.row_count().alias("session_count"), F.avg("seconds").alias("avg_duration_seconds")))
+def _moved_sessions(points: DataFrame, w: TimeRange, columns: dict[str, Column], repo: str | None, cfg: TelemetryConfig) -> DataFrame:
+    """The distinct sessions of each period or bin that they moved in; a narrow table, read twice by its users."""
+    rows = _moving(points, w, (cfg.cost_metric, cfg.active_metric), repo).where(F.col("session_id").isNotNull())
+    return cut_lineage(rows.select("session_id", *[c.alias(n) for n, c in columns.items()]).distinct())
+
+
+def sessions_current_prior(points: DataFrame, w: TimeRange, repo: str | None = None, kept: Summaries | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
+    return _session_bins(points, w.with_prior(), {"period": period(w)}, repo, "seconds", kept, cfg)
 
 
 def _session_bins(points: DataFrame, w: TimeRange, bin_columns: dict[str, Column], repo: str | None, seconds: str,
-                  cfg: TelemetryConfig) -> DataFrame:
+                  kept: Summaries | None, cfg: TelemetryConfig) -> DataFrame:
     """Sessions that moved in a bin, counted with their whole-life length."""
-    rows = _moving(points, w, (cfg.cost_metric, cfg.active_metric), repo).where(F.col("session_id").isNotNull())
-    present = rows.select("session_id", *[c.alias(n) for n, c in bin_columns.items()]).distinct()
-    return (present.join(_session_lives(points, repo, cfg), "session_id").groupBy(*bin_columns)
+    present = _moved_sessions(points, w, bin_columns, repo, cfg)
+    lengths = _lengths(kept or Summaries.of(points=points, cfg=cfg), repo, present)
+    return (present.join(lengths, "session_id").groupBy(*bin_columns)
             .agg(E.row_count().alias("session_count"), F.avg(seconds).alias("avg_duration_seconds")))
 
 
-def sparklines_combined(points: DataFrame, w: TimeRange, seconds: int, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
+def sparklines_combined(points: DataFrame, w: TimeRange, seconds: int, repo: str | None = None, kept: Summaries | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     both = w.with_prior()
     bins = {"period": period(w), "bucket_index": period_bin(w, seconds)}
     sums = (_moving(points, both, (cfg.cost_metric, cfg.token_metric), repo).groupBy(*[c.alias(n) for n, c in bins.items()])
             .agg(sum_when(F.col("metric_name") == cfg.cost_metric).alias("cost_total"),
                  E.rounded_long(sum_when(F.col("metric_name") == cfg.token_metric)).alias("token_total")))
-    sessions = _session_bins(points, both, bins, repo, "seconds", cfg)
+    sessions = _session_bins(points, both, bins, repo, "seconds", kept, cfg)
     return sums.join(sessions, ["period", "bucket_index"], "full").na.fill(0).orderBy("period", "bucket_index")
 
 
@@ -122,9 +119,9 @@ def token_type_trend(points: DataFrame, w: TimeRange, seconds: int, cfg: Telemet
             .agg(E.rounded_long(F.coalesce(F.sum("value_delta"), F.lit(0.0))).alias("total")))
 
 
-def session_trend(points: DataFrame, w: TimeRange, seconds: int, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
+def session_trend(points: DataFrame, w: TimeRange, seconds: int, repo: str | None = None, kept: Summaries | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     bins = {"bucket_index": bin_index("timestamp", w.start, seconds)}
-    return _session_bins(points, w, bins, repo, "seconds_any", cfg).orderBy("bucket_index")
+    return _session_bins(points, w, bins, repo, "seconds_any", kept, cfg).orderBy("bucket_index")
 
 
 def _tool_rows(logs: DataFrame, w: TimeRange, repo: str | None, cfg: TelemetryConfig) -> DataFrame:
@@ -174,7 +171,7 @@ def _figures() -> dict[str, Column]:
     }
 
 
-def _sums(points: DataFrame, logs: DataFrame, w: TimeRange, seconds: int | None, repo: str | None, cfg: TelemetryConfig) -> DataFrame:
+def _sums(points: DataFrame, logs: DataFrame, w: TimeRange, seconds: int | None, repo: str | None, kept: Summaries | None, cfg: TelemetryConfig) -> DataFrame:
     """Sums per period, or per period and bin, of all the figures' inputs."""
     both = w.with_prior()
     keys = {"period": period(w)}
@@ -193,7 +190,7 @@ def _sums(points: DataFrame, logs: DataFrame, w: TimeRange, seconds: int | None,
         sum_when(is_cost).alias("cost"), sum_when(is_token).alias("tokens"), of_type("input").alias("tokens_input"),
         of_type("cacheCreation").alias("tokens_creation"), of_type("cacheRead").alias("tokens_read"))
     # A session's series starts at its first row of any kind, its totals at the first that moved.
-    sessions = _session_bins(points, both, keys, repo, "seconds" if seconds is None else "seconds_any", cfg).withColumnsRenamed(
+    sessions = _session_bins(points, both, keys, repo, "seconds" if seconds is None else "seconds_any", kept, cfg).withColumnsRenamed(
         {"session_count": "sessions", "avg_duration_seconds": "duration"})
     tools = _tool_rows(logs, both, repo, cfg)
     calls = tools.groupBy(*columns).agg(E.row_count().alias("calls"), F.count_if(failed()).alias("failures"))
@@ -203,10 +200,10 @@ def _sums(points: DataFrame, logs: DataFrame, w: TimeRange, seconds: int | None,
 
 
 def trends(points: DataFrame, logs: DataFrame, w: TimeRange, section: str | None = None, repo: str | None = None,
-           cfg: TelemetryConfig = CFG) -> DataFrame:
+           kept: Summaries | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     """Before and after of the eleven figures, with the verdict on the change."""
     metrics = SECTIONS[section] if section else tuple(GOOD_DIRECTION)
-    sums = _sums(points, logs, w, None, repo, cfg)
+    sums = _sums(points, logs, w, None, repo, kept, cfg)
     figures = {k: v for k, v in _figures().items() if k in metrics}
     entries = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in figures.items()])
     long = sums.select("period", F.inline(entries))
@@ -219,10 +216,10 @@ def trends(points: DataFrame, logs: DataFrame, w: TimeRange, section: str | None
 
 
 def trend_series(points: DataFrame, logs: DataFrame, w: TimeRange, section: str | None = None, bins: int = POINTS,
-                 repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
+                 repo: str | None = None, kept: Summaries | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:
     """Dense bins of each figure in both periods; rows past the last bin are left out."""
     metrics = SECTIONS[section] if section else tuple(GOOD_DIRECTION)
-    sums = _sums(points, logs, w, bucket_seconds(w, bins), repo, cfg).where(F.col("bucket_index") < bins)
+    sums = _sums(points, logs, w, bucket_seconds(w, bins), repo, kept, cfg).where(F.col("bucket_index") < bins)
     figures = {k: v for k, v in _figures().items() if k in metrics}
     entries = F.array(*[F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in figures.items()])
     long = sums.select("period", "bucket_index", F.inline(entries))

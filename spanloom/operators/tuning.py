@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import TimeRange
 from spanloom.functions import expr as E
-from spanloom.functions.skew import previous_row
+from spanloom.functions.skew import first_rows, previous_row
 from spanloom.operators.tools import (duration_and_output, failed, mcp_server_rollup, mcp_usage, sized_results, tool_results, tunable,
                                       tunable_context_footprint)
 
@@ -22,11 +22,6 @@ SHELL_REPLACEMENTS = {
 }
 
 
-def first_rows(ordered: DataFrame, limit: int | None) -> DataFrame:
-    """The head of a list for a screen; all of it without a limit."""
-    return ordered if limit is None else ordered.limit(limit)
-
-
 def _bash(logs: DataFrame, w: TimeRange) -> DataFrame:
     return tool_results(logs, w).where(F.col("tool_name") == "Bash")
 

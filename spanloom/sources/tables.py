@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.skew import shared_folder
 from spanloom.sources import adapter
+from spanloom.sources.summaries import Summaries, write_summaries
 
 # Rows of one kind lie together in a file, so row-group statistics can skip the rest.
 CLUSTERING = {
@@ -21,10 +22,11 @@ CLUSTERING = {
 
 
 def write_telemetry(df: DataFrame, root: str, table: str, batch_id: int, writer: str = "direct") -> str:
-    """Write one export batch of a writer. Writing it again replaces it; other writers' batches stay."""
+    """Write one export batch of a writer, and what it adds to the summaries. Writing it again replaces it; other writers' batches stay."""
     path = f"{root}/{table}/writer={writer}/batch={batch_id}"
     (df.hint("rebalance", "event_date").sortWithinPartitions(*CLUSTERING[table])
      .write.mode("overwrite").partitionBy("event_date").parquet(path))
+    write_summaries(df.sparkSession.read.schema(df.schema).parquet(path), root, table, batch_id, writer)
     return path
 
 
@@ -51,6 +53,12 @@ def read_points(spark: SparkSession, root: str) -> DataFrame:
             .withColumn("value_delta", F.coalesce("fixed", "value_delta")).select(*points.columns))
 
 
+def read_summaries(spark: SparkSession, root: str) -> Summaries:
+    """What is kept per session, trace and metric beside the stored tables."""
+    fixed = path_exists(spark, f"{root}/session_fixes")
+    return Summaries.kept(spark, root, (lambda: read_points(spark, root)) if fixed else None)
+
+
 @dataclass(frozen=True)
 class StoredTelemetry:
     """Tables ingested once per application from a source folder, then only read."""
@@ -84,6 +92,12 @@ class StoredTelemetry:
     def spans(self) -> DataFrame:
         return self._table("spans")
 
+    @cached_property
+    def kept(self) -> Summaries:
+        for table in ("logs", "points", "spans"):
+            getattr(self, table)
+        return read_summaries(self.spark, self.root)
+
 
 _OPEN: dict[tuple[str, str], StoredTelemetry] = {}
 

@@ -60,6 +60,10 @@ def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "dire
     write_telemetry(batch.join(added.select("id", "value_delta"), "id"), root, "points", batch_id, writer)
     fixes = done.where("NOT fresh").select("id", "event_date", "value_delta", F.current_timestamp().alias("fixed_at"))
     _write(fixes, root, "point_fixes", batch_id, writer)
+    # Whose summaries the corrections change: a stream belongs to one session.
+    sessions = batch.where("session_id IS NOT NULL").select("stream_id", "session_id").distinct()
+    _write(done.where("NOT fresh").select("stream_id", "event_date").distinct().join(sessions, "stream_id")
+           .select("session_id", "event_date").distinct(), root, "session_fixes", batch_id, writer)
     _write(point_heads(added), root, "point_heads", batch_id, writer)
 
 

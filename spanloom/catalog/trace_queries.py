@@ -222,7 +222,24 @@ def _with_bodies(t):
     return logs.withColumn("event_name", F.when(F.col("event_name") == "user_prompt", "api_request_body").otherwise(F.col("event_name")))
 
 
-query("pair_bodies_to_requests", lambda t: K.pair_bodies_to_requests(_with_bodies(t), tolerance_ms=60_000))
+_PAIRING = """
+    WITH RECURSIVE line AS (SELECT *, row_number() OVER (PARTITION BY mark, side ORDER BY id) AS turn FROM (
+      SELECT CASE WHEN en = 'user_prompt' THEN epoch_us(ts) ELSE epoch_us(ts) - CAST(floor(ms) AS BIGINT) * 1000 END AS mark,
+        CASE WHEN en = 'user_prompt' THEN 0 ELSE 1 END AS side, id, rid FROM logs WHERE en IN ('user_prompt', 'api_request') AND (en = 'user_prompt' OR rid IS NOT NULL))),
+    cuts AS (SELECT *, CASE WHEN (mark - lag(mark) OVER (ORDER BY mark, turn, side, id)) // 1000 > 60000 THEN 1 ELSE 0 END AS cut FROM line),
+    stretches AS (SELECT *, sum(cut) OVER (ORDER BY mark, turn, side, id) AS stretch FROM cuts),
+    lists AS (SELECT stretch, list({'mark': mark, 'side': side, 'id': id, 'rid': rid} ORDER BY mark, turn, side, id) AS l FROM stretches GROUP BY stretch),
+    steps AS (
+      SELECT stretch, l, NULL::STRUCT(gap BIGINT, i BIGINT) AS best, l AS had FROM lists
+      UNION ALL
+      SELECT stretch, list_concat(l[1:best.i - 1], l[best.i + 2:]), best, l FROM (
+        SELECT stretch, l, list_min(list_filter(list_transform(range(1, len(l)), lambda i: CASE WHEN l[i].side <> l[i + 1].side AND (l[i + 1].mark - l[i].mark) // 1000 <= 60000
+          THEN {'gap': l[i + 1].mark - l[i].mark, 'i': i} END), lambda c: c IS NOT NULL)) AS best FROM steps WHERE len(l) > 1) WHERE best IS NOT NULL),
+    taken AS (SELECT had[best.i] AS x, had[best.i + 1] AS y, best.gap AS gap FROM steps WHERE best IS NOT NULL)
+    SELECT 'p' AS prompt_id, 'm0' AS model, CASE WHEN x.side = 0 THEN x.id ELSE y.id END AS body_id, CASE WHEN x.side = 0 THEN y.id ELSE x.id END AS request_log_id,
+      CASE WHEN x.side = 0 THEN y.rid ELSE x.rid END AS request_id, gap // 1000 AS offset_ms FROM taken"""
+query("pair_bodies_to_requests", lambda t: K.pair_bodies_to_requests(_with_bodies(t), tolerance_ms=60_000), _PAIRING)
+query("pair_bodies_in_rounds", lambda t: K.pair_bodies_to_requests(_with_bodies(t), tolerance_ms=60_000, stretch=2), _PAIRING)
 query("resolve_leaf_span", lambda t: K.resolve_leaf_span(t.logs.withColumn("span_id", F.concat(F.lit("e"), (F.col("id") - F.col("id") % 20).cast("string"))), t.spans, _execution()), """
     WITH l AS (SELECT *, 'e' || (id - id % 20) AS own FROM logs), x AS (SELECT tr, tuid, min(sp) AS sp FROM spans WHERE name = 'claude_code.tool' AND tuid IS NOT NULL GROUP BY 1, 2),
     q AS (SELECT tr, rid, min(sp) AS sp FROM spans WHERE name = 'claude_code.llm_request' AND rid IS NOT NULL GROUP BY 1, 2)

@@ -2,64 +2,144 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+from heapq import heappop, heappush
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig
 from spanloom.functions import expr as E
-from spanloom.functions.skew import cut_lineage, previous_row, time_chunk
+from spanloom.functions.skew import carry_last, cut_lineage, previous_row, running_total, time_chunk
 from spanloom.operators.span_tree import span_paths
 
 TOLERANCE_MS = 1000
+#: Rows of one unbroken stretch of a time line that a task matches at once; longer ones are thinned out by rounds first.
+STRETCH = 100_000
 _KEYS = ["prompt_id", "model"]
+_ORDER = ["at", "turn", "side", "id"]
+_PAIRS = "prompt_id string, model string, body_id long, request_log_id long, request_id string, offset_ms long"
 
 
-def _neighbour(df: DataFrame, payload: Column, into: str, forward: bool) -> DataFrame:
-    """``payload`` of the row before or after in time, within a prompt and model."""
-    sign = -1 if forward else 1
-    ordered = df.withColumns({"__a": sign * F.col("at"), "__b": sign * F.col("side"), "__c": sign * F.col("id")})
-    chunk = sign * time_chunk(F.timestamp_micros("at"))
-    return previous_row(ordered, _KEYS, ["__a", "__b", "__c"], payload, into, chunk=chunk).drop("__a", "__b", "__c")
-
-
-def pair_bodies_to_requests(logs: DataFrame, tolerance_ms: int = TOLERANCE_MS, cfg: TelemetryConfig = CFG) -> DataFrame:
-    """Match each request body with one request of its prompt and model, closest pairs first.
-
-    A request counts from when it was issued. On a time line the closest open pair
-    always stands side by side, so each round takes the neighbours that are closer
-    to each other than to their other neighbours, and drops them from the line.
-    No pairs beyond the neighbours are ever made.
-    """
+def _time_line(logs: DataFrame, cfg: TelemetryConfig) -> DataFrame:
+    """Bodies (side 0) and requests (side 1, when they were issued) of each prompt and model; those of one instant take turns."""
     common = F.col("prompt_id").isNotNull() & (F.col("prompt_id") != "") & F.col("model").isNotNull() & (F.col("model") != "")
     bodies = logs.where((F.col("event_name") == cfg.api_request_body) & common).select(
         *_KEYS, F.unix_micros("timestamp").alias("at"), F.lit(0).alias("side"), "id", F.lit(None).cast("string").alias("request_id"))
     requests = logs.where((F.col("event_name") == cfg.api_request) & common & F.col("request_id").isNotNull() & F.col("duration_ms").isNotNull()).select(
         *_KEYS, (F.unix_micros("timestamp") - (F.floor("duration_ms") * 1000).cast("long")).alias("at"), F.lit(1).alias("side"), "id", "request_id")
-    line = cut_lineage(bodies.unionByName(requests))
-    me = F.struct("at", "side", "id", "request_id")
-    matched = None
+    turn = F.row_number().over(Window.partitionBy(*_KEYS, "at", "side").orderBy("id"))
+    return bodies.unionByName(requests).withColumn("turn", turn).select(*_KEYS, *_ORDER, "request_id")
+
+
+def _stretches(line: DataFrame, tolerance_ms: int) -> DataFrame:
+    """The line with ``stretch`` (cut where two neighbours are too far apart for any pair across) and its ``size``.
+
+    Stretches with rows of one side only hold no pair and are left out.
+    """
+    chunk = time_chunk(F.timestamp_micros("at"))
+    seen = previous_row(line, _KEYS, _ORDER, F.col("at"), "before", chunk=chunk)
+    far = F.when(F.floor((F.col("at") - F.col("before")) / 1000) > tolerance_ms, 1).otherwise(0)
+    cut = cut_lineage(running_total(seen, _KEYS, _ORDER, far, "stretch", chunk=chunk).drop("before"))
+    sizes = cut.groupBy(*_KEYS, "stretch").agg(F.count(F.lit(1)).alias("size"), F.min("side").alias("low"), F.max("side").alias("high"))
+    return cut.join(sizes.where("low < high").drop("low", "high"), [*_KEYS, "stretch"])
+
+
+def closest_pairs(at: Sequence[int], side: Sequence[int], tolerance_ms: int) -> list[tuple[int, int]]:
+    """Index pairs of neighbours on a line (sorted), of different sides: the closest first, of equals the earlier.
+
+    A pair that is taken leaves the line, and its neighbours become each other's.
+    """
+    before, after = list(range(-1, len(at) - 1)), [*range(1, len(at)), -1]
+    open_ = [True] * len(at)
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int, j: int) -> None:
+        if i >= 0 and j >= 0 and side[i] != side[j] and (at[j] - at[i]) // 1000 <= tolerance_ms:
+            heappush(heap, (at[j] - at[i], i, j))
+
+    for i in range(len(at) - 1):
+        offer(i, i + 1)
+    found = []
+    while heap:
+        _, i, j = heappop(heap)
+        if not (open_[i] and open_[j] and after[i] == j):
+            continue
+        found.append((i, j))
+        open_[i] = open_[j] = False
+        left, right = before[i], after[j]
+        if left >= 0:
+            after[left] = right
+        if right >= 0:
+            before[right] = left
+        offer(left, right)
+    return found
+
+
+def _matched_at_once(stretches: DataFrame, tolerance_ms: int) -> DataFrame:
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(_ORDER, ignore_index=True)
+        pairs = closest_pairs(rows["at"].tolist(), rows["side"].tolist(), tolerance_ms)
+        first, second = ([p[k] for p in pairs] for k in (0, 1))
+        body = [i if rows["side"][i] == 0 else j for i, j in pairs]
+        request = [i + j - b for (i, j), b in zip(pairs, body)]
+        offset = (rows["at"].to_numpy()[second] - rows["at"].to_numpy()[first]) // 1000
+        return pd.DataFrame({"prompt_id": rows["prompt_id"].to_numpy()[body], "model": rows["model"].to_numpy()[body], "body_id": rows["id"].to_numpy()[body],
+                             "request_log_id": rows["id"].to_numpy()[request], "request_id": rows["request_id"].to_numpy()[request], "offset_ms": offset})
+
+    return stretches.drop("size").groupBy(*_KEYS, "stretch").applyInPandas(match, _PAIRS)
+
+
+def _nearest_other(df: DataFrame, forward: bool) -> DataFrame:
+    """The nearest row of the other side before or after each row, as ``other_before`` or ``other_after``."""
+    sign = -1 if forward else 1
+    signed = df.withColumns({f"__{c}": sign * F.col(c) for c in _ORDER})
+    chunk = sign * time_chunk(F.timestamp_micros("at"))
+    order = [f"__{c}" for c in _ORDER]
+    for side in (0, 1):
+        signed = carry_last(signed, _KEYS, order, F.when(F.col("side") == side, F.struct("at", "id", "request_id")), f"__s{side}", include_current=False, chunk=chunk)
+    found = F.when(F.col("side") == 0, F.col("__s1")).otherwise(F.col("__s0"))
+    return signed.withColumn("other_after" if forward else "other_before", found).drop(*order, "__s0", "__s1")
+
+
+def _mutual(line: DataFrame, tolerance_ms: int) -> DataFrame:
+    """Pairs of rows that are each other's nearest: whatever else is taken first, these are pairs in the end."""
+    seen = _nearest_other(_nearest_other(line, False), True)
+    back, ahead = F.col("at") - F.col("other_before.at"), F.col("other_after.at") - F.col("at")
+    far = F.lit(2**62)
+    looks_back = F.coalesce(back, far) <= F.coalesce(ahead, far)
+    ways = [*_KEYS, "side", "id", "request_id"]
+    later = seen.where(looks_back & (F.floor(back / 1000) <= tolerance_ms)).select(*ways, F.col("other_before").alias("other"), F.floor(back / 1000).cast("long").alias("offset_ms"))
+    sooner = seen.where(~looks_back).select(*[F.col(k).alias(f"o_{k}") for k in _KEYS], F.col("side").alias("o_side"), F.col("id").alias("o_id"),
+                                            F.col("other_after.id").alias("o_wants"))
+    met = later.join(sooner, (F.col("o_id") == F.col("other.id")) & (F.col("o_wants") == F.col("id")) & (F.col("o_side") != F.col("side"))
+                     & reduce(lambda a, b: a & b, [F.col(k) == F.col(f"o_{k}") for k in _KEYS]), "inner")
+    body = F.col("side") == 0
+    return met.select(*_KEYS, F.when(body, F.col("id")).otherwise(F.col("other.id")).alias("body_id"), F.when(body, F.col("other.id")).otherwise(F.col("id")).alias("request_log_id"),
+                      F.when(body, F.col("other.request_id")).otherwise(F.col("request_id")).alias("request_id"), "offset_ms")
+
+
+def pair_bodies_to_requests(logs: DataFrame, tolerance_ms: int = TOLERANCE_MS, cfg: TelemetryConfig = CFG, stretch: int = STRETCH) -> DataFrame:
+    """Match each request body with one request of its prompt and model, closest pairs first.
+
+    A request counts from when it was issued. Time lines fall into stretches where neighbours are farther apart than
+    the tolerance; each is matched by itself. A stretch too long for one task loses the pairs that are each other's
+    nearest, round by round, until all that is left of it is short. Of equally close pairs the earlier one counts.
+    """
+    line, matched = cut_lineage(_time_line(logs, cfg)), []
     while True:
-        seen = _neighbour(line, me, "left", forward=False)
-        gap = F.floor((F.col("at") - F.col("left.at")) / 1000).cast("long")
-        # gap: distance to the row before, where the two could be a pair.
-        seen = cut_lineage(seen.withColumn("gap", F.when((F.col("side") != F.col("left.side")) & (gap <= tolerance_ms), gap)))
-        if seen.where("gap IS NOT NULL").limit(1).count() == 0:
-            break
-        far = F.lit(2**62)
-        both = _neighbour(_neighbour(seen, F.col("gap"), "gap_before", forward=False), F.col("gap"), "gap_after", forward=True)
-        chosen = both.where(F.col("gap").isNotNull() & (F.col("gap") < F.coalesce("gap_before", far)) & (F.col("gap") <= F.coalesce("gap_after", far)))
-        first = F.col("side") == 0
-        pairs = cut_lineage(chosen.select(
-            *_KEYS, F.when(first, F.col("id")).otherwise(F.col("left.id")).alias("body_id"),
-            F.when(first, F.col("left.id")).otherwise(F.col("id")).alias("request_log_id"),
-            F.when(first, F.col("left.request_id")).otherwise(F.col("request_id")).alias("request_id"), F.col("gap").alias("offset_ms")))
-        used = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("body_id").alias("id")),
-                                              F.struct(F.lit(1).alias("side"), F.col("request_log_id").alias("id")))).alias("u")).select("u.*")
+        cut = cut_lineage(_stretches(line, tolerance_ms))
+        matched.append(_matched_at_once(cut.where(F.col("size") <= stretch), tolerance_ms))
+        line = cut.where(F.col("size") > stretch).select(*line.columns)
+        if line.isEmpty():
+            return reduce(DataFrame.unionByName, matched)
+        pairs = cut_lineage(_mutual(line, tolerance_ms))
+        matched.append(pairs)
+        used = pairs.select(F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("body_id").alias("id")),
+                                             F.struct(F.lit(1).alias("side"), F.col("request_log_id").alias("id")))))
         line = cut_lineage(line.join(used, ["side", "id"], "left_anti").select(*line.columns))
-        matched = pairs if matched is None else matched.unionByName(pairs)
-    if matched is None:
-        matched = line.select(*_KEYS, F.col("id").alias("body_id"), F.col("id").alias("request_log_id"), "request_id", F.col("at").alias("offset_ms")).limit(0)
-    return matched
 
 
 def _spans_by(spans: DataFrame, name: str, key: str) -> DataFrame:

@@ -163,6 +163,45 @@ def test_body_pairing_equals_greedy(logs, seed):
     assert len(got) == len(want) and total(got) == total(want)
 
 
+def test_closest_pairs_match_all_pairs_sorted():
+    rnd = random.Random(11)
+    for _ in range(300):
+        marks = sorted(rnd.sample(range(10**7), rnd.randrange(2, 30)))
+        side = [rnd.randrange(2) for _ in marks]
+        want = brute_pairs({i: t for i, t in enumerate(marks) if side[i] == 0}, {i: t for i, t in enumerate(marks) if side[i] == 1}, 2000)
+        got = {(i, j) if side[i] == 0 else (j, i) for i, j in correlation.closest_pairs(marks, side, 2000)}
+        gaps = [abs(a - b) // 1000 for a, b in itertools.combinations(marks, 2)]
+        assert len(set(gaps)) < len(gaps) or got == want
+    assert correlation.closest_pairs([0, 10, 11, 20], [0, 1, 1, 0], 1) == [(2, 3), (0, 1)]
+    assert correlation.closest_pairs([], [], 5) == []
+
+
+def _calls(times):
+    common = {"prompt.id": "p", "model": "m"}
+    return [{"ev": "api_request_body", "t": t, "a": common} if body else {"ev": "api_request", "t": t, "a": {**common, "request_id": f"r{i}", "duration_ms": "0"}}
+            for i, (t, body) in enumerate(times)]
+
+
+def _paired(df):
+    return sorted((r.body_id, r.request_log_id, r.request_id, r.offset_ms) for r in df.collect())
+
+
+def test_pairing_in_rounds_equals_at_once(logs):
+    rnd = random.Random(5)
+    for spread in (40, 2):
+        rows = logs(*_calls([(rnd.randrange(spread * 1000) / 1000, rnd.random() < 0.5) for _ in range(120)]))
+        whole = _paired(correlation.pair_bodies_to_requests(rows))
+        assert whole and _paired(correlation.pair_bodies_to_requests(rows, stretch=8)) == whole
+
+
+def test_even_spacing_and_simultaneous_calls(logs):
+    even = _paired(correlation.pair_bodies_to_requests(logs(*_calls([(i / 10, i % 2 == 0) for i in range(10_000)]))))
+    assert even == [(i, i + 1, f"r{i + 1}", 100) for i in range(0, 10_000, 2)]
+    at_once = _paired(correlation.pair_bodies_to_requests(logs(*_calls([(5, i < 4) for i in range(8)]))))
+    assert at_once == [(i, i + 4, f"r{i + 4}", 0) for i in range(4)]
+    assert _paired(correlation.pair_bodies_to_requests(logs({"ev": "x"}))) == []
+
+
 def test_leaf_span_only_moves_down(logs, spans):
     rows = spans({"s": "root", "n": "claude_code.interaction"}, {"s": "tool", "p": "root"},
                  {"s": "exec", "p": "tool", "n": "claude_code.tool.execution", "a": {"tool_use_id": "c"}},

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import alnum_words, read_table, texts, without
+from spanloom.llm.common import alnum_words, lean, read_table, texts, without
 
 #: Words of a window, and words of test items one automaton takes; more items go into further automata.
 WINDOW, BLOCK_WORDS = 10, 400_000
@@ -177,7 +177,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
 
     found = docs
     for block in item_blocks(benchmark, block_words):
-        found = found.mapInArrow(through(ItemAutomaton(block, window)), out)
+        found = found.mapInArrow(lean(through(ItemAutomaton(block, window))), out)
     return found
 
 
@@ -236,7 +236,7 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
             columns[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    done = found.mapInArrow(rewrite, found.schema)
+    done = found.mapInArrow(lean(rewrite), found.schema)
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(kinds["n_chars"])).otherwise(F.col("n_chars")))
     return done.select(*[F.col(f"`{c}`") for c in names])

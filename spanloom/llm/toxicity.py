@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import alnum_words, labelled_sample, read_table, remainder, texts, without
+from spanloom.llm.common import alnum_words, labelled_sample, lean, read_table, remainder, texts, without
 
 #: Words of a window, and how far on the next one begins: passages of up to WINDOW - STEP + 1 words stand whole in one.
 #: Units a direction, input width, hashed slots.
@@ -373,7 +373,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
             scores = _sigmoid(logits + net.shift) if net.constant is None else np.full(len(logits), net.constant)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*names[:-1], "toxic_score"])
 
-    return rows.mapInArrow(run, docs.withColumn("toxic_score", F.lit(0.0)).schema)
+    return rows.mapInArrow(lean(run), docs.withColumn("toxic_score", F.lit(0.0)).schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

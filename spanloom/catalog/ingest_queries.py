@@ -1,6 +1,7 @@
 """Checkable queries: ingest, increments, derived columns, report, streams."""
 
 from itertools import count
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
@@ -9,8 +10,8 @@ from spanloom.functions import expr as E
 from spanloom.operators.log_explorer import LogFilter
 from spanloom.plans import report
 from spanloom.schema import enrich_logs, enrich_points, enrich_spans
-from spanloom.sources import deltas, otlp
-from spanloom.streaming import live, stateful
+from spanloom.sources import deltas, otlp, tables
+from spanloom.streaming import ingest, live, stateful
 
 
 def _pairs(attrs):
@@ -171,5 +172,41 @@ def _live_deltas(t):
 
 
 query("stream_counter_deltas", _live_deltas, "SELECT id, round(d, 6) AS value_delta, 'insert' AS change FROM points")
+PARTS = 3
+
+
+def _ingested_in_parts(t):
+    """All points as export files that come in three parts, every third point each, so most rows of the later ones are late."""
+    folder = f"{t.root}-streams/ingest-{next(_RUNS)}"
+    for part in range(PARTS):
+        exported_points(SimpleNamespace(points=t.points.where(F.pmod("id", F.lit(PARTS)) == part))).write.mode("append").text(f"{folder}/source")
+        ingest.ingest_exports(t.spark, f"{folder}/source", f"{folder}/tables", "points", f"{folder}/checkpoint").awaitTermination()
+    return tables.read_points(t.spark, f"{folder}/tables").select("metric_name", "session_id", "timestamp", "model", "token_type", "value_delta")
+
+
+query("ingest_stream_points", _ingested_in_parts,
+      "SELECT metric AS metric_name, sid AS session_id, epoch_us(ts) AS timestamp, model, tt AS token_type, round(d, 6) AS value_delta FROM points")
+
+
+def _late_points(t):
+    """Points that are stored part by part without an increment, and a stream that works the increments out; two days late at most, or repaired."""
+    folder = f"{t.root}-streams/late-{next(_RUNS)}"
+    before = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.ROCKSDB)
+    try:
+        for part in range(PARTS):
+            raw = t.points.where(F.pmod("id", F.lit(PARTS)) == part).withColumn("value_delta", F.lit(None).cast("double"))
+            tables.write_telemetry(raw, f"{folder}/tables", "points", part)
+            ingest.stream_increments(t.spark, f"{folder}/tables", f"{folder}/checkpoint", lateness_seconds=2 * DAY).awaitTermination()
+    finally:
+        t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return f"{folder}/tables"
+
+
+query("stream_late_points", lambda t: tables.read_points(t.spark, _late_points(t)).select("id", "metric_name", "value_delta"),
+      "SELECT id, metric AS metric_name, round(d, 6) AS value_delta FROM points")
+query("stream_late_sessions", lambda t: tables.read_summaries(t.spark, _late_points(t)).session_lives().select("session_id", "cost_usd", "first_moved", "last_moved"), """
+    SELECT sid AS session_id, round(coalesce(sum(d) FILTER (metric LIKE '%cost%'), 0), 6) AS cost_usd, epoch_us(min(ts) FILTER (d <> 0)) AS first_moved,
+      epoch_us(max(ts) FILTER (d <> 0)) AS last_moved FROM points WHERE metric LIKE '%cost%' OR metric LIKE '%active%' GROUP BY sid""")
 query("stream_live_tail", lambda t: _drained(t, live.live_tail(_stream_of(t, "logs"), LogFilter(W, tools=("Bash",)), (W.start, -1)).select("id", "timestamp", "tool"), "tail"),
       "SELECT id, epoch_us(ts) AS timestamp, tool FROM logs WHERE tn = 'Bash'")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +40,7 @@ def _repository(cfg: TelemetryConfig):
     return F.coalesce(F.col("attributes")[cfg.repository_key], F.col("resource_attributes")[cfg.repository_key])
 
 
-def _utc_date(ts: str):
+def _utc_date(ts: Column | str) -> Column:
     """The UTC day, whatever the session's time zone."""
     return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(86_400_000_000)).cast("int"))
 

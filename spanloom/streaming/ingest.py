@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.functions.skew import cut_lineage, previous_row
-from spanloom.schema import enrich_logs, enrich_points, enrich_spans
+from spanloom.schema import _utc_date, enrich_logs, enrich_points, enrich_spans
 from spanloom.sources.deltas import current_value, increment, point_heads
 from spanloom.sources.otlp import flatten_otlp_logs, flatten_otlp_metrics, flatten_otlp_spans, rejected_exports
 from spanloom.sources.tables import path_exists, write_telemetry
+from spanloom.streaming.stateful import stream_deltas
 
 _SHAPES = {"logs": (flatten_otlp_logs, enrich_logs), "spans": (flatten_otlp_spans, enrich_spans), "points": (flatten_otlp_metrics, enrich_points)}
 
@@ -67,21 +68,65 @@ def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "dire
     _write(point_heads(added), root, "point_heads", batch_id, writer)
 
 
-def ingest_exports(spark: SparkSession, source: str, root: str, table: str, checkpoint: str) -> StreamingQuery:
+def _writer(spark: SparkSession, checkpoint: str) -> str:
+    """Batch numbers begin anew with each checkpoint, so folders carry the id that the checkpoint was given."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def ingest_exports(spark: SparkSession, source: str, root: str, table: str, checkpoint: str, files_a_batch: int | None = None) -> StreamingQuery:
     """Read new export files as they come and add them to one table; what cannot be read goes to ``rejected``."""
     flatten, enrich = _SHAPES[table]
 
     def store(requests: DataFrame, batch_id: int) -> None:
         batch = enrich(flatten(requests))
-        # Batch numbers begin anew with each checkpoint, so folders carry the id that the checkpoint was given.
-        writer = F.get_json_object("value", "$.id")
-        writer = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(writer).first()[0]
+        writer = _writer(batch.sparkSession, checkpoint)
         rejected_exports(requests, table).write.mode("overwrite").parquet(f"{root}/rejected/kind={table}/writer={writer}/batch={batch_id}")
         if table == "points":
             merge_points(batch, root, batch_id, writer)
         else:
             write_telemetry(batch, root, table, batch_id, writer)
 
-    lines = spark.readStream.text(source).withColumn("received_at", F.current_timestamp())
+    reader = spark.readStream if files_a_batch is None else spark.readStream.option("maxFilesPerTrigger", files_a_batch)
+    lines = reader.text(source).withColumn("received_at", F.current_timestamp())
     return (lines.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def store_increments(changes: DataFrame, root: str, batch_id: int, writer: str) -> None:
+    """Upsert increments that a stream of changes brings (``stateful.stream_deltas``); ``read_points`` gives the newest of each point.
+
+    Inserts and updates carry their increment. A ``repair`` row came too late for the stream's state: it is placed among
+    the stored points of its stream, and its own increment and its successor's are worked out there. Writing a batch
+    again replaces it.
+    """
+    spark = changes.sparkSession
+    changes = cut_lineage(changes)
+    stored = spark.read.parquet(f"{root}/points").drop("writer", "batch")
+    told = changes.where("change <> 'repair'").select("id", "value_delta", _utc_date(F.timestamp_micros("at")).alias("event_date"))
+    late = changes.where("change = 'repair'").select("stream_id", "id")
+    line = (stored.join(late.select("stream_id").distinct(), "stream_id", "left_semi")
+            .select("stream_id", "event_date", "timestamp", "id", current_value().alias("value")).dropDuplicates(["id"]))
+    seen = previous_row(line, ["stream_id"], ["timestamp", "id"], F.struct("value", "id"), "before")
+    seen = seen.withColumn("value_delta", increment(F.col("value"), F.col("before.value")))
+    placed = seen.join(late.select("id"), "id", "left_semi").unionByName(
+        seen.join(late.select(F.col("id").alias("late_id")), F.col("before.id") == F.col("late_id"), "left_semi"))
+    # A row both told and placed (its predecessor came late) is right as placed.
+    placed = placed.select("id", "value_delta", "event_date").dropDuplicates(["id"])
+    fixes = cut_lineage(placed.unionByName(told.join(placed.select("id"), "id", "left_anti")))
+    _write(fixes.withColumn("fixed_at", F.current_timestamp()), root, "point_fixes", batch_id, writer)
+    sessions = stored.where("session_id IS NOT NULL").select("id", "event_date", "session_id")
+    _write(fixes.join(sessions, ["id", "event_date"]).select("session_id", "event_date").distinct(), root, "session_fixes", batch_id, writer)
+
+
+def stream_increments(spark: SparkSession, root: str, checkpoint: str, lateness_seconds: int = 3600) -> StreamingQuery:
+    """Work out the increments of points as they are stored without one, and keep them right as late points come.
+
+    The session's state store must be RocksDB (``stateful.ROCKSDB``).
+    """
+    points = spark.readStream.schema(spark.read.parquet(f"{root}/points").schema).parquet(f"{root}/points")
+
+    def store(changes: DataFrame, batch_id: int) -> None:
+        store_increments(changes, root, batch_id, _writer(changes.sparkSession, checkpoint))
+
+    return (stream_deltas(points, lateness_seconds).writeStream.foreachBatch(store).outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

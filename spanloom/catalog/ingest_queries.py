@@ -1,5 +1,6 @@
 """Checkable queries: ingest, increments, derived columns, report, streams."""
 
+from datetime import date
 from itertools import count
 from types import SimpleNamespace
 
@@ -10,7 +11,7 @@ from spanloom.functions import expr as E
 from spanloom.operators.log_explorer import LogFilter
 from spanloom.plans import report
 from spanloom.schema import enrich_logs, enrich_points, enrich_spans
-from spanloom.sources import deltas, otlp, tables
+from spanloom.sources import compaction, deltas, otlp, tables
 from spanloom.streaming import ingest, live, stateful
 
 
@@ -188,6 +189,21 @@ query("ingest_stream_points", _ingested_in_parts,
       "SELECT metric AS metric_name, sid AS session_id, epoch_us(ts) AS timestamp, model, tt AS token_type, round(d, 6) AS value_delta FROM points")
 
 
+def _compacted(t):
+    """Points that come in parts, every third each; closed days are rewritten after two parts and again after the last."""
+    folder = f"{t.root}-streams/compacted-{next(_RUNS)}/tables"
+    for part in range(PARTS):
+        ingest.merge_points(t.points.where(F.pmod("id", F.lit(PARTS)) == part), folder, part)
+        if part:
+            tables.compact(t.spark, folder, "points", date(2024, 1, 28))
+        for table in ("points", "point_fixes"):
+            compaction.vacuum(t.spark, folder, table)
+    return tables.read_points(t.spark, folder).select("id", "metric_name", "value_delta")
+
+
+query("compacted_points", _compacted, "SELECT id, metric AS metric_name, round(d, 6) AS value_delta FROM points")
+
+
 def _late_points(t):
     """Points that are stored part by part without an increment, and a stream that works the increments out; two days late at most, or repaired."""
     folder = f"{t.root}-streams/late-{next(_RUNS)}"

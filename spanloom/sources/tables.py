@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
 from functools import cached_property
 import hashlib
 
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.skew import shared_folder
-from spanloom.sources import adapter
+from spanloom.sources import adapter, compaction
+from spanloom.sources.compaction import path_exists
 from spanloom.sources.summaries import Summaries, write_summaries
 
 # Rows of one kind lie together in a file, so row-group statistics can skip the rest.
@@ -31,28 +33,43 @@ def write_telemetry(df: DataFrame, root: str, table: str, batch_id: int, writer:
 
 
 def read_telemetry(spark: SparkSession, root: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{table}").drop("writer", "batch")
+    return compaction.current(spark, root, table).drop("writer", "batch")
 
 
 _FIXES = "id bigint, value_delta double, fixed_at timestamp, writer string, batch int, event_date date"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def read_points(spark: SparkSession, root: str) -> DataFrame:
     """Stored points with the newest correction of each increment."""
     points = read_telemetry(spark, root, "points")
     if not path_exists(spark, f"{root}/point_fixes"):
         return points
-    fixes = (spark.read.schema(_FIXES).parquet(f"{root}/point_fixes").groupBy("id", "event_date")
+    fixes = (compaction.current(spark, root, "point_fixes", _FIXES).groupBy("id", "event_date")
              .agg(F.max_by("value_delta", F.struct("fixed_at", "batch")).alias("fixed")))
     return (points.join(fixes, ["id", "event_date"], "left")
             .withColumn("value_delta", F.coalesce("fixed", "value_delta")).select(*points.columns))
 
 
+def compact(spark: SparkSession, root: str, table: str, before: date) -> list[str]:
+    """Rewrite the days before a date that lie in several folders; returns them.
+
+    Rows delivered again count once from then on, and corrections of points become part of their rows. Ingest may go on
+    meanwhile; one compaction of a table runs at a time.
+    """
+    fixes = table == "points" and path_exists(spark, f"{root}/point_fixes")
+    # The corrections are listed before the points are read, so none is folded that was not applied.
+    corrected = compaction.closed_days(spark, root, "point_fixes", before, 1) if fixes else {}
+    days = compaction.closed_days(spark, root, table, before)
+    if not days:
+        return []
+    rows = read_points(spark, root) if table == "points" else read_telemetry(spark, root, table)
+    compaction.commit_snapshot(rows.where(F.col("event_date").isin([date.fromisoformat(d) for d in days])), root, table, days, CLUSTERING[table])
+    folded = [place for day, some in corrected.items() if day in days for place in some]
+    if folded:
+        compaction.commit(spark, root, "point_fixes", compaction.replaced(spark, root, "point_fixes") + folded)
+    return sorted(days)
+
+
 def read_summaries(spark: SparkSession, root: str) -> Summaries:
     """What is kept per session, trace and metric beside the stored tables."""
     fixed = path_exists(spark, f"{root}/session_fixes")

@@ -8,9 +8,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.functions.skew import cut_lineage, previous_row
 from spanloom.schema import _utc_date, enrich_logs, enrich_points, enrich_spans
+from spanloom.sources import compaction
 from spanloom.sources.deltas import current_value, increment, point_heads
 from spanloom.sources.otlp import flatten_otlp_logs, flatten_otlp_metrics, flatten_otlp_spans, rejected_exports
-from spanloom.sources.tables import path_exists, write_telemetry
+from spanloom.sources.tables import path_exists, read_telemetry, write_telemetry
 from spanloom.streaming.stateful import stream_deltas
 
 _SHAPES = {"logs": (flatten_otlp_logs, enrich_logs), "spans": (flatten_otlp_spans, enrich_spans), "points": (flatten_otlp_metrics, enrich_points)}
@@ -41,7 +42,7 @@ def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "dire
     others = (F.col("batch") != batch_id) | (F.col("writer") != writer)
     stored = None
     if path_exists(spark, f"{root}/points"):
-        stored = spark.read.parquet(f"{root}/points").where(others & F.col("event_date").isin(days))
+        stored = compaction.current(spark, root, "points").where(others & F.col("event_date").isin(days))
         batch = batch.join(stored.select("id"), "id", "left_anti")
     fresh = batch.withColumn("value", current_value()).withColumn("fresh", F.lit(True))
     line = fresh.select(*columns)
@@ -101,7 +102,7 @@ def store_increments(changes: DataFrame, root: str, batch_id: int, writer: str)
     """
     spark = changes.sparkSession
     changes = cut_lineage(changes)
-    stored = spark.read.parquet(f"{root}/points").drop("writer", "batch")
+    stored = read_telemetry(spark, root, "points")
     told = changes.where("change <> 'repair'").select("id", "value_delta", _utc_date(F.timestamp_micros("at")).alias("event_date"))
     late = changes.where("change = 'repair'").select("stream_id", "id")
     line = (stored.join(late.select("stream_id").distinct(), "stream_id", "left_semi")
@@ -124,6 +125,7 @@ def stream_increments(spark: SparkSession, root: str, checkpoint: str, lateness_
     The session's state store must be RocksDB (``stateful.ROCKSDB``).
     """
     points = spark.readStream.schema(spark.read.parquet(f"{root}/points").schema).parquet(f"{root}/points")
+    points = points.where(~F.col("writer").startswith(compaction.SNAPSHOT))
 
     def store(changes: DataFrame, batch_id: int) -> None:
         store_increments(changes, root, batch_id, _writer(changes.sparkSession, checkpoint))

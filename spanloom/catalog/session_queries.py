@@ -2,10 +2,13 @@
 
 from spanloom.catalog.base import CP, W, query
 from spanloom.config import utc
+from spanloom.operators import pages as G
 from spanloom.operators import sessions as N
 from spanloom.operators import turns as U
 from pyspark.sql import functions as F
 
+from spanloom.sources.summaries import Summaries
+
 _TK = """CAST(coalesce(sum(d) FILTER (metric LIKE '%token%' AND tt = 'input' {w}), 0) AS BIGINT) AS input_tokens,
     CAST(coalesce(sum(d) FILTER (metric LIKE '%token%' AND tt = 'output' {w}), 0) AS BIGINT) AS output_tokens,
     CAST(coalesce(sum(d) FILTER (metric LIKE '%token%' AND tt = 'cacheCreation' {w}), 0) AS BIGINT) AS cache_creation_tokens,
@@ -40,6 +43,22 @@ for _key, _sql in _ORD.items():
               lambda t, k=_key, d=_desc: N.session_summaries(t.points, CP, k, d, page=1, size=40, kept=t.kept),
               f"{_FACTS} {_sql} {_dir} NULLS LAST, session_id LIMIT 40 OFFSET 40")
 
+_NOW = "2024-01-29 12:00:00"
+query("session_page", lambda t: G.session_page(t.points, t.logs, _open(t.spans), CP, utc(_NOW), size=100_000, kept=Summaries.of(t.points, _open(t.spans), t.logs)), f"""
+    WITH {_FACTS[5:_FACTS.index("SELECT session_id, round(cost_usd")]},
+    s AS (SELECT * FROM spans WHERE NOT (name = 'claude_code.interaction' AND CAST(substr(sid, 2) AS BIGINT) % 2 = 1)),
+    c AS (SELECT sid, count(*) FILTER (en = 'tool_result') AS tc, count(*) FILTER (decision = 'reject') AS dc, count(*) FILTER (en = 'user_prompt') AS pc,
+      regexp_replace(first(prompt ORDER BY ts, id) FILTER (en = 'user_prompt'), '\\s+', ' ', 'g') AS fp FROM logs GROUP BY sid),
+    p AS (SELECT sid, tr FROM logs WHERE en = 'user_prompt' QUALIFY row_number() OVER (PARTITION BY sid ORDER BY ts DESC, id DESC) = 1),
+    a AS (SELECT tr, max(x) AS x FROM (SELECT tr, et AS x FROM s UNION ALL SELECT tr, ts FROM logs) GROUP BY tr),
+    live AS (SELECT p.sid FROM p JOIN a USING (tr) WHERE a.x > TIMESTAMP '{_NOW}' - INTERVAL 20 MINUTE AND NOT EXISTS (SELECT 1 FROM s WHERE s.tr = p.tr AND s.parent IS NULL)
+      UNION SELECT l.sid FROM logs l JOIN s ON s.tr = l.tr AND s.parent IS NULL WHERE l.ts > TIMESTAMP '{_NOW}' - INTERVAL 2 MINUTE AND epoch_us(l.ts) > epoch_us(s.et) + 5000000)
+    SELECT session_id, round(cost_usd, 6) AS cost_usd, round(active_time_seconds, 6) AS active_time_seconds, epoch_us(first_seen) AS first_seen, epoch_us(last_seen) AS last_seen,
+      input_tokens, output_tokens, cache_creation_tokens, cache_read_tokens, wall_seconds, CASE WHEN start_type = 'resume' THEN 'resume' ELSE 'fresh' END AS start_type,
+      CASE WHEN terminal_type = 'interactive' THEN 'interactive' ELSE 'non-interactive' END AS terminal_type, (SELECT count(*) FROM f) AS total_count,
+      coalesce(tc, 0) AS tool_call_count, coalesce(dc, 0) AS denial_count, coalesce(pc, 0) AS user_prompt_count, fp AS first_user_prompt,
+      session_id IN (SELECT sid FROM live) AS in_progress, input_tokens + output_tokens + cache_creation_tokens + cache_read_tokens AS tokens FROM f LEFT JOIN c ON c.sid = f.session_id""")
+
 _FIRST = "regexp_replace(first(prompt ORDER BY ts, id) FILTER (en = 'user_prompt'), '\\s+', ' ', 'g')"
 query("session_counts", lambda t: N.session_counts(t.logs), f"""
     SELECT sid AS session_id, count(*) FILTER (en = 'tool_result') AS tool_call_count, count(*) FILTER (decision = 'reject') AS denial_count,

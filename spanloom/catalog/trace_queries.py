@@ -8,6 +8,7 @@ from spanloom.catalog.base import DAY, W, query
 from spanloom.catalog.explore import _execution
 from spanloom.config import CFG, utc
 from spanloom.operators import correlation as K
+from spanloom.operators import pages as G
 from spanloom.operators import span_tree as S
 from spanloom.operators import trace_findings as X
 from spanloom.operators import traces as T
@@ -59,6 +60,17 @@ for _sort, (_columns, _desc) in T.SORTS.items():
             _page = f"SELECT * FROM traces WHERE {_row} {_less} {_key} ORDER BY {_order} LIMIT 21"
         query(f"trace_list_{_sort}_{_mode}", _list(_sort, _mode), f"WITH {_ALL}, page AS ({_page}) SELECT {_COLS} FROM page")
 
+query("trace_page", lambda t: G.trace_page(t.spans, t.logs, utc("2024-01-29"), f=T.TraceFilter(W), size=100_000, kept=t.kept), f"""WITH {_ALL},
+    ends AS (SELECT tr, max(et) AS root_end FROM spans WHERE parent IS NULL GROUP BY tr),
+    late AS (SELECT l.tr, sum(l.cost) AS usd FROM logs l JOIN ends e ON e.tr = l.tr WHERE l.cost IS NOT NULL AND l.ts > e.root_end GROUP BY l.tr),
+    said AS (SELECT tr, regexp_replace(first(prompt ORDER BY ts, id), '\\s+', ' ', 'g') AS prompt FROM logs WHERE en = 'user_prompt' GROUP BY tr)
+    SELECT {_COLS}, prompt AS first_user_prompt, round(coalesce(CAST(late.usd AS DOUBLE), 0), 6) AS background_cost_usd, FALSE AS in_progress
+    FROM traces LEFT JOIN late ON late.tr = trace_id LEFT JOIN said ON said.tr = trace_id""")
+query("trace_page_running", lambda t: G.trace_page(_rootless(t.spans), t.logs, utc("2024-01-29"), f=T.TraceFilter(W), size=100_000)
+      .select("trace_id", "in_progress"), """
+    WITH s AS (SELECT * FROM spans WHERE NOT (parent IS NULL AND CAST(substr(sid, 2) AS BIGINT) % 2 = 1)),
+    a AS (SELECT tr, max(x) AS x FROM (SELECT tr, et AS x FROM s UNION ALL SELECT tr, ts FROM logs) GROUP BY tr)
+    SELECT DISTINCT s.tr AS trace_id, a.x > TIMESTAMP '2024-01-28 23:40:00' AND NOT EXISTS (SELECT 1 FROM s r WHERE r.tr = s.tr AND r.parent IS NULL) AS in_progress FROM s JOIN a USING (tr)""")
 query("trace_count", lambda t: T.trace_count(t.spans, _FIL, t.kept), f"WITH {_ALL} SELECT count(*) AS row_count FROM traces WHERE {_WHERE}")
 query("trace_histogram", lambda t: T.trace_histogram(t.spans, T.TraceFilter(W), DAY, t.kept), f"""
     WITH {_ALL}, axis AS (SELECT TIMESTAMP '2024-01-01' + to_days(CAST(i AS INTEGER)) AS b FROM range(31) r(i))

@@ -161,7 +161,7 @@ def in_progress_sessions(logs: DataFrame, spans: DataFrame, since: datetime, ids
                          kept: Summaries | None = None) -> DataFrame:
     """Sessions whose latest prompt's trace has no root yet and was active since."""
     kept = kept or Summaries.of(spans=spans, logs=logs)
-    latest = (_only(kept.prompts, ids).groupBy("session_id").agg(F.max("latest").alias("m"))
+    latest = (_only(kept.session_logs, ids).groupBy("session_id").agg(F.max("latest").alias("m"))
               .select("session_id", E.real_trace_id(F.col("m.trace_id")).alias("trace_id")).where("trace_id IS NOT NULL"))
     open_ = latest.join(kept.traces.where("has_interaction").select("trace_id"), "trace_id", "left_anti")
     return open_.join(active_traces(kept, logs, since, open_), "trace_id").select("session_id").distinct()

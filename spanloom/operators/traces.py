@@ -78,7 +78,7 @@ def trace_summaries(spans: DataFrame, logs: DataFrame | None, w: TimeRange = Tim
                      F.coalesce("r.session_id", F.lit("")).alias("session_id")))
     out = sums.join(roots, "trace_id", "left")
     if logs is not None:
-        costs = kept.costs.join(wanted, "trace_id", "left_semi").groupBy("trace_id").agg(F.sum("cost_usd").alias("total_cost_usd"))
+        costs = kept.trace_logs.join(wanted, "trace_id", "left_semi").groupBy("trace_id").agg(F.sum("cost_usd").alias("total_cost_usd"))
         out = out.join(costs, "trace_id", "left")
         out = out.withColumn("total_cost_usd", F.coalesce("total_cost_usd", F.lit(0).cast(E.MONEY)))
     ms = (F.unix_micros("max_end") - F.unix_micros("min_start")) / 1000.0

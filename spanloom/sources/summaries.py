@@ -54,24 +54,37 @@ def trace_days(spans: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
         # The parentless span that starts first, else the first span.
         F.min(F.struct((~top).alias("has_parent"), "start_timestamp", "span_id", "name", "session_id")).alias("root"),
         F.max("end_timestamp").alias("latest_end"), F.max(top).alias("has_root"),
-        F.max(interaction).alias("has_interaction"), F.min(F.when(interaction, F.col("end_timestamp"))).alias("closed_at"))
+        F.max(interaction).alias("has_interaction"), F.min(F.when(interaction, F.col("end_timestamp"))).alias("closed_at"),
+        F.max(F.when(interaction, F.col("end_timestamp"))).alias("closed_last"))
 
 
-def trace_cost_days(logs: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
-    priced = (F.col("event_name") == cfg.api_request) & F.col("cost_usd").isNotNull() & F.col("trace_id").isNotNull()
-    return logs.where(priced).groupBy("trace_id", "event_date").agg(F.sum("cost_usd").alias("cost_usd"))
+def _first_prompt(cfg: TelemetryConfig) -> Column:
+    said = (F.col("event_name") == cfg.user_prompt) & E.blank_to_null("prompt").isNotNull()
+    return F.min(F.when(said, F.struct("timestamp", "id", "prompt"))).alias("first_prompt")
 
 
-def prompt_days(logs: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
-    """The latest prompt of each session and day."""
-    prompts = logs.where((F.col("event_name") == cfg.user_prompt) & F.col("session_id").isNotNull())
-    return prompts.groupBy("session_id", "event_date").agg(F.max(F.struct("timestamp", "id", "trace_id")).alias("latest"))
+def trace_log_days(logs: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
+    """Cost and first prompt of each trace and day."""
+    priced = (F.col("event_name") == cfg.api_request) & F.col("cost_usd").isNotNull()
+    rows = logs.where((priced | (F.col("event_name") == cfg.user_prompt)) & F.col("trace_id").isNotNull())
+    return rows.groupBy("trace_id", "event_date").agg(F.sum(F.when(priced, F.col("cost_usd"))).alias("cost_usd"), _first_prompt(cfg))
+
+
+def session_log_days(logs: DataFrame, cfg: TelemetryConfig = CFG) -> DataFrame:
+    """Calls, denials and prompts of each session and day, with its first and latest prompt."""
+    event = F.col("event_name")
+    rows = logs.where(event.isin(cfg.tool_result, cfg.tool_decision, cfg.user_prompt) & F.col("session_id").isNotNull())
+    return rows.groupBy("session_id", "event_date").agg(
+        F.count_if(event == cfg.tool_result).alias("tool_call_count"),
+        F.count_if((event == cfg.tool_decision) & (F.col("decision") == "reject")).alias("denial_count"),
+        F.count_if(event == cfg.user_prompt).alias("user_prompt_count"), _first_prompt(cfg),
+        F.max(F.when(event == cfg.user_prompt, F.struct("timestamp", "id", "trace_id"))).alias("latest"))
 
 
 _OF: dict[str, dict[str, Callable[..., DataFrame]]] = {
     "points": {"session_days": session_days, "metric_days": metric_days},
     "spans": {"trace_days": trace_days},
-    "logs": {"trace_cost_days": trace_cost_days, "prompt_days": prompt_days},
+    "logs": {"trace_log_days": trace_log_days, "session_log_days": session_log_days},
 }
 
 
@@ -128,12 +141,12 @@ class Summaries:
         return self.frame("trace_days")
 
     @cached_property
-    def costs(self) -> DataFrame:
-        return self.frame("trace_cost_days")
+    def trace_logs(self) -> DataFrame:
+        return self.frame("trace_log_days")
 
     @cached_property
-    def prompts(self) -> DataFrame:
-        return self.frame("prompt_days")
+    def session_logs(self) -> DataFrame:
+        return self.frame("session_log_days")
 
     def session_lives(self, repo: str | None = None, sessions: DataFrame | None = None) -> DataFrame:
         """One row per session: whole-life cost, active time and bounds; of some sessions, or all."""
@@ -143,3 +156,9 @@ class Summaries:
         return rows.groupBy("session_id").agg(
             F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("cost_usd"), F.coalesce(F.sum("active_time_seconds"), F.lit(0.0)).alias("active_time_seconds"),
             F.min("first_any").alias("first_any"), F.min("first_moved").alias("first_moved"), F.max("last_moved").alias("last_moved"))
+
+    def session_counts(self, sessions: DataFrame) -> DataFrame:
+        """Calls, denials, prompts and the first prompt of some sessions, over their whole lives."""
+        rows = self.session_logs.join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+        counts = ("tool_call_count", "denial_count", "user_prompt_count")
+        return rows.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in counts], E.clean_prompt(F.min("first_prompt")["prompt"]).alias("first_user_prompt"))

@@ -47,7 +47,7 @@ class NoticeSearch:
 
     def __init__(self, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[int, str]] = NOTICES):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases.items()]
-        self.notices = [(n, edits, label, pieces(n, edits), regex.compile(f"(?:{regex.escape(n)}){{e<={edits}}}", regex.BESTMATCH))
+        self.notices = [(n, edits, label, pieces(n, edits), regex.compile(f"(?<= )(?:{regex.escape(n)}){{e<={edits}}}(?= )", regex.BESTMATCH))
                         for n, (edits, label) in notices.items()]
 
     def exact(self, line: bytes) -> list[tuple[int, str]]:
@@ -72,8 +72,9 @@ class NoticeSearch:
                     at = line.find(piece, at + 1)
             done = -1
             for low, high in sorted(looked):
-                low = max(low, done)  # the next notice may begin within the window's margin after the last match
-                if high - low < len(notice) - edits:
+                # The blanks around a match are looked at too. The next notice may begin within the margin after the last match.
+                low, high = max(low - 1, done, 0), high + 1
+                if high - low < len(notice) - edits + 2:
                     continue
                 m = pattern.search(line[low:high].decode("latin-1"))
                 if m and m.end() > m.start():
@@ -101,8 +102,8 @@ def scan_licenses(docs: DataFrame, search: NoticeSearch | None = None) -> DataFr
     n_base, first_word, last_word and base_labels come from exact phrases; labels adds those of notices matched with
     a bounded number of edits. ``spans`` holds those matches as [first word, word after, edits, label]. score is the
     likeness of the best match: 1 for an exact phrase, 0 without any. NULL and empty texts have no words and no
-    labels (empty strings). Fuzzy matches may stand inside longer words and bridge blanks; non-ASCII characters count
-    an edit per byte. Other columns are ignored.
+    labels (empty strings). A fuzzy match begins and ends where words do, and edits may bridge blanks within it; non-ASCII
+    characters count an edit per byte. Words one edit off a short notice ("omit license") are within its bound and count. Other columns are ignored.
     """
     search = search or NoticeSearch()
     span = pa.struct([("first", pa.int64()), ("after", pa.int64()), ("edits", pa.int64()), ("label", pa.string())])

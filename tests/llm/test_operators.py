@@ -423,3 +423,37 @@ def test_cut_counts_words_of_any_case():
     assert decontamination.cut("ONE Two, three É Four. FIVE", [[1, 3]]) == "ONE  É Four. FIVE"
     text = "The QUICK (brown) Fox-jumps über Ärger"
     assert len(decontamination.alnum_words(text.encode())) == len(list(decontamination._WORD.finditer(text.encode().lower())))
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_notices_stand_at_word_ends():
+    search = license_scan.NoticeSearch()
+    for words in ("please submit license form", "a permit license was issued", "we commit licenses to", "transmit license plates", "emit licensed light", "the summit license fee",
+                  "unapache licensed", "subsd licenses", "overall rights reservedly", "limit licensee", "admit license holders", "vomit license", "remit license dues"):
+        n, places, spans = search.scan(words.encode())
+        assert places == [] and spans == [], (words, spans)
+    rng = np.random.default_rng(2)
+    texts = []
+    for notice, (edits, label) in license_scan.NOTICES.items():
+        for _ in range(6):
+            letters = list(notice)
+            for _ in range(int(rng.integers(0, edits + 1))):
+                at = int(rng.integers(1, len(letters) - 1))
+                letters[at:at + int(rng.integers(0, 2))] = ["", "q", "zz"][int(rng.integers(0, 2))]
+            texts.append(("".join(letters), notice, edits, label))
+    for said, notice, edits, label in texts:
+        words = license_scan.alnum_words(f"foo {said} bar".encode())
+        _, _, spans = search.scan(b" ".join(words))
+        for first, after, errors, found, likeness in spans:
+            piece = b" ".join(words[first:after]).decode()
+            assert errors == min(plain_edits(piece, n) for n, (e, what) in license_scan.NOTICES.items() if what == found), (piece, spans)
+        if plain_edits(b" ".join(words[1:-1]).decode(), notice) <= edits:
+            assert label in {s[3] for s in spans}, (said, spans)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange
 from spanloom.functions import expr as E
+from spanloom.functions.skew import first_rows
 from spanloom.functions.timebins import bin_axis, bin_ts
 from spanloom.operators import tools
 
@@ -56,10 +57,10 @@ def cost_by_model_effort(logs: DataFrame, w: TimeRange, repo: str | None = None)
             .orderBy(F.desc("cost_usd"), "model", "effort"))
 
 
-def top_cost_sessions(logs: DataFrame, w: TimeRange, n: int = TOP_SESSIONS, repo: str | None = None) -> DataFrame:
-    return (requests(logs, w, repo).where(F.col("session_id").isNotNull()).groupBy("session_id")
-            .agg(usd().alias("cost_usd"), E.row_count().alias("requests"))
-            .orderBy(F.desc("cost_usd"), "session_id").limit(n))
+def top_cost_sessions(logs: DataFrame, w: TimeRange, n: int | None = TOP_SESSIONS, repo: str | None = None) -> DataFrame:
+    found = (requests(logs, w, repo).where(F.col("session_id").isNotNull()).groupBy("session_id")
+             .agg(usd().alias("cost_usd"), E.row_count().alias("requests")))
+    return first_rows(found.orderBy(F.desc("cost_usd"), "session_id"), n)
 
 
 def session_category_cost(logs: DataFrame, w: TimeRange, sessions: DataFrame, repo: str | None = None) -> DataFrame:
@@ -124,7 +125,7 @@ def model_mix(model_effort: DataFrame) -> DataFrame:
     return model_effort.groupBy("model").agg(F.sum("cost_usd").alias("cost_usd")).orderBy(F.desc("cost_usd"), "model")
 
 
-def top_session_shares(logs: DataFrame, w: TimeRange, n: int = TOP_SESSIONS, repo: str | None = None) -> DataFrame:
+def top_session_shares(logs: DataFrame, w: TimeRange, n: int | None = TOP_SESSIONS, repo: str | None = None) -> DataFrame:
     from spanloom.operators.sessions import first_prompts
 
     top = top_cost_sessions(logs, w, n, repo)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange, ts_lit
 from spanloom.functions import expr as E
+from spanloom.functions.skew import first_rows
 from spanloom.functions.timebins import bin_axis, bin_ts
 
 SEVERITIES = ("ERROR", "WARN", "INFO", "DEBUG")
@@ -55,17 +56,17 @@ def log_facet_severity(logs: DataFrame, f: LogFilter) -> DataFrame:
     return labels.join(counts, "derived_severity", "left").na.fill(0)
 
 
-def _facet(logs: DataFrame, column: str, test: Column, limit: int) -> DataFrame:
-    return (logs.where(test & (F.col(column) != "")).groupBy(F.col(column).alias("facet_value"))
-            .agg(F.count(F.lit(1)).alias("row_count"))
-            .orderBy(F.desc("row_count"), "facet_value").limit(limit))
+def _facet(logs: DataFrame, column: str, test: Column, limit: int | None) -> DataFrame:
+    counts = (logs.where(test & (F.col(column) != "")).groupBy(F.col(column).alias("facet_value"))
+              .agg(F.count(F.lit(1)).alias("row_count")))
+    return first_rows(counts.orderBy(F.desc("row_count"), "facet_value"), limit)
 
 
-def log_facet_event(logs: DataFrame, f: LogFilter, limit: int = FACET_LIMIT) -> DataFrame:
+def log_facet_event(logs: DataFrame, f: LogFilter, limit: int | None = FACET_LIMIT) -> DataFrame:
     return _facet(logs, "event_name", f.test("event"), limit)
 
 
-def log_facet_tool(logs: DataFrame, f: LogFilter, limit: int = FACET_LIMIT) -> DataFrame:
+def log_facet_tool(logs: DataFrame, f: LogFilter, limit: int | None = FACET_LIMIT) -> DataFrame:
     return _facet(logs, "tool_name", f.test("tool"), limit)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig, TimeRange
 from spanloom.functions import expr as E
-from spanloom.functions.skew import carry_last, join_nullsafe, percentiles_from, percentiles_of, runs, value_counts
+from spanloom.functions.skew import carry_last, first_rows, join_nullsafe, percentiles_from, percentiles_of, runs, value_counts
 from spanloom.functions.timebins import bin_ts
 
 BYTES_PER_TOKEN = 4
@@ -54,13 +54,13 @@ def tool_calls(logs: DataFrame, w: TimeRange, repo: str | None = None) -> DataFr
     return tool_results(logs, w, repo).groupBy("tool").agg(E.row_count().alias("calls")).orderBy(F.desc("calls"), "tool")
 
 
-def tool_calls_timeseries(logs: DataFrame, w: TimeRange, bucket_seconds: int, top_n: int = 8,
+def tool_calls_timeseries(logs: DataFrame, w: TimeRange, bucket_seconds: int, top_n: int | None = 8,
                           repo: str | None = None) -> DataFrame:
-    """Calls per bin and tool; tools beyond the largest ``top_n`` become one "other" series."""
+    """Calls per bin and tool; tools beyond the largest ``top_n`` (None: all stay) become one "other" series."""
     counts = (tool_results(logs, w, repo)
               .groupBy(bin_ts("timestamp", w.start, bucket_seconds).alias("bucket"), "tool").agg(E.row_count().alias("calls")))
     totals = counts.groupBy("tool").agg(F.sum("calls").alias("total"))
-    top = totals.orderBy(F.desc("total"), "tool").limit(top_n).select("tool", F.lit(True).alias("kept"))
+    top = first_rows(totals.orderBy(F.desc("total"), "tool"), top_n).select("tool", F.lit(True).alias("kept"))
     return (counts.join(top, "tool", "left")
             .groupBy("bucket", F.when(F.col("kept"), F.col("tool")).otherwise("other").alias("tool"))
             .agg(F.sum("calls").alias("calls")).orderBy("bucket", "tool"))
@@ -155,7 +155,7 @@ def _repeat_scope() -> Column:
             .when(F.col("tool_name") == "Bash", two))
 
 
-def tool_repeats(logs: DataFrame, w: TimeRange, repo: str | None = None, limit: int = REPEAT_LIMIT) -> DataFrame:
+def tool_repeats(logs: DataFrame, w: TimeRange, repo: str | None = None, limit: int | None = REPEAT_LIMIT) -> DataFrame:
     """Longest run of the same call per session, then its spread over sessions."""
     events = tool_results(logs, w, repo).select(
         F.coalesce("session_id", F.lit("unknown")).alias("session_id"),
@@ -172,9 +172,9 @@ def tool_repeats(logs: DataFrame, w: TimeRange, repo: str | None = None, limit:
     out = aggregated_with_percentiles(longest, ["tool", "scope"], "longest_run", {
         "max_run": F.max("__v").cast("long"), "sessions": counted_calls(),
         "estimated_tokens_burned": E.rounded_long(F.sum("burned") / BYTES_PER_TOKEN)}, {"median_run": 0.5}, burned=F.col("bytes"))
-    return (out.withColumn("median_run", F.col("median_run").cast("long"))
-            .orderBy(F.desc("estimated_tokens_burned"), F.desc("max_run"), F.desc("median_run"), F.desc("sessions"), "tool", "scope")
-            .limit(limit))
+    ordered = (out.withColumn("median_run", F.col("median_run").cast("long"))
+               .orderBy(F.desc("estimated_tokens_burned"), F.desc("max_run"), F.desc("median_run"), F.desc("sessions"), "tool", "scope"))
+    return first_rows(ordered, limit)
 
 
 def mcp_calls(logs: DataFrame, w: TimeRange, repo: str | None = None, cfg: TelemetryConfig = CFG) -> DataFrame:

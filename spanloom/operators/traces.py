@@ -156,14 +156,17 @@ def trace_globals(spans: DataFrame, f: TraceFilter, kept: Summaries | None = Non
     return counts.withColumns({name: F.coalesce(marks.select(name).scalar(), F.lit(0.0)) for name in ("p50_ms", "p95_ms")})
 
 
-def trace_facets(spans: DataFrame, f: TraceFilter, limit: int = FACET_LIMIT, session_limit: int = SESSION_FACET_LIMIT,
+def trace_facets(spans: DataFrame, f: TraceFilter, limit: int | None = FACET_LIMIT, session_limit: int | None = SESSION_FACET_LIMIT,
                  kept: Summaries | None = None) -> DataFrame:
-    """Five facets in one pass, each blind to its own filter; the largest values of each."""
+    """Five facets in one pass, each blind to its own filter; the largest values of each, or all where a limit is None."""
     rows = trace_summaries(spans, None, f.w, f.repository, kept).where(f.matches_text())
     kinds = F.array(*[F.when(f.test(kind) & (F.col(column) != ""), F.struct(F.lit(kind).alias("facet_kind"), F.col(column).alias("facet_key")))
                       for kind, (column, _) in f.facets().items()])
     counts = (rows.select(F.explode(kinds).alias("k")).where("k IS NOT NULL").groupBy("k.facet_kind", "k.facet_key")
               .agg(E.row_count().alias("row_count")))
+    if limit is None and session_limit is None:
+        return counts
+    limit, session_limit = ((1 << 31) - 1 if x is None else x for x in (limit, session_limit))
     # Spark keeps only the first rows of each kind before the shuffle of this rank.
     rank = F.row_number().over(Window.partitionBy("facet_kind").orderBy(F.desc("row_count"), "facet_key"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= max(limit, session_limit))

@@ -3,7 +3,7 @@ import json
 from conftest import HOUR, at, listed
 
 from spanloom.config import TimeRange
-from spanloom.operators import cost, tools, tuning
+from spanloom.operators import cost, log_explorer, tools, traces, tuning
 
 
 def call(tool="Read", t=0, session="s", **a):
@@ -152,3 +152,15 @@ def test_tunable_leaves_out_images_and_agents(logs):
 def test_share_of_nothing(logs):
     empty = TimeRange(at(-10), at(-5))
     assert tools.with_share(tools.tool_calls(logs(call()), empty)).count() == 0
+
+
+def test_limits_can_be_lifted(logs, spans):
+    rows = logs(*[{"ev": "tool_result", "t": i, "a": {"tool_name": f"T{i:02d}", "session.id": "s"}} for i in range(60)],
+                *[{"ev": "api_request", "t": i, "a": {"cost_usd": "1", "session.id": f"s{i}", "model": "m"}} for i in range(20)])
+    assert log_explorer.log_facet_tool(rows, log_explorer.LogFilter(HOUR)).count() == 50
+    assert log_explorer.log_facet_tool(rows, log_explorer.LogFilter(HOUR), None).count() == 60
+    assert cost.top_cost_sessions(rows, HOUR).count() == 10 and cost.top_cost_sessions(rows, HOUR, None).count() == 20
+    assert tools.tool_calls_timeseries(rows, HOUR, 3600).count() == 9 and tools.tool_calls_timeseries(rows, HOUR, 3600, None).count() == 60
+    some = spans(*[{"s": f"s{i}", "tr": f"t{i}", "n": "claude_code.interaction", "t": i, "a": {"session.id": f"s{i}"}} for i in range(20)])
+    kinds = lambda **k: traces.trace_facets(some, traces.TraceFilter(HOUR), **k).where("facet_kind = 'session'").count()
+    assert kinds() == 8 and kinds(session_limit=None) == kinds(limit=None, session_limit=None) == 20

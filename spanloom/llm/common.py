@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 import ctypes
-import gc
 import uuid
 
 import pyarrow as pa
@@ -106,7 +105,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """A task function that hands its memory back when it ends: workers live on between tasks, beside the next ones."""
     def wrapped(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(stream)
-        gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim is not None:

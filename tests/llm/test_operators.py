@@ -125,6 +125,60 @@ def test_blocks_compare_like_pairs():
     assert got == {j for j in range(20, 40) if any(near_duplicates.links(sets[i].tobytes(), sets[j].tobytes()) for i in range(20))}
 
 
+def _crowd(size):
+    """Near copies of one text, most of them not linked with each other, and a few clusters of close copies among them."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"b{i}" for i in range(120)], []
+    for i in range(size):
+        text = list(rows[i - 1][1].split()) if i % 5 == 1 else list(base)
+        for at in rng.choice(120, 1 if i % 5 == 1 else 6, replace=False):
+            text[int(at)] = f"x{i}-{at}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_crowds_are_compared_in_blocks(spark, monkeypatch):
+    rows = _crowd(300)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 64)
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = collected(found, "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(rows)
+    assert 20 < len({c for _, _, c in got}) < 300
+
+
+def test_crowds_are_not_listed_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 64)
+    rows = {}
+    for size in (300, 600):
+        docs = spark.createDataFrame(_crowd(size), "doc_id long, text string")
+        signed = near_duplicates.stored(near_duplicates.signatures(docs, np.zeros(near_duplicates.CELLS, np.uint8)), "signed")
+        nodes = spark.createDataFrame([], "member long, component long")
+        shared = near_duplicates.node_postings(signed, nodes)
+        crowded = near_duplicates.crowded_tokens(shared)
+        placed, pairs = near_duplicates.crowd_blocks(signed, nodes, crowded)
+        shipped = pairs.join(placed, placed["block"] == pairs["row"]).count()
+        rows[size] = (near_duplicates.node_pairs(shared, crowded).count(), shipped)
+    assert rows[600][0] <= 2.2 * rows[300][0] + near_duplicates.CROWD * 10
+    assert rows[600][1] < 600 * 599 / 8
+
+
+def test_joined_blocks_give_a_forest():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2 ** 63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) > 0.06], rng.integers(0, 2 ** 63, 2).astype(np.uint64)])) for _ in range(30)]
+    both = pa.table({"doc_id": list(range(30)), "label": [min(i, 3) if i < 6 else i for i in range(30)], "set": [x.tobytes() for x in sets]})
+    found = near_duplicates._join_blocks(both, both).to_pylist()
+    assert all(near_duplicates.links(sets[e["a"]].tobytes(), sets[e["b"]].tobytes()) for e in found)
+    label = {i: min(i, 3) if i < 6 else i for i in range(30)}
+    for e in found:
+        old, new = label[e["a"]], label[e["b"]]
+        assert old != new
+        label = {k: new if v == old else v for k, v in label.items()}
+    assert all(label[i] == label[j] for i in range(30) for j in range(i) if near_duplicates.links(sets[i].tobytes(), sets[j].tobytes()))
+
+
 def test_decontamination(spark, docs):
     item = " ".join(f"word{i}" for i in range(5, 25))
     bench = spark.createDataFrame([(1, item), (2, "mit license"), (3, None), (4, item), (5, "w7 w8"), (None, "no id here"), (6, "...")], "item_id long, text string")

@@ -7,7 +7,9 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from spanloom.catalog.base import DAY, W, query
+from spanloom.config import utc
 from spanloom.functions import expr as E
+from spanloom.operators import retention
 from spanloom.operators.log_explorer import LogFilter
 from spanloom.plans import report
 from spanloom.schema import enrich_logs, enrich_points, enrich_spans
@@ -204,6 +206,25 @@ def _compacted(t):
 query("compacted_points", _compacted, "SELECT id, metric AS metric_name, round(d, 6) AS value_delta FROM points")
 
 
+def _purged_between(t):
+    """Points to the noon after the cutoff are ingested, old days are purged in place, and the rest comes in afterwards."""
+    folder, noon = f"{t.root}-streams/purged-{next(_RUNS)}/tables", F.lit("2024-01-30 12:00:00").cast("timestamp")
+    tables.write_telemetry(t.logs, folder, "logs", 0)
+    tables.write_telemetry(t.spans, folder, "spans", 0)
+    ingest.merge_points(t.points.where(F.col("timestamp") < noon), folder, 0)
+    retention.purge_days(t.spark, folder, utc("2024-01-30"))
+    ingest.merge_points(t.points.where(F.col("timestamp") >= noon), folder, 1)
+    return tables.read_points(t.spark, folder).select("id", "metric_name", "session_id", "value_delta")
+
+
+query("purge_then_ingest", _purged_between, """
+    WITH early AS (SELECT * FROM points WHERE ts < TIMESTAMP '2024-01-30 12:00:00'),
+    dorm AS (SELECT sid FROM (SELECT sid, ts FROM early UNION ALL SELECT sid, ts FROM logs UNION ALL SELECT sid, st FROM spans) GROUP BY sid HAVING max(ts) < TIMESTAMP '2024-01-30'),
+    newest AS (SELECT arg_max(id, (ts, id)) AS id FROM early GROUP BY stream)
+    SELECT id, metric AS metric_name, sid AS session_id, round(d, 6) AS value_delta FROM points
+    WHERE NOT (ts < TIMESTAMP '2024-01-30' AND sid IN (SELECT sid FROM dorm) AND id NOT IN (SELECT id FROM newest))""")
+
+
 def _late_points(t):
     """Points that are stored part by part without an increment, and a stream that works the increments out; two days late at most, or repaired."""
     folder = f"{t.root}-streams/late-{next(_RUNS)}"

@@ -253,6 +253,9 @@ query("purge_preview", lambda t: O.purge_preview(t.logs, t.points, t.spans, CUT,
     SELECT n AS table_name, o AS rows_older, g AS rows_to_delete, o - g AS preserved_rows, a AS total_rows, CAST(floor(b * g / a) AS BIGINT) AS estimated_bytes FROM c""")
 query("purge_kept_points", lambda t: O.purge(t.logs, t.points, t.spans, CUT)["metric_points"].select("id", "metric_name", "session_id"), f"""
     WITH {_DORM} SELECT id, metric AS metric_name, sid AS session_id FROM points t WHERE NOT ({_GONE.format(c='ts')} AND t.id NOT IN (SELECT id FROM newest))""")
+for _name, _key, _time in (("logs", "log_records", "ts"), ("spans", "spans", "st")):
+    query(f"purge_kept_{_name}", lambda t, key=_key: O.purge(t.logs, t.points, t.spans, CUT)[key].select("id", "session_id"), f"""
+        WITH {_DORM} SELECT id, sid AS session_id FROM {_name} t WHERE NOT ({_GONE.format(c=_time)})""")
 query("row_statistics", lambda t: O.row_statistics(t.logs, t.points, t.spans, CUT), """
     SELECT 'log_records' AS table_name, count(*) AS row_count, epoch_us(min(ts)) AS oldest_timestamp, epoch_us(max(ts)) AS newest_timestamp, count(*) FILTER (ts >= TIMESTAMP '2024-01-30') AS rows_in_window FROM logs
     UNION ALL SELECT 'metric_points', count(*), epoch_us(min(ts)), epoch_us(max(ts)), count(*) FILTER (ts >= TIMESTAMP '2024-01-30') FROM points

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from spanloom.config import ts_lit
 from spanloom.functions import expr as E
 from spanloom.functions.skew import cut_lineage
-from spanloom.sources.deltas import newest_per_stream
-from spanloom.sources.deltas import current_value, point_heads
-from spanloom.sources.tables import read_points, read_telemetry, write_telemetry
+from spanloom.sources import compaction
+from spanloom.sources.deltas import HEADS, current_value, newest_per_stream, point_heads
+from spanloom.sources.summaries import summaries_of
+from spanloom.sources.tables import CLUSTERING, corrected, read_points, read_telemetry, write_telemetry
 
+_STORED = {"logs": "timestamp", "points": "timestamp", "spans": "start_timestamp"}
 _TIME = {"log_records": "timestamp", "metric_points": "timestamp", "spans": "start_timestamp"}
 
 
@@ -85,6 +87,59 @@ def purge_tables(spark: SparkSession, root: str, new_root: str, cutoff: datetime
     point_heads(kept).write.mode("overwrite").partitionBy("event_date").parquet(f"{new_root}/point_heads/writer=purge/batch=0")
 
 
+def purge_days(spark: SparkSession, root: str, cutoff: datetime) -> dict[str, list[str]]:
+    """Purge the tables where they lie; returns the days written anew, by table.
+
+    Only days that lose rows are rewritten, each table's by one snapshot that a manifest puts in the place of the old
+    folders, and with them their summaries and heads of streams. The days from the cutoff on are read for session ids
+    alone, and newest points come from the heads. Batches that arrive meanwhile stay whole. A purge that broke off is
+    run again: a table's own rows are replaced last, so what is still to do shows. Corrections of rewritten points are
+    folded in. Where a stream has points without heads (written by other means than ingest), one old point more may stay.
+    ``compaction.vacuum`` deletes the old folders; it needs a row left in the table.
+    """
+    last = cutoff.date()
+    stored = {table: compaction.current(spark, root, table) for table in _STORED}
+    after = [df.where((F.col("event_date") >= F.lit(last)) & (F.col(_STORED[t]) >= ts_lit(cutoff)) & F.col("session_id").isNotNull())
+             .select("session_id") for t, df in stored.items()]
+    live = cut_lineage(_stacked(after).distinct().withColumn("__live", F.lit(True)))
+    old = {t: df.where(F.col("event_date") <= F.lit(last)) for t, df in stored.items()}
+    if compaction.path_exists(spark, f"{root}/point_heads"):
+        heads = compaction.current(spark, root, "point_heads", HEADS).select("stream_id", "last.timestamp", "last.id")
+        newest = newest_per_stream(heads.unionByName(old["points"].select("stream_id", "timestamp", "id")))
+    else:
+        newest = newest_per_stream(stored["points"])
+    newest = cut_lineage(newest.select("id", F.lit(True).alias("__newest")))
+    done = {}
+    for table, time in _STORED.items():
+        listed = compaction.closed_days(spark, root, table, last + timedelta(days=1), 1)
+        corrections = compaction.closed_days(spark, root, "point_fixes", last + timedelta(days=1), 1) if table == "points" else {}
+        rows = old[table].where(compaction.lies_in([p for some in listed.values() for p in some]))
+        gone = (F.col(time) < ts_lit(cutoff)) & F.col("__live").isNull()
+        marked = rows.join(live, "session_id", "left")
+        if table == "points":
+            marked = marked.join(newest, "id", "left")
+            gone = gone & F.col("__newest").isNull()
+        days = sorted(str(r.event_date) for r in marked.where(gone).select("event_date").distinct().collect())
+        done[table] = days
+        if not days:
+            continue
+        kept = marked.where(~gone & F.col("event_date").isin([date.fromisoformat(d) for d in days])).select(*rows.drop("writer", "batch").columns)
+        kept = corrected(kept, root) if table == "points" else kept
+        kept = compaction.write_snapshot(kept.dropDuplicates(["id"]), root, table, CLUSTERING[table])
+        beside = summaries_of(kept, table)
+        if table == "points":
+            beside["point_heads"] = point_heads(kept.withColumn("value", current_value()))
+        for name, frame in beside.items():
+            folders = compaction.closed_days(spark, root, name, last + timedelta(days=1), 1)
+            compaction.write_snapshot(frame, root, name)
+            compaction.replace(spark, root, name, [p for d in days for p in folders.get(d, [])])
+        compaction.replace(spark, root, table, [p for d in days for p in listed[d]])
+        folded = [p for d in days for p in corrections.get(d, [])]
+        if folded:
+            compaction.replace(spark, root, "point_fixes", folded)
+    return done
+
+
 def row_statistics(logs: DataFrame, points: DataFrame, spans: DataFrame, since: datetime) -> DataFrame:
     return _stacked([
         df.agg(E.row_count().alias("row_count"), F.min(_TIME[n]).alias("oldest_timestamp"), F.max(_TIME[n]).alias("newest_timestamp"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SNAPSHOT = "snapshot-"
@@ -68,9 +68,12 @@ def current(spark: SparkSession, root: str, table: str, schema: str | None = Non
     df = reader.parquet(f"{root}/{table}")
     df = df.where((number == "") | (F.coalesce(number.try_cast("int"), F.lit(0)) <= _version(spark, root, table)))
     gone = replaced(spark, root, table)
-    if not gone:
-        return df
-    return df.where(~F.concat_ws("/", "writer", F.col("batch").cast("string"), F.col("event_date").cast("string")).isin(gone))
+    return df.where(~lies_in(gone)) if gone else df
+
+
+def lies_in(folders: list[str]) -> Column:
+    """Whether a row lies in one of the ``writer/batch/day`` folders; the filter prunes folders."""
+    return F.concat_ws("/", "writer", F.col("batch").cast("string"), F.col("event_date").cast("string")).isin(folders)
 
 
 def closed_days(spark: SparkSession, root: str, table: str, before: date, least: int = 2) -> dict[str, list[str]]:
@@ -84,13 +87,22 @@ def closed_days(spark: SparkSession, root: str, table: str, before: date, least:
     return {day: some for day, some in days.items() if len(some) >= least}
 
 
+def write_snapshot(rows: DataFrame, root: str, table: str, clustering: tuple[str, ...] = ("event_date",)) -> DataFrame:
+    """Write rows as the next snapshot, which counts once it replaces folders; returns the rows as written."""
+    path = f"{root}/{table}/writer={SNAPSHOT}{_version(rows.sparkSession, root, table) + 1}/batch=0"
+    rows.hint("rebalance", "event_date").sortWithinPartitions(*clustering).write.mode("overwrite").partitionBy("event_date").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def replace(spark: SparkSession, root: str, table: str, folders: list[str]) -> None:
+    """Have the snapshot that was written last stand for these folders."""
+    commit(spark, root, table, replaced(spark, root, table) + folders)
+
+
 def commit_snapshot(rows: DataFrame, root: str, table: str, days: dict[str, list[str]], clustering: tuple[str, ...]) -> None:
     """Write the rows of some days as a snapshot, and have it replace their folders."""
-    spark = rows.sparkSession
-    number = _version(spark, root, table) + 1
-    (rows.dropDuplicates(["id"]).hint("rebalance", "event_date").sortWithinPartitions(*clustering).write.mode("overwrite")
-     .partitionBy("event_date").parquet(f"{root}/{table}/writer={SNAPSHOT}{number}/batch=0"))
-    commit(spark, root, table, replaced(spark, root, table) + [p for some in days.values() for p in some])
+    write_snapshot(rows.dropDuplicates(["id"]), root, table, clustering)
+    replace(rows.sparkSession, root, table, [p for some in days.values() for p in some])
 
 
 def vacuum(spark: SparkSession, root: str, table: str) -> int:

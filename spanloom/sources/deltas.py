@@ -59,6 +59,11 @@ def newest_per_stream(points: DataFrame) -> DataFrame:
 __all__ = ["counter_deltas", "repair_deltas", "apply_repairs", "points_moving", "newest_per_stream"]
 
 
+#: The stored heads: a row per stream, day and batch.
+_POINT_OF = "struct<timestamp: timestamp, id: bigint, value: double>"
+HEADS = f"stream_id string, first {_POINT_OF}, last {_POINT_OF}, writer string, batch int, event_date date"
+
+
 def point_heads(points: DataFrame) -> DataFrame:
     """First and last point of each stream and day; rows need ``value``."""
     edge = F.struct("timestamp", "id", "value")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig
 from spanloom.functions import expr as E
+from spanloom.sources import compaction
 
 ROOT_PREFIX = "claude_code.interaction"
 
@@ -90,8 +91,13 @@ _OF: dict[str, dict[str, Callable[..., DataFrame]]] = {
 
 def write_summaries(batch: DataFrame, root: str, table: str, batch_id: int, writer: str) -> None:
     """Write what a stored batch adds to the summaries."""
-    for name, summarise in _OF[table].items():
-        summarise(batch).write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{name}/writer={writer}/batch={batch_id}")
+    for name, rows in summaries_of(batch, table).items():
+        rows.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{name}/writer={writer}/batch={batch_id}")
+
+
+def summaries_of(rows: DataFrame, table: str) -> dict[str, DataFrame]:
+    """What rows of a stored table add to each of its summaries."""
+    return {name: summarise(rows) for name, summarise in _OF[table].items()}
 
 
 @dataclass(frozen=True)
@@ -119,7 +125,7 @@ class Summaries:
         out from their points again.
         """
         def frame(name: str) -> DataFrame:
-            df = spark.read.parquet(f"{root}/{name}").drop("writer", "batch")
+            df = compaction.current(spark, root, name).drop("writer", "batch")
             if name != "session_days" or corrected is None:
                 return df
             fixed = spark.read.parquet(f"{root}/session_fixes").select("session_id", "event_date").distinct()

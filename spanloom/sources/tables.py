@@ -41,7 +41,12 @@ _FIXES = "id bigint, value_delta double, fixed_at timestamp, writer string, batc
 
 def read_points(spark: SparkSession, root: str) -> DataFrame:
     """Stored points with the newest correction of each increment."""
-    points = read_telemetry(spark, root, "points")
+    return corrected(read_telemetry(spark, root, "points"), root)
+
+
+def corrected(points: DataFrame, root: str) -> DataFrame:
+    """Some stored points with the newest correction of each increment."""
+    spark = points.sparkSession
     if not path_exists(spark, f"{root}/point_fixes"):
         return points
     fixes = (compaction.current(spark, root, "point_fixes", _FIXES).groupBy("id", "event_date")

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanloom.functions.skew import cut_lineage, previous_row
 from spanloom.schema import _utc_date, enrich_logs, enrich_points, enrich_spans
 from spanloom.sources import compaction
-from spanloom.sources.deltas import current_value, increment, point_heads
+from spanloom.sources.deltas import HEADS, current_value, increment, point_heads
 from spanloom.sources.otlp import flatten_otlp_logs, flatten_otlp_metrics, flatten_otlp_spans, rejected_exports
 from spanloom.sources.tables import path_exists, read_telemetry, write_telemetry
 from spanloom.streaming.stateful import stream_deltas
@@ -17,8 +17,6 @@ from spanloom.streaming.stateful import stream_deltas
 _SHAPES = {"logs": (flatten_otlp_logs, enrich_logs), "spans": (flatten_otlp_spans, enrich_spans), "points": (flatten_otlp_metrics, enrich_points)}
 
 
-_HEADS = "stream_id string, first struct<timestamp: timestamp, id: bigint, value: double>, last struct<timestamp: timestamp, id: bigint, value: double>, writer string, batch int, event_date date"
-
 
 def _write(df: DataFrame, root: str, name: str, batch_id: int, writer: str) -> None:
     df.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{name}/writer={writer}/batch={batch_id}")
@@ -49,7 +47,7 @@ def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "dire
     if stored is not None:
         streams = batch.select("stream_id").distinct()
         same_day = stored.join(streams, "stream_id", "left_semi").withColumn("value", current_value()).withColumn("fresh", F.lit(False))
-        heads = spark.read.schema(_HEADS).parquet(f"{root}/point_heads").where(others & ~F.col("event_date").isin(days))
+        heads = compaction.current(spark, root, "point_heads", HEADS).where(others & ~F.col("event_date").isin(days))
         edges = (heads.join(streams, "stream_id", "left_semi").groupBy("stream_id", "event_date")
                  .agg(F.min("first").alias("first"), F.max("last").alias("last")))
         ends = (edges.select("stream_id", "event_date", F.explode(F.array("first", "last")).alias("e"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TimeRange, utc
 from spanloom.operators import metrics, retention, trends, usage_calendar
-from spanloom.sources.tables import read_telemetry, write_telemetry
+from spanloom.sources import compaction
+from spanloom.sources.summaries import Summaries
+from spanloom.sources.tables import read_points, read_summaries, read_telemetry, write_telemetry
+from spanloom.streaming.ingest import merge_points
 
 BERLIN = "Europe/Berlin"
 
@@ -110,6 +113,36 @@ def test_purged_tables_are_a_new_version(spark, logs, points, spans, tmp_path):
     assert [(count("v1", t), count("v2", t)) for t in ("logs", "points", "spans")] == [(4, 2), (4, 3), (2, 1)]
 
 
+def test_purge_in_place_rewrites_only_days_that_lose_rows(spark, logs, points, spans, raw_points, tmp_path):
+    root, day = str(tmp_path), 86_400
+    line = raw_points(*[{"t": i * 6 * 3600, "v": float(i % 5), "a": {"session.id": f"s{i // 12}"}} for i in range(36)])
+    parts = [line.where(F.pmod("id", F.lit(2)) == k) for k in (0, 1)]
+    for k, part in enumerate(parts):
+        merge_points(part, root, k)
+    sessions = lambda i: {"a": {"session.id": f"s{i}"}}
+    write_telemetry(logs({"ev": "x", "t": 10, **sessions(0)}, {"ev": "x", "t": 4 * day, **sessions(1)}, {"ev": "x", "t": 20}), root, "logs", 0)
+    write_telemetry(spans({"s": "1", "t": 10, **sessions(0)}, {"s": "2", "t": 4 * day, **sessions(1)}), root, "spans", 0)
+    stored = (read_telemetry(spark, root, "logs"), read_points(spark, root), read_telemetry(spark, root, "spans"))
+    cut = at(5 * day + 3600)
+    want = {n: listed(df, "id") for n, df in retention.purge(*stored, cut).items()}
+    deltas = {r.id: r.value_delta for r in stored[1].collect()}
+    untouched = [p for p in compaction.places(spark, root, "points") if p[-10:] > str(cut.date())]
+    done = retention.purge_days(spark, root, cut)
+    assert done["points"] and max(done["points"]) <= str(cut.date())
+    now = {"log_records": read_telemetry(spark, root, "logs"), "metric_points": read_points(spark, root), "spans": read_telemetry(spark, root, "spans")}
+    assert {n: listed(df, "id") for n, df in now.items()} == want and 0 < len(want["metric_points"]) < 36
+    assert all(deltas[r.id] == r.value_delta for r in now["metric_points"].collect())
+    assert set(untouched) <= set(compaction.places(spark, root, "points")) - set(compaction.replaced(spark, root, "points"))
+    assert retention.purge_days(spark, root, cut) == {"logs": [], "points": [], "spans": []}
+    kept, derived = read_summaries(spark, root), Summaries.of(now["metric_points"], now["spans"], now["log_records"])
+    assert listed(kept.session_lives(), "session_id", "cost_usd") == listed(derived.session_lives(), "session_id", "cost_usd")
+    for table in ("points", "spans", "logs", "point_heads", "session_days"):
+        compaction.vacuum(spark, root, table)
+    assert listed(read_points(spark, root), "id") == want["metric_points"]
+    merge_points(raw_points({"t": 36 * 6 * 3600, "v": 7.0, "a": {"session.id": "s2"}}), root, 2)
+    assert read_points(spark, root).orderBy(F.desc("timestamp")).first().value_delta == 7.0 - 35 % 5
+
+
 def test_freshness(logs, points, spans):
     received = lambda s: {"received_at": at(s)}
     rows = (logs({"ev": "a", "t": 0, **received(0)}), points({"v": 1, "t": 0, **received(0)}), spans({"t": 0, **received(0)}).limit(0))

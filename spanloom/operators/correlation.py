@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from heapq import heappop, heappush
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.config import CFG, TelemetryConfig
 from spanloom.functions import expr as E
-from spanloom.functions.skew import carry_last, cut_lineage, previous_row, running_total, time_chunk
+from spanloom.functions.skew import carry_last, cut_lineage, previous_row, row_numbers, running_total, time_chunk
 from spanloom.operators.span_tree import span_paths
 
 TOLERANCE_MS = 1000
 #: Rows of one unbroken stretch of a time line that a task matches at once; longer ones are thinned out by rounds first.
 STRETCH = 100_000
+#: Rows of a longer stretch that a task looks at together in the first round; twice as many in each further one, up to ``STRETCH``.
+BLOCK = 4096
 _KEYS = ["prompt_id", "model"]
 _ORDER = ["at", "turn", "side", "id"]
 _PAIRS = "prompt_id string, model string, body_id long, request_log_id long, request_id string, offset_ms long"
+_PAIRS_ARROW = pa.schema({"prompt_id": pa.string(), "model": pa.string(), "body_id": pa.int64(), "request_log_id": pa.int64(),
+                          "request_id": pa.string(), "offset_ms": pa.int64()})
 
 
 def _time_line(logs: DataFrame, cfg: TelemetryConfig) -> DataFrame:
@@ -47,14 +51,19 @@ def _stretches(line: DataFrame, tolerance_ms: int) -> DataFrame:
     return cut.join(sizes.where("low < high").drop("low", "high"), [*_KEYS, "stretch"])
 
 
-def closest_pairs(at: Sequence[int], side: Sequence[int], tolerance_ms: int) -> list[tuple[int, int]]:
+def closest_pairs(at: Sequence[int], side: Sequence[int], tolerance_ms: int, before_it: bool = False, after_it: bool = False) -> list[tuple[int, int]]:
     """Index pairs of neighbours on a line (sorted), of different sides: the closest first, of equals the earlier.
 
-    A pair that is taken leaves the line, and its neighbours become each other's.
+    A pair that is taken leaves the line, and its neighbours become each other's. Where the line goes on unseen before or
+    after these rows, only pairs are given that no unseen row can change.
     """
     before, after = list(range(-1, len(at) - 1)), [*range(1, len(at)), -1]
     open_ = [True] * len(at)
     heap: list[tuple[int, int, int]] = []
+    # Rows that an unseen one, or one of these, may have taken by now: from both ends, with the innermost of each side.
+    unsure = [False] * len(at)
+    first, last = (0 if before_it else -1), (len(at) - 1 if after_it else -1)
+    inner_left, inner_right = [at[0], at[0]], [at[-1], at[-1]]
 
     def offer(i: int, j: int) -> None:
         if i >= 0 and j >= 0 and side[i] != side[j] and (at[j] - at[i]) // 1000 <= tolerance_ms:
@@ -64,9 +73,20 @@ def closest_pairs(at: Sequence[int], side: Sequence[int], tolerance_ms: int) ->
         offer(i, i + 1)
     found = []
     while heap:
-        _, i, j = heappop(heap)
+        gap, i, j = heappop(heap)
         if not (open_[i] and open_[j] and after[i] == j):
             continue
+        # A pair with an earlier row counts before one that is as close, a pair with a later row does not.
+        while first >= 0 and (not open_[first] or at[first] - inner_left[1 - side[first]] <= gap):
+            if open_[first]:
+                unsure[first], inner_left[side[first]] = True, at[first]
+            first = after[first]
+        while last >= 0 and (not open_[last] or inner_right[1 - side[last]] - at[last] < gap):
+            if open_[last]:
+                unsure[last], inner_right[side[last]] = True, at[last]
+            last = before[last]
+        if unsure[i] or unsure[j]:
+            continue
         found.append((i, j))
         open_[i] = open_[j] = False
         left, right = before[i], after[j]
@@ -78,18 +98,46 @@ def closest_pairs(at: Sequence[int], side: Sequence[int], tolerance_ms: int) ->
     return found
 
 
+def _matched(stretches: DataFrame, tolerance_ms: int, block: Column, number: Column, size: Column) -> DataFrame:
+    """Pairs inside each block of a stretch, whose rows bear numbers of 1 to ``size``. A task holds one block at a time."""
+    part = [*_KEYS, "stretch", "block"]
+    rows = stretches.select(*_KEYS, "stretch", *_ORDER, "request_id", block.alias("block"), number.alias("number"), size.alias("size"))
+    # The number of partitions is given, as a task's work is in its rows, not in their few bytes.
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *part).sortWithinPartitions(*part, *_ORDER)
+
+    def pairs_of(held: list[dict]) -> Iterator[dict]:
+        found = closest_pairs([r["at"] for r in held], [r["side"] for r in held], tolerance_ms, held[0]["number"] > 1, held[-1]["number"] < held[-1]["size"])
+        for first, second in ((held[i], held[j]) for i, j in found):
+            body, request = (first, second) if first["side"] == 0 else (second, first)
+            yield {"prompt_id": body["prompt_id"], "model": body["model"], "body_id": body["id"], "request_log_id": request["id"],
+                   "request_id": request["request_id"], "offset_ms": (second["at"] - first["at"]) // 1000}
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                here = [row[c] for c in part]
+                if held and here != of:
+                    out += pairs_of(held)
+                    held = []
+                held.append(row)
+                of = here
+            yield pa.RecordBatch.from_pylist(out, _PAIRS_ARROW)
+        if held:
+            yield pa.RecordBatch.from_pylist(list(pairs_of(held)), _PAIRS_ARROW)
+
+    return dealt.mapInArrow(match, _PAIRS)
+
+
 def _matched_at_once(stretches: DataFrame, tolerance_ms: int) -> DataFrame:
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(_ORDER, ignore_index=True)
-        pairs = closest_pairs(rows["at"].tolist(), rows["side"].tolist(), tolerance_ms)
-        first, second = ([p[k] for p in pairs] for k in (0, 1))
-        body = [i if rows["side"][i] == 0 else j for i, j in pairs]
-        request = [i + j - b for (i, j), b in zip(pairs, body)]
-        offset = (rows["at"].to_numpy()[second] - rows["at"].to_numpy()[first]) // 1000
-        return pd.DataFrame({"prompt_id": rows["prompt_id"].to_numpy()[body], "model": rows["model"].to_numpy()[body], "body_id": rows["id"].to_numpy()[body],
-                             "request_log_id": rows["id"].to_numpy()[request], "request_id": rows["request_id"].to_numpy()[request], "offset_ms": offset})
+    return _matched(stretches, tolerance_ms, F.lit(0), F.lit(1), F.lit(1))
+
 
-    return stretches.drop("size").groupBy(*_KEYS, "stretch").applyInPandas(match, _PAIRS)
+def _matched_in_blocks(stretches: DataFrame, tolerance_ms: int, block: int, shift: int) -> DataFrame:
+    """The pairs of long stretches that are certain from the rows of one block each."""
+    numbered = row_numbers(stretches, [*_KEYS, "stretch"], _ORDER, "number", chunk=time_chunk(F.timestamp_micros("at")))
+    return _matched(numbered, tolerance_ms, F.floor((F.col("number") + shift) / block), F.col("number"), F.col("size"))
 
 
 def _nearest_other(df: DataFrame, forward: bool) -> DataFrame:
@@ -125,21 +173,25 @@ def pair_bodies_to_requests(logs: DataFrame, tolerance_ms: int = TOLERANCE_MS, c
     """Match each request body with one request of its prompt and model, closest pairs first.
 
     A request counts from when it was issued. Time lines fall into stretches where neighbours are farther apart than
-    the tolerance; each is matched by itself. A stretch too long for one task loses the pairs that are each other's
-    nearest, round by round, until all that is left of it is short. Of equally close pairs the earlier one counts.
+    the tolerance; each is matched by itself. A stretch too long for one task is looked at block by block and loses the
+    pairs that are certain there, round by round, until all that is left of it is short; where blocks are sure of none,
+    it loses those that are each other's nearest. Of equally close pairs the earlier one counts.
     """
-    line, matched = cut_lineage(_time_line(logs, cfg)), []
+    line, matched, block, shifted = cut_lineage(_time_line(logs, cfg)), [], BLOCK, False
     while True:
         cut = cut_lineage(_stretches(line, tolerance_ms))
         matched.append(_matched_at_once(cut.where(F.col("size") <= stretch), tolerance_ms))
-        line = cut.where(F.col("size") > stretch).select(*line.columns)
-        if line.isEmpty():
+        long = cut.where(F.col("size") > stretch)
+        if long.isEmpty():
             return reduce(DataFrame.unionByName, matched)
-        pairs = cut_lineage(_mutual(line, tolerance_ms))
+        pairs = cut_lineage(_matched_in_blocks(long, tolerance_ms, block, block // 2 if shifted else 0))
+        if pairs.isEmpty():
+            pairs = cut_lineage(_mutual(long.select(*line.columns), tolerance_ms))
         matched.append(pairs)
         used = pairs.select(F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("body_id").alias("id")),
                                              F.struct(F.lit(1).alias("side"), F.col("request_log_id").alias("id")))))
-        line = cut_lineage(line.join(used, ["side", "id"], "left_anti").select(*line.columns))
+        line = long.join(used, ["side", "id"], "left_anti").select(*line.columns)
+        block, shifted = min(2 * block, max(STRETCH, BLOCK)), not shifted
 
 
 def _spans_by(spans: DataFrame, name: str, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from conftest import HOUR, at, listed
 
 from spanloom.config import CFG
+from spanloom.functions.skew import cut_lineage
 from spanloom.operators import correlation, span_tree, trace_findings, traces
 from spanloom.operators.log_explorer import LogFilter, log_page_offset
 
@@ -176,6 +177,37 @@ def test_closest_pairs_match_all_pairs_sorted():
     assert correlation.closest_pairs([], [], 5) == []
 
 
+def test_pairs_of_a_part_of_a_line_are_pairs_of_the_whole():
+    rnd = random.Random(5)
+    taken = 0
+    for _ in range(500):
+        line = sorted((rnd.randrange(200) * 1000, rnd.randrange(2)) for _ in range(rnd.randrange(2, 60)))
+        at, side = [r[0] for r in line], [r[1] for r in line]
+        low = rnd.randrange(len(line) - 1)
+        high = rnd.randrange(low + 1, len(line) + 1)
+        part = {(i + low, j + low) for i, j in correlation.closest_pairs(at[low:high], side[low:high], 20, low > 0, high < len(line))}
+        assert part <= set(correlation.closest_pairs(at, side, 20))
+        taken += len(part)
+    assert taken > 500
+
+
+def test_a_long_stretch_takes_few_rounds(spark, logs, monkeypatch):
+    """Bodies, then as many requests, are taken from the inside out: one pair a round if only nearest pairs are."""
+    common = {"prompt.id": "p", "model": "m"}
+    rows = [{"ev": "api_request_body", "t": i * 0.01, "a": common} for i in range(20)]
+    rows += [{"ev": "api_request", "t": 0.3 + i * 0.0101, "a": {**common, "request_id": f"r{i}", "duration_ms": "0"}} for i in range(20)]
+    rows += [{**r, "t": r["t"] + 0.9} for r in rows]
+    monkeypatch.setattr(correlation, "BLOCK", 24)
+    cuts = []
+    monkeypatch.setattr(correlation, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    made = logs(*rows).cache()
+    whole = correlation.pair_bodies_to_requests(made)
+    cuts.clear()
+    got = correlation.pair_bodies_to_requests(made, stretch=2)
+    assert listed(got, *got.columns) == listed(whole, *got.columns)
+    assert len(cuts) < 15
+
+
 def _calls(times):
     common = {"prompt.id": "p", "model": "m"}
     return [{"ev": "api_request_body", "t": t, "a": common} if body else {"ev": "api_request", "t": t, "a": {**common, "request_id": f"r{i}", "duration_ms": "0"}}

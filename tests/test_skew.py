@@ -46,6 +46,21 @@ def test_running_total_and_row_numbers(events):
     same(got, want, "p", "n")
 
 
+def test_rows_move_once(spark, events):
+    """The join with the chunks' summaries finds the rows where their window left them."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (skew.carry_last(events, ["k"], ["ts", "id"], F.col("v"), "p"), skew.running_total(events, ["k"], ["ts", "id"], F.col("v"), "p")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            # For the rows; for the summaries by chunk, by key, and by chunk again.
+            assert plan.count("Exchange hashpartitioning") == 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_runs(events):
     changed = F.when(F.lag("lab").over(plain()).eqNullSafe(F.col("lab")), 0).otherwise(1)
     want = events.withColumn("c", changed).withColumn("r", F.sum("c").over(plain().rowsBetween(Window.unboundedPreceding, 0)))

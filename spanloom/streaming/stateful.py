@@ -1,12 +1,13 @@
 """Per-key stream state: counter increments with late rows, and traces still running.
 
-A key's state is short: a counter keeps only the points younger than the lateness
-allowed, a trace keeps two values. Python sees Arrow batches of one key's rows; the
-partitioning and the state store are Spark's.
+State is short: a counter keeps only the points younger than the lateness allowed and
+one older one, a trace keeps two values. Python sees Arrow batches of one key's rows;
+the partitioning and the state store are Spark's.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,47 +19,59 @@ from spanloom.sources.deltas import current_value
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STALE_MINUTES = 20
-_POINT = "at long, id long, value double"
+#: Streams are dealt over this many keys of the state store: one read and one write serve all streams of a key in a batch.
+BUCKETS = 4096
+_NONE = -(2**63)  # stands for NULL, so that the other numbers of a batch stay whole
+_POINT = "stream_id string, at long, id long, value double, open boolean"
 
 
 class _DeltaState(StatefulProcessor):
+    """Points of some streams: ``open`` ones are young enough to be corrected, the newest other one of each is its floor."""
+
     def __init__(self, lateness_us: int) -> None:
         self.lateness_us = lateness_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", _POINT)
-        # The newest point that is no longer among the recent ones.
-        self.floor = handle.getValueState("floor", _POINT)
+        self.points = handle.getListState("points", _POINT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = sorted(tuple(p) for p in self.recent.get()) if self.recent.exists() else []
-        floor = tuple(self.floor.get()) if self.floor.exists() else None
+    def _placed(self, kept: list[tuple], floor: tuple | None, arrived: dict[int, tuple], stream, out: list[tuple]) -> tuple[list[tuple], tuple | None]:
+        """Changes that new points of a stream bring go to ``out``; returns its points still open and its floor."""
         seen = {p[1] for p in kept}
-        arrived = {p[1]: p for batch in rows for p in zip(batch["at"].tolist(), batch["id"].tolist(), batch["value"].tolist())}
-        arrived = [p for i, p in arrived.items() if i not in seen]
-        late = [p for p in arrived if floor is not None and p[:2] <= floor[:2]]
-        fresh = {p[1] for p in arrived if floor is None or p[:2] > floor[:2]}
-        line = sorted(kept + [p for p in arrived if p[1] in fresh])
-        out, previous, changed = [], floor, False
+        new = [p for i, p in arrived.items() if i not in seen]
+        late = [p for p in new if floor is not None and p[:2] <= floor[:2]]
+        fresh = {p[1] for p in new if floor is None or p[:2] > floor[:2]}
+        line = sorted(kept + [p for p in new if p[1] in fresh])
+        previous, changed = floor, False
         for point in line:
             before = 0.0 if previous is None else previous[2]
-            delta = point[2] - before if point[2] >= before else point[2]
-            if point[1] in fresh:
-                out.append((key[0], point[1], point[0], delta, "insert"))
-            elif changed:
-                out.append((key[0], point[1], point[0], delta, "update"))
+            if point[1] in fresh or changed:
+                out.append((stream, point[1], point[0], point[2] - before if point[2] >= before else point[2], "insert" if point[1] in fresh else "update"))
             changed = point[1] in fresh
             previous = point
         # Too late for the kept points: the batch repair has to place these.
-        out += [(key[0], p[1], p[0], None, "repair") for p in late]
-        if line:
-            horizon = line[-1][0] - self.lateness_us
-            old = [p for p in line if p[0] < horizon]
-            if old:
-                self.floor.update(old[-1])
-            self.recent.clear()
-            self.recent.appendList([p for p in line if p[0] >= horizon])
-        yield pd.DataFrame(out, columns=["stream_id", "id", "at", "value_delta", "change"])
+        out += [(stream, p[1], p[0], None, "repair") for p in late]
+        horizon = line[-1][0] - self.lateness_us if line else 0
+        old = [p for p in line if p[0] < horizon]
+        return line[len(old):], old[-1] if old else floor
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept, floors, arrived = defaultdict(list), {}, defaultdict(dict)
+        for stream, at, i, value, is_open in self.points.get() if self.points.exists() else ():
+            if is_open:
+                kept[stream].append((at, i, value))
+            else:
+                floors[stream] = (at, i, value)
+        for batch in rows:
+            for stream, at, i, value in zip(*(batch[c].tolist() for c in ("stream_id", "at", "id", "value"))):
+                arrived[stream][i] = (at, i, value)
+        out = []
+        for stream, points in arrived.items():
+            kept[stream], floor = self._placed(sorted(kept[stream]), floors.get(stream), points, stream, out)
+            if floor is not None:
+                floors[stream] = floor
+        self.points.put([(s, *p, True) for s, line in kept.items() for p in line] + [(s, *p, False) for s, p in floors.items()])
+        out = [(s, None if i == _NONE else i, None if at == _NONE else at, delta, change) for s, i, at, delta, change in out]
+        yield pd.DataFrame(out, columns=["stream_id", "id", "at", "value_delta", "change"], dtype=object)
 
     def close(self) -> None:
         pass
@@ -70,8 +83,9 @@ def stream_deltas(points: DataFrame, lateness_seconds: int = 3600) -> DataFrame:
     ``change`` is ``insert``, ``update`` (replaces the earlier increment of that id), or
     ``repair`` for rows past the allowed lateness. A longer lateness keeps more state.
     """
-    rows = points.select("stream_id", F.unix_micros("timestamp").alias("at"), "id", current_value().alias("value"))
-    return rows.groupBy("stream_id").transformWithStateInPandas(
+    rows = points.select(F.pmod(F.xxhash64("stream_id"), F.lit(BUCKETS)).alias("bucket"), "stream_id", F.coalesce(F.unix_micros("timestamp"), F.lit(_NONE)).alias("at"),
+                         F.coalesce("id", F.lit(_NONE)).alias("id"), current_value().alias("value"))
+    return rows.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_DeltaState(lateness_seconds * 1_000_000),
         outputStructType="stream_id string, id long, at long, value_delta double, change string",
         outputMode="Append", timeMode="None")

@@ -107,6 +107,18 @@ def test_stream_equals_batch_with_late_rows(spark, raw_points, rocksdb, tmp_path
     assert {r.change for r in got} == {"insert", "update"}
 
 
+def test_streams_that_share_a_key_of_the_store(spark, raw_points, rocksdb, tmp_path, monkeypatch):
+    """Each keeps its own points; a row without a time leaves the ids of the others whole."""
+    monkeypatch.setattr(stateful, "BUCKETS", 1)
+    big = 2**60 + 1
+    full = raw_points(*[{"v": v, "t": t, "id": big + i, "a": {"session.id": s}} for i, (s, t, v) in enumerate(
+        [("a", 0, 10), ("b", 0, 7), ("a", 40, 30), ("b", 20, 9), ("a", 20, 15), ("c", 5, 1)])])
+    full = full.withColumn("timestamp", F.when(F.col("session_id") != "c", F.col("timestamp")))
+    got = run_stream(spark, stateful.stream_deltas, full.schema, [full.where(F.col("id") < big + 4), full.where(F.col("id") >= big + 4)], tmp_path)
+    assert {r.id: r.value_delta for r in got} == deltas(counter_deltas(full))
+    assert [r.id - big for r in got if r.change == "update"] == [2] and [r.at for r in got if r.id == big + 5] == [None]
+
+
 def test_rows_past_the_lateness_ask_for_repair(spark, raw_points, rocksdb, tmp_path):
     full = raw_points({"v": 1, "t": 0}, {"v": 2, "t": 100}, {"v": 9, "t": 500}, {"v": 1, "t": 50})
     batches = [full.where("id < 3"), full.where("id = 3")]

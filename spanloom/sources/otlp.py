@@ -42,13 +42,14 @@ _ESCAPES = (("\\\\", "\x01"), ('\\"', "\x02"))
 _PUNCTUATION, _HIDDEN = "{}[],:", "\x03\x04\x05\x06\x0e\x0f"
 _DONE = {"[": "\x10", "]": "\x11", "{": "\x12", "}": "\x13"}
 _FLAT = r"([^{}\[\]]*)"
-#: One level of protocol wrapping, innermost first, and the plain value it stands for.
+#: A key without a value, which holds nothing that is wrapped.
+_BARE_KEY = (r'\{"key":("[^"]*")\}', "$1:null")
+#: One level of protocol wrapping, innermost first: what such text begins with, its form, and the plain value it stands for.
 _UNWRAP = (
-    (r'\{"value":' + _FLAT + r',"key":("[^"]*")\}', "$2:$1"),
-    (r'\{"key":("[^"]*"),"value":' + _FLAT + r"\}", "$1:$2"),
-    (r'\{"key":("[^"]*")\}', "$1:null"),
-    (r'\{"arrayValue":\{(?:"values":\[' + _FLAT + r"\])?\}\}", f"{_DONE['[']}$1{_DONE[']']}"),
-    (r'\{"kvlistValue":\{(?:"values":\[' + _FLAT + r"\])?\}\}", f"{_DONE['{']}$1{_DONE['}']}"),
+    ('{"arrayValue":', r'\{"arrayValue":\{(?:"values":\[' + _FLAT + r"\])?\}\}", f"{_DONE['[']}$1{_DONE[']']}"),
+    ('{"value":', r'\{"value":' + _FLAT + r',"key":("[^"]*")\}', "$2:$1"),
+    ('{"key":', r'\{"key":("[^"]*"),"value":' + _FLAT + r"\}", "$1:$2"),
+    ('{"kvlistValue":', r'\{"kvlistValue":\{(?:"values":\[' + _FLAT + r"\])?\}\}", f"{_DONE['{']}$1{_DONE['}']}"),
 )
 
 
@@ -61,23 +62,28 @@ def plain_json(wrapped: Column) -> Column:
     """A list or map of the protocol's JSON form as plain JSON text, however deep it is.
 
     Strings are shielded first, so that what is left of punctuation is structure. Then scalars lose their wrapping, and
-    each pass unwraps the innermost level that is left; there are as many passes as the text has levels of lists.
+    each pass unwraps the innermost level that is left; there are as many passes as the text has levels of lists. A rule
+    is tried only while the text has something that begins like it.
     Whatever is not of the protocol's form stays as it was sent.
     """
     for text, code in _ESCAPES:
         wrapped = F.replace(wrapped, F.lit(text), F.lit(code))
     parts = F.transform(F.split(wrapped, '"', -1), lambda part, i: F.when(i % 2 == 1, F.translate(part, _PUNCTUATION, _HIDDEN)).otherwise(
-        F.regexp_replace(part, r"\s+", "")))
+        F.translate(part, " \t\n\x0b\f\r", "")))
     shielded = F.array_join(parts, '"')
     shielded = F.regexp_replace(shielded, r'\{"(?:stringValue|bytesValue|boolValue)":([^{}\[\],]*)\}', "$1")
     shielded = F.regexp_replace(shielded, r'\{"(?:intValue|doubleValue)":"?([^"{}\[\],]*)"?\}', "$1")
     shielded = F.regexp_replace(shielded, r'(?<="value":)\{\}|(?<=[\[,])\{\}(?=[,\]])', "null")
+    shielded = F.regexp_replace(shielded, *_BARE_KEY)
 
     def unwrapped(text: Column) -> Column:
         depth = F.aggregate(F.regexp_extract_all(text, F.lit(r"[\[\]]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
                             lambda d, b: F.struct((d["now"] + F.when(b == "[", 1).otherwise(-1)).alias("now"),
                                                   F.greatest(d["most"], d["now"] + 1).alias("most")), lambda d: d["most"])
-        return F.aggregate(F.sequence(F.lit(0), depth), text, lambda t, _: reduce(lambda x, rule: F.regexp_replace(x, *rule), _UNWRAP, t))
+        last = (depth + 1) * len(_UNWRAP) - 1
+        return F.aggregate(F.sequence(F.lit(0), last), text, lambda t, i: reduce(
+            lambda chain, rule: chain.when((i % len(_UNWRAP) == rule[0]) & F.contains(t, F.lit(rule[1][0])), F.regexp_replace(t, *rule[1][1:])),
+            enumerate(_UNWRAP), F.when(F.lit(False), t)).otherwise(t))
 
     text = _with(shielded, unwrapped)
     text = F.translate(text, _HIDDEN + "".join(_DONE.values()), _PUNCTUATION + "".join(_DONE))

@@ -13,7 +13,7 @@ from spanloom.config import CFG
 from spanloom.operators.log_explorer import LogFilter, attribute_pairs, log_histogram
 from spanloom.plans.report import report_markdown
 from spanloom.schema import LOG_SCHEMA, enrich_logs, enrich_points, enrich_spans
-from spanloom.sources import otlp
+from spanloom.sources import adapter, otlp
 from spanloom.sources.tables import read_points, read_telemetry, stored
 from spanloom.streaming import ingest, live
 
@@ -245,3 +245,38 @@ def test_values_of_any_depth(spark):
         if isinstance(v, (list, dict)):
             assert json.loads(got[i]) == v, v
     assert got[len(values) - 1] == "[" + ",".join(map(str, range(3000))) + "]"
+
+
+def test_events_of_one_row_group_are_mapped_by_several_tasks(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id * 60) AS ts", "id % 7 AS user_id",
+                                       "element_at(array('click', 'view', 'error', 'purchase', 'signup'), CAST(id % 5 AS INT) + 1) AS event_type",
+                                       "CAST(id AS DOUBLE) AS value", "concat('{\"k\": ', id % 100, '}') AS props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    events = adapter.read_events(spark, str(tmp_path))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (adapter.event_logs(events), adapter.event_spans(events)):
+            sizes = df.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+            assert len(sizes) > 1 and sum(r["count"] for r in sizes) == 400
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_random_nested_values_are_read_whole(spark):
+    rnd = random.Random(2)
+
+    def made(depth):
+        kind = rnd.randrange(6) if depth else rnd.randrange(3)
+        if kind < 3:
+            return ({"stringValue": "a {\"]:"}, 'a {"]:') if kind == 0 else ({"intValue": "5"}, 5) if kind == 1 else ({"boolValue": True}, True)
+        some = [made(depth - 1) for _ in range(rnd.randrange(3))]
+        if kind == 3:
+            return {"arrayValue": {"values": [w for w, _ in some]}}, [v for _, v in some]
+        pairs = [({"key": f"k{i}", "value": w} if rnd.randrange(2) else {"value": w, "key": f"k{i}"}) for i, (w, _) in enumerate(some)]
+        return {"kvlistValue": {"values": [*pairs, {"key": "bare"}]}}, {**{f"k{i}": v for i, (_, v) in enumerate(some)}, "bare": None}
+
+    values = [v for v in (made(5) for _ in range(200)) if "arrayValue" in v[0] or "kvlistValue" in v[0]]
+    df = spark.createDataFrame([(i, json.dumps(w, indent=rnd.choice([None, 1]))) for i, (w, _) in enumerate(values)], "i int, w string")
+    got = {r.i: json.loads(r.t) for r in df.select("i", otlp.plain_json(F.col("w")).alias("t")).collect()}
+    assert got == {i: v for i, (_, v) in enumerate(values)}

@@ -63,7 +63,7 @@ def closest_pairs(at: Sequence[int], side: Sequence[int], tolerance_ms: int, bef
     # Rows that an unseen one, or one of these, may have taken by now: from both ends, with the innermost of each side.
     unsure = [False] * len(at)
     first, last = (0 if before_it else -1), (len(at) - 1 if after_it else -1)
-    inner_left, inner_right = [at[0], at[0]], [at[-1], at[-1]]
+    inner_left, inner_right = list(at[:1]) * 2, list(at[-1:]) * 2
 
     def offer(i: int, j: int) -> None:
         if i >= 0 and j >= 0 and side[i] != side[j] and (at[j] - at[i]) // 1000 <= tolerance_ms:

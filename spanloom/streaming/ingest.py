@@ -32,27 +32,27 @@ def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "dire
     Writing the same batch of a writer again replaces what it wrote before.
     """
     spark = batch.sparkSession
-    batch = batch.drop("value_delta").dropDuplicates(["id"])
+    # Written once: a batch may be costly to derive, as exports are to parse, and every step below reads it.
+    batch = cut_lineage(batch.drop("value_delta").dropDuplicates(["id"]))
     days = [r.event_date for r in batch.select("event_date").distinct().collect()]
     if not days:
         return
     columns = ["stream_id", "event_date", "timestamp", "id", "value", "fresh"]
     others = (F.col("batch") != batch_id) | (F.col("writer") != writer)
-    stored = None
+    fresh = batch.withColumn("value", current_value()).withColumn("fresh", F.lit(True)).select(*columns, "session_id")
+    line = fresh.select(*columns)
     if path_exists(spark, f"{root}/points"):
         stored = compaction.current(spark, root, "points").where(others & F.col("event_date").isin(days))
-        batch = batch.join(stored.select("id"), "id", "left_anti")
-    fresh = batch.withColumn("value", current_value()).withColumn("fresh", F.lit(True))
-    line = fresh.select(*columns)
-    if stored is not None:
-        streams = batch.select("stream_id").distinct()
+        fresh = cut_lineage(fresh.join(stored.select("id"), "id", "left_anti"))
+        streams = fresh.select("stream_id").distinct()
         same_day = stored.join(streams, "stream_id", "left_semi").withColumn("value", current_value()).withColumn("fresh", F.lit(False))
         heads = compaction.current(spark, root, "point_heads", HEADS).where(others & ~F.col("event_date").isin(days))
         edges = (heads.join(streams, "stream_id", "left_semi").groupBy("stream_id", "event_date")
                  .agg(F.min("first").alias("first"), F.max("last").alias("last")))
         ends = (edges.select("stream_id", "event_date", F.explode(F.array("first", "last")).alias("e"))
                 .select("stream_id", "event_date", "e.*", F.lit(False).alias("fresh")).distinct())
-        line = line.unionByName(same_day.select(*columns)).unionByName(ends.select(*columns))
+        # Rows and chunks of the line are ordered apart; both read it.
+        line = cut_lineage(fresh.select(*columns).unionByName(same_day.select(*columns)).unionByName(ends.select(*columns)))
     seen = previous_row(line, ["stream_id"], ["timestamp", "id"], F.struct("value", "fresh"), "before")
     done = cut_lineage(seen.where(F.col("fresh") | F.col("before.fresh"))
                        .withColumn("value_delta", increment(F.col("value"), F.col("before.value"))))
@@ -61,7 +61,7 @@ def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "dire
     fixes = done.where("NOT fresh").select("id", "event_date", "value_delta", F.current_timestamp().alias("fixed_at"))
     _write(fixes, root, "point_fixes", batch_id, writer)
     # Whose summaries the corrections change: a stream belongs to one session.
-    sessions = batch.where("session_id IS NOT NULL").select("stream_id", "session_id").distinct()
+    sessions = fresh.where("session_id IS NOT NULL").select("stream_id", "session_id").distinct()
     _write(done.where("NOT fresh").select("stream_id", "event_date").distinct().join(sessions, "stream_id")
            .select("session_id", "event_date").distinct(), root, "session_fixes", batch_id, writer)
     _write(point_heads(added), root, "point_heads", batch_id, writer)

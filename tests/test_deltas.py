@@ -56,6 +56,20 @@ def test_newest_per_stream(points):
     assert listed(newest_per_stream(df), "id") == [(1,), (2,)]
 
 
+def test_a_batch_is_derived_once(spark, raw_points, tmp_path):
+    derived = spark.sparkContext.accumulator(0)
+
+    def told(stream):
+        derived.add(1)
+        return stream
+
+    root = str(tmp_path)
+    for n in range(2):
+        batch = raw_points(*[{"v": i, "t": 10 * i + 5 * n, "id": 100 * n + i} for i in range(20)])
+        merge_points(batch.withColumn("stream_id", F.udf(told)("stream_id")), root, n)
+    assert derived.value == 40 and read_points(spark, root).count() == 40
+
+
 def test_merging_batches_in_any_order_equals_one_batch(spark, raw_points, tmp_path):
     rnd = random.Random(3)
     rows = [{"v": rnd.randrange(100), "t": rnd.randrange(0, 400_000), "id": i, "a": {"session.id": rnd.choice("ab")}} for i in range(60)]

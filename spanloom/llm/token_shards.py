@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 import zstandard
 
-from spanloom.llm.common import read_table, stored, work_folder, write_file
+from spanloom.llm.common import kept, read_table, stored, work_folder, write_file
 
 #: Id put after each document, bytes of text a shard takes about, bits between stored rank counts.
 END_ID, SHARD_BYTES, RANK_STEP = 2, 12 << 20, 512
@@ -182,14 +182,9 @@ class Encoder:
             return self.ids(text).tobytes()
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

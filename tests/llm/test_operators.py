@@ -9,7 +9,7 @@ import pytest
 
 from spanloom.llm import (decontamination, exact_dedup, language_id, license_scan, mixing, near_duplicates, quality, quotation,
                           token_shards, toxicity)
-from spanloom.llm.common import WordHashes
+from spanloom.llm.common import WordHashes, lean
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, Text2 string, size string, kept int"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -264,6 +264,13 @@ def test_encoder_pieces(text):
     assert tool.encode([text, f"plain words {text}"]) == [np.array(tool.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (text, f"plain words {text}")]
 
 
+def test_lean_tasks_drop_what_other_tasks_kept():
+    path = token_shards.vocabulary_path()
+    tool = token_shards.encoder(path)
+    assert token_shards.encoder(path) is tool
+    assert list(lean(iter)(iter(()))) == [] and token_shards.encoder(path) is not tool
+
+
 def test_token_ids_are_those_of_the_plain_library(spark):
     from tokenizers import Tokenizer
 

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +20,12 @@ from spanloom.llm.common import kept, read_table, stored, work_folder, write_fil
 #: Id put after each document, bytes of text a shard takes about, bits between stored rank counts.
 END_ID, SHARD_BYTES, RANK_STEP = 2, 12 << 20, 512
 VOCABULARY = "byte_bpe_50k.json"
-#: How a blank is written in the vocabulary's tokens (fixed); pieces of text a worker keeps the ids of.
-BLANK, HELD_PIECES = "Ġ", 600_000
+#: How a blank and a line feed are written in the vocabulary's tokens (fixed). Pieces of text a worker keeps the ids of,
+#: and bytes of text it encodes in one go.
+LINE, HELD_PIECES, PORTION = "\n", 600_000, 6 << 20
+WRITTEN = {"Ġ": " ", "Ċ": LINE}
+#: Signs that are cut off the end of a word, behind a letter or digit before this character.
+TAIL, LATIN_END = ".,;:!?*$&%#@", "\u0250"
 _HEADER = struct.Struct("<4sHHQQ")
 
 
@@ -39,7 +44,7 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             one = (ids & ids.dtype.type(1 << b)).astype(bool)
             planes.append(np.packbits(one, bitorder="little"))
-            ids = np.concatenate([ids[~one], ids[one]])
+            ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
         return cls(planes, len(ids))
 
     def _counts(self, plane: np.ndarray) -> np.ndarray:
@@ -110,7 +115,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.size, bitorder="little").astype(bool)
             before = np.empty_like(ids)
-            before[~one], before[one] = ids[:self.zeros[level]], ids[self.zeros[level]:] | ids.dtype.type(1 << (self.bits - 1 - level))
+            before[np.flatnonzero(~one)] = ids[:self.zeros[level]]
+            before[np.flatnonzero(one)] = ids[self.zeros[level]:] | ids.dtype.type(1 << (self.bits - 1 - level))
             ids = before
         return ids
 
@@ -134,13 +140,33 @@ def load_shard(content: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndar
     return WaveletMatrix([np.frombuffer(p, np.uint8) for p in planes], size), [int(d) if k else None for d, k in zip(ids, known)], np.frombuffer(table, "<i8", n, 9 * n)
 
 
+def _runs(pool: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Runs of ids, one after another."""
+    out, size = [pool[:0]], 1 << 18
+    for at in range(0, len(lengths), size):  # on the way, an id takes many times its bytes
+        part = lengths[at:at + size]
+        ends = np.cumsum(part, dtype=np.int64)
+        places = np.repeat(begins[at:at + size] - (ends - part), part)
+        places += np.arange(len(places))
+        out.append(pool[places])
+    return np.concatenate(out)
+
+
+def _spaced(words: pa.Array) -> np.ndarray:
+    """Whether a word is empty, or begins or ends with white space."""
+    changed = pc.not_equal(pc.binary_length(pc.utf8_trim_whitespace(words)), pc.binary_length(words))
+    return pc.or_(changed, pc.equal(words, "")).to_numpy(zero_copy_only=False)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, which is asked once for each piece of text that recurs.
 
     The vocabulary's own rule lets no token cross from a letter, digit or sign to the blank after it. So a text in
-    which blanks stand alone falls into words that begin with their blank, and new words are encoded in one string:
-    a token that begins with a blank begins a word. Any other text is encoded whole. The added token neither strips
-    blanks nor begins with one, so it stands where the library puts it: in the text, as its own id.
+    which blanks stand alone falls into words that begin with their blank. By the same rule a word falls apart before a
+    line feed that stands alone and, behind a letter or digit, before the signs of ``TAIL`` that it ends with. New pieces
+    are encoded many in one string: a token that begins with a blank, or a line feed, begins a piece. Any other text is
+    encoded whole. The added token neither strips blanks nor begins with one, so it stands where the library puts it: in
+    the text, as its own id. Nothing is cut at a sign it holds.
     """
 
     def __init__(self, path: str):
@@ -148,38 +174,113 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.held: dict[str, bytes] = {}
-        self.begins = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.begins[[i for token, i in self.tokenizer.get_vocab().items() if token[0] == BLANK]] = True
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
+        self.begins = {mark: np.zeros(size, dtype=bool) for mark in WRITTEN.values()}
+        for token, i in self.tokenizer.get_vocab().items():
+            if token[0] in WRITTEN:
+                self.begins[WRITTEN[token[0]]][i] = True
+        added = "".join(token.content for token in self.tokenizer.get_added_tokens_decoder().values())
+        self.tail, self.lines = "".join(c for c in TAIL if c not in added), LINE not in added
+        self._forget()
+
+    def _forget(self) -> None:
+        """Pieces that are held, where the ids of each begin, how many it has, and all ids."""
+        self.held, self.at, self.sizes, self.pool = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.kind)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind)
 
     def encode(self, texts_: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts_]
-        wanted = {w for words in split for w in words[1:]}
-        new = list(wanted.difference(self.held))
-        if len(self.held) + len(new) > HELD_PIECES:
-            self.held, new = {}, list(wanted)
-        for at in range(0, len(new), 2048):
-            self._learn(new[at:at + 2048])
-        return [self._joined(t, words) for t, words in zip(texts_, split)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words after a blank; None for those that may not be taken by themselves."""
-        good = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        self.held.update(dict.fromkeys(words))
-        if good:
-            found = self.ids(" " + " ".join(good))
-            self.held.update(zip(good, (x.tobytes() for x in np.split(found, np.flatnonzero(self.begins[found])[1:]))))
-
-    def _joined(self, text: str, words: list[str]) -> bytes:
-        if len(words) == 1 or not words[0] or words[0][-1].isspace():
-            return self.ids(text).tobytes()
-        try:
-            return b"".join([self.ids(words[0]).tobytes(), *map(self.held.__getitem__, words[1:])])
-        except TypeError:
-            return self.ids(text).tobytes()
+        ids, lengths = self.encoded(pa.array(texts_, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(lengths))[:-1]]
+
+    def encoded(self, texts_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        if not len(texts_):
+            return self.pool[:0], np.zeros(0, np.int64)
+        split = pc.split_pattern(texts_, " ")
+        firsts, later = split.offsets.to_numpy()[:-1], np.ones(len(split.values), dtype=bool)
+        later[firsts] = False
+        openers = split.values.take(pa.array(firsts))
+        coded = split.values.filter(pa.array(later)).dictionary_encode()
+        del split
+        pool, at, sizes, bad = self._words(coded.dictionary)
+        rows = coded.indices.to_numpy()
+        begins, lengths, wrong = np.zeros(len(later), np.int64), np.zeros(len(later), np.int32), np.zeros(len(later), dtype=bool)
+        begins[later], lengths[later], wrong[later], wrong[firsts] = at[rows], sizes[rows], bad[rows], _spaced(openers)
+        del coded, rows, later
+        whole = np.logical_or.reduceat(wrong, firsts)
+        lengths[np.repeat(whole, np.diff(firsts, append=len(lengths)))] = 0
+        heads, size = [pool], len(pool)
+        for i, (first, opener) in enumerate(zip(firsts.tolist(), openers.to_pylist())):
+            heads.append(self.ids(texts_[i].as_py() if whole[i] else opener))
+            begins[first], lengths[first] = size, len(heads[-1])
+            size += len(heads[-1])
+        return _runs(np.concatenate(heads), begins, lengths), np.add.reduceat(lengths, firsts, dtype=np.int64)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids; where those of each word (after a blank) begin, how many it has, and whether it may not be taken by itself."""
+        if not len(words):
+            return self.pool[:0], np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
+        bad, alone, counts = _spaced(words), np.zeros(len(words), dtype=bool), np.ones(len(words), np.int64)
+        parts = words.filter(pa.array(~bad))
+        if self.lines:
+            split = pc.split_pattern(words, LINE)
+            counts = np.diff(split.offsets.to_numpy()).astype(np.int64)
+            alone = ~np.logical_or.reduceat(_spaced(split.values), split.offsets.to_numpy()[:-1])
+            parts = pa.concat_arrays([split.values.filter(pa.array(np.repeat(alone, counts))), words.filter(pa.array(~alone & ~bad))])
+            del split
+        # Words that fall into lines first, then those that stay whole.
+        order = np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone & ~bad)])
+        counts = np.where(alone, counts, 1)[order]
+        opening = np.concatenate([[0], np.cumsum(counts)])
+        leads = np.zeros(len(parts), dtype=bool)
+        leads[opening[:-1]] = True
+        core = pc.utf8_rtrim(parts, characters=self.tail)
+        last = pc.utf8_slice_codeunits(core, start=-1)
+        core = pc.if_else(pc.and_(pc.utf8_is_alnum(last), pc.less(last, LATIN_END)), core, parts)
+        tailed = pc.not_equal(core, parts)
+        tails = [p[len(c):] for p, c in zip(parts.filter(tailed).to_pylist(), core.filter(tailed).to_pylist())]
+        tailed = tailed.to_numpy(zero_copy_only=False)
+        core = pc.binary_join_element_wise(pc.if_else(pa.array(leads), " ", LINE), core, "")
+        rows = self._rows(pa.concat_arrays([core, pa.array(tails, pa.string())]))
+        place = np.arange(len(parts)) + np.cumsum(tailed) - tailed
+        pieces = np.empty(len(rows), np.int64)
+        pieces[place], pieces[place[tailed] + 1] = rows[:len(parts)], rows[len(parts):]
+        ends = np.concatenate([[0], np.cumsum(self.sizes[pieces], dtype=np.int64)])[np.append(place, len(pieces))[opening]]
+        at, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int32)
+        at[order], sizes[order] = ends[:-1], np.diff(ends)
+        return _runs(self.pool, self.at[pieces], self.sizes[pieces]), at, sizes, bad
+
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """Rows of pieces among those held; new ones are encoded."""
+        coded = pa.concat_arrays([self.held, pieces]).dictionary_encode()
+        if len(coded.dictionary) > HELD_PIECES and len(self.held):
+            self._forget()
+            coded = pieces.dictionary_encode()
+        rows = coded.indices.to_numpy()[len(self.held):]
+        new = coded.dictionary[len(self.held):]
+        at, sizes, found, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int32), [self.pool], len(self.pool)
+        mark = pc.utf8_slice_codeunits(new, start=0, stop=1)
+        for lead in (" ", LINE, None):
+            group = np.flatnonzero((pc.equal(mark, lead) if lead else pc.invert(pc.is_in(mark, pa.array([" ", LINE])))).to_numpy(zero_copy_only=False))
+            for part in (group[i:i + 2048] for i in range(0, len(group), 2048)):
+                ids, lengths = self._learn(new.take(pa.array(part)).to_pylist(), lead)
+                at[part], sizes[part] = size + np.cumsum(lengths) - lengths, lengths
+                found.append(ids)
+                size += len(ids)
+        self.held, self.at, self.sizes = coded.dictionary, np.concatenate([self.at, at]), np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate(found)
+        return rows
+
+    def _learn(self, pieces: list[str], lead: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that all begin with ``lead``, and how many each has."""
+        if lead:
+            ids = self.ids("".join(pieces))
+            return ids, np.diff(np.flatnonzero(self.begins[lead][ids]), append=len(ids))
+        found = [self.ids(p) for p in pieces]
+        return np.concatenate(found), np.array([len(x) for x in found])
 
 
 def encoder(path: str) -> Encoder:
@@ -187,6 +288,13 @@ def encoder(path: str) -> Encoder:
     return kept(f"encoder {path}", lambda: Encoder(path))
 
 
+def portions(texts_: pa.Array, limit: int = PORTION) -> Iterator[pa.Array]:
+    """Texts, about so many bytes at a time; a longer one by itself or with some."""
+    before = np.cumsum(pc.binary_length(texts_).to_numpy(), dtype=np.int64) // limit
+    edges = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(texts_)]
+    return (texts_.slice(a, b - a) for a, b in zip(edges, edges[1:]))
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -199,7 +307,7 @@ def write_shards(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, p
     Texts are dealt by ranges of doc_id and of a hash of the text, sorted, encoded and written by the same task.
     ``path`` names the vocabulary file where the task runs. An empty table writes no shard.
     """
-    where, end = path or vocabulary_path, np.array([END_ID], dtype="<u4").tobytes()
+    where = path or vocabulary_path
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
@@ -209,14 +317,17 @@ def write_shards(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, p
     def write(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tool, doc_ids, parts = encoder(where()), [], []
+        tool, doc_ids, parts, counts = encoder(where()), [], [], []
         for batch in stream:
             doc_ids += batch.column(0).to_pylist()
-            for at in range(0, batch.num_rows, 256):
-                parts += [ids + end for ids in tool.encode([t or "" for t in batch.column(1).slice(at, 256).to_pylist()])]
+            for texts_ in portions(batch.column(1).cast(pa.string()).fill_null("")):
+                ids, lengths = tool.encoded(texts_)
+                parts.append(np.insert(ids, np.cumsum(lengths), END_ID))
+                counts += (lengths + 1).tolist()
         if doc_ids:
-            shard, ids = TaskContext.get().partitionId(), np.frombuffer(b"".join(parts), dtype="<u4")
-            write_file(f"{folder}/shard-{shard:08d}.wvm", [dump_shard(ids, doc_ids, [len(p) // 4 for p in parts])])
+            shard, ids = TaskContext.get().partitionId(), np.concatenate(parts)
+            del parts
+            write_file(f"{folder}/shard-{shard:08d}.wvm", [dump_shard(ids, doc_ids, counts)])
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(ids)], pa.int64())], schema=schema)
 
     return stored(dealt.mapInArrow(write, "shard long, n_tokens long"), "token-shards")

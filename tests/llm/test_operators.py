@@ -5,6 +5,7 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import (decontamination, exact_dedup, language_id, license_scan, mixing, near_duplicates, quality, quotation,
@@ -264,6 +265,27 @@ def test_encoder_pieces(text):
     assert tool.encode([text, f"plain words {text}"]) == [np.array(tool.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (text, f"plain words {text}")]
 
 
+def test_encoder_asks_once_for_words_with_other_signs_and_lines(monkeypatch):
+    tool, asked = token_shards.Encoder(token_shards.vocabulary_path()), []
+    plain, ids = tool.tokenizer, tool.ids
+    monkeypatch.setattr(tool, "ids", lambda text: asked.append(text) or ids(text))
+    words = [f"lengthyword{chr(97 + i)}" for i in range(20)]
+    texts_ = [" ".join(["x", *(w + sign for w in words)]) for sign in ("", ".", ",", "!!", ".\nNext,", "?\nNext")]
+    assert tool.encode(texts_) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts_]
+    assert sum(text.count("lengthyword") for text in asked) == 20
+
+
+def test_encoder_cuts_are_those_of_the_plain_library(monkeypatch):
+    monkeypatch.setattr(token_shards, "HELD_PIECES", 500)
+    tool, rng = token_shards.Encoder(token_shards.vocabulary_path()), np.random.default_rng(3)
+    parts = ["a", "the", "'s", "'", "n't", ".", ",", "!!", "$", "-", "\n", "\n", " ", " ", " ", " ", "\t", "\n\n", "\u00a0", "é", "²", "漢", "\u0301", "<|endoftext|>", "|>", "12", "\u1e900"]
+    for _ in range(20):
+        texts_ = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(50)]
+        texts_ += [" ".join("".join(rng.choice([p for p in parts if p.strip() or p == "\n"], rng.integers(1, 4))) for _ in range(8)) for _ in range(50)]
+        assert tool.encode(texts_) == [np.array(tool.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts_]
+    assert [len(x) for x in token_shards.portions(pa.array(["a" * 10, "b", "", "c" * 30, "d"]), 10)] == [3, 2] and tool.encode([]) == []
+
+
 def test_lean_tasks_drop_what_other_tasks_kept():
     path = token_shards.vocabulary_path()
     tool = token_shards.encoder(path)

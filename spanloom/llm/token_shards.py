@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 import zstandard
 
-from spanloom.llm.common import kept, read_table, stored, work_folder, write_file
+from spanloom.llm.common import kept, read_table, stored, trimmed, work_folder, write_file
 
 #: Id put after each document, bytes of text a shard takes about, bits between stored rank counts.
 END_ID, SHARD_BYTES, RANK_STEP = 2, 12 << 20, 512
@@ -330,7 +330,7 @@ def write_shards(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, p
             write_file(f"{folder}/shard-{shard:08d}.wvm", [dump_shard(ids, doc_ids, counts)])
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(ids)], pa.int64())], schema=schema)
 
-    return stored(dealt.mapInArrow(write, "shard long, n_tokens long"), "token-shards")
+    return stored(dealt.mapInArrow(trimmed(write), "shard long, n_tokens long"), "token-shards")
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -351,7 +351,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
 
     shape = T.StructType([T.StructField(n, T.LongType()) for n in schema.names])
     files = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile")
-    return files.option("pathGlobFilter", "*.wvm").load(folder).select("path", "content").mapInArrow(run, shape)
+    return files.option("pathGlobFilter", "*.wvm").load(folder).select("path", "content").mapInArrow(trimmed(run), shape)
 
 
 def token_shards(docs: DataFrame, folder: str | None = None, shard_bytes: int = SHARD_BYTES, path: Callable[[], str] | None = None) -> DataFrame:

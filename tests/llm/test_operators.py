@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spanloom.llm import (decontamination, exact_dedup, language_id, license_scan, mixing, near_duplicates, quality, quotation,
+from spanloom.llm import (common, decontamination, exact_dedup, language_id, license_scan, mixing, near_duplicates, quality, quotation,
                           token_shards, toxicity)
 from spanloom.llm.common import WordHashes, lean
 
@@ -293,6 +293,13 @@ def test_lean_tasks_drop_what_other_tasks_kept():
     assert list(lean(iter)(iter(()))) == [] and token_shards.encoder(path) is not tool
 
 
+def test_trimmed_tasks_free_memory_and_keep_what_is_kept(monkeypatch):
+    freed, tool = [], token_shards.encoder(token_shards.vocabulary_path())
+    monkeypatch.setattr(common, "free", lambda: freed.append(1))
+    assert list(common.trimmed(iter)(iter([1]))) == [1] and freed == [1]
+    assert token_shards.encoder(token_shards.vocabulary_path()) is tool
+
+
 def test_token_ids_are_those_of_the_plain_library(spark):
     from tokenizers import Tokenizer
 
@@ -441,6 +448,14 @@ def test_toxicity_learns_and_scores_all_windows(spark, docs):
     assert {r.toxic_score for r in toxicity.score(docs, toxicity.Trainer([]).fit()).collect()} == {0.5}
 
 
+def test_toxicity_sends_a_text_once_to_its_tasks(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, Text string")
+    scored = toxicity.score(docs, toxicity.Trainer([([b"a"], 0), ([b"b"], 1)] * 20).fit(1))
+    assert "coalesce" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.doc_id: r for r in scored.collect()}
+    assert [rows[i].Text for i in (1, 2, 3)] == ["a b", None, ""] and rows[2].toxic_score == rows[3].toxic_score
+
+
 def test_toxicity_reads_every_byte_of_long_runs():
     for n in (1, 63, 64, 65, 66, 67, 1000):
         for step in (toxicity.PIECE_STEP, toxicity.FIT_PIECE_STEP):

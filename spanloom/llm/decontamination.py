@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 import re
 
 import pyarrow as pa
@@ -16,6 +16,8 @@ from spanloom.llm.common import alnum_words, lean, read_table, texts, without
 WINDOW, BLOCK_WORDS = 10, 400_000
 #: A document loses its hit passages; past this share of hit words it goes as a whole.
 COVERAGE = 0.8
+#: Columns that ``marked`` adds.
+MARKS = ("__n_words", "__spans", "__items")
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -142,14 +144,15 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
     yield block
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS,
+           then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
     """The columns of ``docs``, and __n_words, __spans (hit passages, [start, end) in words) and __items (their ids).
 
     Each block of items becomes an automaton sent to the tasks; whole documents stream through it. Further blocks
-    mark the same rows again, so no row is shuffled.
+    mark the same rows again, so no row is shuffled. ``then`` takes the marked batches in the worker of the last block:
+    a step of its own would have each task hold one more worker, which stays beside later tasks.
     """
-    added = ("__n_words", "__spans", "__items")
-    docs = without(docs, *added)
+    docs = without(docs, *MARKS)
     out = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()),
                         T.StructField("__spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("__items", T.ArrayType(T.StringType()))])
     names = out.names
@@ -175,9 +178,15 @@ def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
                 yield pa.RecordBatch.from_arrays([*columns, *new], names=names)
         return scan
 
+    def followed(scan, step):
+        return lambda stream: step(scan(stream))
+
+    scans = [through(ItemAutomaton(block, window)) for block in item_blocks(benchmark, block_words)]
+    if then is not None:
+        scans[-1] = followed(scans[-1], then)
     found = docs
-    for block in item_blocks(benchmark, block_words):
-        found = found.mapInArrow(lean(through(ItemAutomaton(block, window))), out)
+    for scan in scans:
+        found = found.mapInArrow(lean(scan), out)
     return found
 
 
@@ -223,20 +232,18 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverag
     A document with more than ``coverage`` of its words hit goes as a whole. Clean documents, NULL and empty texts
     among them, are left as they are. The columns stay those of ``docs``; an empty table stays empty.
     """
-    found = marked(docs, benchmark, window, block_words)
     names, kinds = docs.columns, {f.name: f.dataType for f in docs.schema.fields}
-    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda total, s: total + s[1] - s[0])
-    found = found.where(hit <= F.lit(coverage) * F.col("__n_words"))
-    at, at_spans = found.columns.index("text"), found.columns.index("__spans")
+    at = without(docs, *MARKS).columns.index("text")
 
     def rewrite(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            new = [cut(t, s) if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(at_spans).to_pylist())]
+            n_words, spans, _ = (c.to_pylist() for c in batch.columns[-len(MARKS):])
+            stays = [sum(end - start for start, end in s) <= coverage * n for n, s in zip(n_words, spans)]
             columns = batch.columns
-            columns[at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            columns[at] = pa.array([cut(t, s) if s and ok else t for t, s, ok in zip(columns[at].to_pylist(), spans, stays)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(stays, pa.bool_()))
 
-    done = found.mapInArrow(lean(rewrite), found.schema)
+    done = marked(docs, benchmark, window, block_words, rewrite)
     if "n_chars" in names:
         done = done.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(kinds["n_chars"])).otherwise(F.col("n_chars")))
     return done.select(*[F.col(f"`{c}`") for c in names])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 import zstandard
 
-from spanloom.llm.common import kept, read_table, stored, trimmed, work_folder, write_file
+from spanloom.llm.common import free, kept, read_table, setting, stored, trimmed, work_folder, write_file
 
 #: Id put after each document, bytes of text a shard takes about, bits between stored rank counts.
 END_ID, SHARD_BYTES, RANK_STEP = 2, 12 << 20, 512
@@ -23,12 +23,18 @@ VOCABULARY = "byte_bpe_50k.json"
 #: How a blank and a line feed are written in the vocabulary's tokens (fixed). Pieces of text a worker keeps the ids of,
 #: and bytes of text it encodes in one go.
 LINE, HELD_PIECES, PORTION = "\n", 600_000, 6 << 20
+#: Bytes of a batch that Spark sends a writing task, and ids (a multiple of 8) that are dealt to the next plane at a time.
+BATCH, STRETCH = "2m", 1 << 18
 WRITTEN = {"Ġ": " ", "Ċ": LINE}
 #: Signs that are cut off the end of a word, behind a letter or digit before this character.
 TAIL, LATIN_END = ".,;:!?*$&%#@", "\u0250"
 _HEADER = struct.Struct("<4sHHQQ")
 
 
+def stretches(size: int, step: int = STRETCH) -> Iterator[slice]:
+    return (slice(a, min(a + step, size)) for a in range(0, size, step))
+
+
 class WaveletMatrix:
     """A sequence of ids as one plane of bits per binary digit. Each plane puts ids with a 0 before those with a 1."""
 
@@ -42,9 +48,17 @@ class WaveletMatrix:
         bits = max(int(ids.max()).bit_length() if len(ids) else 1, 1)
         ids, planes = ids.astype(np.uint16 if bits <= 16 else np.uint32), []
         for b in range(bits - 1, -1, -1):
-            one = (ids & ids.dtype.type(1 << b)).astype(bool)
+            one, dealt = np.empty(len(ids), dtype=bool), np.empty_like(ids)
+            for part in stretches(len(ids)):  # on the way, an id takes many times its bytes
+                np.not_equal(ids[part] & ids.dtype.type(1 << b), 0, out=one[part])
             planes.append(np.packbits(one, bitorder="little"))
-            ids = np.concatenate([np.compress(~one, ids), np.compress(one, ids)])
+            at, at_one = 0, len(ids) - np.count_nonzero(one)
+            for part in stretches(len(ids)):
+                for kind, to in ((~one[part], at), (one[part], at_one)):
+                    found = np.compress(kind, ids[part])
+                    dealt[to:to + len(found)] = found
+                at, at_one = at + len(kind) - len(found), at_one + len(found)
+            ids = dealt
         return cls(planes, len(ids))
 
     def _counts(self, plane: np.ndarray) -> np.ndarray:
@@ -114,9 +128,14 @@ class WaveletMatrix:
         ids = np.zeros(self.size, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.size, bitorder="little").astype(bool)
-            before = np.empty_like(ids)
-            before[np.flatnonzero(~one)] = ids[:self.zeros[level]]
-            before[np.flatnonzero(one)] = ids[self.zeros[level]:] | ids.dtype.type(1 << (self.bits - 1 - level))
+            before, bit, at, at_one = np.empty_like(ids), ids.dtype.type(1 << (self.bits - 1 - level)), 0, self.zeros[level]
+            for part in stretches(self.size):
+                places = np.flatnonzero(~one[part])
+                before[part][places] = ids[at:at + len(places)]
+                at += len(places)
+                places = np.flatnonzero(one[part])
+                before[part][places] = ids[at_one:at_one + len(places)] | bit
+                at_one += len(places)
             ids = before
         return ids
 
@@ -295,6 +314,19 @@ def portions(texts_: pa.Array, limit: int = PORTION) -> Iterator[pa.Array]:
     return (texts_.slice(a, b - a) for a, b in zip(edges, edges[1:]))
 
 
+def gathered(stream: Iterator[pa.RecordBatch], limit: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to at most so many bytes; a larger one by itself."""
+    held, size = [], 0
+    for batch in stream:
+        if held and size + batch.nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
@@ -318,7 +350,7 @@ def write_shards(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, p
         from pyspark import TaskContext
 
         tool, doc_ids, parts, counts = encoder(where()), [], [], []
-        for batch in stream:
+        for batch in gathered(stream):
             doc_ids += batch.column(0).to_pylist()
             for texts_ in portions(batch.column(1).cast(pa.string()).fill_null("")):
                 ids, lengths = tool.encoded(texts_)
@@ -326,11 +358,13 @@ def write_shards(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, p
                 counts += (lengths + 1).tolist()
         if doc_ids:
             shard, ids = TaskContext.get().partitionId(), np.concatenate(parts)
-            del parts
+            del parts, batch, texts_
+            free()  # what encoding leaves does not stand beside the planes
             write_file(f"{folder}/shard-{shard:08d}.wvm", [dump_shard(ids, doc_ids, counts)])
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(ids)], pa.int64())], schema=schema)
 
-    return stored(dealt.mapInArrow(trimmed(write), "shard long, n_tokens long"), "token-shards")
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH):  # else a shard's texts are sent in one batch
+        return stored(dealt.mapInArrow(trimmed(write), "shard long, n_tokens long"), "token-shards")
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -341,9 +375,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
         for batch in stream:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 wavelet, doc_ids, lengths = load_shard(content.as_buffer().to_pybytes())
-                raw = memoryview(wavelet.decode().astype("<u4").tobytes())
-                ends = np.cumsum(lengths)
-                crcs = [zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
+                ids, ends = wavelet.decode(), np.cumsum(lengths)
+                crcs = [zlib.crc32(ids[e - n:e].astype("<u4")) for e, n in zip(ends.tolist(), lengths.tolist())]
                 size = len(doc_ids)
                 shard = int(path.rsplit("-", 1)[1].split(".")[0])
                 columns = (np.full(size, shard), np.arange(size), doc_ids, ends - lengths, lengths, crcs)

@@ -1,12 +1,14 @@
 """Operators against brute force, round trips and held-out accuracy, on small fixtures with awkward rows."""
 
 import re
+import tracemalloc
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import (common, decontamination, exact_dedup, language_id, license_scan, mixing, near_duplicates, quality, quotation,
                           token_shards, toxicity)
@@ -196,6 +198,17 @@ def test_decontamination(spark, docs):
     assert decontamination.cleaned(docs.limit(0), bench).count() == 0
 
 
+def test_cleaning_takes_one_worker_a_task(spark, docs):
+    item = " ".join(f"word{i}" for i in range(5, 25))
+    bench = spark.createDataFrame([(1, item), (2, "mit license"), (5, "w7 w8")], "item_id long, text string")
+    whole, parts = (decontamination.cleaned(docs, bench, block_words=n) for n in (10 ** 6, 5))
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert collected(whole, *docs.columns) == collected(parts, *docs.columns)
+    half = collected(decontamination.cleaned(docs, bench, coverage=20 / 60), "doc_id")
+    assert (1,) in half and (7,) not in half and (1,) not in collected(decontamination.cleaned(docs, bench, coverage=19 / 60), "doc_id")
+
+
 def test_automaton_against_windows():
     rng = np.random.default_rng(4)
     words = [b"a", b"b", b"c"]
@@ -259,6 +272,44 @@ def test_token_shards(spark, docs):
     assert token_shards.token_shards(docs.limit(0)).count() == 0
 
 
+def test_planes_are_dealt_and_read_in_stretches():
+    rng = np.random.default_rng(11)
+    for n in (token_shards.STRETCH - 1, token_shards.STRETCH, token_shards.STRETCH + 1, 3 * token_shards.STRETCH + 5):
+        ids = rng.integers(0, 50_000, n).astype(np.uint16)
+        assert (token_shards.WaveletMatrix.build(ids).decode() == ids).all()
+    ids = rng.integers(0, 50_000, 1 << 22).astype(np.uint16)
+    wavelet = token_shards.WaveletMatrix.build(ids)
+    for run in (lambda: token_shards.WaveletMatrix.build(ids), wavelet.decode):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 5 * ids.nbytes
+
+
+def test_a_shard_is_sent_in_small_batches(spark, monkeypatch):
+    def watched(run):
+        def wrapped(stream):
+            def small():
+                for batch in stream:
+                    assert batch.nbytes < 3 << 20
+                    yield batch
+            yield from run(small())
+        return wrapped
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(token_shards, "trimmed", watched)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abc "), 700).alias("text"))
+    rows = token_shards.token_shards(docs).agg(F.count("*"), F.max("start"), F.min("n_tokens")).first()
+    assert rows[0] == 3000 and rows[1] == 2999 * rows[2] and spark.conf.get(key) == before
+
+
+def test_small_batches_are_gathered():
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x" * n])], names=["text"]) for n in (10, 10, 10, 200, 10)]
+    assert [b.num_rows for b in token_shards.gathered(iter(batches), 60)] == [3, 1, 1] and list(token_shards.gathered(iter(()))) == []
+
+
 @pytest.mark.parametrize("text", ["a  b", "a \n b", "it's don't  x", "", " lead", "trail ", "é ñ 12 3 x", "<|endoftext|> hi", "a\n\nb c", "x  y", "a 　b", "tab\t x"])
 def test_encoder_pieces(text):
     tool = token_shards.encoder(token_shards.vocabulary_path())

@@ -1,5 +1,6 @@
 """Operators against brute force, round trips and held-out accuracy, on small fixtures with awkward rows."""
 
+import os
 import re
 import tracemalloc
 import unicodedata
@@ -165,6 +166,30 @@ def test_crowds_are_not_listed_in_pairs(spark, monkeypatch):
     assert rows[600][1] < 600 * 599 / 8
 
 
+def test_sets_are_dealt_in_rounds_and_steps_leave_little(spark, monkeypatch):
+    rows = _crowd(300)
+    monkeypatch.setattr(near_duplicates, "BLOCK", 64)
+    asked = []
+
+    def in_rounds(pairs, room, find, whole=near_duplicates.in_rounds):
+        def found(some):
+            asked[-1] += 1
+            return find(some)
+
+        asked.append(0)
+        return whole(pairs, room // 4, found)
+
+    monkeypatch.setattr(near_duplicates, "ROUND_BYTES", 1)
+    monkeypatch.setattr(near_duplicates, "in_rounds", in_rounds)
+    folder = common.shared_folder(spark)
+    before = set(os.listdir(folder))
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert collected(found, "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert max(asked) > 3
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "measured" in left and not left & {"signatures", "postings", "sets", "crowd-postings", "graph", "blocks"}
+
+
 def test_joined_blocks_give_a_forest():
     import pyarrow as pa
 

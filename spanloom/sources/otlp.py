@@ -53,6 +53,17 @@ _UNWRAP = (
 )
 
 
+#: Text that is of the protocol's form throughout and has no blanks: what begins a list or map stands for the sign it has in
+#: plain text, _OPEN and the sign it ends with; what ends one, for _CLOSE. Braces left are the ends of map entries.
+_OPEN, _CLOSE = "\x14", "\x15"
+_MARKS = (('{"arrayValue":{"values":[', f"{_DONE['[']}{_OPEN}{_DONE[']']}"), ('{"kvlistValue":{"values":[', f"{_DONE['{']}{_OPEN}{_DONE['}']}"),
+          ('{"arrayValue":{}}', f"{_DONE['[']}{_DONE[']']}"), ('{"kvlistValue":{}}', f"{_DONE['{']}{_DONE['}']}"))
+#: Quotes are the ends of strings here, as escaped ones have a stand-in, so these need no shield.
+_STRING = (r'\{"(?:stringValue|bytesValue)":("[^"]*")\}', "$1")
+_ENTRY = (r'\{"key":("[^"]*"),"value":', "$1:")
+_INNERMOST = (f"{_OPEN}(.)([^{_OPEN}{_CLOSE}]*){_CLOSE}", "$2$1")
+
+
 def _with(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of a value that is worked out once, though it is used several times."""
     return F.get(F.transform(F.array(value), then), 0)
@@ -61,37 +72,78 @@ def _with(value: Column, then: Callable[[Column], Column]) -> Column:
 def plain_json(wrapped: Column) -> Column:
     """A list or map of the protocol's JSON form as plain JSON text, however deep it is.
 
-    Strings are shielded first, so that what is left of punctuation is structure. Then scalars lose their wrapping, and
-    each pass unwraps the innermost level that is left; there are as many passes as the text has levels of lists. A rule
-    is tried only while the text has something that begins like it.
+    Where the text is lists, maps and entries that begin with their key, as exports are written, all that begins one is
+    marked at once, and one pass a level gives their ends the sign. Any other text is unwrapped rule by rule.
     Whatever is not of the protocol's form stays as it was sent.
     """
-    for text, code in _ESCAPES:
-        wrapped = F.replace(wrapped, F.lit(text), F.lit(code))
-    parts = F.transform(F.split(wrapped, '"', -1), lambda part, i: F.when(i % 2 == 1, F.translate(part, _PUNCTUATION, _HIDDEN)).otherwise(
+    def plain(coded: Column) -> Column:
+        return _with(_marked(coded), lambda m: F.when(_well_formed(m) & F.get_json_object(F.concat(F.lit("["), wrapped, F.lit("]")), "$").isNotNull(), F.translate(_closed(m), "}", ""))
+                     .otherwise(_with(_scalars(_shielded(coded)), _unwrapped)))
+
+    coded = wrapped
+    for sign, code in _ESCAPES:
+        coded = F.replace(coded, F.lit(sign), F.lit(code))
+    text = F.translate(_with(coded, plain), _HIDDEN + "".join(_DONE.values()), _PUNCTUATION + "".join(_DONE))
+    for sign, code in _ESCAPES:
+        text = F.replace(text, F.lit(code), F.lit(sign))
+    return text
+
+
+def _shielded(text: Column) -> Column:
+    """Text without blanks around strings, and with stand-ins in them, so that what is left of punctuation is structure."""
+    parts = F.transform(F.split(text, '"', -1), lambda part, i: F.when(i % 2 == 1, F.translate(part, _PUNCTUATION, _HIDDEN)).otherwise(
         F.translate(part, " \t\n\x0b\f\r", "")))
-    shielded = F.array_join(parts, '"')
-    shielded = F.regexp_replace(shielded, r'\{"(?:stringValue|bytesValue|boolValue)":([^{}\[\],]*)\}', "$1")
-    shielded = F.regexp_replace(shielded, r'\{"(?:intValue|doubleValue)":"?([^"{}\[\],]*)"?\}', "$1")
-    shielded = F.regexp_replace(shielded, r'(?<="value":)\{\}|(?<=[\[,])\{\}(?=[,\]])', "null")
-    shielded = F.regexp_replace(shielded, *_BARE_KEY)
-
-    def unwrapped(text: Column) -> Column:
-        depth = F.aggregate(F.regexp_extract_all(text, F.lit(r"[\[\]]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-                            lambda d, b: F.struct((d["now"] + F.when(b == "[", 1).otherwise(-1)).alias("now"),
-                                                  F.greatest(d["most"], d["now"] + 1).alias("most")), lambda d: d["most"])
-        last = (depth + 1) * len(_UNWRAP) - 1
-        return F.aggregate(F.sequence(F.lit(0), last), text, lambda t, i: reduce(
-            lambda chain, rule: chain.when((i % len(_UNWRAP) == rule[0]) & F.contains(t, F.lit(rule[1][0])), F.regexp_replace(t, *rule[1][1:])),
-            enumerate(_UNWRAP), F.when(F.lit(False), t)).otherwise(t))
-
-    text = _with(shielded, unwrapped)
-    text = F.translate(text, _HIDDEN + "".join(_DONE.values()), _PUNCTUATION + "".join(_DONE))
-    for plain, code in _ESCAPES:
-        text = F.replace(text, F.lit(code), F.lit(plain))
+    return F.array_join(parts, '"')
+
+
+def _scalars(text: Column) -> Column:
+    """Shielded text whose scalars have lost their wrapping. A rule is tried only on text with something that begins like it."""
+    rules = (('{"', r'\{"(?:stringValue|bytesValue|boolValue)":([^{}\[\],]*)\}', "$1"), ('{"', r'\{"(?:intValue|doubleValue)":"?([^"{}\[\],]*)"?\}', "$1"),
+             ("{}", r'(?<="value":)\{\}|(?<=[\[,])\{\}(?=[,\]])', "null"), ('{"key":', *_BARE_KEY))
+    def tried(begin: str, pattern: str, then: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(F.contains(t, F.lit(begin)), F.regexp_replace(t, pattern, then)).otherwise(t)
+
+    for rule in rules:
+        text = _with(text, tried(*rule))
     return text
 
 
+def _marked(text: Column) -> Column:
+    for begin, mark in _MARKS:
+        text = F.replace(text, F.lit(begin), F.lit(mark))
+    text = F.regexp_replace(F.regexp_replace(text, *_STRING), *_ENTRY)
+    return F.replace(_scalars(_shielded(text)), F.lit("]}}"), F.lit(_CLOSE))
+
+
+def _well_formed(marked: Column) -> Column:
+    """Whether marks stand for all lists and maps and the keys of all entries, so that what is left of braces ends entries."""
+    return ~(F.contains(marked, F.lit("{")) | F.contains(marked, F.lit("[")) | F.contains(marked, F.lit("]")))
+
+
+def _levels(text: Column, begin: str, end: str) -> Column:
+    """How deep what begins and ends with these signs is nested."""
+    return F.aggregate(F.regexp_extract_all(text, F.lit(f"[{begin}{end}]"), F.lit(0)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+                       lambda d, b: F.struct((d["now"] + F.when(b == begin.removeprefix("\\"), 1).otherwise(-1)).alias("now"),
+                                             F.greatest(d["most"], d["now"] + 1).alias("most")), lambda d: d["most"])
+
+
+def _closed(marked: Column) -> Column:
+    """Marked text with the sign of each list at its end: innermost lists first, a level at a time."""
+    return F.aggregate(F.sequence(F.lit(0), _levels(marked, _OPEN, _CLOSE)), marked, lambda t, _: F.when(
+        F.contains(t, F.lit(_CLOSE)), F.regexp_replace(t, *_INNERMOST)).otherwise(t))
+
+
+def _unwrapped(text: Column) -> Column:
+    """Each pass unwraps the innermost level that is left; there are as many passes as the text has levels of lists.
+
+    A rule is tried only while the text has something that begins like it.
+    """
+    last = (_levels(text, r"\[", r"\]") + 1) * len(_UNWRAP) - 1
+    return F.aggregate(F.sequence(F.lit(0), last), text, lambda t, i: reduce(
+        lambda chain, rule: chain.when((i % len(_UNWRAP) == rule[0]) & F.contains(t, F.lit(rule[1][0])), F.regexp_replace(t, *rule[1][1:])),
+        enumerate(_UNWRAP), F.when(F.lit(False), t)).otherwise(t))
+
+
 def any_text(v: Column) -> Column:
     """Scalars as plain text, lists and maps as JSON text, an empty value as NULL."""
     nested = [F.when(v[kind].isNotNull(), plain_json(F.concat(F.lit('{"' + kind + '":'), v[kind], F.lit("}")))) for kind in ("arrayValue", "kvlistValue")]

@@ -263,6 +263,14 @@ def test_events_of_one_row_group_are_mapped_by_several_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
+def test_text_of_the_protocols_form_is_marked_whole_and_spoilt_text_stays(spark):
+    value = {"a": [{"b": "]}},{[ x"}, [], {}, 7, None], "c": {"d": ["e"]}}
+    text = json.dumps(wrapped(value), separators=(",", ":"))
+    df = spark.createDataFrame([(text, "{\"kvlistValue\":{\"values\":[]}}}")], "w string, spoilt string")
+    row = df.select(otlp._well_formed(otlp._marked(F.col("w"))).alias("whole"), otlp.plain_json(F.col("w")).alias("t"), otlp.plain_json(F.col("spoilt")).alias("s")).first()
+    assert row.whole and json.loads(row.t) == value and row.s == "{}}"
+
+
 def test_random_nested_values_are_read_whole(spark):
     rnd = random.Random(2)
 

@@ -77,7 +77,9 @@ def plain_json(wrapped: Column) -> Column:
     Whatever is not of the protocol's form stays as it was sent.
     """
     def plain(coded: Column) -> Column:
-        return _with(_marked(coded), lambda m: F.when(_well_formed(m) & F.get_json_object(F.concat(F.lit("["), wrapped, F.lit("]")), "$").isNotNull(), F.translate(_closed(m), "}", ""))
+        valid = F.get_json_object(F.concat(F.lit("["), wrapped, F.lit("]")), "$").isNotNull()
+        closed = _with(_marked(coded), lambda m: F.when(_well_formed(m) & valid, _closed(m)))
+        return _with(closed, lambda c: F.when(~(F.contains(c, F.lit(_OPEN)) | F.contains(c, F.lit(_CLOSE))), F.translate(c, "}", ""))
                      .otherwise(_with(_scalars(_shielded(coded)), _unwrapped)))
 
     coded = wrapped

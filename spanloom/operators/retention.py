@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import ts_lit
 from spanloom.functions import expr as E
-from spanloom.functions.skew import cut_lineage
+from spanloom.functions.skew import cut_lineage, discard, one_of_each
 from spanloom.sources import compaction
 from spanloom.sources.deltas import HEADS, current_value, newest_per_stream, point_heads
 from spanloom.sources.summaries import summaries_of
@@ -114,18 +114,19 @@ def purge_days(spark: SparkSession, root: str, cutoff: datetime) -> dict[str, li
         listed = compaction.closed_days(spark, root, table, last + timedelta(days=1), 1)
         corrections = compaction.closed_days(spark, root, "point_fixes", last + timedelta(days=1), 1) if table == "points" else {}
         rows = old[table].where(compaction.lies_in([p for some in listed.values() for p in some]))
-        gone = (F.col(time) < ts_lit(cutoff)) & F.col("__live").isNull()
-        marked = rows.join(live, "session_id", "left")
-        if table == "points":
-            marked = marked.join(newest, "id", "left")
-            gone = gone & F.col("__newest").isNull()
-        days = sorted(str(r.event_date) for r in marked.where(gone).select("event_date").distinct().collect())
+        old_row, marked = F.col(time) < ts_lit(cutoff), rows.join(live, "session_id", "left")
+        # Only rows of dormant sessions are met with the newest points; of the others no whole row is dealt for it.
+        staying, leaving = marked.where(~old_row | F.col("__live").isNotNull()), marked.where(old_row & F.col("__live").isNull())
+        spared = leaving.join(newest, "id", "left_semi") if table == "points" else None
+        leaving = leaving.join(newest, "id", "left_anti") if table == "points" else leaving
+        days = sorted(str(r.event_date) for r in leaving.select("event_date").distinct().collect())
         done[table] = days
         if not days:
             continue
-        kept = marked.where(~gone & F.col("event_date").isin([date.fromisoformat(d) for d in days])).select(*rows.drop("writer", "batch").columns)
+        kept = staying if spared is None else staying.unionByName(spared)
+        kept = kept.where(F.col("event_date").isin([date.fromisoformat(d) for d in days])).select(*rows.drop("writer", "batch").columns)
         kept = corrected(kept, root) if table == "points" else kept
-        kept = compaction.write_snapshot(kept.dropDuplicates(["id"]), root, table, CLUSTERING[table])
+        kept = compaction.write_snapshot(one_of_each(kept), root, table, CLUSTERING[table])
         beside = summaries_of(kept, table)
         if table == "points":
             beside["point_heads"] = point_heads(kept.withColumn("value", current_value()))
@@ -137,6 +138,7 @@ def purge_days(spark: SparkSession, root: str, cutoff: datetime) -> dict[str, li
         folded = [p for d in days for p in corrections.get(d, [])]
         if folded:
             compaction.replace(spark, root, "point_fixes", folded)
+    discard(live, newest)
     return done
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from spanloom.functions.skew import cut_lineage, previous_row
+from spanloom.functions.skew import cut_lineage, discard, one_of_each, previous_row, shuffles_dropped
 from spanloom.schema import _utc_date, enrich_logs, enrich_points, enrich_spans
 from spanloom.sources import compaction
 from spanloom.sources.deltas import HEADS, current_value, increment, point_heads
@@ -19,7 +19,8 @@ _SHAPES = {"logs": (flatten_otlp_logs, enrich_logs), "spans": (flatten_otlp_span
 
 
 def _write(df: DataFrame, root: str, name: str, batch_id: int, writer: str) -> None:
-    df.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{name}/writer={writer}/batch={batch_id}")
+    with shuffles_dropped(df.sparkSession):
+        df.write.mode("overwrite").partitionBy("event_date").parquet(f"{root}/{name}/writer={writer}/batch={batch_id}")
 
 
 def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "direct") -> None:
@@ -33,9 +34,11 @@ def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "dire
     """
     spark = batch.sparkSession
     # Written once: a batch may be costly to derive, as exports are to parse, and every step below reads it.
-    batch = cut_lineage(batch.drop("value_delta").dropDuplicates(["id"]))
+    derived = cut_lineage(batch.drop("value_delta"))
+    batch = one_of_each(derived)
     days = [r.event_date for r in batch.select("event_date").distinct().collect()]
     if not days:
+        discard(derived)
         return
     columns = ["stream_id", "event_date", "timestamp", "id", "value", "fresh"]
     others = (F.col("batch") != batch_id) | (F.col("writer") != writer)
@@ -65,6 +68,7 @@ def merge_points(batch: DataFrame, root: str, batch_id: int, writer: str = "dire
     _write(done.where("NOT fresh").select("stream_id", "event_date").distinct().join(sessions, "stream_id")
            .select("session_id", "event_date").distinct(), root, "session_fixes", batch_id, writer)
     _write(point_heads(added), root, "point_heads", batch_id, writer)
+    discard(derived, fresh, line, done)
 
 
 def _writer(spark: SparkSession, checkpoint: str) -> str:
@@ -115,6 +119,7 @@ def store_increments(changes: DataFrame, root: str, batch_id: int, writer: str)
     _write(fixes.withColumn("fixed_at", F.current_timestamp()), root, "point_fixes", batch_id, writer)
     sessions = stored.where("session_id IS NOT NULL").select("id", "event_date", "session_id")
     _write(fixes.join(sessions, ["id", "event_date"]).select("session_id", "event_date").distinct(), root, "session_fixes", batch_id, writer)
+    discard(changes, fixes)
 
 
 def stream_increments(spark: SparkSession, root: str, checkpoint: str, lateness_seconds: int = 3600) -> StreamingQuery:

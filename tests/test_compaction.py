@@ -1,14 +1,17 @@
 """Compaction: the same rows before and after, in fewer files, whatever happens on the way."""
 
 import glob
+import os
 from datetime import date, timedelta
 
 from conftest import T0, listed
 from pyspark.sql import functions as F
 
+from spanloom.functions.skew import one_of_each, shared_folder
 from spanloom.sources import compaction
 from spanloom.sources.deltas import counter_deltas
 from spanloom.sources.tables import compact, read_points, read_summaries, read_telemetry, write_telemetry
+from spanloom.streaming import ingest
 from spanloom.streaming.ingest import merge_points
 
 DAY = 86_400
@@ -66,3 +69,24 @@ def test_a_snapshot_without_its_manifest_is_not_read(spark, spans, tmp_path):
     compact(spark, root, "spans", LATER)
     assert read_telemetry(spark, root, "spans").count() == 5
     assert compaction.vacuum(spark, root, "spans") >= 2 and read_telemetry(spark, root, "spans").count() == 5
+
+
+def test_ids_that_occur_once_are_not_dealt_again(spark):
+    once = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "id long, text string")
+    assert one_of_each(once) is once
+    twice = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c")], "id long, text string")
+    assert sorted(map(str, one_of_each(twice).collect())) == sorted(map(str, once.collect()))
+
+
+def test_merging_and_storing_increments_leave_no_scratch(spark, raw_points, tmp_path):
+    root, folder = str(tmp_path), shared_folder(spark)
+    before = set(os.listdir(folder))
+    rows = raw_points({"v": 1.0}, {"v": 3.0, "t": 60})
+    ingest.merge_points(rows.where("id = 0"), root, 0)
+    ingest.merge_points(rows.where("id = 1"), root, 1)
+    stream = rows.first().stream_id
+    changes = spark.createDataFrame([(stream, 1, int(rows.where("id = 1").first().timestamp.timestamp() * 1e6), 2.0, "insert")],
+                                    "stream_id string, id long, at long, value_delta double, change string")
+    ingest.store_increments(changes, root, 0, "stream")
+    assert sorted((r.id, r.value_delta) for r in read_points(spark, root).collect()) == [(0, 1.0), (1, 2.0)]
+    assert not set(os.listdir(folder)) - before
